@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, packing, resharding
+from . import decontaminate, exact_dedup, ngram_join, packing, resharding
 from .store import table
 
 
+def op1_ngram_join(spark, sf_dir):
+    return ngram_join.report(table(spark, sf_dir, "documents"))
+
+
 def op3_resharding(spark, sf_dir):
     return resharding.report(table(spark, sf_dir, "documents"))
 
@@ -22,7 +26,7 @@ def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_resharding, op5_exact_dedup, op6_decontamination, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op3_resharding, op5_exact_dedup, op6_decontamination, op10_packing)}
 
 ORACLES = {
     "op5_exact_dedup": """
