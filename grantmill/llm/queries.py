@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, ngram_join, packing, resharding
+from . import decontaminate, exact_dedup, huffman, ngram_join, packing, resharding
 from .store import table
 
 
@@ -22,11 +22,15 @@ def op6_decontamination(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_token_ids(spark, sf_dir):
+    return huffman.report(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op3_resharding, op5_exact_dedup, op6_decontamination, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op3_resharding, op5_exact_dedup, op6_decontamination, op8_token_ids, op10_packing)}
 
 ORACLES = {
     "op5_exact_dedup": """
