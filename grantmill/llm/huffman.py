@@ -157,38 +157,33 @@ def decode_block(block: bytes, table: np.ndarray, limit: int = LIMIT) -> Iterato
         begin = end
 
 
-def _ids(batch: pa.RecordBatch, enc: tokens.Encoder, end: bytes) -> Iterator[np.ndarray]:
-    texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-    for ids in tokens.encode_in_parts(enc, texts):
-        yield np.frombuffer(ids + end, "<u4")
-
-
-def count_ids(docs: DataFrame, path: str, spaced: bool, end_id: int) -> dict[int, int]:
-    """How often each id occurs in all documents."""
+def encode_texts(docs: DataFrame, path: str, spaced: bool, end_id: int) -> DataFrame:
+    """doc_id and ids (little-endian unsigned 32-bit, with the end id) of each document."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, total = tokens.encoder(path, spaced), np.zeros(1, np.int64)
-        pending: list[np.ndarray] = []
+        enc = tokens.encoder(path, spaced)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([enc.encode(t or "") + end for t in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "ids"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
 
-        def counted() -> np.ndarray:
-            own = np.bincount(np.concatenate(pending), minlength=len(total))
-            own[: len(total)] += total
-            pending.clear()
-            return own
 
+def count_ids(ids: DataFrame) -> dict[int, int]:
+    """How often each id occurs in all documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1, np.int64)
         for batch in batches:
-            for ids in _ids(batch, enc, end):
-                pending.append(ids)
-                if len(pending) >= 256 or len(ids) > 1 << 18:
-                    total = counted()
-        if pending:
-            total = counted()
+            own = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4"), minlength=len(total))
+            own[: len(total)] += total
+            total = own
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
 
-    counts = docs.select("text").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n"))
-    return {r[0]: r[1] for r in counts.collect()}
+    return {r[0]: r[1] for r in ids.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n")).collect()}
 
 
 _DOCS = "part int, doc_id long, n_tokens long, codes binary, checkpoints binary"
@@ -198,27 +193,29 @@ _BLOCKS = "part int, block int, start long, n_tokens long, n_docs int, data bina
 def write(docs: DataFrame, target: str, path: str, spaced: bool, end_id: int) -> None:
     """Encode all documents into the folder ``target``."""
     spark = docs.sparkSession
-    counts = count_ids(docs, path, spaced, end_id)
+    scratch = Scratch(spark, "encoded")
+    encoded = scratch.save(encode_texts(docs, path, spaced, end_id), "ids", compression="zstd")
+    counts = count_ids(encoded)
     table = np.zeros(max(counts, default=0) + 1, np.int64)
     table[list(counts)] = list(counts.values())
     lengths = code_lengths(table)
     rows = [(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)]
     spark.createDataFrame(rows, "id int, length int").coalesce(1).write.parquet(f"{target}/codes")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bounds = docs.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], 10_000)).first()[0] or []
+    bounds = encoded.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], 10_000)).first()[0] or []
     known = spark.sparkContext.broadcast((lengths, canonical_codes(lengths), np.array(sorted(bounds), np.int64)))
-    end = np.array([end_id], "<u4").tobytes()
 
     def encode_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = tokens.encoder(path, spaced)
         lens, codes, edges = known.value
         for batch in batches:
             names = batch.column(0).to_pylist()
             group: list[np.ndarray] = []
             first = 0
-            for k, ids in enumerate(_ids(batch, enc, end)):
-                group.append(ids)
-                if k + 1 < len(names) and sum(map(len, group)) < 1 << 19 and len(group) < 512:
+            size = 0
+            for k, raw_ids in enumerate(batch.column(1).to_pylist()):
+                group.append(np.frombuffer(raw_ids, "<u4"))
+                size += len(raw_ids)
+                if k + 1 < len(names) and size < 1 << 21:
                     continue
                 sizes_in = np.array([*map(len, group)], np.int64)
                 raw, sizes, marks = encode(np.concatenate(group), sizes_in, lens, codes)
@@ -229,7 +226,7 @@ def write(docs: DataFrame, target: str, path: str, spaced: bool, end_id: int) ->
                     [pa.array(part, pa.int32()), pa.array(own, pa.int64()), pa.array(sizes_in), pa.array([raw[b - s : b] for s, b in zip(sizes.tolist(), ends)], pa.binary()), pa.array([m.tobytes() for m in marks], pa.binary())],
                     names=["part", "doc_id", "n_tokens", "codes", "checkpoints"],
                 )
-                group, first = [], k + 1
+                group, first, size = [], k + 1, 0
 
     def make_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -258,9 +255,10 @@ def write(docs: DataFrame, target: str, path: str, spaced: bool, end_id: int) ->
         if held:
             yield flush()
 
-    coded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode_docs, _DOCS)
+    coded = encoded.mapInArrow(encode_docs, _DOCS)
     dealt = coded.repartitionById(parts, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "codes")
     dealt.mapInArrow(make_blocks, _BLOCKS).write.parquet(f"{target}/blocks")
+    scratch.drop("ids")
 
 
 def read(spark: SparkSession, source: str, with_ids: bool = False) -> DataFrame:

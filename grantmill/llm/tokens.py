@@ -7,6 +7,7 @@ of the pieces, one after another, are the ids of the text:
 * ``spaced=True`` (a blank belongs to the word after it): before a blank or a
   newline that stands between two characters that are no white space. Texts with
   any other white space at such places are given to the library as a whole.
+* between a letter and a single punctuation mark that ends a piece.
 
 Ids are kept as bytes, little-endian unsigned 32-bit, so a document is a join of
 byte strings.
@@ -15,15 +16,74 @@ byte strings.
 from __future__ import annotations
 
 import os
+import sys
+from array import array
 
-#: Pieces that a worker remembers before it starts anew.
+#: Pieces of each of two generations that a worker remembers.
 MAX_PIECES = 400_000
+_MARKS = frozenset(".,;:!?")
 
 
-def vocabulary(name: str) -> str:
-    import public_tokenizers
+def _byte_letters() -> dict[int, str]:
+    """Of byte-level tokenizers: the character that stands for each byte that does not stand for itself."""
+    same = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in same)}
 
-    return public_tokenizers.path(name)
+
+_LETTERS = _byte_letters()
+_BLANK = _LETTERS[32]
+
+
+class _Pieces(dict):
+    """Piece -> ids, or None where a piece alone does not tell. A newer and an older generation.
+
+    With ``spaced``, a piece stands for itself after a blank; one that begins with
+    a newline stands for itself, one that begins with NUL for what comes after.
+    """
+
+    def __init__(self, tokenizer, spaced: bool):
+        super().__init__()
+        self.tokenizer, self.spaced, self.older = tokenizer, spaced, {}
+        self.model = tokenizer.model
+
+    def __missing__(self, piece: str) -> bytes | None:
+        found = self.older.get(piece)
+        if found is None:
+            found = self._word(piece) if piece.isalpha() else self._other(piece)
+        if len(self) >= MAX_PIECES:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = found
+        return found
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """Letters are one pre-token, so the library's model alone tells their ids."""
+        if self.spaced:
+            text = _BLANK + (word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS))
+        elif word.isascii():
+            text = word.lower()
+        else:
+            return self.whole(word)
+        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+
+    def _other(self, piece: str) -> bytes | None:
+        lead, body = " ", piece
+        if not self.spaced:
+            lead = ""
+        elif piece[:1] == "\n":
+            lead, body = "\n", piece[1:]
+        elif piece[:1] == "\0":
+            lead, body = "", piece[1:]
+        if not body:
+            return None if self.spaced and lead else b""
+        if self.spaced and (body[0].isspace() or body[-1].isspace()):
+            return None
+        if len(body) > 1 and body[-1] in _MARKS and body[-2].isalpha():
+            return self[piece[:-1]] + self["\0" * self.spaced + piece[-1]]
+        return self.whole(lead + body)
 
 
 class Encoder:
@@ -31,48 +91,20 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise ValueError("ids are kept in the machine's order, which must be little-endian")
+        self.known = _Pieces(Tokenizer.from_file(path), spaced)
         self.spaced = spaced
-        self.known: dict[str, bytes | None] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, text: str) -> list[str] | None:
+    def encode(self, text: str) -> bytes:
         if not self.spaced:
-            return text.replace("\n", " ").replace("\t", " ").split(" ")
-        if " \n" in text or "  " in text:
-            return None
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return [first, *(p if p[:1] == "\n" else " " + p for p in rest)]
-
-    def _learn(self, pieces: list[str]) -> None:
-        good = []
-        for p in pieces:
-            body = p[1:] if self.spaced and p[:1] in (" ", "\n") else p
-            if self.spaced and p and (not body or body[0].isspace() or body[-1].isspace()):
-                self.known[p] = None
-            else:
-                good.append(p)
-        self.known.update(zip(good, self._ids(good)))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self._pieces(t) for t in texts]
-        new = {p for pieces in cut if pieces for p in pieces if p not in self.known}
-        if len(self.known) + len(new) > MAX_PIECES:
-            self.known.clear()
-            new = {p for pieces in cut if pieces for p in pieces}
-        self._learn(list(new))
-        out: list[bytes] = []
-        for text, pieces in zip(texts, cut):
-            ids = None if pieces is None else [*map(self.known.__getitem__, pieces)]
-            if ids is None or None in ids:
-                out += self._ids([text])
-            else:
-                out.append(b"".join(ids))
-        return out
+            return b"".join(map(self.known.__getitem__, text.replace("\n", " ").replace("\t", " ").split(" ")))
+        if " \n" in text or "  " in text or "\0" in text:
+            return self.known.whole(text)
+        try:
+            return b"".join(map(self.known.__getitem__, ("\0" + text.replace("\n", " \n")).split(" ")))
+        except TypeError:  # a None: white space where a piece can't tell what is next to it
+            return self.known.whole(text)
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
@@ -85,15 +117,7 @@ def encoder(path: str, spaced: bool) -> Encoder:
     return _ENCODERS[path, spaced]
 
 
-def encode_in_parts(enc: Encoder, texts: list[str], most: int = 4 << 20):
-    """ids of one text after another; so many characters at a time, to bound memory."""
-    part: list[str] = []
-    size = 0
-    for t in texts:
-        part.append(t)
-        size += len(t)
-        if size >= most:
-            yield from enc.encode(part)
-            part, size = [], 0
-    if part:
-        yield from enc.encode(part)
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
