@@ -158,32 +158,47 @@ def decode_block(block: bytes, table: np.ndarray, limit: int = LIMIT) -> Iterato
 
 
 def encode_texts(docs: DataFrame, path: str, spaced: bool, end_id: int) -> DataFrame:
-    """doc_id and ids (little-endian unsigned 32-bit, with the end id) of each document."""
+    """kind 0: doc_id and ids (with the end id) of a document; kind 1: a task's counts of ids, as pairs.
+
+    Ids are little-endian unsigned, of 16 bits if all of the document's fit, else of 32 (wide).
+    """
     end = np.array([end_id], "<u4").tobytes()
+    names = ["kind", "doc_id", "wide", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = tokens.encoder(path, spaced)
+        enc, total = tokens.encoder(path, spaced), np.zeros(1, np.int64)
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([enc.encode(t or "") + end for t in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "ids"])
+                raw = [enc.encode(t or "") + end for t in batch.column(1).to_pylist()]
+                ids = np.frombuffer(b"".join(raw), "<u4")
+                own = np.bincount(ids, minlength=len(total))
+                own[: len(total)] += total
+                total = own
+                wide = len(total) > 1 << 16
+                if not wide:
+                    ends = (np.cumsum([*map(len, raw)]) // 2).tolist()
+                    narrow = ids.astype("<u2").tobytes()
+                    raw = [narrow[a:b] for a, b in zip([0, *ends], ends)]
+                n = len(raw)
+                yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), batch.column(0), pa.array([wide] * n), pa.array(raw, pa.binary())], names=names)
+        used = np.flatnonzero(total)
+        pairs = np.stack((used, total[used])).astype("<i8").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([None], pa.int64()), pa.array([True]), pa.array([pairs], pa.binary())], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "kind int, doc_id long, wide boolean, ids binary")
 
 
-def count_ids(ids: DataFrame) -> dict[int, int]:
-    """How often each id occurs in all documents."""
+def count_ids(encoded: DataFrame) -> dict[int, int]:
+    """How often each id occurs in all documents, from the tasks' counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1, np.int64)
         for batch in batches:
-            own = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4"), minlength=len(total))
-            own[: len(total)] += total
-            total = own
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
+            for raw in batch.column(0).to_pylist():
+                ids, n = np.frombuffer(raw, "<i8").reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], names=["id", "n"])
 
-    return {r[0]: r[1] for r in ids.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n")).collect()}
+    return {r[0]: r[1] for r in encoded.where("kind = 1").select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n")).collect()}
 
 
 _DOCS = "part int, doc_id long, n_tokens long, codes binary, checkpoints binary"
@@ -194,7 +209,7 @@ def write(docs: DataFrame, target: str, path: str, spaced: bool, end_id: int) ->
     """Encode all documents into the folder ``target``."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "encoded")
-    encoded = scratch.save(encode_texts(docs, path, spaced, end_id), "ids", compression="zstd")
+    encoded = scratch.save(encode_texts(docs, path, spaced, end_id), "ids", **{"compression": "zstd", "parquet.compression.codec.zstd.level": "1"})
     counts = count_ids(encoded)
     table = np.zeros(max(counts, default=0) + 1, np.int64)
     table[list(counts)] = list(counts.values())
@@ -202,7 +217,7 @@ def write(docs: DataFrame, target: str, path: str, spaced: bool, end_id: int) ->
     rows = [(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)]
     spark.createDataFrame(rows, "id int, length int").coalesce(1).write.parquet(f"{target}/codes")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bounds = encoded.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], 10_000)).first()[0] or []
+    bounds = encoded.where("kind = 0").agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], 10_000)).first()[0] or []
     known = spark.sparkContext.broadcast((lengths, canonical_codes(lengths), np.array(sorted(bounds), np.int64)))
 
     def encode_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,8 +227,8 @@ def write(docs: DataFrame, target: str, path: str, spaced: bool, end_id: int) ->
             group: list[np.ndarray] = []
             first = 0
             size = 0
-            for k, raw_ids in enumerate(batch.column(1).to_pylist()):
-                group.append(np.frombuffer(raw_ids, "<u4"))
+            for k, (wide, raw_ids) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                group.append(np.frombuffer(raw_ids, "<u4" if wide else "<u2"))
                 size += len(raw_ids)
                 if k + 1 < len(names) and size < 1 << 21:
                     continue
@@ -255,7 +270,7 @@ def write(docs: DataFrame, target: str, path: str, spaced: bool, end_id: int) ->
         if held:
             yield flush()
 
-    coded = encoded.mapInArrow(encode_docs, _DOCS)
+    coded = encoded.where("kind = 0").drop("kind").mapInArrow(encode_docs, _DOCS)
     dealt = coded.repartitionById(parts, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "codes")
     dealt.mapInArrow(make_blocks, _BLOCKS).write.parquet(f"{target}/blocks")
     scratch.drop("ids")

@@ -3,7 +3,8 @@
 A text is cut where the tokenizer's own pre-tokenisation always cuts, so the ids
 of the pieces, one after another, are the ids of the text:
 
-* ``spaced=False`` (white space only separates): at blanks, tabs and newlines.
+* ``spaced=False`` (white space only separates, case does not count): at blanks,
+  tabs and newlines.
 * ``spaced=True`` (a blank belongs to the word after it): before a blank or a
   newline that stands between two characters that are no white space. Texts with
   any other white space at such places are given to the library as a whole.
@@ -19,8 +20,9 @@ import os
 import sys
 from array import array
 
-#: Pieces of each of two generations that a worker remembers.
+#: Pieces that a worker remembers; those met a second time only, for most pieces of a text collection occur once.
 MAX_PIECES = 400_000
+_SEEN = 1 << 22
 _MARKS = frozenset(".,;:!?")
 
 
@@ -35,7 +37,7 @@ _BLANK = _LETTERS[32]
 
 
 class _Pieces(dict):
-    """Piece -> ids, or None where a piece alone does not tell. A newer and an older generation.
+    """Piece -> ids, or None where a piece alone does not tell.
 
     With ``spaced``, a piece stands for itself after a blank; one that begins with
     a newline stands for itself, one that begins with NUL for what comes after.
@@ -43,17 +45,21 @@ class _Pieces(dict):
 
     def __init__(self, tokenizer, spaced: bool):
         super().__init__()
-        self.tokenizer, self.spaced, self.older = tokenizer, spaced, {}
+        self.tokenizer, self.spaced, self.seen, self.marked = tokenizer, spaced, bytearray(_SEEN), 0
         self.model = tokenizer.model
 
     def __missing__(self, piece: str) -> bytes | None:
-        found = self.older.get(piece)
-        if found is None:
-            found = self._word(piece) if piece.isalpha() else self._other(piece)
-        if len(self) >= MAX_PIECES:
-            self.older = dict(self)
-            self.clear()
-        self[piece] = found
+        found = self._word(piece) if piece.isalpha() else self._other(piece)
+        mark = hash(piece) & (_SEEN - 1)
+        if self.seen[mark]:
+            if len(self) >= MAX_PIECES:
+                self.clear()
+            self[piece] = found
+        else:
+            self.seen[mark] = 1
+            self.marked += 1
+            if self.marked > _SEEN // 4:
+                self.seen, self.marked = bytearray(_SEEN), 0
         return found
 
     def whole(self, text: str) -> bytes:
@@ -98,6 +104,7 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         if not self.spaced:
+            text = text.lower() if text.isascii() else text  # as the tokenizer does; so fewer pieces differ
             return b"".join(map(self.known.__getitem__, text.replace("\n", " ").replace("\t", " ").split(" ")))
         if " \n" in text or "  " in text or "\0" in text:
             return self.known.whole(text)
