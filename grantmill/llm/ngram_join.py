@@ -9,17 +9,18 @@ are one entity from then on. The join is exact, in these steps:
 2. *Bound over everything.* A link at similarity s needs s of an entity's
    shingles in another's, so entities with fewer shared shingles have no link and
    leave; only shared shingles of the others go on.
-3. *Groups.* Similar entities are put together by their smallest shared shingle;
-   large groups are split. A group keeps its members and their token union.
-4. *Matrix.* Two linked entities share a shingle among their first m - ceil(s n) + 1
-   in hash order (of m shared ones). Pairs (shingle, group) of these prefixes say
-   which groups may hold links of each other.
-5. *Opening.* Within a group, and for a pair of groups, a member's overlap with
-   the token union is its bound; only if it reaches ceil(s n) are members compared,
-   and none that are connected already. Pairs of groups are opened by rounds: in
-   each, every shingle has a few hub groups that all its others are compared with;
-   groups that have become one component then need no further comparison. So a
-   cluster of k near copies costs k comparisons of groups, not k squared.
+3. *Groups.* Shared shingles are ordered by how many remaining entities have them
+   (counted in a table of fixed size, so a shared passage comes late), then by hash.
+   Two linked entities share a shingle among their first m - ceil(s n) + 1 (of m
+   shared ones). Entities connected by such shingles form a cluster: no link leaves
+   it. A cluster is one group, or several if it is large. A group keeps its members
+   and their token union.
+4. *Opening.* A member's overlap with a group's token union is its bound; only if it
+   reaches ceil(s n) are members compared, through an inverted index of the group.
+5. *Matrix of groups.* Of a cluster with several groups, all are first compared with
+   one, the hub. Members of the largest component found need no comparison with each
+   other any more; only the rest, the stragglers, are compared with every group. So
+   a cluster of k near copies costs about k comparisons with groups, not k squared.
 
 Results are the connected components. No pair of documents is ever a row.
 
@@ -45,43 +46,88 @@ WORDS, PERCENT = 5, 80
 #: Shingles that a task combines at a time, and about as many in each hash range.
 FLUSH_TOKENS = 2_500_000
 #: Members, and shingles of members, that a group aims at.
-GROUP_ROWS, GROUP_TOKENS = 128, 400_000
-_MAX_WORDS_KNOWN = 500_000
+GROUP_ROWS, GROUP_TOKENS = 2048, 2_000_000
+#: Counters of the table that orders shingles; collisions only make the order less apt.
+COUNTERS = 1 << 21
+#: Bytes of text that are hashed at a time.
+_CHUNK = 1 << 20
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    return h
 
 
 class Shingles:
-    """Sets of hashed shingles; hashes of words are remembered."""
+    """Sets of hashed shingles of many texts at a time.
 
-    def __init__(self, words: int, seed: int):
-        self.words, self.seed, self.known = words, seed, {}
-        self.factors = np.random.default_rng(seed + 7).integers(1, 1 << 63, words, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    A word's hash is a polynomial in its bytes, taken from running sums over the
+    whole buffer, so nothing is done word by word.
+    """
 
-    def __call__(self, text: bytes | None) -> np.ndarray:
-        words = text.lower().split() if text else []
-        if not words:
-            return np.zeros(0, np.uint64)
+    def __init__(self, words: int, seed: int):
+        self.words = words
+        rng = np.random.default_rng(seed)
+        self.factors = rng.integers(1, 1 << 63, words, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.base = int(rng.integers(1, 1 << 62)) * 4 + 3
+        self.blank = np.zeros(256, bool)
+        self.blank[[9, 10, 11, 12, 13, 32]] = True
+        self.value = (np.arange(256) + 1).astype(np.uint64)
+        self._powers(_CHUNK + 1024)
+
+    def _powers(self, n: int) -> None:
+        """base ** k and base ** -k modulo 2 ** 64, for k up to n."""
+        self.up, self.down = (np.full(n, x, np.uint64) for x in (self.base, pow(self.base, -1, 1 << 64)))
+        self.up[0] = self.down[0] = 1
+        np.multiply.accumulate(self.up, out=self.up)
+        np.multiply.accumulate(self.down, out=self.down)
+
+    def _words(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and hashes of the words of a buffer, which begins and ends with a blank."""
+        if len(raw) > len(self.up):
+            self._powers(len(raw))
+        data = np.frombuffer(raw, np.uint8)
+        blank = self.blank[data]
+        change = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+        starts, ends = change[::2], change[1::2]
+        sums = np.cumsum(self.value[data] * self.up[: len(data)])
+        return starts, _mix((sums[ends - 1] - sums[starts - 1]) * self.down[starts])
+
+    def sets(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
+        """The sorted set of each text."""
+        held: list[bytes] = []
+        size = 0
+        for text in texts:
+            text = text or b""
+            if size and size + len(text) > _CHUNK:
+                yield from self._chunk(held)
+                held, size = [], 0
+            held.append(text)
+            size += len(text) + 1
+        if held:
+            yield from self._chunk(held)
+
+    def _chunk(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         k = self.words
-        if len(words) < k:
-            return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=self.seed + 1)], np.uint64)
-        known = self.known
-        try:
-            numbers = [*map(known.__getitem__, words)]
-        except KeyError:
-            if len(known) > _MAX_WORDS_KNOWN:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w, seed=self.seed)
-            numbers = [*map(known.__getitem__, words)]
-        n = np.array(numbers, np.uint64)
-        h = n[: len(n) - k + 1] * self.factors[0]
-        for j in range(1, k):
-            h += n[j : len(n) - k + 1 + j] * self.factors[j]
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-        h.sort()
-        return h[np.concatenate(([True], h[1:] != h[:-1]))]
+        begins = np.cumsum([1, *(len(t) + 1 for t in texts)])
+        starts, words = self._words(b" " + b" ".join(texts).lower() + b" ")
+        edges = np.searchsorted(starts, begins)  # of each text's words
+        n = len(words) - k + 1
+        h = np.zeros(max(0, n), np.uint64)
+        for j in range(k):
+            h += words[j : n + j] * self.factors[j] if n > 0 else h
+        h = _mix(h)
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            if b - a >= k:
+                own = h[a : b - k + 1]
+                own.sort()
+                yield own[np.concatenate(([True], own[1:] != own[:-1]))]
+            elif b > a:
+                yield _mix((words[a:b] * self.factors[: b - a]).sum(dtype=np.uint64, keepdims=True) + np.uint64(b - a))
+            else:
+                yield np.zeros(0, np.uint64)
 
 
 _SHINGLES: dict = {}
@@ -110,8 +156,7 @@ def shingle_sets(docs: DataFrame, words: int, seed: int) -> DataFrame:
         make = shingles_for(words, seed)
         for batch in batches:
             n, owners, digests = [], [], []
-            for text in _texts(batch):
-                tokens = make(text)
+            for tokens in make.sets(_texts(batch)):
                 owner, digest = _owner(tokens) if len(tokens) else (None, None)
                 n.append(len(tokens))
                 owners.append(owner)
@@ -137,7 +182,9 @@ def _from_planes(raw: bytes) -> np.ndarray:
 
 
 def _pack_by_token(bucket: int, tokens: np.ndarray, places: np.ndarray, owners: np.ndarray, ns: np.ndarray) -> tuple:
-    used, which = np.unique(places, return_inverse=True)
+    present = np.zeros(len(owners), bool)
+    present[places] = True
+    used, which = np.flatnonzero(present), (np.cumsum(present) - 1)[places]
     small = np.uint16 if len(used) < 1 << 16 else np.uint32
     return 0, bucket, owners[used].tobytes(), ns[used].tobytes(), which.astype(small).tobytes(), _planes(tokens)
 
@@ -176,7 +223,7 @@ def packed_postings(docs: DataFrame, words: int, seed: int, bits: int) -> DataFr
     def flush(sets: list[np.ndarray], owners: list[int]) -> Iterator[pa.RecordBatch]:
         own, ns = np.array([*owners, _MANY], np.int64), np.array([*map(len, sets), 0], np.uint32)
         tokens, places = np.concatenate(sets), np.repeat(np.arange(len(sets)), ns[:-1])
-        order = np.argsort(tokens, kind="stable")
+        order = np.argsort(tokens)
         tokens, places = tokens[order], places[order]
         shared, first = _split_shared(tokens, places)
         yield _batch([*_pack_by_owner(bits, tokens[shared], places[shared], own, ns)])
@@ -193,8 +240,7 @@ def packed_postings(docs: DataFrame, words: int, seed: int, bits: int) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, seen, sets, owners, size = shingles_for(words, seed), set(), [], [], 0
         for batch in batches:
-            for text in _texts(batch):
-                tokens = make(text)
+            for tokens in make.sets(_texts(batch)):
                 if not len(tokens):
                     continue
                 owner, _ = _owner(tokens)
@@ -230,7 +276,7 @@ def _shared_postings(bits: int):
                 owners.append(own[which])
                 ns.append(np.frombuffer(row["ns"], np.uint32)[which])
         tokens, owners, ns = np.concatenate(tokens), np.concatenate(owners), np.concatenate(ns)
-        order = np.argsort(tokens, kind="stable")
+        order = np.argsort(tokens)
         tokens = tokens[order]
         group = np.cumsum(np.concatenate(([0], tokens[1:] != tokens[:-1])))
         owners, ns = owners[order], ns[order]
@@ -273,7 +319,55 @@ def _promising(percent: int):
         for i in range(0, len(starts), 1000):
             part = [tokens[a:b].tobytes() for a, b in zip(starts[i : i + 1000], ends[i : i + 1000])]
             s = starts[i : i + 1000]
-            yield pa.RecordBatch.from_arrays([pa.array(owners[s]), pa.array(ns[s].astype(np.int64)), pa.array(tokens[s].view(np.int64)), pa.array(part, pa.binary())], names=["owner", "n", "first", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(owners[s]), pa.array(ns[s].astype(np.int64)), pa.array(part, pa.binary())], names=["owner", "n", "tokens"])
+
+    return run
+
+
+def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's counts by counter, in stretches of 2 ** 15 counters; only those in use."""
+    total = np.zeros(COUNTERS, np.uint32)
+    for batch in batches:
+        tokens = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)
+        total += np.bincount((tokens & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+    used = np.flatnonzero(total)
+    for part in np.split(used, np.searchsorted(used, np.arange(1 << 15, COUNTERS, 1 << 15))):
+        if len(part):
+            yield pa.RecordBatch.from_arrays([pa.array([int(part[0]) >> 15], pa.int32()), pa.array([(part & 0x7FFF).astype(np.uint16).tobytes()], pa.binary()), pa.array([total[part].tobytes()], pa.binary())], names=["stretch", "at", "n"])
+
+
+def _sum_counts(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1 << 15, np.int64)
+    for batch in batches:
+        for at, n in zip(batch.column("at").to_pylist(), batch.column("n").to_pylist()):
+            total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.uint32)
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.minimum(total, 65535).astype(np.uint16).tobytes()], pa.binary())], names=["stretch", "n"])
+
+
+def token_counts(near: DataFrame) -> np.ndarray:
+    """How many entities have a token, by counter, up to 65535; 4 MB whatever the input."""
+    out = np.zeros(COUNTERS, np.uint16)
+    parts = near.select("tokens").mapInArrow(_count_tokens, "stretch int, at binary, n binary").groupBy("stretch").applyInArrow(_sum_counts, "stretch int, n binary")
+    for stretch, n in parts.collect():
+        out[stretch << 15 : (stretch + 1) << 15] = np.frombuffer(n, np.uint16)
+    return out
+
+
+def _heads(counts, percent: int):
+    """(token, owner) of the shingles that two linked entities can't both miss, the rarest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = counts.value
+        for batch in batches:
+            out, owners = [], []
+            for owner, n, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                tokens = np.frombuffer(raw, np.uint64)
+                k = len(tokens) - least_overlap(n, percent) + 1
+                order = np.lexsort((tokens, table[(tokens & np.uint64(COUNTERS - 1)).astype(np.int64)]))[:k]
+                out.append(tokens[order].view(np.int64))
+                owners.append(np.full(k, owner, np.int64))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.concatenate(owners))], names=["token", "owner"])
 
     return run
 
@@ -287,20 +381,25 @@ class Group:
         order = np.argsort(tokens, kind="stable")
         self.tokens = tokens[order]
         self.places = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[order]
-        self.union = self.tokens[np.concatenate(([True], self.tokens[1:] != self.tokens[:-1]))]
+        first = np.concatenate(([True], self.tokens[1:] != self.tokens[:-1]))
+        self.union = self.tokens[first]
+        self.starts = np.append(np.flatnonzero(first), len(self.tokens))
 
     def linked(self, tokens: np.ndarray, n: int, percent: int) -> np.ndarray:
         """Places of the members that a set of n shingles with these shared tokens is linked to."""
         at = np.minimum(np.searchsorted(self.union, tokens), len(self.union) - 1)
-        if (self.union[at] == tokens).sum() < least_overlap(n, percent):  # the bound: the group stays closed
+        at = at[self.union[at] == tokens]
+        if len(at) < least_overlap(n, percent):  # the bound: the group stays closed
             return np.zeros(0, np.int64)
-        low, high = np.searchsorted(self.tokens, tokens), np.searchsorted(self.tokens, tokens, side="right")
-        counts = high - low
-        total = int(counts.sum())
-        reach = np.repeat(low - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(total)
+        low, counts = self.starts[at], self.starts[at + 1] - self.starts[at]
+        reach = np.repeat(low - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(int(counts.sum()))
         common = np.bincount(self.places[reach], minlength=len(self.ns))
         return np.flatnonzero((100 + percent) * common >= percent * (n + self.ns))
 
+    def by_share(self) -> list[int]:
+        """Members in order, those first of whose shingles most are shared."""
+        return np.argsort(-np.array([len(s) for s in self.sets]) / self.ns, kind="stable").tolist()
+
 
 class Sets:
     """Disjoint sets over 0 .. n - 1."""
@@ -314,17 +413,18 @@ class Sets:
             x = self.up[x]
         return x
 
-    def join(self, x: int, y: int) -> None:
+    def join(self, x: int, y: int) -> bool:
         x, y = self.root(x), self.root(y)
         if x != y:
             self.up[max(x, y)] = min(x, y)
             self.left -= 1
+        return x != y
 
 
 def link_within(group: Group, percent: int) -> np.ndarray:
     """For each member the place of its component's first member."""
     sets = Sets(len(group.sets))
-    for i in np.argsort(-np.array([len(s) for s in group.sets]) / group.ns, kind="stable").tolist():  # those most shared first
+    for i in group.by_share():
         if sets.left == 1:
             break
         for j in group.linked(group.sets[i], int(group.ns[i]), percent).tolist():
@@ -332,41 +432,38 @@ def link_within(group: Group, percent: int) -> np.ndarray:
     return np.array([sets.root(i) for i in range(len(group.sets))])
 
 
-def link_across(one: Group, roots_one: np.ndarray, two: Group, roots_two: np.ndarray, percent: int) -> set[tuple[int, int]]:
-    """Pairs of roots that links between the groups connect; just enough of them."""
-    labels = {r: k for k, r in enumerate(dict.fromkeys([*roots_one.tolist(), *roots_two.tolist()]))}
-    sets, edges = Sets(len(labels)), set()
-    for i in np.argsort(-np.array([len(s) for s in one.sets]) / one.ns, kind="stable").tolist():
+def link_across(one: Group, labels_one: np.ndarray, two: Group, labels_two: np.ndarray, percent: int) -> set[tuple[int, int]]:
+    """Pairs of labels that links between the groups connect; just enough of them."""
+    number = {r: k for k, r in enumerate(dict.fromkeys([*labels_one.tolist(), *labels_two.tolist()]))}
+    sets, edges = Sets(len(number)), set()
+    for i in one.by_share():
         if sets.left == 1:
             break
-        a = int(roots_one[i])
+        a = int(labels_one[i])
         for j in two.linked(one.sets[i], int(one.ns[i]), percent).tolist():
-            b = int(roots_two[j])
-            if sets.root(labels[a]) != sets.root(labels[b]):
-                sets.join(labels[a], labels[b])
+            b = int(labels_two[j])
+            if sets.join(number[a], number[b]):
                 edges.add((a, b))
     return edges
 
 
-_GROUP = "g string, size int, owners binary, ns binary, roots binary, counts binary, tokens binary"
+_GROUP = "cluster long, part int, owners binary, ns binary, roots binary, counts binary, tokens binary"
+_PAYLOAD = ("owners", "ns", "roots", "counts", "tokens")
 
 
-def _build_groups(percent: int):
+def _build_groups(percent: int, link: bool = True):
+    """A group's row. link=False: members come with the column root, which stays."""
+
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        owners, ns, sets = [], [], []
+        rows: list[tuple] = []
         for batch in batches:
-            owners += batch.column("owner").to_pylist()
-            ns += batch.column("n").to_pylist()
-            sets += [np.frombuffer(t, np.uint64) for t in batch.column("tokens").to_pylist()]
-        order = np.argsort(owners)
-        own, n, sets = np.array(owners, np.int64)[order], np.array(ns, np.int64)[order], [sets[i] for i in order]
-        group = Group(own, n, sets)
-        roots = own[link_within(group, percent)]
-        name = ":".join(str(k.as_py()) for k in key)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([name]), pa.array([len(own)], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (own, n, roots, np.array([*map(len, sets)], np.int64), np.concatenate(sets)))],
-            names=["g", "size", "owners", "ns", "roots", "counts", "tokens"],
-        )
+            rows += zip(*(batch.column(c).to_pylist() for c in ("owner", "n", "tokens", "root")))
+        rows.sort(key=lambda r: r[0])
+        own, n = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+        sets = [np.frombuffer(r[2], np.uint64) for r in rows]
+        roots = own[link_within(Group(own, n, sets), percent)] if link else np.array([r[3] for r in rows], np.int64)
+        payload = (own, n, roots, np.array([*map(len, sets)], np.int64), np.concatenate(sets))
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([key[1].as_py()], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in payload)], names=["cluster", "part", *_PAYLOAD])
 
     return run
 
@@ -376,31 +473,14 @@ def _unpack(row: dict, tail: str = "") -> tuple[Group, np.ndarray]:
     return Group(own, n, np.split(np.frombuffer(row["tokens" + tail], np.uint64), np.cumsum(counts)[:-1])), roots
 
 
-def _matrix(percent: int):
-    """(token, g, size, root) of the prefixes of a group's members."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                group, roots = _unpack(row)
-                heads = [s[: max(0, len(s) - least_overlap(int(n), percent) + 1)] for s, n in zip(group.sets, group.ns)]
-                both = np.unique(np.stack((np.concatenate(heads).view(np.int64), np.repeat(roots, [*map(len, heads)]))), axis=1)
-                n = both.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array([row["g"]] * n, pa.string()), pa.array([row["size"]] * n, pa.int32()), pa.array(both[1])], names=["token", "g", "size", "root"])
-
-    return run
-
-
 def _open_pairs(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            edges: set[tuple[int, int]] = set()
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
-                edges |= link_across(*_unpack(row), *_unpack(row, "2"), percent)
-            a, b = zip(*edges) if edges else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                edges = link_across(*_unpack(row), *_unpack(row, "2"), percent)
+                a, b = zip(*edges) if edges else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
@@ -412,44 +492,44 @@ def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(own, np.int64)), pa.array(np.frombuffer(roots, np.int64))], names=["owner", "root"])
 
 
-def _link_groups(groups: DataFrame, scratch: Scratch, percent: int) -> DataFrame | None:
-    """node, label of the roots that links between groups connect; None if there are none."""
-    matrix = groups.mapInArrow(_matrix(percent), "token long, g string, size int, root long")
-    many = matrix.groupBy("token").agg((F.min("g") != F.max("g")).alias("many")).where("many").select("token")
-    alive = scratch.save(scratch.save(matrix, "matrix").join(many, "token", "left_semi").withColumn("label", F.col("root")), "alive0")
-    edges = opened = labels = None
-    for k in range(64):
-        mixed = alive.groupBy("token").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("token")
-        alive = scratch.save(alive.join(mixed, "token", "left_semi"), f"mixed{k}")
-        if not alive.take(1):
-            return labels
-        if k == 0:
-            best = alive.groupBy("token").agg(F.max(F.struct("size", "g")).alias("best")).select("token", F.col("best.g").alias("g"))
-            hubs = alive.join(best, ["token", "g"], "left_semi")
-        else:  # what is left is little: more hubs each time
-            rank = F.dense_rank().over(Window.partitionBy("token").orderBy(F.col("size").desc(), "g"))
-            hubs = alive.withColumn("rank", rank).where(F.col("rank") <= 1 << k).drop("rank")
-        hubs = hubs.select("token", F.col("g").alias("hub"), F.col("label").alias("hub_label"))
-        pairs = hubs.join(alive, "token").where((F.col("hub") != F.col("g")) & (F.col("hub_label") != F.col("label")))
-        pairs = pairs.select(F.least("hub", "g").alias("g"), F.greatest("hub", "g").alias("g2")).distinct()
-        if opened is not None:
-            pairs = pairs.join(opened, ["g", "g2"], "left_anti")
-        pairs = scratch.save(pairs, f"pairs{k}")
-        opened = pairs if opened is None else opened.unionByName(pairs)
-        other = groups.select(F.col("g").alias("g2"), *(F.col(c).alias(c + "2") for c in ("owners", "ns", "roots", "counts", "tokens")))
-        found = pairs.join(groups, "g").join(other, "g2").mapInArrow(_open_pairs(percent), "a long, b long")
-        found = scratch.save(found, f"found{k}")
-        edges = found if edges is None else edges.unionByName(found)
-        if found.take(1):
-            labels = components(edges, scratch, f"labels{k}")
-        done = hubs.select("token", F.col("hub").alias("g")).distinct()
-        rest = alive.drop("label").join(done, ["token", "g"], "left_anti")
-        if labels is not None:
-            rest = rest.join(labels.withColumnRenamed("node", "root"), "root", "left").withColumn("label", F.coalesce("label", "root"))
-        else:
-            rest = rest.withColumn("label", F.col("root"))
-        alive = scratch.save(rest.select("token", "g", "size", "root", "label"), f"alive{k + 1}")
-    raise RuntimeError("pairs of groups are left after 64 rounds")
+def _cross_links(one: DataFrame, two: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of roots, from all pairs of a group of one and a group of two in the same cluster."""
+    other = two.select("cluster", *(F.col(c).alias(c + "2") for c in _PAYLOAD))
+    return one.select("cluster", *_PAYLOAD).join(other, "cluster").mapInArrow(_open_pairs(percent), "a long, b long")
+
+
+def _relabel(members: DataFrame, edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """members (owner, root) with the roots that edges connect made one."""
+    if not edges.take(1):
+        return members
+    labels = components(edges, scratch, name).withColumnRenamed("node", "root")
+    return members.join(labels, "root", "left").select("owner", F.coalesce("label", "root").alias("root"))
+
+
+def _link_groups(near: DataFrame, clusters: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """(owner, root) of all entities of clusters; the root names the component."""
+    found = near.join(clusters, "owner")
+    sizes = found.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / GROUP_ROWS), F.ceil(F.sum("n") / GROUP_TOKENS)).cast("int").alias("parts"))
+    dealt = found.join(sizes, "cluster").withColumn("part", F.pmod(F.xxhash64("owner"), F.col("parts")).cast("int"))
+    dealt = scratch.save(dealt.select("cluster", "part", "parts", "owner", "n", "tokens", F.lit(None).cast("long").alias("root")), "dealt")
+    groups = scratch.save(dealt.drop("parts").groupBy("cluster", "part").applyInArrow(_build_groups(percent), _GROUP), "groups")
+    members = first = groups.select("owners", "roots").mapInArrow(_rooted, "owner long, root long")
+    large = dealt.where("parts > 1").select("cluster").distinct()
+    if not large.take(1):
+        return members
+    several = groups.join(large, "cluster", "left_semi")
+    hubs, rest = several.where("part = 0"), several.where("part > 0")
+    edges = scratch.save(_cross_links(hubs, rest, percent), "hub-links")
+    members = scratch.save(_relabel(members, edges, scratch, "hub"), "hub-members")
+    placed = scratch.save(dealt.where("parts > 1").drop("root", "part", "parts").join(members, "owner"), "placed")
+    most = placed.groupBy("cluster", "root").count().groupBy("cluster").agg(F.max(F.struct("count", "root")).alias("most")).select("cluster", F.col("most.root").alias("main"))
+    left = placed.join(most, "cluster").where("root <> main").drop("main")
+    again = left.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / GROUP_ROWS), F.ceil(F.sum("n") / GROUP_TOKENS)).cast("int").alias("parts"))
+    left = left.join(again, "cluster").withColumn("part", F.pmod(F.xxhash64("owner"), F.col("parts")).cast("int")).drop("parts")
+    stragglers = left.groupBy("cluster", "part").applyInArrow(_build_groups(percent, link=False), _GROUP)
+    later = scratch.save(_cross_links(stragglers, rest, percent), "straggler-links")
+    # groups still bear their first roots: connect these and the later ones alike
+    return _relabel(first, edges.unionByName(later), scratch, "straggler")
 
 
 def find_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -464,16 +544,14 @@ def find_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     bits = max(3, (int(total) // FLUSH_TOKENS).bit_length())
     packed = packed_postings(docs, words, seed, bits)
     shared = packed.groupBy("kind", "bucket").applyInArrow(_shared_postings(bits), _PACKED)
-    near = shared.groupBy("bucket").applyInArrow(_promising(percent), "owner long, n long, first long, tokens binary")
+    near = shared.groupBy("bucket").applyInArrow(_promising(percent), "owner long, n long, tokens binary")
     near = scratch.save(near, "near")
-    sizes = near.groupBy("first").agg(F.greatest(F.ceil(F.count(F.lit(1)) / GROUP_ROWS), F.ceil(F.sum("n") / GROUP_TOKENS)).alias("parts"))
-    dealt = near.join(sizes, "first").withColumn("part", F.pmod(F.xxhash64("owner"), "parts"))
-    groups = scratch.save(dealt.select("first", "part", "owner", "n", "tokens").groupBy("first", "part").applyInArrow(_build_groups(percent), _GROUP), "groups")
-    members = groups.select("owners", "roots").mapInArrow(_rooted, "owner long, root long")
-    labels = _link_groups(groups, scratch, percent)
-    if labels is not None:
-        members = members.join(labels.withColumnRenamed("node", "root"), "root", "left").select("owner", F.coalesce("label", "root").alias("root"))
-    members = scratch.save(members, "members")
+    counts = docs.sparkSession.sparkContext.broadcast(token_counts(near))
+    heads = scratch.save(near.mapInArrow(_heads(counts, percent), "token long, owner long"), "heads")
+    hubs = heads.groupBy("token").agg(F.min("owner").alias("hub"), F.max("owner").alias("last")).where("hub <> last").select("token", "hub")
+    edges = heads.join(hubs, "token").where("owner <> hub").select(F.col("owner").alias("a"), F.col("hub").alias("b")).distinct()
+    clusters = components(edges, scratch, "clusters").select(F.col("node").alias("owner"), F.col("label").alias("cluster"))
+    members = scratch.save(_link_groups(near, clusters, scratch, percent), "members")
     return sets.select("doc_id", "n_shingles", "owner").join(members, "owner", "left").select("doc_id", "n_shingles", F.coalesce("root", "owner").alias("component"))
 
 
