@@ -8,7 +8,7 @@ of the pieces, one after another, are the ids of the text:
 * ``spaced=True`` (a blank belongs to the word after it): before a blank or a
   newline that stands between two characters that are no white space. Texts with
   any other white space at such places are given to the library as a whole.
-* between a letter and a single punctuation mark that ends a piece.
+* between a letter and the punctuation marks that end a piece.
 
 Ids are kept as bytes, little-endian unsigned 32-bit, so a document is a join of
 byte strings.
@@ -23,7 +23,8 @@ from array import array
 #: Pieces that a worker remembers; those met a second time only, for most pieces of a text collection occur once.
 MAX_PIECES = 400_000
 _SEEN = 1 << 22
-_MARKS = frozenset(".,;:!?")
+#: Marks that, ending a piece after a letter, are a pre-token of their own.
+_MARKS = ".,;:!?*#$%&+-/=_()[]{}\""
 
 
 def _byte_letters() -> dict[int, str]:
@@ -71,6 +72,8 @@ class _Pieces(dict):
             text = _BLANK + (word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS))
         elif word.isascii():
             text = word.lower()
+        elif max(word) < "\u0250" and "\u0130" not in word:  # normal form already, and simple lower case
+            text = word.lower().encode().decode("latin-1").translate(_LETTERS)
         else:
             return self.whole(word)
         return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
@@ -87,8 +90,11 @@ class _Pieces(dict):
             return None if self.spaced and lead else b""
         if self.spaced and (body[0].isspace() or body[-1].isspace()):
             return None
-        if len(body) > 1 and body[-1] in _MARKS and body[-2].isalpha():
-            return self[piece[:-1]] + self["\0" * self.spaced + piece[-1]]
+        word = body.rstrip(_MARKS)
+        if word and word != body and word[-1].isalpha() and word[-1] != "\u0130":  # its lower case ends with a mark
+            marks = body[len(word) :]
+            head, tail = self[piece[: -len(marks)]], self["\0" * self.spaced + marks]
+            return None if head is None else head + tail
         return self.whole(lead + body)
 
 
