@@ -56,26 +56,29 @@ def _beginnings(word: bytes) -> list[bytes]:
     return [word + b" ", *(word[:k] for k in range(4, min(len(word), 9)))]
 
 
+def _signature(words: list[bytes]) -> int:
+    """Near copies mostly have the same: the smallest hash of three words in a row."""
+    return min((zlib.crc32(b" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))), default=0)
+
+
 def label_words(texts: list[bytes], y: np.ndarray) -> set[bytes]:
-    """Words and beginnings that tell toxic documents, chosen greedily."""
+    """Words and beginnings that tell toxic documents: those chosen greedily, and others as pure and common.
+
+    Near copies count as one document, or what else they share would seem telling.
+    """
     toxic: dict[bytes, set[int]] = defaultdict(set)
-    clean: dict[bytes, int] = defaultdict(int)
-    seen: set[bytes] = set()
-    n_clean = 0
-    for k, (text, label) in enumerate(zip(texts, y)):
-        if text in seen:
-            continue
-        seen.add(text)
-        own = {b for w in set(words_of(text)) for b in _beginnings(w)}
-        if label:
-            for b in own:
-                toxic[b].add(k)
-        else:
-            n_clean += 1
-            for b in own:
-                clean[b] += 1
-    most = n_clean * CLEAN_PER_1000 // 1000
-    left = {b: s for b, s in toxic.items() if len(s) >= LEAST_DOCS and clean.get(b, 0) <= most}
+    clean: dict[bytes, set[int]] = defaultdict(set)
+    kinds: tuple[set[int], set[int]] = set(), set()
+    for text, label in zip(texts, y):
+        words = words_of(text)
+        k = _signature(words)
+        kinds[int(label)].add(k)
+        table = toxic if label else clean
+        for b in {b for w in set(words) for b in _beginnings(w)}:
+            table[b].add(k)
+    most = len(kinds[0]) * CLEAN_PER_1000 // 1000
+    left = {b: s for b, s in toxic.items() if len(s) >= LEAST_DOCS and len(clean.get(b, ())) <= most}
+    common = max(LEAST_DOCS + 2, len(kinds[1]) // 50)
     chosen: set[bytes] = set()
     explained: set[int] = set()
     order = sorted(left, key=lambda b: (-len(left[b]), -len(b), b))
@@ -95,7 +98,7 @@ def label_words(texts: list[bytes], y: np.ndarray) -> set[bytes]:
         chosen.add(best)
         explained |= left[best]
         order = [b for b in kept if b != best]
-    return chosen
+    return chosen | {b for b, s in left.items() if len(s) >= common}
 
 
 class ChainField:
