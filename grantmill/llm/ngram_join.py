@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import Scratch
+from .store import BROADCAST_ROWS, Scratch
 
 WORDS, PERCENT = 5, 80
 #: Shingles that a task combines at a time, and about as many in each hash range.
@@ -561,3 +561,14 @@ def report(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     found = Scratch(docs.sparkSession, "ngram-report").save(found, "found")
     names = found.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return found.join(names, "component", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Of each component the document with the smallest doc_id, with all its columns; all without shingles.
+
+    Repeated rows of that doc_id stay, all of them.
+    """
+    found = Scratch(docs.sparkSession, "ngram-keep").save(report(docs, words, percent), "found")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti").select(*docs.columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, huffman, ngram_join, packing, resharding
+from . import decontaminate, exact_dedup, html_text, huffman, ngram_join, packing, quality, resharding, tool_calls, toxicity
 from .store import table
 
 
@@ -10,10 +10,18 @@ def op1_ngram_join(spark, sf_dir):
     return ngram_join.report(table(spark, sf_dir, "documents"))
 
 
+def op2_tool_calls(spark, sf_dir):
+    return tool_calls.link(table(spark, sf_dir, "conversations"))
+
+
 def op3_resharding(spark, sf_dir):
     return resharding.report(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark, sf_dir):
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -22,15 +30,23 @@ def op6_decontamination(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_html_text(spark, sf_dir):
+    return html_text.report(table(spark, sf_dir, "pages"))
+
+
 def op8_token_ids(spark, sf_dir):
     return huffman.report(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark, sf_dir):
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op3_resharding, op5_exact_dedup, op6_decontamination, op8_token_ids, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_tool_calls, op3_resharding, op4_toxicity, op5_exact_dedup, op6_decontamination, op7_html_text, op8_token_ids, op9_quality, op10_packing)}
 
 ORACLES = {
     "op5_exact_dedup": """
