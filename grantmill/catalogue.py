@@ -1,16 +1,582 @@
-"""Named queries over the driver's tables, each with the SQL it must agree with."""
+"""Named queries over the driver's tables, each with the SQL it must agree with.
+
+The tables stand in for the domain's: orders are applications, lineitem grants,
+suppliers assignees, customers applicants, nations the country map, documents full
+texts, parts category codes and company names, conversations the sections of a
+record, pages saved web pages.
+"""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .functions import columns as C
+from .operators import concordance, entities, hierarchy, relational, search
+from .plans import stages
+from .session import stored, work_path
+from .sources import records, tables
+from .streaming import incremental
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+class Tables:
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[Tables], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+# Keyword search
+
+V1, V2 = ["the", "that", "on the"], ["que", "la", "de la"]
+#: In the oracle, letters beyond ASCII become one, for there a word boundary knows ASCII only.
+_GLUED = r"regexp_replace(regexp_replace({t}, '[\r\n]', '', 'g'), '[^\x00-\x7F\p{{P}}\p{{S}}\p{{Z}}]', 'x', 'g')"
+
+
+def _sql_hits(keys: list[str], text: str = "text") -> str:
+    return f"regexp_extract_all({_GLUED.format(t=text)}, '(?i)" + "|".join(rf"\b{k}\b" for k in keys) + "')"
+
+
+def _searched(t: Tables) -> DataFrame:
+    docs = t.documents.withColumn("paras", F.array("text"))
+    return search.search(docs, {"v1": V1, "v2": V2}, sections=["paras"])
+
+
+@query(f"""SELECT lang, cb AS count_binary, count(*) AS n_docs, sum(t)::BIGINT AS hits FROM (SELECT lang, len({_sql_hits(V1)}) + len({_sql_hits(V2)}) AS t, t > 0 AS cb FROM documents) GROUP BY ALL""")
+def hits_by_country(t):
+    docs = _searched(t).withColumn("total_counts", (F.col("total_counts_v1") + F.col("total_counts_v2")).cast("long"))
+    out = relational.count_and_sum(docs.withColumn("count_binary", F.col("total_counts") > 0), ["lang", "count_binary"])
+    return out.withColumnsRenamed({"total_counts_count": "n_docs", "total_counts_sum": "hits"})
+
+
+@query(f"SELECT source, count(*) AS n_docs, sum(len({_sql_hits(V1)}))::BIGINT AS hits FROM documents GROUP BY source")
+def hits_by_company(t):
+    out = relational.count_and_sum(_searched(t).withColumn("total_counts", F.col("total_counts_v1").cast("long")), ["source"])
+    return out.withColumnsRenamed({"total_counts_count": "n_docs", "total_counts_sum": "hits"})
+
+
+@query(f"SELECT doc_id, len({_sql_hits(V1)})::BIGINT AS total_v1, len({_sql_hits(V2)})::BIGINT AS total_v2, array_to_string(list_sort({_sql_hits(V1)}), ',') AS hits_v1 FROM documents")
+def keyword_hits(t):
+    pairs = F.transform(F.map_entries("keys_hit_v1"), lambda e: F.array_repeat(e["key"], e["value"]))
+    return _searched(t).select("doc_id", F.col("total_counts_v1").cast("long").alias("total_v1"), F.col("total_counts_v2").cast("long").alias("total_v2"), F.array_join(F.array_sort(F.flatten(pairs)), ",").alias("hits_v1"))
+
+
+@query(f"SELECT doc_id, s AS surface, count(*) AS n FROM (SELECT doc_id, unnest({_sql_hits(V1)}) AS s FROM documents) GROUP BY ALL")
+def keyword_surface_counts(t):
+    return search.surface_counts(t.documents.withColumn("glued", C.glue_sections(F.array("text"))), "doc_id", "glued", V1)
+
+
+@query(f"SELECT count(*) AS rows, count(*) FILTER (len({_sql_hits(V2)}) > 0) AS with_hits FROM documents")
+def keyword_positive_stats(t):
+    return relational.positive_with_totals(_searched(t), "total_counts_v2")[1]
+
+
+@query(f"SELECT doc_id, len({_sql_hits(V1)})::BIGINT AS with_key, len(list_filter({_sql_hits(V1)}, lambda x: x <> 'the'))::BIGINT AS without_key FROM documents")
+def hits_minus_key(t):
+    return _searched(t).select("doc_id", F.col("total_counts_v1").cast("long").alias("with_key"), C.without_key("total_counts_v1", "keys_hit_v1", "the").cast("long").alias("without_key"))
+
+
+@query("""SELECT conv_id, length(s)::BIGINT AS n_chars, md5(s) AS digest FROM (SELECT conv_id, regexp_replace(string_agg(text, chr(10) ORDER BY turn), '[\\r\\n]', '', 'g') AS s FROM conversations GROUP BY conv_id)""")
+def section_concat(t):
+    sections = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("s"))
+    glued = sections.select("conv_id", C.glue_sections(F.transform("s", lambda x: x["text"])).alias("s"))
+    return glued.select("conv_id", F.char_length("s").cast("long").alias("n_chars"), F.md5("s").alias("digest"))
+
+
+@query(f"""
+WITH d AS (SELECT year(DATE '2000-01-01' + (doc_id % 2000)::INT)::INT AS year, lang AS country, source AS company, len({_sql_hits(V1)}) AS v1, len({_sql_hits(V2)}) AS v2 FROM documents),
+l AS (SELECT 'country' AS grouping, country AS key, year, v1, v2 FROM d UNION ALL SELECT 'company', company, year, v1, v2 FROM d),
+m AS (SELECT grouping, key, year, 'v1' AS version, v1 AS tc FROM l UNION ALL SELECT grouping, key, year, 'v2', v2 FROM l)
+SELECT version, grouping, year, key, tc > 0 AS count_binary, count(*) AS total_counts_count, sum(tc)::BIGINT AS total_counts_sum FROM m GROUP BY ALL""")
+def company_summaries(t):
+    docs = _searched(t).withColumn("application_year", F.year(F.date_add(F.lit("2000-01-01").cast("date"), (F.col("doc_id") % 2000).cast("int"))))
+    return stages.summaries(docs, ["v1", "v2"], company="source", country="lang")
+
+
+# Years, countries, filters
+
+_YMD = "strftime({c}, '%Y%m%d')"
+
+
+def _dates(df: DataFrame, column: str) -> DataFrame:
+    return df.withColumn(column, F.date_format(column, "yyyyMMdd"))
+
+
+@query("SELECT lang, count(quality) AS kept, count(*) AS total FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang")
+def taxonomy_filter(t):
+    return relational.kept_and_total(t.documents.join(t.labels.select("doc_id", "quality"), "doc_id", "left"), "lang", "quality")
+
+
+@query("SELECT year(o_orderdate)::INT AS year, count(*) AS n FROM orders GROUP BY 1")
+def process_year(t):
+    return _dates(t.orders, "o_orderdate").groupBy(C.process_year("o_orderdate").alias("year")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT CASE WHEN length(c) = 3 THEN c[1:2] ELSE c END AS country, count(*) AS n FROM (SELECT coalesce(nullif(c_mktsegment[1:3], 'MAC'), CASE WHEN c_custkey % 2 = 0 THEN n_name[1:2] END, CASE WHEN c_custkey % 5 = 0 THEN 'XYZ' END, 'US') AS c FROM customer JOIN nation ON c_nationkey = n_nationkey) GROUP BY 1""")
+def consolidate_country(t):
+    df = t.customer.join(relational.lookup(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    assignee = F.nullif(F.substring("c_mktsegment", 1, 3), F.lit("MAC"))
+    applicant, record = F.when(F.col("c_custkey") % 2 == 0, F.substring("n_name", 1, 2)), F.when(F.col("c_custkey") % 5 == 0, F.lit("XYZ"))
+    return df.groupBy(C.consolidate_country(assignee, applicant, record).alias("country")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _countries(t: Tables) -> DataFrame:
+    key = F.col("n_nationkey").cast("string")
+    return t.nation.select(F.concat(F.lit("N"), key).alias("2_Code"), F.concat(F.lit("O"), key).alias("2_Code_old"), F.concat(F.lit("C"), key).alias("3_Code"), F.col("n_name").alias("Country_Name"))
+
+
+def _applications(t: Tables) -> DataFrame:
+    """Orders with year and a country code that is an old one for years before 1998, but for odd customers."""
+    df = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).withColumn("year", F.year("o_orderdate"))
+    old = (F.col("year") < 1998) & (F.col("c_custkey") % 2 == 0)
+    return df.withColumn("code", F.concat(F.when(old, "O").otherwise("N"), F.col("c_nationkey").cast("string")))
+
+
+@query("""SELECT year(o_orderdate)::INT AS year, n_name AS "Country_Name", count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey
+LEFT JOIN nation ON n_nationkey = c_nationkey AND (year(o_orderdate) >= 1998 OR c_custkey % 2 = 0) GROUP BY ALL""")
+def merge_country_versioned(t):
+    named = relational.merge_country(_applications(t), _countries(t), "code", "year", 1998)
+    return named.groupBy("year", "Country_Name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT year(o_orderdate)::INT AS year, n_name AS country, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey WHERE c_mktsegment <> 'MACHINERY' GROUP BY ALL""")
+def year_country_counts(t):
+    df = _applications(t).join(relational.lookup(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    df = df.withColumn("country", F.when(F.col("c_mktsegment") != "MACHINERY", F.col("n_name")))
+    return relational.count_by(df, ["year", "country"], "o_orderkey", "n")
+
+
+@query("""WITH a AS (SELECT year(o_orderdate)::INT AS year, n_name AS country, count(*) AS by_application FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
+g AS (SELECT year(l_shipdate)::INT AS year, n_name AS country, count(*) AS by_grant FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)
+SELECT * FROM a JOIN g USING (year, country) WHERE year > 1975 AND year < 2021""")
+def app_vs_grant_inner(t):
+    people = t.customer.join(relational.lookup(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("country"))
+    orders = t.orders.join(people, F.col("o_custkey") == F.col("c_custkey"))
+    applied = relational.count_by(orders.withColumn("year", F.year("o_orderdate")), ["year", "country"], "o_orderkey", "by_application")
+    granted = relational.count_by(t.lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("year", F.year("l_shipdate")), ["year", "country"], "l_orderkey", "by_grant")
+    return relational.join_one_to_one(applied, granted, ["year", "country"]).where("year > 1975 AND year < 2021")
+
+
+@query("SELECT split_part(p_type || '|' || p_brand, '|', 1) AS first, CASE WHEN p_size > 25 THEN p_type ELSE '' END AS level1, count(*) AS n, sum(p_size)::BIGINT AS total FROM part GROUP BY ALL")
+def l1_label_summary(t):
+    path = F.concat_ws("|", "p_type", "p_brand")
+    deep = F.when(F.col("p_size") > 25, F.concat_ws("||", "p_type", "p_brand")).otherwise(F.col("p_type"))
+    df = t.part.withColumns({"first": C.first_token(path), "level1": C.first_level(deep), "total_counts": F.col("p_size").cast("long")})
+    return relational.count_and_sum(df, ["first", "level1"]).withColumnsRenamed({"total_counts_count": "n", "total_counts_sum": "total"})
+
+
+@query("SELECT p_brand, count(*) AS n FROM part WHERE p_name NOT LIKE '%ring%' GROUP BY p_brand")
+def exclude_category(t):
+    return relational.exclude_category(t.part, "ring", "p_name").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT l_partkey, l_orderkey, l_linenumber, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice) AS rn FROM lineitem) WHERE rn = 1")
+def dedup_keep_first(t):
+    df = t.lineitem.select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice")
+    return relational.keep_first(df, "l_partkey", ["l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice"]).select("l_partkey", "l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("""SELECT s_suppkey IS NOT NULL AS has_assignee, o_orderkey IS NOT NULL AS has_application, count(*) AS n FROM lineitem LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 3 <> 0) ON l_suppkey = s_suppkey LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'P') ON l_orderkey = o_orderkey GROUP BY ALL""")
+def assignee_map_join(t):
+    one = relational.join_with_indicator(t.lineitem, relational.lookup(t.supplier.where("s_suppkey % 3 <> 0")), F.col("l_suppkey") == F.col("s_suppkey"), "has_assignee")
+    two = relational.join_with_indicator(one, t.orders.where("o_orderstatus <> 'P'"), F.col("l_orderkey") == F.col("o_orderkey"), "has_application")
+    return two.groupBy("has_assignee", "has_application").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT s_suppkey, CASE WHEN u THEN 'Fixed ' || n_name ELSE n_name END AS "Country_Name", CASE WHEN u THEN 'F' || n_nationkey ELSE 'N' || n_nationkey END AS "2_Code", coalesce(CASE WHEN s_suppkey % 3 = 0 THEN s_name END, 'ee ' || s_name) AS bio_assignee_name
+FROM (SELECT *, s_suppkey % 3 <> 0 AND s_suppkey % 4 <> 0 AND s_suppkey % 5 <> 0 AS u FROM supplier JOIN nation ON s_nationkey = n_nationkey)""")
+def country_override(t):
+    key = F.col("n_nationkey").cast("string")
+    df = t.supplier.join(relational.lookup(t.nation), F.col("s_nationkey") == F.col("n_nationkey")).select(
+        "s_suppkey", F.col("n_name").alias("Country_Name"), F.concat(F.lit("N"), key).alias("2_Code"), F.concat(F.lit("C"), key).alias("3_Code"),
+        F.when(F.col("s_suppkey") % 3 == 0, F.col("s_name")).alias("bio_assignee_name"), F.concat(F.lit("ee "), "s_name").alias("ee_name"),
+        F.when(F.col("s_suppkey") % 4 != 0, "GERMANY").otherwise("NOT PROVIDED").alias("ee_country"),
+        F.when(F.col("s_suppkey") % 5 != 0, F.concat(F.lit("Fixed "), "n_name")).alias("Country_Name_Fix"), F.concat(F.lit("F"), key).alias("2_Code_Fix"), F.concat(F.lit("G"), key).alias("3_Code_Fix"),
+    )
+    return relational.override_country(df).select("s_suppkey", "Country_Name", "2_Code", "bio_assignee_name")
+
+
+@query("SELECT c_mktsegment, count(*) AS n FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1")
+def validated_m1_join(t):
+    return relational.join_many_to_one(t.orders, t.customer, [("o_custkey", "c_custkey")]).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT l_suppkey, count(*) AS count FROM lineitem GROUP BY 1")
+def assignee_distribution(t):
+    return relational.value_counts(t.lineitem, "l_suppkey")
+
+
+# Lags and pivots
+
+
+def _grants(t: Tables) -> DataFrame:
+    return t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.date_format("o_orderdate", "yyyyMMdd").alias("bio_application_date"), F.date_format("l_shipdate", "yyyyMMdd").alias("bio_date"), F.col("l_orderkey").cast("string").alias("bio_doc-number")
+    )
+
+
+_LAGS = "SELECT year(o_orderdate)::INT AS application_year, (year(l_shipdate) - year(o_orderdate))::INT AS gap, count(*) AS count FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL"
+_BUCKETS = [(1995, 1996), (1997, 1998), (1999, 2000), (2001, 2001)]
+_SUMMARY = f"""WITH l AS ({_LAGS}), b AS (SELECT CASE WHEN application_year <= 1996 THEN '1995-1996' WHEN application_year <= 1998 THEN '1997-1998' WHEN application_year <= 2000 THEN '1999-2000' ELSE '2001-2001' END AS bucket, gap, sum(count) AS n FROM l WHERE gap >= 0 AND gap < 35 AND application_year BETWEEN 1995 AND 2001 GROUP BY ALL),
+m AS (SELECT bucket, sum(gap * n) / sum(n) AS mean, sqrt(greatest(sum(gap * gap * n) / sum(n) - power(sum(gap * n) / sum(n), 2), 0)) AS sd FROM b GROUP BY bucket),
+s AS (SELECT bucket, CASE WHEN gap > 3 THEN '>3' ELSE gap::VARCHAR END AS gap, sum(n) / sum(sum(n)) OVER (PARTITION BY bucket) AS value FROM b GROUP BY 1, 2
+      UNION ALL SELECT bucket, 'mean', mean FROM m UNION ALL SELECT bucket, 'sd', sd FROM m)"""
+
+
+@query(_LAGS)
+def lag_counts(t):
+    return relational.lag_counts(_grants(t))
+
+
+@query(f"{_SUMMARY} SELECT bucket, gap, round(value, 9) AS value FROM s")
+def lag_summary(t):
+    out = relational.lag_summary(relational.lag_counts(_grants(t)), _BUCKETS, top=3)
+    return out.withColumn("value", F.round("value", 9))
+
+
+@query(_SUMMARY + " SELECT gap, " + ", ".join(f"max(round(value, 4)) FILTER (bucket = '{a}-{b}') AS \"{a}-{b}\"" for a, b in _BUCKETS) + " FROM s GROUP BY gap")
+def lag_table(t):
+    return relational.lag_table(relational.lag_summary(relational.lag_counts(_grants(t)), _BUCKETS, top=3), _BUCKETS)
+
+
+def _sql_pivot(how: str) -> str:
+    cells = ", ".join(f"round({how}(o_totalprice) FILTER (year(o_orderdate) = {y}), 2) AS \"{y}\"" for y in range(1995, 2002))
+    return f"SELECT c_mktsegment, {cells} FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1"
+
+
+def _pivoted(t: Tables, how: str) -> DataFrame:
+    years = [*range(1995, 2002)]
+    df = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).withColumn("year", F.year("o_orderdate"))
+    out = relational.pivot_years(df, ["c_mktsegment"], "year", "o_totalprice", how, years)
+    return out.select("c_mktsegment", *(F.round(F.col(f"`{y}`"), 2).alias(str(y)) for y in years))
+
+
+@query(_sql_pivot("avg"))
+def pivot_mean(t):
+    return _pivoted(t, "avg")
+
+
+@query(_sql_pivot("sum"))
+def pivot_sum(t):
+    return _pivoted(t, "sum")
+
+
+@query("""SELECT o_orderpriority AS file, count(*) AS n, min(first) AS year FROM (SELECT o_orderpriority, first_value(year(o_orderdate)) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey)::INT AS first FROM orders) GROUP BY 1""")
+def file_level_year(t):
+    df = _dates(t.orders, "o_orderdate").withColumnsRenamed({"o_orderdate": "bio_date", "o_orderpriority": "file"})
+    return relational.file_level_year(df, "file", "o_orderkey").groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min("year").alias("year"))
+
+
+@query("""SELECT year(o_orderdate)::INT AS year, count(*) AS n FROM orders GROUP BY 1""")
+def union_years(t):
+    df = t.orders.withColumn("year", F.year("o_orderdate"))
+    parts = [df.where(F.col("year") < 1998), df.where(F.col("year") >= 1998).drop("o_orderpriority")]
+    return relational.union_all(parts).groupBy("year").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT "group", count(*) AS n, round(sum(value), 2) AS total FROM (UNPIVOT (SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem) ON l_quantity, l_extendedprice, l_discount, l_tax INTO NAME "group" VALUE value) GROUP BY 1""")
+def melt_groups(t):
+    long = relational.melt(t.lineitem, ["l_orderkey", "l_linenumber"], ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+    return long.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+@query("SELECT doc_id, doc_id IN (SELECT doc_id FROM labels) AS is_member FROM documents")
+def membership_flag(t):
+    return relational.membership(t.documents.select("doc_id"), t.labels, "doc_id")
+
+
+@query("SELECT lang, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY lang")
+def pending_downloads(t):
+    return relational.pending(t.documents, t.labels, ["doc_id"]).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Hierarchies and codes
+
+
+def _topic_rows(t: Tables) -> DataFrame:
+    topic = F.concat(F.repeat(F.lit("."), F.col("p_size") % 4), "p_name")
+    return t.part.select(F.col("p_partkey").alias("seq"), topic.alias("TOPIC"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_brand")).alias("USPC"))
+
+
+@query("""WITH r AS (SELECT p_partkey AS seq, p_size % 4 AS k, p_name, CASE WHEN p_partkey % 3 = 0 THEN p_brand END AS uspc FROM part),
+f AS (SELECT seq, uspc, """ + ", ".join(f"last_value(CASE WHEN k = {k} THEN p_name END IGNORE NULLS) OVER (ORDER BY seq) AS l{k}" for k in range(4)) + """ FROM r)
+SELECT seq, coalesce(l0, '') || '|' || coalesce(l1, '') || '|' || coalesce(l2, '') || '|' || coalesce(l3, '') AS topic_des FROM f WHERE uspc IS NOT NULL""")
+def ffill_levels(t):
+    return concordance.topics(_topic_rows(t)).select("seq", "topic_des")
+
+
+@query("""SELECT p.p_brand AS cat_id, p.p_partkey::VARCHAR AS code, (SELECT arg_max(q.p_partkey, q.p_partkey)::VARCHAR FROM part q WHERE q.p_brand = p.p_brand AND q.p_partkey < p.p_partkey AND q.p_size % 4 < p.p_size % 4) AS parent_code FROM part p""")
+def tree_parent(t):
+    rows = t.part.select(F.col("p_brand").alias("cat_id"), F.col("p_partkey").alias("seq"), (F.col("p_size") % 4).alias("level"), F.col("p_partkey").cast("string").alias("code"))
+    return hierarchy.with_parent(rows).select("cat_id", "code", "parent_code")
+
+
+def _places(t: Tables) -> DataFrame:
+    node = lambda code, name, parent: [F.lit("w").alias("cat_id"), code.alias("code"), F.col(name).alias("name"), parent.alias("parent_code")]
+    text = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    regions = t.region.select(*node(text("r", "r_regionkey"), "r_name", F.lit(None).cast("string")))
+    nations = t.nation.select(*node(text("n", "n_nationkey"), "n_name", text("r", "n_regionkey")))
+    people = t.customer.select(*node(text("c", "c_custkey"), "c_name", text("n", "c_nationkey")))
+    return regions.unionByName(nations).unionByName(people)
+
+
+_NODES = """WITH RECURSIVE n AS (SELECT 'r' || r_regionkey AS code, r_name AS name, NULL AS parent FROM region UNION ALL SELECT 'n' || n_nationkey, n_name, 'r' || n_regionkey FROM nation UNION ALL SELECT 'c' || c_custkey, c_name, 'n' || c_nationkey FROM customer),
+t AS (SELECT code, name AS path, [code] AS codes FROM n WHERE parent IS NULL UNION ALL SELECT n.code, t.path || '||' || n.name, list_append(t.codes, n.code) FROM n JOIN t ON n.parent = t.code)"""
+
+
+@query(f"{_NODES} SELECT code, path, len(codes)::BIGINT AS depth FROM t")
+def tree_ancestry(t):
+    return hierarchy.closure(_places(t)).select("code", F.concat_ws("||", "ancestor_names").alias("path"), F.size("ancestor_codes").cast("long").alias("depth"))
+
+
+@query(f"{_NODES} SELECT code FROM t WHERE list_contains(codes, 'r1')")
+def tree_descendants(t):
+    return hierarchy.descendants(hierarchy.closure(_places(t)), "r1").select("code")
+
+
+@query("""SELECT c_custkey, coalesce(r_name || '||' || n_name, x) AS cat_name, CASE WHEN n_name IS NOT NULL THEN 'success' ELSE 'fail' END AS status
+FROM customer LEFT JOIN nation ON c_custkey % 7 = n_regionkey AND c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey
+LEFT JOIN (SELECT r_regionkey AS k, r_name AS x FROM region) ON k = c_custkey % 7""")
+def label_with_fallback(t):
+    number = lambda c: F.lpad(F.col(c).cast("string"), 3, "0")
+    classes = t.region.select(number("r_regionkey").alias("cat_id"), F.col("r_name").alias("cat_name"))
+    top = classes.select("cat_id", F.lit("root").alias("code"), F.col("cat_name").alias("name"), F.lit(None).cast("string").alias("parent_code"))
+    nodes = top.unionByName(t.nation.select(number("n_regionkey").alias("cat_id"), F.col("n_nationkey").cast("string").alias("code"), F.col("n_name").alias("name"), F.lit("root").alias("parent_code")))
+    raw = t.customer.select("c_custkey", F.concat(F.lit("US "), (F.col("c_custkey") % 7).cast("string"), F.lit(" "), F.col("c_nationkey").cast("string")).alias("raw"))
+    return hierarchy.label_codes(raw, "raw", hierarchy.closure(nodes), classes).select("c_custkey", "cat_name", "status")
+
+
+@query("""SELECT p_partkey, (c.i - 1)::BIGINT AS pos, c.a AS class, c.b AS subclass FROM (SELECT p_partkey, unnest(CASE p_partkey % 4
+WHEN 0 THEN [{i: 1, a: lpad((p_partkey || 'R')[1:1], 3, '0'), b: (p_partkey || 'R')[2:]}, {i: 2, a: lpad((p_partkey || 'R')[1:2], 3, '0'), b: (p_partkey || 'R')[3:]}, {i: 3, a: lpad((p_partkey || 'R')[1:3], 3, '0'), b: (p_partkey || 'R')[4:]}]
+WHEN 1 THEN [{i: 1, a: lpad(p_size::VARCHAR, 3, '0'), b: p_partkey::VARCHAR}]
+WHEN 2 THEN [{i: 1, a: lpad(p_size::VARCHAR, 3, '0'), b: (p_partkey % 100)::VARCHAR}, {i: 2, a: lpad(p_size::VARCHAR, 3, '0'), b: (p_partkey % 100) || '-' || p_size}]
+ELSE [{i: 1, a: 'D0' || (p_partkey::VARCHAR)[1:1], b: (p_partkey::VARCHAR)[2:]}] END) AS c FROM part)""")
+def uspc_code_parse(t):
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    two = (F.col("p_partkey") % 100).cast("string")
+    forms = [F.concat(F.lit("US "), key, F.lit("R")), F.concat(F.lit("US "), size, F.lit(" "), key), F.concat(F.lit("US "), size, F.lit("  "), two, F.lit("-  "), size), F.concat(F.lit("US D "), key)]
+    raw = F.element_at(F.array(*forms), (F.col("p_partkey") % 4 + 1).cast("int"))
+    rows = t.part.select("p_partkey", F.posexplode(C.uspc_candidates(raw)).alias("pos", "c"))
+    return rows.select("p_partkey", F.col("pos").cast("long").alias("pos"), F.col("c.class").alias("class"), F.col("c.subclass").alias("subclass"))
+
+
+@query("SELECT p_partkey, 'H' || lpad(p_size::VARCHAR, 2, '0') || 'L' || lpad(p_size::VARCHAR, 4, '0') || rpad(p_partkey::VARCHAR, greatest(6, length(p_partkey::VARCHAR))::INT, '0') AS code FROM part")
+def ipc_code_parse(t):
+    size = F.col("p_size").cast("string")
+    raw = F.concat(F.lit("H"), F.lpad(size, 2, "0"), F.lit("L "), size, F.lit("/"), F.col("p_partkey").cast("string"), F.lit(" [2006_A];G01N 1/00 [x]"))
+    return t.part.select("p_partkey", C.ipc_code(raw).alias("code"))
+
+
+_CONCORDANCE = [(1, "Energy", "010/5-9; 011/1"), (2, "Waste", "012; 10/1,2"), (3, "Transport", "013/various"), (4, "Other", "010")]
+
+
+@query("""WITH p(seq, topic, kind, parent, lo, hi, rx) AS (VALUES (1, 'Energy', 0, '010', '5', '9', ''), (1, 'Energy', 1, '', '', '', '011/1'), (2, 'Waste', 2, '012', '', '', ''), (2, 'Waste', 1, '', '', '', '010/1'), (2, 'Waste', 1, '', '', '', '010/2'), (3, 'Transport', 1, '', '', '', '013/.*'), (4, 'Other', 2, '010', '', '', '')),
+c AS (SELECT p_partkey, lpad(p_size::VARCHAR, 3, '0') AS cl, (p_partkey % 200)::VARCHAR AS sub FROM part)
+SELECT p_partkey, arg_min(topic, seq) AS est_description FROM c LEFT JOIN p ON CASE kind WHEN 0 THEN cl = parent AND sub >= lo AND sub <= hi WHEN 2 THEN cl = parent ELSE regexp_matches(cl || '/' || sub, rx) END GROUP BY p_partkey""")
+def est_first_match(t):
+    rows = t.spark.createDataFrame(_CONCORDANCE, "seq int, topic_des string, USPC string")
+    tree = t.spark.createDataFrame([], "cat_id string, code string, ancestor_codes array<string>")
+    compiled = concordance.compile_patterns(concordance.expand_patterns(rows, tree))
+    raw = t.part.select("p_partkey", F.concat(F.lit("US "), F.col("p_size").cast("string"), F.lit(" "), (F.col("p_partkey") % 200).cast("string")).alias("raw"))
+    return concordance.first_match(raw, "raw", compiled).select("p_partkey", "est_description")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey = 0 THEN '' ELSE o_orderkey::VARCHAR END AS doc_id FROM orders")
+def doc_id_normalise(t):
+    key = F.col("o_orderkey").cast("string")
+    raw = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("00"), key, F.lit(".0"))).otherwise(F.concat(F.lit("0"), key))
+    return t.orders.select("o_orderkey", C.normalise_doc_id(F.when(F.col("o_orderkey") == 0, "000").otherwise(raw)).alias("doc_id"))
+
+
+# Company names
+
+
+def _names(t: Tables) -> DataFrame:
+    ends = [" COMPANY, INC.", " AND SONS HOLDINGS, LTD", " S.A.", " (EUROPE) GMBH", " TECHNOLOGIES LLC", " BANK OF AMERICA"]
+    end = F.element_at(F.array(*map(F.lit, ends)), (F.col("p_partkey") % 6 + 1).cast("int"))
+    return t.part.select(F.concat(F.upper("p_name"), end).alias("names")).distinct()
+
+
+def _sql_fold(text: str, rules) -> str:
+    for pattern, replacement in rules:
+        text = f"regexp_replace({text}, '{pattern}', '{replacement}', 'g')"
+    return text
+
+
+def _sql_trim(text: str) -> str:
+    for _ in range(2):
+        text = f"trim(regexp_replace({text}, '^\\s+|\\s+$', '', 'g'), ',')"
+    return text
+
+
+def _sql_base(text: str) -> str:
+    forms = "|".join(re.sub(r"([.&/])", r"\\\1", f).replace(" ", r"\s+") for f in sorted(C.LEGAL_FORMS, key=lambda f: (-len(f), f)))
+    return f"regexp_replace(regexp_replace({text}, '\\s+$', ''), '(?i)[\\s,]+(?:{forms})\\.?,?$', '')"
+
+
+_ENDS = "CASE p_partkey % 6 WHEN 0 THEN ' COMPANY, INC.' WHEN 1 THEN ' AND SONS HOLDINGS, LTD' WHEN 2 THEN ' S.A.' WHEN 3 THEN ' (EUROPE) GMBH' WHEN 4 THEN ' TECHNOLOGIES LLC' ELSE ' BANK OF AMERICA' END"
+
+
+@query(f"""WITH n AS (SELECT DISTINCT upper(p_name) || {_ENDS} AS names FROM part),
+a AS (SELECT names, {_sql_fold('names', C.FIRST_RULES)} AS x FROM n), b AS (SELECT names, {_sql_base('x')} AS x FROM a), c AS (SELECT names, {_sql_base('x')} AS x FROM b), d AS (SELECT names, {_sql_trim('x')} AS names_v1 FROM c)
+SELECT names, names_v1, {_sql_trim(_sql_fold('names_v1', C.GENERIC_RULES))} AS names_v2 FROM d""")
+def clean_company_names(t):
+    return entities.normalise_names(_names(t)).select("names", "names_v1", "names_v2")
+
+
+@query("SELECT token, count(*) AS count FROM (SELECT unnest(string_split(p_name, ' ')) AS token FROM part) WHERE token <> '' GROUP BY token")
+def name_tokens(t):
+    return relational.token_counts(t.part, "p_name")
+
+
+@query("SELECT x.p_name AS a, y.p_name AS b, levenshtein(x.p_name, y.p_name)::BIGINT AS distance FROM (SELECT DISTINCT p_name FROM part) x JOIN (SELECT DISTINCT p_name FROM part) y ON x.p_name < y.p_name")
+def name_pairs(t):
+    return relational.unordered_pairs(t.part, "p_name").withColumn("distance", F.levenshtein("a", "b").cast("long"))
+
+
+@query()
+def name_similarity(t):
+    return entities.pair_similarity(t.part, "p_name")
+
+
+@query()
+def name_clusters(t):
+    return entities.cluster_names(stored(entities.pair_similarity(t.part, "p_name"), "pairs"))
+
+
+@query()
+def standard_names(t):
+    return entities.standard_names(entities.cluster_names(stored(entities.pair_similarity(t.part, "p_name"), "pairs")))
+
+
+@query()
+def resolved_names(t):
+    return entities.resolve(stored(relational.value_counts(t.part.withColumn("names", F.upper("p_name")), "names"), "names"))
+
+
+# Saved pages and raw records
+
+
+@query("""SELECT page_id, regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&', 'g') AS title, (length(html) - length(replace(html, '<p>', '')))::BIGINT // 3 AS paragraphs FROM pages""")
+def html_records(t):
+    def run(batches):
+        for batch in batches:
+            trees = [records.parse_tree(x) for x in batch.column(1).to_pylist()]
+            titles = [e.text() if (e := x.find("title")) is not None else None for x in trees]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(titles, pa.string()), pa.array([len(x.find_all("p")) for x in trees], pa.int64())], names=["page_id", "title", "paragraphs"])
+
+    plain = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>", "")
+    return t.pages.select("page_id", plain.alias("html")).mapInArrow(run, "page_id long, title string, paragraphs long")
+
+
+@query("""SELECT page_id, (i - 1)::BIGINT AS pos, regexp_extract(a, 'href="([^"]*)"', 1) AS href, regexp_replace(a, '<[^>]*>', '', 'g') AS text FROM (SELECT page_id, unnest(l) AS a, unnest(range(1, len(l) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>') AS l FROM pages))""")
+def link_extract(t):
+    return tables.anchors(t.pages.select("page_id", "html")).select("page_id", F.col("pos").cast("long").alias("pos"), "href", "text")
+
+
+@query("SELECT page_id, len(l)::BIGINT AS cells, l[1] AS first FROM (SELECT page_id, regexp_extract_all(html, '<li><a href=\"[^\"]*\">([^<]*)</a></li>', 1) AS l FROM pages)")
+def menu_table(t):
+    """List items of a page read as the cells of a table."""
+    as_table = F.regexp_replace(F.regexp_replace(F.regexp_extract("html", r"(?s)<ul>(.*?)</ul>", 1), "<li>", "<tr><td>"), "</li>", "</td></tr>")
+    rows = tables.html_table(t.pages.select("page_id", F.concat(F.lit("<table>"), as_table, F.lit("</table>")).alias("html")))
+    return rows.groupBy("page_id").agg(F.count(F.lit(1)).alias("cells"), F.min_by(F.get("cells", F.lit(0)), "row").alias("first"))
+
+
+_RECORDS = """SELECT o_orderkey::VARCHAR AS doc_number, strftime(o_orderdate, '%Y%m%d') AS bio_date, c_name AS last_name, CASE WHEN o_orderkey % 3 = 0 THEN 'C' || c_nationkey ELSE 'US' END AS assignee_country,
+'US ' || (o_orderkey % 400) AS national, o_orderstatus || ' one' AS abstract, 2::BIGINT AS n_claims FROM orders JOIN customer ON o_custkey = c_custkey"""
+
+
+def _record_source(t: Tables, template: str) -> DataFrame:
+    """Records in a format, one for each order: {key}, {date}, {name}, {land}, {code}, {status} are filled in."""
+    df = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    fills = {
+        "key": F.col("o_orderkey").cast("string"), "date": F.date_format("o_orderdate", "yyyyMMdd"), "name": F.col("c_name"), "land": F.concat(F.lit("C"), F.col("c_nationkey").cast("string")),
+        "code": (F.col("o_orderkey") % 400).cast("string"), "status": F.col("o_orderstatus"),
+    }
+    text = F.lit(template)
+    for k, v in fills.items():
+        text = F.replace(text, F.lit("{" + k + "}"), v)
+    plain, priority = F.regexp_replace(text, r"(?s)\[\[.*?\]\]", ""), F.regexp_replace(text, r"\[\[|\]\]", "")
+    return df.select(F.lit("orders").alias("file"), F.when(F.col("o_orderkey") % 3 == 0, priority).otherwise(plain).alias("record"))
+
+
+def _record_result(df: DataFrame) -> DataFrame:
+    return df.select(
+        F.col("`bio_doc-number`").alias("doc_number"), "bio_date", F.col("bio_inventor_last_name").alias("last_name"), F.col("bio_assignee_country").alias("assignee_country"),
+        F.col("`bio_main-classification_national`").alias("national"), F.get("abstract_paras", F.lit(0)).alias("abstract"), F.size("claims_claims").cast("long").alias("n_claims"),
+    )
+
+
+@query(_RECORDS)
+def text_records(t):
+    source = "PATN\nWKU  {key}\nAPD  19900101\nISD  {date}\nINVT\nNAM  {name}; Ann\nCTY  Basel\nINVT\nNAM  Other; Bo\nASSG\nNAM  Works\n[[PRIR\nCNT  {land}\n]]CLAS\nOCL  {code}\nABST\nPAL  {status} one\nPAL  two\nCLMS\nSTM  What is claimed is:\nPAR  1. A thing."
+    return _record_result(records.parse_records(_record_source(t, source), "text"))
+
+
+@query(_RECORDS)
+def xml_records(t):
+    source = (
+        '<?xml version="1.0"?><!DOCTYPE us-patent-grant SYSTEM "x.dtd" [ ]><us-patent-grant><publication-reference><document-id><country>US</country><doc-number>{key}</doc-number><date>{date}</date></document-id></publication-reference>'
+        "<application-reference><document-id><date>19900101</date></document-id></application-reference><classification-national><country>US</country><main-classification>{code}</main-classification></classification-national>"
+        "<inventors><inventor><addressbook><last-name>{name}</last-name><first-name>Ann</first-name></addressbook></inventor></inventors><assignees><assignee><addressbook><orgname>Works</orgname><address><city>Basel</city>"
+        "<country>LAND</country></address></addressbook></assignee></assignees><abstract><p>{status} <b>one</b></p><p>two</p></abstract><claims><claim>1. A thing.</claim><claim>2. It.</claim></claims></us-patent-grant>"
+    )
+    with_land = _record_source(t, source + "[[LAND:{land}]]")
+    land = F.coalesce(F.nullif(F.regexp_extract("record", "LAND:(.*)$", 1), F.lit("")), F.lit("US"))
+    return _record_result(records.parse_records(with_land.withColumn("record", F.replace(F.regexp_replace("record", "LAND:.*$", ""), F.lit("LAND"), land)), "xml"))
+
+
+@query(_RECORDS)
+def sgml_records(t):
+    source = (
+        "<!DOCTYPE PATDOC SYSTEM 'x.dtd'><PATDOC><SDOBI><B100><B110><DNUM><PDAT>{key}</PDAT></DNUM></B110><B140><DATE><PDAT>{date}</PDAT></DATE></B140><B190><PDAT>US</PDAT></B190></B100>"
+        "<B200><B220><DATE><PDAT>19900101</PDAT></DATE></B220></B200>[[<B300><B320><DATE><PDAT>19890101</PDAT></DATE></B320><B330><CTRY><PDAT>{land}</PDAT></CTRY></B330></B300>]]<B500><B520><B521><PDAT>{code}</PDAT></B521></B520></B500>"
+        "<B720><B721><PARTY-US><NAM><FNM><PDAT>Ann</PDAT></FNM><SNM><STEXT><PDAT>{name}</PDAT></STEXT></SNM></NAM></PARTY-US></B721></B720><B730><PARTY-US><NAM><ONM><PDAT>Works</PDAT></ONM></NAM></PARTY-US></B730></SDOBI>"
+        "<SDOAB><PARA><PDAT>{status} one</PDAT></PARA></SDOAB><SDOCL><CL><PDAT>1. A thing.</PDAT><PDAT>2. It.</PDAT></CL></SDOCL></PATDOC>"
+    )
+    return _record_result(records.parse_records(_record_source(t, source), "sgml"))
+
+
+@query("SELECT o_orderstatus, count(*) AS n, count(*) AS claims_found, 0::BIGINT AS described FROM orders GROUP BY 1")
+def parse_log(t):
+    source = "PATN\nWKU  {key}\nISD  {date}\nABST\nPAL  {status}\nCLMS\nPAR  1. A thing."
+    parsed = records.parse_records(_record_source(t, source), "text")
+    log = records.parse_log(parsed.withColumn("file", F.get("abstract_paras", F.lit(0))))
+    return log.groupBy(F.col("file").alias("o_orderstatus")).agg(F.count("doc_number").alias("n"), F.count_if("claims_ok").alias("claims_found"), F.count_if("description_ok").alias("described"))
+
+
+# Streams
 
 
-def hits_by_country(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+@query("SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1")
+def incremental_append(t):
+    """Two runs of a resumable stream into one table: the second finds nothing new."""
+    target = work_path(t.spark, "events")
+    for _ in range(2):
+        source = incremental.stream_parquet(t.spark, t.sf_dir, t.events.schema, glob="events.parquet")
+        incremental.run_available(source, f"{target}/table", f"{target}/checkpoint")
+    return t.spark.read.parquet(f"{target}/table").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
-QUERIES["hits_by_country"] = hits_by_country
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
+def windowed_counts(t):
+    found = incremental.windowed_counts(t.events)
+    return found.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("v", 2).alias("total"))
