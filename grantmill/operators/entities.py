@@ -24,12 +24,13 @@ def normalise_names(df: DataFrame, column: str = "names") -> DataFrame:
 
 
 def ratio(a: str, b: str) -> float:
+    a, b = sorted((a, b))  # so that the order of a pair does not matter
     return 100 * SequenceMatcher(None, a, b, autojunk=False).ratio() if a or b else 0.0
 
 
 def partial_ratio(a: str, b: str) -> float:
     """The best ratio of the shorter string with a stretch of the longer of its length."""
-    short, long = sorted((a, b), key=len)
+    short, long = sorted((a, b), key=lambda x: (len(x), x))
     if not short:
         return 0.0
     best = 0.0

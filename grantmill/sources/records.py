@@ -36,7 +36,7 @@ def scan_text_records(spark: SparkSession, path: str | list[str], glob: str | No
     file's first mark is dropped. Bytes that are no UTF-8 are removed.
     """
     reader = spark.read.option("lineSep", TEXT_MARK if compat else f"\n{TEXT_MARK}").option("recursiveFileLookup", "true")
-    rows = (reader.option("pathGlobFilter", glob) if glob else reader).text(path).select(F.col("_metadata.file_path").alias("file"), F.replace("value", F.lit("�"), F.lit("")).alias("value"))
+    rows = (reader.option("pathGlobFilter", glob) if glob else reader).text(path).select(F.col("_metadata.file_path").alias("file"), F.replace(F.make_valid_utf8("value"), F.lit("\ufffd"), F.lit("")).alias("value"))
     starts = F.regexp_replace("value", rf"^{TEXT_MARK}\s*\n", "\n")
     rows = rows.withColumn("value", starts).where(F.col("value").rlike(r"^[ \t\r]*\n"))
     lines = F.filter(F.transform(F.split(F.col("value"), "\n"), lambda x: F.regexp_replace(x, r"\s+$", "")), lambda x: x != "")

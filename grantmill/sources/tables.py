@@ -103,7 +103,7 @@ def read_keywords(spark: SparkSession, path: str) -> DataFrame:
 def keyword_groups(sheet: DataFrame) -> DataFrame:
     """(group, keyword) of a sheet with a column for each group; no-break blanks come off, blanks cells go."""
     melted = sheet.unpivot([], sheet.columns, "group", "keyword")
-    return melted.select("group", F.btrim("keyword", F.lit(" ")).alias("keyword")).where("keyword IS NOT NULL AND keyword <> ''")
+    return melted.select("group", F.btrim("keyword", F.lit("\u00a0")).alias("keyword")).where("keyword IS NOT NULL AND keyword <> ''")
 
 
 # Saved web pages

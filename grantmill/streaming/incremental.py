@@ -28,7 +28,7 @@ def stream_parquet(spark: SparkSession, path: str, schema: StructType, glob: str
 
 def stream_archives(spark: SparkSession, path: str) -> DataFrame:
     """New archives under a path, with their content."""
-    return spark.readStream.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path)
+    return spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path)
 
 
 def unpack_available(spark: SparkSession, archives: str, target: str, checkpoint: str) -> None:
