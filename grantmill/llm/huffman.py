@@ -85,7 +85,7 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
 
 def decode_table(lengths: np.ndarray, limit: int = LIMIT) -> np.ndarray:
     """For each next ``limit`` bits: id * 256 + length."""
-    out = np.zeros(1 << limit, np.uint64)
+    out = np.zeros(1 << limit, np.int64)
     codes = canonical_codes(lengths)
     for i in np.flatnonzero(lengths):
         first = int(codes[i]) << (limit - int(lengths[i]))
@@ -147,8 +147,8 @@ def decode_block(block: bytes, table: np.ndarray, limit: int = LIMIT) -> Iterato
         mask = np.uint32((1 << limit) - 1)
         for k in range(min(CHECKPOINT, int(counts[begin:end].max()))):
             entry = table[(wide[at_bit >> 3] >> (32 - limit - (at_bit & 7)).astype(np.uint32)) & mask]
-            out[k] = entry >> np.uint32(8)
-            at_bit += entry & np.uint32(255)
+            out[k] = entry >> 8
+            at_bit += entry & 255
         flat = np.ascontiguousarray(out.T).ravel()
         lane = 0
         for k in range(begin, end):
@@ -288,7 +288,7 @@ def read(spark: SparkSession, source: str, with_ids: bool = False) -> DataFrame:
     for part, n in sums:
         bases[part] = total
         total += n
-    known = spark.sparkContext.broadcast((decode_table(lengths).astype(np.uint32) if len(lengths) < 1 << 24 else decode_table(lengths), bases))
+    known = spark.sparkContext.broadcast((decode_table(lengths), bases))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, base = known.value

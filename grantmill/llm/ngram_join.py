@@ -44,7 +44,7 @@ from .store import BROADCAST_ROWS, Scratch
 
 WORDS, PERCENT = 5, 80
 #: Shingles that a task combines at a time, and about as many in each hash range.
-FLUSH_TOKENS = 2_500_000
+FLUSH_TOKENS = 1_500_000
 #: Members, and shingles of members, that a group aims at.
 GROUP_ROWS, GROUP_TOKENS = 2048, 2_000_000
 #: Counters of the table that orders shingles; collisions only make the order less apt.

@@ -21,7 +21,7 @@ import sys
 from array import array
 
 #: Pieces that a worker remembers; those met a second time only, for most pieces of a text collection occur once.
-MAX_PIECES = 400_000
+MAX_PIECES = 300_000
 _SEEN = 1 << 22
 #: Marks that, ending a piece after a letter, are a pre-token of their own.
 _MARKS = ".,;:!?*#$%&+-/=_()[]{}\""

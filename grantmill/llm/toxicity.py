@@ -13,8 +13,8 @@ and as many others.
 *Scores.* Forward-backward over all tokens of the whole text gives each token's
 probability of being toxic. With two states it is a recursion of ratios, run over
 many documents side by side. The largest and the summed probabilities of a
-document go into a logistic function fitted on the sample's labels; tokens of 0.5
-or more give the offending offsets.
+document go into a logistic function fitted on the sample's labels, bounded by
+whether any token reaches 0.5; such tokens give the offending offsets.
 
 The sample has at most ``MAX_SAMPLE`` labelled rows outside the held-out fold.
 Defined results: a text without tokens scores as one with no toxic token; without
@@ -197,7 +197,11 @@ class ChainField:
         return self
 
     def score(self, summaries: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.document[0] + summaries @ self.document[1:], -30, 30)))
+        """Without an offending token a document is no more toxic than its worst token; with one it is toxic."""
+        fitted = 1 / (1 + np.exp(-np.clip(self.document[0] + summaries @ self.document[1:], -30, 30)))
+        worst = np.exp(summaries[:, 0]) - 1e-6
+        bounded = np.where(worst >= 0.5, np.maximum(fitted, 0.5), np.minimum(fitted, np.maximum(worst, 0)))
+        return fitted if self.document[0] <= -30 else bounded
 
 
 class Tagger:
