@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from .relational import lookup
+from ..session import stored
+from .relational import lookup, union_all
 
 MAX_LEVEL = 12
 
@@ -32,20 +33,21 @@ def with_parent(rows: DataFrame, group: str = "cat_id", seq: str = "seq", level:
     return seen.withColumn("parent_code", nearest[code]).drop(*(f"_l{k}" for k in range(MAX_LEVEL)))
 
 
-def closure(nodes: DataFrame, group: str = "cat_id", code: str = "code", name: str = "name", parent: str = "parent_code", depth: int = MAX_LEVEL) -> DataFrame:
+def closure(nodes: DataFrame, group: str = "cat_id", code: str = "code", name: str = "name", parent: str = "parent_code") -> DataFrame:
     """nodes with ancestor_codes and ancestor_names, root first, the node last.
 
-    Parents are joined a level at a time; there are as many joins as levels.
+    One join for each level, each on the stored level before; nodes that no root
+    reaches (a parent that is missing, or a circle) are left out.
     """
-    base = nodes.select(group, code, name, parent)
-    done = base.where(F.col(parent).isNull()).withColumns({"ancestor_codes": F.array(code), "ancestor_names": F.array(name)})
-    layer = done
-    for _ in range(depth):
+    base = stored(nodes.select(group, code, name, parent), "tree")
+    layer = base.where(F.col(parent).isNull()).withColumns({"ancestor_codes": F.array(code), "ancestor_names": F.array(name)})
+    layers = []
+    while layer.take(1):
+        layers.append(layer)
         up = layer.select(F.col(group).alias("_g"), F.col(code).alias("_c"), F.col("ancestor_codes").alias("_codes"), F.col("ancestor_names").alias("_names"))
-        layer = base.join(up, (F.col(group) == F.col("_g")) & (F.col(parent) == F.col("_c")))
-        layer = layer.select(group, code, name, parent, F.concat("_codes", F.array(code)).alias("ancestor_codes"), F.concat("_names", F.array(name)).alias("ancestor_names"))
-        done = done.unionByName(layer)
-    return done
+        below = base.join(up, (F.col(group) == F.col("_g")) & (F.col(parent) == F.col("_c")))
+        layer = stored(below.select(group, code, name, parent, F.concat("_codes", F.array(code)).alias("ancestor_codes"), F.concat("_names", F.array(name)).alias("ancestor_names")), "tree-level")
+    return union_all(layers or [layer])
 
 
 def descendants(tree: DataFrame, code: str) -> DataFrame:
