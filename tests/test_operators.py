@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 from grantmill.operators import concordance, entities, hierarchy, relational, search
 from grantmill.plans import stages
 from grantmill.session import stored
-from grantmill.sources import tables
+from grantmill.sources import fetch, tables
 from grantmill.streaming import incremental
 
 
@@ -194,6 +194,20 @@ def test_crawl(spark):
     assert rows(tables.failed_files(status)) == [("t", "b")]
 
 
+def test_fetch(spark):
+    def get(url):
+        if url == "down":
+            raise OSError("no route")
+        sizes = {"good": 30, "unknown": None, "short": 3, "gone": 30}
+        return fetch.Answer(404 if url == "gone" else 200, sizes[url], iter([b"x" * 10, b"y" * 20]))
+
+    wanted = spark.createDataFrame([("t", u) for u in ("good", "unknown", "short", "gone", "down")], "title string, url string")
+    got = stored(fetch.fetch(wanted, get, tries=2, rounds=2, pause=0), "fetched")
+    assert {r.url: (r.down_status, r.tries) for r in got.collect()} == {"good": (True, 1), "unknown": (True, 1), "short": (False, 4), "gone": (False, 4), "down": (False, 4)}
+    assert {r.url for r in relational.pending(wanted, got.where("down_status"), ["url"]).collect()} == {"short", "gone", "down"}
+    assert rows(tables.failed_files(fetch.status_map(got)), "url") == [("t", "down"), ("t", "gone"), ("t", "short")]
+
+
 def test_class_pages(spark):
     page = '<table><tr><td valign="top" width="27">002</td><td>APPAREL</td></tr></table>'
     assert rows(tables.class_list(spark.createDataFrame([(page,)], "html string"))) == [(0, "002", "APPAREL")]
