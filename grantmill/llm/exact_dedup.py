@@ -127,7 +127,7 @@ def drop_copies(docs: DataFrame, keep: str = "largest") -> DataFrame:
     n, ties = gone.agg(F.count(F.lit(1)), F.count_if(F.col("doc_id").eqNullSafe(F.col("keep_id")))).first()
     if not n:
         return docs
-    same = F.broadcast(gone.select("doc_id", "digest").distinct()) if n <= BROADCAST_ROWS else gone.select("doc_id", "digest").distinct()
+    same = F.broadcast(gone.select("doc_id", "digest").distinct()) if n <= BROADCAST_ROWS // 8 else gone.select("doc_id", "digest").distinct()
     columns = [docs[c] for c in docs.columns]
     keyed = docs.withColumn("_digest", sha256(ascii_lower(F.coalesce("text", F.lit("")))))
     left = keyed.join(same, keyed["doc_id"].eqNullSafe(same["doc_id"]) & (keyed["_digest"] == same["digest"]), "left_anti")

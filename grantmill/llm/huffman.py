@@ -39,6 +39,8 @@ from .store import Scratch
 LIMIT = 16
 CHECKPOINT = 256
 BLOCK_BYTES, BLOCK_DOCS = 1 << 18, 1024
+#: Pieces that a worker of the encoding pass remembers (about 150 MB).
+PIECES = 800_000
 #: Tokens that a reader decodes side by side.
 DECODE_TOKENS = 1 << 20
 MAGIC = b"GMH1"
@@ -166,7 +168,7 @@ def encode_texts(docs: DataFrame, path: str, spaced: bool, end_id: int) -> DataF
     names = ["kind", "doc_id", "wide", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, total = tokens.encoder(path, spaced), np.zeros(1, np.int64)
+        enc, total = tokens.encoder(path, spaced, PIECES), np.zeros(1, np.int64)
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)

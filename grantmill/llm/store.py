@@ -2,25 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-#: A side is broadcast only below this many rows of a few numbers each (about 64 MB).
-BROADCAST_ROWS = 2_000_000
-
+from ..session import work_path
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where none is set on a local master."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = "file://" + tempfile.mkdtemp(prefix="grantmill-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+#: A side is broadcast only below this many rows of one number each (about 64 MB).
+BROADCAST_ROWS = 2_000_000
 
 
 class Scratch:
@@ -32,7 +19,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+        self.root = work_path(spark, what)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"

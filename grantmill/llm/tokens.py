@@ -20,7 +20,7 @@ import os
 import sys
 from array import array
 
-#: Pieces that a worker remembers; those met a second time only, for most pieces of a text collection occur once.
+#: Pieces that a worker remembers, if not told otherwise; those met a second time only, for most pieces of a text collection occur once.
 MAX_PIECES = 300_000
 _SEEN = 1 << 22
 #: Marks that, ending a piece after a letter, are a pre-token of their own.
@@ -44,8 +44,9 @@ class _Pieces(dict):
     a newline stands for itself, one that begins with NUL for what comes after.
     """
 
-    def __init__(self, tokenizer, spaced: bool):
+    def __init__(self, tokenizer, spaced: bool, most: int):
         super().__init__()
+        self.most = most
         self.tokenizer, self.spaced, self.seen, self.marked = tokenizer, spaced, bytearray(_SEEN), 0
         self.model = tokenizer.model
 
@@ -53,7 +54,7 @@ class _Pieces(dict):
         found = self._word(piece) if piece.isalpha() else self._other(piece)
         mark = hash(piece) & (_SEEN - 1)
         if self.seen[mark]:
-            if len(self) >= MAX_PIECES:
+            if len(self) >= self.most:
                 self.clear()
             self[piece] = found
         else:
@@ -99,13 +100,13 @@ class _Pieces(dict):
 
 
 class Encoder:
-    def __init__(self, path: str, spaced: bool):
+    def __init__(self, path: str, spaced: bool, most: int = MAX_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         if sys.byteorder != "little" or array("I").itemsize != 4:
             raise ValueError("ids are kept in the machine's order, which must be little-endian")
-        self.known = _Pieces(Tokenizer.from_file(path), spaced)
+        self.known = _Pieces(Tokenizer.from_file(path), spaced, most)
         self.spaced = spaced
 
     def encode(self, text: str) -> bytes:
@@ -123,10 +124,10 @@ class Encoder:
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str, spaced: bool) -> Encoder:
-    """One encoder for each Python worker; it lives on from task to task."""
+def encoder(path: str, spaced: bool, most: int = MAX_PIECES) -> Encoder:
+    """One encoder for each Python worker; it lives on from task to task and remembers ``most`` pieces."""
     if (path, spaced) not in _ENCODERS:
-        _ENCODERS[path, spaced] = Encoder(path, spaced)
+        _ENCODERS[path, spaced] = Encoder(path, spaced, most)
     return _ENCODERS[path, spaced]
 
 
