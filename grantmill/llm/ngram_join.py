@@ -552,6 +552,7 @@ def find_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     edges = heads.join(hubs, "token").where("owner <> hub").select(F.col("owner").alias("a"), F.col("hub").alias("b")).distinct()
     clusters = components(edges, scratch, "clusters").select(F.col("node").alias("owner"), F.col("label").alias("cluster"))
     members = scratch.save(_link_groups(near, clusters, scratch, percent), "members")
+    scratch.drop("near", "heads", "dealt", "groups", "hub-links", "hub-members", "placed", "straggler-links")
     return sets.select("doc_id", "n_shingles", "owner").join(members, "owner", "left").select("doc_id", "n_shingles", F.coalesce("root", "owner").alias("component"))
 
 
