@@ -7,8 +7,8 @@ toxic documents the tokens that match a choice are labelled toxic, all others cl
 
 *Model.* States clean and toxic; a token's weight is a sum over its word, its
 beginnings and its ending (hashed); transitions and a start weight tie neighbours.
-Likelihood is maximised over windows of labelled tokens, all that hold toxic ones
-and as many others.
+Likelihood is maximised over windows of labelled tokens: of each document at most
+two that hold toxic ones and one other.
 
 *Scores.* Forward-backward over all tokens of the whole text gives each token's
 probability of being toxic. With two states it is a recursion of ratios, run over
@@ -135,7 +135,7 @@ class ChainField:
             forward[t] *= back
         return (forward / (1 + forward)).T
 
-    def fit(self, windows: list[list[bytes]], tags: np.ndarray, steps: int = 60, rate: float = 0.5, decay: float = 1e-4) -> ChainField:
+    def fit(self, windows: list[list[bytes]], tags: np.ndarray, steps: int = 40, rate: float = 0.5, decay: float = 1e-4) -> ChainField:
         """windows: lists of WINDOW words; tags: (windows, WINDOW) of 0 and 1."""
         if not len(windows):
             return self
@@ -266,7 +266,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> ChainField:
         begins = range(0, len(words), WINDOW)
         good = [b for b in begins if any(own[b : b + WINDOW])]
         rest = [b for b in begins if not any(own[b : b + WINDOW])]
-        for b in [*good[:6], *(rest[i] for i in rng.permutation(len(rest))[: max(1, min(len(good), 3))])]:
+        for b in [*good[:2], *(rest[i] for i in rng.permutation(len(rest))[:1])]:
             pad = WINDOW - len(words[b : b + WINDOW])
             windows.append(words[b : b + WINDOW] + [b""] * pad)
             tags.append(own[b : b + WINDOW] + [0] * pad)
