@@ -506,7 +506,7 @@ _RECORDS = """SELECT o_orderkey::VARCHAR AS doc_number, strftime(o_orderdate, '%
 
 def _record_source(t: Tables, template: str) -> DataFrame:
     """Records in a format, one for each order: {key}, {date}, {name}, {land}, {code}, {status} are filled in."""
-    df = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    df = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).repartition(t.spark.sparkContext.defaultParallelism)  # one small file would be one task
     fills = {
         "key": F.col("o_orderkey").cast("string"), "date": F.date_format("o_orderdate", "yyyyMMdd"), "name": F.col("c_name"), "land": F.concat(F.lit("C"), F.col("c_nationkey").cast("string")),
         "code": (F.col("o_orderkey") % 400).cast("string"), "status": F.col("o_orderstatus"),

@@ -74,6 +74,16 @@ def test_xml():
     assert all(got[s] for s in ("bio_ok", "abstract_ok", "description_ok", "claims_ok", "applicant_ok"))
 
 
+def test_both_parsers_agree():
+    whole = XML.replace("&nbsp;", "&#160;")
+    fast, lenient = R.parse_well_formed(whole), R.parse_tree(whole)
+    assert [(e.tag, e.text(), e.start, e.end) for e in fast.walk()] == [(e.tag, e.text(), e.start, e.end) for e in lenient.walk()]
+    assert all([x.text() for x in e.find_all("country")] == [x.text() for x in e.walk() if x.tag == "country"] for e in fast.walk())
+    for bad in (XML, "<a><b></a>", "", "text"):  # an entity that is not declared, a tag that is not closed, no element
+        with pytest.raises((R.expat.ExpatError, ValueError)):
+            R.parse_well_formed(bad)
+
+
 def test_xml_parts_missing():
     bare = R.parse_xml("<?xml?><us-patent-grant><assignees><assignee><addressbook><orgname>X</orgname></addressbook></assignee></assignees></us-patent-grant>")
     assert not bare["bio_ok"] and not bare["abstract_ok"] and bare["abstract_paras"] is None and bare["bio_main-classification_ipc"] == ""
