@@ -101,14 +101,25 @@ def section_concat(t):
     return glued.select("conv_id", F.char_length("s").cast("long").alias("n_chars"), F.md5("s").alias("digest"))
 
 
-@query(f"""
-WITH d AS (SELECT year(DATE '2000-01-01' + (doc_id % 2000)::INT)::INT AS year, lang AS country, source AS company, len({_sql_hits(V1)}) AS v1, len({_sql_hits(V2)}) AS v2 FROM documents),
-l AS (SELECT 'country' AS grouping, country AS key, year, v1, v2 FROM d UNION ALL SELECT 'company', company, year, v1, v2 FROM d),
-m AS (SELECT grouping, key, year, 'v1' AS version, v1 AS tc FROM l UNION ALL SELECT grouping, key, year, 'v2', v2 FROM l)
-SELECT version, grouping, year, key, tc > 0 AS count_binary, count(*) AS total_counts_count, sum(tc)::BIGINT AS total_counts_sum FROM m GROUP BY ALL""")
+def _sql_summaries(keys: str) -> str:
+    return f"""WITH d AS (SELECT year(DATE '2000-01-01' + (doc_id % 2000)::INT)::INT AS year, lang AS country, source AS company, len({_sql_hits(V1)}) AS v1, len({_sql_hits(V2)}) AS v2 FROM documents),
+m AS (SELECT {keys}, 'v1' AS version, v1 AS tc FROM d UNION ALL SELECT {keys}, 'v2', v2 FROM d)
+SELECT version, {keys}, tc > 0 AS count_binary, count(*) AS total_counts_count, sum(tc)::BIGINT AS total_counts_sum FROM m GROUP BY ALL"""
+
+
+def _summaries(t: Tables, *keys: str) -> DataFrame:
+    year = F.year(F.date_add(F.lit("2000-01-01").cast("date"), (F.col("doc_id") % 2000).cast("int")))
+    return stages.summaries(_searched(t).withColumns({"year": year, "country": F.col("lang"), "company": F.col("source")}), ["v1", "v2"], keys)
+
+
+@query(_sql_summaries("year, country"))
+def country_summaries(t):
+    return _summaries(t, "year", "country")
+
+
+@query(_sql_summaries("year, country, company"))
 def company_summaries(t):
-    docs = _searched(t).withColumn("application_year", F.year(F.date_add(F.lit("2000-01-01").cast("date"), (F.col("doc_id") % 2000).cast("int"))))
-    return stages.summaries(docs, ["v1", "v2"], company="source", country="lang")
+    return _summaries(t, "year", "country", "company")
 
 
 # Years, countries, filters

@@ -27,9 +27,9 @@ def keep_simple(df: DataFrame, columns: Sequence[str], total: str) -> DataFrame:
 
 
 def keep_small(df: DataFrame, drop: Sequence[str] = ("abstract_paras", "description_paras", "claims_claims")) -> DataFrame:
-    """Without texts, with grant_year, application_year and one country code."""
+    """Without texts, with year (of the grant), application_year and one country code."""
     return df.drop(*drop).withColumns({
-        "grant_year": C.process_year("bio_date"),
+        "year": C.process_year("bio_date"),
         "application_year": C.process_year("bio_application_date"),
         "bio_assignee_country": C.consolidate_country("bio_assignee_country", "bio_applicant_country", "bio_country"),
     })
@@ -104,10 +104,12 @@ def pending(wanted: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFram
 
 
 def merge_country(df: DataFrame, countries: DataFrame, code: str = "bio_assignee_country", year: str = "year", change: int = 1979) -> DataFrame:
-    """Country names by code; before ``change`` by the old code. countries: 2_Code, 2_Code_old, 3_Code, Country_Name."""
-    versions = countries.select(F.col("2_Code").alias("_code"), F.lit(False).alias("_old"), "2_Code", "3_Code", "Country_Name").unionByName(
-        countries.select(F.col("2_Code_old").alias("_code"), F.lit(True).alias("_old"), "2_Code", "3_Code", "Country_Name")
-    )
+    """Country names by code; before ``change`` by the old code, which is then 2_Code.
+
+    countries: 2_Code, 2_Code_old, 3_Code, Country_Name.
+    """
+    sides = [countries.select(F.col(c).alias("_code"), F.lit(c == "2_Code_old").alias("_old"), F.col(c).alias("2_Code"), "3_Code", "Country_Name") for c in ("2_Code", "2_Code_old")]
+    versions = sides[0].unionByName(sides[1])
     old = F.coalesce(F.col(year) < change, F.lit(False))
     return df.join(lookup(versions), (F.col(code) == F.col("_code")) & (old == F.col("_old")), "left").drop("_code", "_old")
 

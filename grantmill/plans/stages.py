@@ -12,7 +12,7 @@ from ..operators import concordance, hierarchy, relational, search
 from ..sources import records
 
 # Fixed value: the category that summaries leave out.
-EXCLUDED = "Nuclear  Power"
+EXCLUDED = "Emission trading,  eg pollution credits"
 
 
 def parse_year_files(spark: SparkSession, sources: Sequence[tuple[str, str, str | None]], compat: bool = False) -> DataFrame:
@@ -51,17 +51,25 @@ def attach_assignees(df: DataFrame, mapped: DataFrame) -> DataFrame:
 
 
 def final_table(df: DataFrame, names: DataFrame, excluded: str = EXCLUDED) -> DataFrame:
-    """Records with the standard company name (many to one, checked), an application year, and not of the excluded category."""
-    named = relational.join_many_to_one(df, names.select("names", "Final_Names"), [("bio_assignee_name", "names")]).drop("names")
-    return relational.exclude_category(named.where(F.col("application_year").isNotNull()), excluded)
+    """Records with an application year, not of the excluded category, and final_ee_name.
 
+    names: names (unique, checked) and Final_Names; a name that it lacks stays as it is.
+    """
+    dated = df.where(F.col("application_year").isNotNull())
+    named = relational.join_many_to_one(dated, names.select("names", "Final_Names"), [("ee_name", "names")]).drop("names")
+    final = named.withColumn("final_ee_name", F.coalesce("Final_Names", "bio_assignee_name")).drop("Final_Names")
+    return relational.exclude_category(final, excluded)
 
-def summaries(df: DataFrame, versions: Sequence[str], company: str = "Final_Names", country: str = "Country_Name", year: str = "application_year") -> DataFrame:
-    """(version, grouping, year, key, count_binary, counts and sums): all versions and both groupings in one scan."""
-    totals = df.select(F.col(year).alias("year"), F.col(country).alias("country"), F.col(company).alias("company"), *(F.col(f"total_counts_{v}").cast("long").alias(v) for v in versions))
-    keyed = totals.unpivot(["year", *versions], ["country", "company"], "grouping", "key")
-    long = keyed.unpivot(["year", "grouping", "key"], list(versions), "version", "total_counts").withColumn("count_binary", F.col("total_counts") > 0)
-    return relational.count_and_sum(long, ["version", "grouping", "year", "key", "count_binary"])
+
+COUNTRY_KEYS = ("application_year", "2_Code", "3_Code", "Country_Name")
+COMPANY_KEYS = (*COUNTRY_KEYS, "final_ee_name")
+
+
+def summaries(df: DataFrame, versions: Sequence[str], keys: Sequence[str] = COUNTRY_KEYS) -> DataFrame:
+    """Counts and sums of hits by version, keys and whether there are hits: all versions in one scan."""
+    totals = df.select(*(F.col(k) for k in keys), *(F.col(f"total_counts_{v}").cast("long").alias(v) for v in versions))
+    long = totals.unpivot(list(keys), list(versions), "version", "total_counts").withColumn("count_binary", F.col("total_counts") > 0)
+    return relational.count_and_sum(long, ["version", *keys, "count_binary"])
 
 
 def summarise(df: DataFrame, keys: Sequence[str], transform: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -70,10 +78,7 @@ def summarise(df: DataFrame, keys: Sequence[str], transform: Callable[[DataFrame
 
 
 def totals_by_country(df: DataFrame, countries: DataFrame) -> DataFrame:
-    """(year, Country_Name, by_application, by_grant): records by either year, years 1976 to 2020."""
-    small = relational.keep_small(df)
-    sides = []
-    for column, name in (("application_year", "by_application"), ("grant_year", "by_grant")):
-        named = relational.merge_country(small.withColumn("year", F.col(column)), countries)
-        sides.append(relational.count_by(named, ["year", "Country_Name"], "`bio_doc-number`", name))
+    """Records by application year and by grant year of each country, years 1976 to 2020; countries go by the grant's year."""
+    named = relational.merge_country(relational.keep_small(df), countries).select("application_year", "year", "Country_Name", "`bio_doc-number`")
+    sides = [relational.count_by(named.withColumn("year", F.col(c)), ["year", "Country_Name"], "`bio_doc-number`", f"sum_by_{n}_year") for c, n in (("application_year", "application"), ("year", "grant"))]
     return relational.join_one_to_one(*sides, ["year", "Country_Name"]).where("year > 1975 AND year < 2021")

@@ -32,7 +32,8 @@ def test_many_to_one(spark):
 def test_country_versions(spark):
     countries = spark.createDataFrame([("DE", "DT", "DEU", "Germany"), ("NA", "SW", "NAM", "Namibia")], ["2_Code", "2_Code_old", "3_Code", "Country_Name"])
     df = spark.createDataFrame([(1, "DT", 1977), (2, "DE", 1977), (3, "DE", 1990), (4, "NA", 1990), (5, "DE", None)], "i int, bio_assignee_country string, year int")
-    assert rows(relational.merge_country(df, countries).select("i", "Country_Name"), "i") == [(1, "Germany"), (2, None), (3, "Germany"), (4, "Namibia"), (5, "Germany")]
+    got = relational.merge_country(df, countries).select("i", "Country_Name", "2_Code")
+    assert rows(got, "i") == [(1, "Germany", "DT"), (2, None, None), (3, "Germany", "DE"), (4, "Namibia", "NA"), (5, "Germany", "DE")]
 
 
 def test_null_keys_are_left_out(spark):
@@ -58,7 +59,7 @@ def test_keep_first_and_fill(spark):
 
 
 def test_taxonomy_and_exclusion(spark):
-    df = spark.createDataFrame([("Nuclear  Power|x", 2005), ("Wind", 2005), (None, 2006)], "est_description string, year int")
+    df = spark.createDataFrame([(f"{stages.EXCLUDED}|x", 2005), ("Wind", 2005), (None, 2006)], "est_description string, year int")
     assert relational.filter_taxonomy(df).count() == 2
     assert rows(relational.kept_and_total(df, "year"), "year") == [(2005, 2, 2), (2006, 0, 1)]
     assert rows(relational.exclude_category(df, stages.EXCLUDED), "year") == [("Wind", 2005), (None, 2006)]
@@ -248,7 +249,7 @@ def test_stages(spark):
     ).withColumn("bio_assignee_country", F.lit(None).cast("string"))
     small = relational.keep_small(docs)
     countries = spark.createDataFrame([("DE", "DT", "DEU", "Germany"), ("US", "US", "USA", "United States")], ["2_Code", "2_Code_old", "3_Code", "Country_Name"])
-    named = relational.merge_country(small.withColumn("year", F.col("grant_year")), countries)
+    named = relational.merge_country(small.withColumn("year", F.col("year")), countries)
     assignees = spark.createDataFrame([(1, "NEW CO", "GERMANY"), (2, "LATE CO", "GERMANY")], "rf_id int, ee_name string, ee_country string")
     documents = spark.createDataFrame([(1, "123.0"), (2, "123"), (2, None)], "rf_id int, grant_doc_num string")
     fixes = spark.createDataFrame([("GERMANY", "DE", "DEU", "Deutschland")], ["raw_country_name", "2_Code_Fix", "3_Code_Fix", "Country_Name_Fix"])
@@ -258,9 +259,10 @@ def test_stages(spark):
     assert got == {"00123": ("NEW CO", "Deutschland"), "D77": ("ACME", "United States"), "9": ("ACME", "United States")}
     names = spark.createDataFrame([("NEW CO", "New"), ("ACME", "Acme")], "names string, Final_Names string")
     final = stages.final_table(joined, names)
-    assert [(r["bio_doc-number"], r.Final_Names) for r in final.collect()] == [("00123", "New")]
-    summary = stages.summaries(final, ["v1"])
-    assert sorted((r.grouping, r.key, r.count_binary, r.total_counts_sum) for r in summary.collect()) == [("company", "New", True, 1), ("country", "Deutschland", True, 1)]
+    assert [(r["bio_doc-number"], r.final_ee_name) for r in final.collect()] == [("00123", "New")]
+    assert [r.final_ee_name for r in stages.final_table(joined, names.where("names = 'ACME'")).collect()] == ["NEW CO"]
+    assert rows(stages.summaries(final, ["v1"]).select("version", "application_year", "2_Code", "Country_Name", "count_binary", "total_counts_count", "total_counts_sum")) == [("v1", 2004, "DE", "Deutschland", True, 1, 1)]
+    assert rows(stages.summaries(final, ["v1"], stages.COMPANY_KEYS).select("final_ee_name", "total_counts_sum")) == [("New", 1)]
     assert rows(stages.totals_by_country(docs.unionByName(docs.withColumn("bio_application_date", F.lit("20060101"))), countries), "year", "Country_Name") == [(2006, "United States", 2, 4)]
     simple = relational.keep_simple(docs, ["est_description"], "total_counts_v1")
     assert stages.summarise(simple, ["year"], lambda d: d.where("count_binary")).collect()[0].total_counts_sum == 1
