@@ -126,9 +126,12 @@ def clean_keywords(keywords: Sequence[str], compat: bool = False) -> list[str]:
 
 
 def keyword_pattern(keywords: Sequence[str]) -> str:
-    r"""One alternation of whole words in the given order, without regard to case in any script."""
+    r"""One alternation of whole words in the given order, without regard to case in any script.
+
+    The word boundaries stand once around it: that is the same, and is tested once a place.
+    """
     quoted = (r"\Q" + k.replace(r"\E", r"\E\\E\Q") + r"\E" for k in keywords)
-    return r"(?iu)" + "|".join(rf"\b{q}\b" for q in quoted)
+    return rf"(?iu)\b(?:{'|'.join(quoted)})\b"
 
 
 def glue_sections(*sections: Column | str, blank: bool = False) -> Column:
