@@ -13,11 +13,13 @@ what is a menu, header, footer, sidebar, notice, advert, form or comment section
 The article element is the main text; where a page has none, it is what lies in
 the main element or else the body, without template text.
 
-Wrappers are inferred from at most ``SAMPLE`` pages of a host, those with the
-smallest hash; each task sends on no more than these, so a host with a third of
-all pages is no burden. Defined results: a null page or one without main text gives
-an empty text; pages without a host share one wrapper; repeated rows give equal
-rows.
+All pages of a host are folded into its wrapper: each task folds its own pages and
+sends on one partial wrapper for each host, so a host with a third of all pages is
+no burden. A text is template only if no page has another in its place and
+``SUPPORT`` different pages have it. Numbers in classes and ids are left out of
+account. Defined results: a null page or one without main text gives an empty text;
+pages without a host share one wrapper; repeated rows give equal rows and support
+nothing anew.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ import html
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -35,13 +38,15 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .store import Scratch
 
-SAMPLE = 8
+#: Different pages of a host that must have a text for it to be template text.
+SUPPORT = 3
 #: Wrappers are broadcast up to this many hosts.
 MAX_HOSTS = 10_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>\"[^\"]*\"|'[^']*'|[^>\"'])*|[^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _NAME = re.compile(r"[a-z0-9]+")
+_NUMBER = re.compile(r"\d+")
 
 # Elements by what they mean for the main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -122,7 +127,7 @@ def parse(page: str) -> Node:
         if tag in IMPLIED_END:
             ends, until = IMPLIED_END[tag]
             close_to(ends.split(), until.split())
-        label = " ".join([tag, *sorted(attributes.get("class", "").split()), *(["#" + attributes["id"]] if attributes.get("id") else [])])
+        label = " ".join([tag, *sorted(_NUMBER.sub("0", attributes.get("class", "")).split()), *(["#" + _NUMBER.sub("0", attributes["id"])] if attributes.get("id") else [])])
         node = Node(tag, label, dropped)
         stack[-1].children.append(node)
         if tag in VOID or m[3].rstrip().endswith("/") and tag not in RAW and tag not in ("p", "div", "article", "section"):
@@ -135,19 +140,20 @@ def parse(page: str) -> Node:
     return root
 
 
-# Wrappers: [label, children, optional, repeated] for an element, [None, text or null (a slot), optional, repeated] for a text.
+# Wrappers: [label, children, optional, repeated] for an element, [None, text or null (a slot), optional, repeated, pages] for a text;
+# pages: the smallest marks, SUPPORT at most, of the pages that have it.
 
 
-def _shape(node: Node) -> list:
+def _shape(node: Node, mark: int) -> list:
     children: list[list] = []
     for c in node.children:
         if isinstance(c, str):
             text = " ".join(html.unescape(c).split())
             if not text:
                 continue
-            new = [None, text, False, False]
+            new = [None, text, False, False, [mark]]
         else:
-            new = _shape(c)
+            new = _shape(c, mark)
         if children and children[-1][0] == new[0] and new[0] is not None:
             children[-1] = _merge(children[-1], new)
             children[-1][3] = True
@@ -156,14 +162,28 @@ def _shape(node: Node) -> list:
     return [node.label, children, False, False]
 
 
-def _aligned(a: list, b: list) -> list[tuple[int | None, int | None]]:
+@lru_cache(4096)
+def _aligned(a: tuple, b: tuple) -> list[tuple[int | None, int | None]]:
     """Pairs of places of the longest common subsequence of labels, with what is alone."""
     n, m = len(a), len(b)
+    if a == b:
+        return [(i, i) for i in range(n)]
+    out: list[tuple[int | None, int | None]] = []
+    j = 0
+    for i in range(n):  # the usual case: b is part of a
+        if j < m and a[i] == b[j]:
+            out.append((i, j))
+            j += 1
+        else:
+            out.append((i, None))
+    if j == m:
+        return out
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
+        row, below, x = best[i], best[i + 1], a[i]
         for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
-    out: list[tuple[int | None, int | None]] = []
+            row[j] = below[j + 1] + 1 if x == b[j] else below[j] if below[j] >= row[j + 1] else row[j + 1]
+    out = []
     i = j = 0
     while i < n or j < m:
         if i < n and j < m and a[i] == b[j]:
@@ -182,29 +202,33 @@ def _merge(a: list, b: list) -> list:
     """Two wrappers of one label as one that accepts what either does."""
     optional, repeated = a[2] or b[2], a[3] or b[3]
     if a[0] is None:
-        return [None, a[1] if a[1] == b[1] else None, optional, repeated]
+        same = a[1] is not None and a[1] == b[1]
+        return [None, a[1] if same else None, optional, repeated, (a[4] if a[4] == b[4] else sorted({*a[4], *b[4]})[:SUPPORT]) if same else []]
     children = []
-    for i, j in _aligned([c[0] for c in a[1]], [c[0] for c in b[1]]):
+    for i, j in _aligned(tuple([c[0] for c in a[1]]), tuple([c[0] for c in b[1]])):
         if i is not None and j is not None:
             children.append(_merge(a[1][i], b[1][j]))
         else:
             alone = a[1][i] if i is not None else b[1][j]
-            children.append([alone[0], alone[1], True, alone[3]])
+            children.append(alone if alone[2] else [alone[0], alone[1], True, *alone[3:]])
     return [a[0], children, optional, repeated]
 
 
-def infer(pages: list[str]) -> list | None:
-    """The wrapper of some pages of one host; of pages that are alike one counts."""
-    wrapper = None
+def _mark(page: str) -> int:
+    return xxhash.xxh3_64_intdigest(page) >> 1
+
+
+def infer(pages: list[str], wrapper: list | None = None) -> list | None:
+    """The wrapper of some pages of one host, folded into what others gave; of pages that are alike one counts."""
     for page in dict.fromkeys(pages):
-        own = _shape(parse(page))
+        own = _shape(parse(page), _mark(page))
         wrapper = own if wrapper is None else _merge(wrapper, own)
     return wrapper
 
 
 def as_expression(wrapper: list) -> str:
     """The wrapper as a regular expression over tags and texts."""
-    label, body, optional, repeated = wrapper
+    label, body, optional, repeated = wrapper[:4]
     inner = ("#TEXT" if body is None else json.dumps(body, ensure_ascii=False)) if label is None else f"<{label}>{''.join(map(as_expression, body))}</{label.split()[0]}>"
     mark = ("+" if repeated else "") + ("?" if optional else "")
     return f"({inner}){mark}" if mark else inner
@@ -221,14 +245,14 @@ def _template_texts(node: Node, wrapper: list, out: set[int]) -> None:
             groups[-1][1].append(k)
         else:
             groups.append((c.label, [k]))
-    for i, j in _aligned([g[0] for g in groups], [c[0] for c in wrapper[1]]):
+    for j, i in _aligned(tuple([c[0] for c in wrapper[1]]), tuple([g[0] for g in groups])):
         if i is None or j is None:
             continue
         for k in groups[i][1]:
             c = node.children[k]
             if not isinstance(c, str):
                 _template_texts(c, wrapper[1][j], out)
-            elif wrapper[1][j][1] is not None and wrapper[1][j][1] == " ".join(html.unescape(c).split()):
+            elif wrapper[1][j][1] is not None and len(wrapper[1][j][4]) >= SUPPORT and wrapper[1][j][1] == " ".join(html.unescape(c).split()):
                 out.add(id(node) * 1_000_003 + k)
 
 
@@ -286,38 +310,31 @@ def host_of(url):
 
 def wrappers(pages: DataFrame) -> DataFrame:
     """host and wrapper (JSON) of all hosts; pages has host, page_id and html."""
-    schema = "host string, mark long, html string"
+    schema = "host string, wrapper string"
 
-    def smallest(rows: dict) -> dict:
-        return dict(sorted(rows.items())[:SAMPLE])
-
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[str, dict[int, str]] = {}
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, list] = {}
         for batch in batches:
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if page:
-                    own = kept.setdefault(host, {})
-                    own[xxhash.xxh3_64_intdigest(page) >> 1] = page
-                    if len(own) > 2 * SAMPLE:
-                        kept[host] = smallest(own)
-            if sum(map(len, kept.values())) > 4096:
+                    kept[host] = infer([page], kept.get(host))
+            if len(kept) > 1024:
                 yield rows(kept)
                 kept = {}
         if kept:
             yield rows(kept)
 
-    def rows(kept: dict) -> pa.RecordBatch:
-        flat = [(h, m, p) for h, own in kept.items() for m, p in smallest(own).items()]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in flat]), pa.array([r[1] for r in flat], pa.int64()), pa.array([r[2] for r in flat])], names=["host", "mark", "html"])
+    def rows(kept: dict[str, list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([*kept], pa.string()), pa.array([json.dumps(w, ensure_ascii=False) for w in kept.values()], pa.string())], names=["host", "wrapper"])
 
     def build(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[int, str] = {}
-        for batch in batches:
-            own |= dict(zip(batch.column("mark").to_pylist(), batch.column("html").to_pylist()))
-            own = smallest(own)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([json.dumps(infer([own[k] for k in sorted(own)]), ensure_ascii=False)])], names=["host", "wrapper"])
+        whole = None
+        for raw in sorted(x for batch in batches for x in batch.column("wrapper").to_pylist()):
+            own = json.loads(raw)
+            whole = own if whole is None else _merge(whole, own)
+        yield rows({key[0].as_py(): whole})
 
-    return pages.select("host", "html").mapInArrow(sample, schema).groupBy("host").applyInArrow(build, "host string, wrapper string")
+    return pages.select("host", "html").mapInArrow(fold, schema).groupBy("host").applyInArrow(build, schema)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
