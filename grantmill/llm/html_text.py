@@ -6,12 +6,12 @@ becomes a slot; what one page has and another lacks becomes optional. The result
 is a regular expression without unions: tags, fixed texts, slots, ``( )+`` and
 ``( )?``.
 
-*Extraction.* A page is aligned with its host's wrapper, which says what of its
+*Extraction.* Every page is aligned with its host's wrapper, which says what of its
 text is fixed template text; a page with parts the wrapper lacks is read all the
 same, these parts being content like a slot. Tags, roles and names of elements say
 what is a menu, header, footer, sidebar, notice, advert, form or comment section.
-The article element is the main text; where a page has none, it is what lies in
-the main element or else the body, without template text.
+The main text is what lies in the article element, or else the main element, or
+else the body, without template text.
 
 All pages of a host are folded into its wrapper: each task folds its own pages and
 sends on one partial wrapper for each host, so a host with a third of all pages is
@@ -289,13 +289,10 @@ def extract(page: str | None, wrapper: list | None) -> str:
         return ""
     root = parse(page)
     out: list[str] = []
-    articles = _find(root, "article", [])
     template: set[int] = set()
-    if not articles:
-        if wrapper is not None and wrapper[0] == root.label:
-            _template_texts(root, wrapper, template)
-        articles = _find(root, "main", []) or [root]
-    for a in articles:
+    if wrapper is not None and wrapper[0] == root.label:
+        _template_texts(root, wrapper, template)
+    for a in _find(root, "article", []) or _find(root, "main", []) or [root]:
         held: list[str] = []
         _blocks(a, template, held, out)
         text = " ".join("".join(held).split())

@@ -26,3 +26,9 @@ def test_every_page_of_a_host_tells_what_is_template(spark):
     rows = [(k, "http://big.example/x", p) for k, p in enumerate(pages)]
     got = {r.text for r in html_text.report(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
     assert len(got) == 40 and all("Shared" in t or "Other" in t for t in got)
+
+
+def test_template_text_within_articles_goes(spark):
+    rows = [(k, "http://a.example/x", page(k, FIXED)) for k in range(5)]
+    got = {r.page_id: r.text for r in html_text.report(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == {k: f"Head {k}\nItem {k}" for k in range(5)}
