@@ -7,8 +7,8 @@ toxic documents the tokens that match a choice are labelled toxic, all others cl
 
 *Model.* States clean and toxic; a token's weight is a sum over its word, its
 beginnings and its ending (hashed); transitions and a start weight tie neighbours.
-Likelihood is maximised over windows of labelled tokens: of each document at most
-two that hold toxic ones and one other.
+Likelihood is maximised over windows of labelled tokens, which are the whole text of
+each sampled document.
 
 *Scores.* Forward-backward over all tokens of the whole text gives each token's
 probability of being toxic. With two states it is a recursion of ratios, run over
@@ -40,6 +40,8 @@ MAX_SAMPLE = 6_000
 #: Documents that a choice must explain, and clean ones (for each thousand) that may hold it.
 LEAST_DOCS, CLEAN_PER_1000 = 3, 1
 WINDOW = 48
+#: Windows whose expectations are held at once.
+CHUNK = 8192
 _BITS = 18
 _MAX_WORDS_KNOWN = 400_000
 #: Letters of ASCII in lower case and all bytes beyond ASCII make words.
@@ -135,56 +137,57 @@ class ChainField:
             forward[t] *= back
         return (forward / (1 + forward)).T
 
-    def fit(self, windows: list[list[bytes]], tags: np.ndarray, steps: int = 40, rate: float = 0.5, decay: float = 1e-4) -> ChainField:
-        """windows: lists of WINDOW words; tags: (windows, WINDOW) of 0 and 1."""
+    def fit(self, windows: np.ndarray, words: list[bytes], tags: np.ndarray, steps: int = 60, rate: float = 0.5, decay: float = 1e-4) -> ChainField:
+        """windows: (windows, WINDOW) of places in words; tags: the same shape, of 0 and 1."""
         if not len(windows):
             return self
-        known: dict[bytes, int] = {}
-        number = np.array([[known.setdefault(w, len(known)) for w in own] for own in windows])
-        per_word = [self.features(w) for w in known]
+        per_word = [self.features(w) for w in words]
         of = np.repeat(np.arange(len(per_word)), [*map(len, per_word)])
         flat = np.concatenate([np.array(f) for f in per_word])
         n = tags.size
         squares = np.full(1 << _BITS, 1e-8)
         change_squares, start_square = np.full((2, 2), 1e-8), 1e-8
-        pairs = np.stack([(tags[:, :-1] == i) & (tags[:, 1:] == j) for i in (0, 1) for j in (0, 1)]).sum(axis=(1, 2)).reshape(2, 2)
+        pairs = np.array([[((tags[:, :-1] == i) & (tags[:, 1:] == j)).sum() for j in (0, 1)] for i in (0, 1)])
         for _ in range(steps):
-            emissions = np.clip(np.bincount(of, self.weights[flat], len(per_word))[number], -30, 30)
-            p, expected = self._expectations(emissions)
-            gradient = np.bincount(flat, np.bincount(number.ravel(), (tags - p).ravel(), len(per_word))[of], 1 << _BITS) / n * 100 - decay * self.weights
+            per = np.clip(np.bincount(of, self.weights[flat], len(per_word)), -30, 30)
+            errors, expected, at_start = np.zeros(len(per_word)), np.zeros((2, 2)), 0.0
+            for k in range(0, len(windows), CHUNK):
+                number, own = windows[k : k + CHUNK], tags[k : k + CHUNK]
+                p, pairs_of = self._expectations(per[number])
+                errors += np.bincount(number.ravel(), (own - p).ravel(), len(per_word))
+                expected += pairs_of
+                at_start += float((own[:, 0] - p[:, 0]).sum())
+            gradient = np.bincount(flat, errors[of], 1 << _BITS) / n * 100 - decay * self.weights
             squares += gradient**2
             self.weights += rate * gradient / np.sqrt(squares)
             change = (pairs - expected) / n * 100
             change[0, 0] = 0
             change_squares += change**2
             self.change += rate / 2 * change / np.sqrt(change_squares)
-            start = float((tags[:, 0] - p[:, 0]).mean())
+            start = at_start / len(windows)
             start_square += start**2
             self.start += rate / 2 * start / np.sqrt(start_square)
         return self
 
     def _expectations(self, emissions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Probabilities of states and expected counts of transitions."""
-        a, e = np.exp(self.change), np.exp(emissions)
-        w, t = e.shape
-        alpha, beta = np.empty((t, w, 2)), np.empty((t, w, 2))
-        alpha[0] = np.stack((np.ones(w), np.exp(self.start) * e[:, 0]), axis=1)
-        alpha[0] /= alpha[0].sum(axis=1, keepdims=True)
-        for k in range(1, t):
-            alpha[k] = alpha[k - 1] @ a
-            alpha[k, :, 1] *= e[:, k]
-            alpha[k] /= alpha[k].sum(axis=1, keepdims=True)
-        beta[-1] = 1
+        a, e = np.exp(self.change), np.exp(emissions.T)
+        forward = np.empty_like(e)
+        forward[0] = ratio = np.exp(self.start) * e[0]
+        for k in range(1, len(e)):
+            forward[k] = ratio = e[k] * (a[0, 1] + a[1, 1] * ratio) / (a[0, 0] + a[1, 0] * ratio)
+        back = np.ones(e.shape[1])
         expected = np.zeros((2, 2))
-        for k in range(t - 2, -1, -1):
-            ahead = beta[k + 1].copy()
-            ahead[:, 1] *= e[:, k + 1]
-            both = alpha[k][:, :, None] * a[None] * ahead[:, None, :]
-            expected += (both / both.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-            beta[k] = ahead @ a.T
-            beta[k] /= beta[k].sum(axis=1, keepdims=True)
-        gamma = alpha * beta
-        return (gamma[:, :, 1] / gamma.sum(axis=2)).T, expected
+        for k in range(len(e) - 2, -1, -1):
+            x, ratio = e[k + 1] * back, forward[k]
+            forward[k + 1] *= back
+            same, out = a[0, 0] + a[0, 1] * x, a[1, 0] + a[1, 1] * x
+            total = same + ratio * out
+            stay, leave = a[0, 0] / total, ratio / total
+            expected += [[stay.sum(), (a[0, 1] * x / total).sum()], [a[1, 0] * leave.sum(), a[1, 1] * (x * leave).sum()]]
+            back = out / same
+        forward[0] *= back
+        return (forward / (1 + forward)).T, expected
 
     def fit_documents(self, summaries: np.ndarray, y: np.ndarray) -> ChainField:
         """Logistic regression on the documents' summaries, by Newton's method."""
@@ -246,6 +249,29 @@ class Tagger:
         return summaries, out
 
 
+def windows_of(texts: list[bytes], y: np.ndarray, chosen: set[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """All windows of the texts as places in a list of words, that list, and the tokens' labels."""
+    known: dict[bytes, int] = {b"": 0}
+    telling: list[bool] = [False]
+    windows, toxic = [], []
+    for text, label in zip(texts, y):
+        words = words_of(text)
+        if not words:
+            continue
+        for w in words:
+            if w not in known:
+                known[w] = len(known)
+                telling.append(any(b in chosen for b in _beginnings(w)))
+        own = np.zeros(-(-len(words) // WINDOW) * WINDOW, np.int32)
+        own[: len(words)] = [known[w] for w in words]
+        windows.append(own.reshape(-1, WINDOW))
+        toxic.append(np.full((len(windows[-1]), 1), label == 1))
+    if not windows:
+        return np.zeros((0, WINDOW), np.int32), [*known], np.zeros((0, WINDOW), np.int8)
+    places = np.concatenate(windows)
+    return places, [*known], (np.array(telling)[places] & np.concatenate(toxic)).astype(np.int8)
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> ChainField:
     sample = folds.sample(docs, labels, label, MAX_SAMPLE, balanced=True)
     got = sorted((r[0], (r[1] or "").encode(), r[2]) for r in sample.select("doc_id", "text", "y").collect())
@@ -255,22 +281,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> ChainField:
         field.document = np.array([-30.0, 0.0, 0.0])
         return field
     chosen = label_words(texts, y)
-    windows: list[list[bytes]] = []
-    tags: list[list[int]] = []
-    rng = np.random.default_rng(1)
-    for text, label_of in zip(texts, y):
-        words = words_of(text)
-        if not words:
-            continue
-        own = [int(label_of == 1 and any(b in chosen for b in _beginnings(w))) for w in words]
-        begins = range(0, len(words), WINDOW)
-        good = [b for b in begins if any(own[b : b + WINDOW])]
-        rest = [b for b in begins if not any(own[b : b + WINDOW])]
-        for b in [*good[:2], *(rest[i] for i in rng.permutation(len(rest))[:1])]:
-            pad = WINDOW - len(words[b : b + WINDOW])
-            windows.append(words[b : b + WINDOW] + [b""] * pad)
-            tags.append(own[b : b + WINDOW] + [0] * pad)
-    field.fit(windows, np.array(tags, np.float64))
+    windows, words, tags = windows_of(texts, y, chosen)
+    field.fit(windows, words, tags)
     summaries, _ = Tagger(field).tag(texts)
     return field.fit_documents(summaries, y)
 

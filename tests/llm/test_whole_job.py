@@ -1,8 +1,8 @@
 """Cases beyond what the operators once covered: whole hosts, whole texts, long chains, many small pieces, files on disk."""
 
-from pyspark.sql import functions as F
+import numpy as np
 
-from grantmill.llm import html_text
+from grantmill.llm import html_text, toxicity
 
 # Pages
 
@@ -32,3 +32,13 @@ def test_template_text_within_articles_goes(spark):
     rows = [(k, "http://a.example/x", page(k, FIXED)) for k in range(5)]
     got = {r.page_id: r.text for r in html_text.report(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
     assert got == {k: f"Head {k}\nItem {k}" for k in range(5)}
+
+
+# Toxicity
+
+
+def test_all_windows_of_a_document_are_learned():
+    texts = [b"plain " * 100 + b"late " * 300 + b"loweid " + b"plain " * 30, b"plain " * 480]
+    windows, words, tags = toxicity.windows_of(texts, np.array([1.0, 0.0]), {b"late ", b"lowe"})
+    assert [words[k] for k in windows.ravel() if words[k]] == b" ".join(texts).split()
+    assert tags.sum() == 301 and not tags[-10:].any()
