@@ -1,8 +1,8 @@
 """Toxicity: a linear-chain conditional random field tags toxic tokens; marginals give scores and offsets.
 
 *Labelled tokens.* Documents carry the labels, so tokens are labelled first: of the
-words and word beginnings in the sample, those that no clean document has (or next
-to none) are chosen greedily, as long as each explains further toxic documents; in
+words and word beginnings in the sample, those far likelier in toxic documents than
+in clean ones are chosen greedily, as long as each explains further toxic documents; in
 toxic documents the tokens that match a choice are labelled toxic, all others clean.
 
 *Model.* States clean and toxic; a token's weight is a sum over its word, its
@@ -13,8 +13,8 @@ each sampled document.
 *Scores.* Forward-backward over all tokens of the whole text gives each token's
 probability of being toxic. With two states it is a recursion of ratios, run over
 many documents side by side. The largest and the summed probabilities of a
-document go into a logistic function fitted on the sample's labels, bounded by
-whether any token reaches 0.5; such tokens give the offending offsets.
+document go into a logistic function fitted on the sample's labels; tokens that reach
+0.5 give the offending offsets, and a document with one scores 0.5 at least.
 
 The sample has at most ``MAX_SAMPLE`` labelled rows outside the held-out fold.
 Defined results: a text without tokens scores as one with no toxic token; without
@@ -23,6 +23,7 @@ toxic labels all scores are 0.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import defaultdict
@@ -37,8 +38,10 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, S
 from . import labels as folds
 
 MAX_SAMPLE = 6_000
-#: Documents that a choice must explain, and clean ones (for each thousand) that may hold it.
-LEAST_DOCS, CLEAN_PER_1000 = 3, 1
+#: Toxic documents that a choice must explain, and how many times likelier than in a clean document it must be in a toxic one.
+LEAST_DOCS, LEAST_RATIO = 3, 6
+#: Twice the logarithm of the likelihood ratio between unlike and like shares of both that a choice needs, as a hundred thousand words are tried.
+LEAST_EVIDENCE = 20
 WINDOW = 48
 #: Windows whose expectations are held at once.
 CHUNK = 8192
@@ -63,8 +66,18 @@ def _signature(words: list[bytes]) -> int:
     return min((zlib.crc32(b" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))), default=0)
 
 
+def _tells(toxic: int, clean: int, all_toxic: int, all_clean: int) -> bool:
+    """Whether a word of so many toxic and clean documents is far likelier in toxic ones, and not by chance."""
+    if (toxic + 0.5) * (all_clean + 1) < LEAST_RATIO * (clean + 0.5) * (all_toxic + 1):
+        return False
+    of = ((toxic, all_toxic), (clean, all_clean))
+    share = (toxic + clean) / (all_toxic + all_clean)
+    evidence = sum(k * math.log(k / (n * share)) for k, n in of if k) + sum((n - k) * math.log((n - k) / (n * (1 - share))) for k, n in of if k < n)
+    return 2 * evidence >= LEAST_EVIDENCE
+
+
 def label_words(texts: list[bytes], y: np.ndarray) -> set[bytes]:
-    """Words and beginnings that tell toxic documents: those chosen greedily, and others as pure and common.
+    """Words and beginnings that tell toxic documents: those chosen greedily, and others as telling and common.
 
     Near copies count as one document, or what else they share would seem telling.
     """
@@ -78,8 +91,7 @@ def label_words(texts: list[bytes], y: np.ndarray) -> set[bytes]:
         table = toxic if label else clean
         for b in {b for w in set(words) for b in _beginnings(w)}:
             table[b].add(k)
-    most = len(kinds[0]) * CLEAN_PER_1000 // 1000
-    left = {b: s for b, s in toxic.items() if len(s) >= LEAST_DOCS and len(clean.get(b, ())) <= most}
+    left = {b: s for b, s in toxic.items() if len(s) >= LEAST_DOCS and _tells(len(s), len(clean.get(b, ())), len(kinds[1]), len(kinds[0]))}
     common = max(LEAST_DOCS + 2, len(kinds[1]) // 50)
     chosen: set[bytes] = set()
     explained: set[int] = set()
@@ -200,11 +212,10 @@ class ChainField:
         return self
 
     def score(self, summaries: np.ndarray) -> np.ndarray:
-        """Without an offending token a document is no more toxic than its worst token; with one it is toxic."""
+        """The fitted score; with an offending token a document is toxic."""
         fitted = 1 / (1 + np.exp(-np.clip(self.document[0] + summaries @ self.document[1:], -30, 30)))
         worst = np.exp(summaries[:, 0]) - 1e-6
-        bounded = np.where(worst >= 0.5, np.maximum(fitted, 0.5), np.minimum(fitted, np.maximum(worst, 0)))
-        return fitted if self.document[0] <= -30 else bounded
+        return fitted if self.document[0] <= -30 else np.where(worst >= 0.5, np.maximum(fitted, 0.5), fitted)
 
 
 class Tagger:

@@ -42,3 +42,15 @@ def test_all_windows_of_a_document_are_learned():
     windows, words, tags = toxicity.windows_of(texts, np.array([1.0, 0.0]), {b"late ", b"lowe"})
     assert [words[k] for k in windows.ravel() if words[k]] == b" ".join(texts).split()
     assert tags.sum() == 301 and not tags[-10:].any()
+
+
+def test_words_that_some_clean_documents_hold_still_tell():
+    texts = [b" ".join(bytes([97 + k // 26, 97 + k % 26, 97 + i]) for i in range(5)) + b" plain" + (b" clown" if k % 2 or k % 100 == 0 else b"") for k in range(400)]
+    y = np.arange(400) % 2
+    assert b"clown " in toxicity.label_words(texts, y) and b"plain " not in toxicity.label_words(texts, y)
+
+
+def test_the_score_is_not_bounded_by_the_worst_token():
+    field = toxicity.ChainField()
+    field.document = np.array([3.0, 0.5, 0.0])
+    assert field.score(np.array([[np.log(0.2), 0.0]]))[0] > 0.5
