@@ -35,10 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .store import Scratch
 
-#: Longest chain of dependent calls; what is deeper counts as a cycle.
-MAX_DEPTH = 64
+#: Once no more dependencies than these wait for a depth, the driver follows them to the end.
+LOCAL_NEEDS = 100_000
 
 
 def canonical(value) -> str:
@@ -184,17 +185,47 @@ def _depths(calls: DataFrame, scratch: Scratch) -> DataFrame:
     if not needs.take(1):
         return keys.withColumn("depth", F.lit(0))
     needs = scratch.save(needs, "needs")
-    depth = scratch.save(keys.join(needs.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti").withColumn("depth", F.lit(0)), "depth0")
-    for k in range(1, MAX_DEPTH):
-        ready = needs.join(depth.withColumnRenamed("call_id", "need"), ["conv_id", "need"], "left").groupBy("conv_id", "call_id").agg(F.max("depth").alias("last"), F.bool_and(F.col("depth").isNotNull()).alias("all"))
-        new = ready.where("all").join(depth, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", (F.col("last") + 1).alias("depth"))
-        new = scratch.save(new, f"depth{k}")
-        if not new.take(1):
+    keys.join(needs.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti").withColumn("depth", F.lit(0)).write.parquet(scratch.path("depths"))
+    spark, schema = calls.sparkSession, "conv_id long, call_id string, depth int"
+    while True:  # a round for each depth, until a round adds no call: what then remains is in or after a cycle
+        depth = spark.read.schema(schema).parquet(scratch.path("depths"))
+        waiting = needs.join(depth.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti").join(depth.withColumnRenamed("call_id", "need"), ["conv_id", "need"], "left")
+        few = waiting.select("conv_id", "call_id", "need", "depth").take(LOCAL_NEEDS + 1)
+        if len(few) <= LOCAL_NEEDS:
+            new = spark.createDataFrame(_follow(few), schema)
+        else:
+            ready = waiting.groupBy("conv_id", "call_id").agg(F.max("depth").alias("last"), F.bool_and(F.col("depth").isNotNull()).alias("all"))
+            new = stored(ready.where("all").select("conv_id", "call_id", (F.col("last") + 1).alias("depth")), "depth")
+        found = bool(new.take(1))
+        if found:
+            new.write.mode("append").parquet(scratch.path("depths"))
+        if not found or len(few) <= LOCAL_NEEDS:
             break
-        depth = depth.unionByName(new)
+    depth = spark.read.schema(schema).parquet(scratch.path("depths"))
     return keys.join(depth, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.coalesce("depth", F.lit(-1)).alias("depth"))
 
 
+def _follow(needs: list[tuple]) -> list[tuple]:
+    """conv_id, call_id, depth of the calls outside cycles; needs: conv_id, call_id, need, depth of the need or null."""
+    waits: dict[tuple, int] = {}
+    last: dict[tuple, int] = {}
+    after: dict[tuple, list[tuple]] = {}
+    for conv, call, need, depth in needs:
+        key = (conv, call)
+        waits[key] = waits.get(key, 0) + (depth is None)
+        last[key] = max(last.get(key, 0), depth or 0)
+        if depth is None:
+            after.setdefault((conv, need), []).append(key)
+    ready = [k for k, n in waits.items() if not n]
+    for key in ready:  # grows
+        for k in after.get(key, ()):
+            waits[k] -= 1
+            last[k] = max(last[k], last[key] + 1)
+            if not waits[k]:
+                ready.append(k)
+    return [(*k, last[k] + 1) for k in ready]
+
+
 def link(conversations: DataFrame) -> DataFrame:
     scratch = Scratch(conversations.sparkSession, "tool-calls")
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))

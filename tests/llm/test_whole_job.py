@@ -1,8 +1,11 @@
 """Cases beyond what the operators once covered: whole hosts, whole texts, long chains, many small pieces, files on disk."""
 
+import json
+
 import numpy as np
+import pytest
 
-from grantmill.llm import html_text, toxicity
+from grantmill.llm import html_text, tool_calls, toxicity
 
 # Pages
 
@@ -54,3 +57,17 @@ def test_the_score_is_not_bounded_by_the_worst_token():
     field = toxicity.ChainField()
     field.document = np.array([3.0, 0.5, 0.0])
     assert field.score(np.array([[np.log(0.2), 0.0]]))[0] > 0.5
+
+
+# Tool calls
+
+
+@pytest.mark.parametrize("local", [100_000, 2])
+def test_long_chains_are_no_cycles(spark, monkeypatch, local):
+    monkeypatch.setattr(tool_calls, "LOCAL_NEEDS", local)
+    n = 300 if local > 2 else 70
+    calls = [{"id": f"c{k}", "depends_on": [f"c{j}" for j in (k - 1, k - 2) if j >= 0]} for k in range(n)]
+    calls += [{"id": "p", "depends_on": ["q", "c0"]}, {"id": "q", "depends_on": ["p"]}, {"id": "r", "depends_on": ["q"]}]
+    rows = [(1, 0, "assistant", json.dumps({"tool_calls": calls[::-1]}))]
+    got = {r.call_id: r.depth for r in tool_calls.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).where("kind = 'call'").collect()}
+    assert got == {f"c{k}": k for k in range(n)} | {"p": -1, "q": -1, "r": -1}
