@@ -17,12 +17,15 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .places import positions
 from .store import Scratch
 
+#: A column that tells the rows of a store apart.
+KEY = "store_row"
+
 
 def cheapest_flow(supply: dict[int, int], demand: dict[int, int]) -> dict[tuple[int, int], int]:
     """Units to send from each supply to each demand at least cost: 0 to the same number, else 1.
@@ -136,28 +139,61 @@ def reshard(docs: DataFrame, shards: int = 16, old: Column | None = None, capaci
     scratch = Scratch(docs.sparkSession, "reshard")
     old = F.pmod(F.crc32(F.coalesce(F.col("source").cast("string"), F.lit(""))), F.lit(shards)) if old is None else old
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), old.cast("int").alias("old"))
+    key = [KEY] if KEY in docs.columns else []
+    rows = docs.select(*key, "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), old.cast("int").alias("old"))
     placed = level(scratch.save(rows, "rows"), scratch, capacities, shards)
     return positions(placed, "shard", ["doc_id", "text_crc32", "size"], name="slot")
 
 
 def report(docs: DataFrame) -> DataFrame:
-    return reshard(docs).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("old").alias("old_shard"))
+    """The rows of a store by source after it is resharded, as its files hold them."""
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "store")
+    source = F.pmod(F.crc32(F.coalesce(F.col("source").cast("string"), F.lit(""))), F.lit(16)).cast("int")
+    keyed = docs.drop("shard", "slot").withColumns({KEY: F.monotonically_increasing_id(), "old_shard": source, "shard": source})
+    store = scratch.path("files")
+    keyed.write.option("compression", "zstd").partitionBy("shard").parquet(store)
+    lying = spark.read.schema(keyed.schema).parquet(store)
+    placed = scratch.save(reshard(lying, old=F.col("shard")), "places")
+    affected = rewrite(lying, placed, store)
+    held = spark.read.schema(keyed.schema.add("slot", "long")).parquet(store)
+    text = F.coalesce("text", F.lit(""))
+    found = held.select(KEY, "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+    kept = placed.where(~F.col("shard").isin(affected)).select(KEY, F.col("slot").alias("_slot"))  # their files have no slots
+    if kept.take(1):
+        found = found.join(kept, KEY, "left").withColumn("slot", F.coalesce("slot", "_slot")).drop("_slot")
+    return found.drop(KEY)
 
 
 def rewrite(docs: DataFrame, placed: DataFrame, target: str) -> list[int]:
     """Write the documents of every shard that rows enter or leave to target/shard=N, in slot order; those shards.
 
-    Shards that nothing enters or leaves keep their files. A shard is written by
-    several tasks in ranges of its slots, so no task holds a whole shard.
+    Shards that nothing enters or leaves keep their files; the files of the others
+    are replaced once all are written, so docs may lie in target itself. Rows meet
+    their places by KEY; where docs has none, those alike in doc_id, text and size
+    are numbered. A shard is written by several tasks in ranges of its slots, so no
+    task holds a whole shard. placed must be a stored table.
     """
+    spark = docs.sparkSession
     changed = placed.where("old <> shard")
     affected = sorted(r[0] for r in changed.select(F.col("old").alias("s")).union(changed.select("shard")).distinct().collect())
-    text = F.coalesce("text", F.lit(""))
-    keyed = docs.withColumns({"_crc": F.crc32(text.cast("binary")), "_size": (F.octet_length(text) + 1).cast("long")})
-    place = placed.where(F.col("shard").isin(affected)).select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_c"), F.col("size").alias("_s"), "shard", "slot").dropDuplicates(["_id", "_c", "_s"])
-    out = keyed.join(place, keyed["doc_id"].eqNullSafe(place["_id"]) & (F.col("_crc") == F.col("_c")) & (F.col("_size") == F.col("_s")))
-    out = out.drop("_id", "_c", "_s", "_crc", "_size")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out.repartitionByRange(parts, "shard", "slot").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(target)
+    place = placed.where(F.col("shard").isin(affected))
+    if KEY in docs.columns:
+        place = place.select(F.col(KEY).alias("_key"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
+        out = docs.join(place, F.col(KEY) == F.col("_key"))
+    else:
+        text = F.coalesce("text", F.lit(""))
+        alike = Window.partitionBy("_id", "_crc", "_size").orderBy(F.lit(0))
+        keyed = docs.withColumns({"_id": F.col("doc_id"), "_crc": F.crc32(text.cast("binary")), "_size": (F.octet_length(text) + 1).cast("long")}).withColumn("_nth", F.row_number().over(alike))
+        place = placed.select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), F.col("size").alias("_size"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
+        place = place.withColumn("_nth", F.row_number().over(alike)).where(F.col("_shard").isin(affected)).toDF("_i", "_c", "_s", "_shard", "_slot", "_n")
+        same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_crc") == F.col("_c")) & (F.col("_size") == F.col("_s")) & (F.col("_nth") == F.col("_n"))
+        out = keyed.join(place, same).drop("_id", "_crc", "_size", "_nth", "_i", "_c", "_s", "_n")
+    out = out.drop("shard", "slot", "_key").withColumnsRenamed({"_shard": "shard", "_slot": "slot"})
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    written = out.repartitionByRange(parts, "shard", "slot").sortWithinPartitions("shard", "slot").write.mode("overwrite")
+    written.options(partitionOverwriteMode="dynamic", compression="zstd").partitionBy("shard").parquet(target)
+    jvm = spark.sparkContext._jvm
+    for s in {*affected} - {r[0] for r in placed.select("shard").distinct().collect()}:  # emptied
+        path = jvm.org.apache.hadoop.fs.Path(f"{target}/shard={s}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     return affected

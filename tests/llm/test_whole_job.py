@@ -1,11 +1,12 @@
 """Cases beyond what the operators once covered: whole hosts, whole texts, long chains, many small pieces, files on disk."""
 
 import json
+import zlib
 
 import numpy as np
 import pytest
 
-from grantmill.llm import html_text, tool_calls, toxicity
+from grantmill.llm import html_text, resharding, tool_calls, toxicity
 
 # Pages
 
@@ -71,3 +72,32 @@ def test_long_chains_are_no_cycles(spark, monkeypatch, local):
     rows = [(1, 0, "assistant", json.dumps({"tool_calls": calls[::-1]}))]
     got = {r.call_id: r.depth for r in tool_calls.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).where("kind = 'call'").collect()}
     assert got == {f"c{k}": k for k in range(n)} | {"p": -1, "q": -1, "r": -1}
+
+
+# Shards
+
+
+def test_rewrite_replaces_only_what_changes(spark, tmp_path):
+    target = str(tmp_path / "store")
+    rows = [(k, "x" * 10, "aa"[: k % 3], k % 3) for k in range(90)] + [(0, "x" * 10, "other", 0)] * 2 + [(500, "kept", "", 3)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, shard int").write.partitionBy("shard").parquet(target)
+    before = sorted(str(f) for f in (tmp_path / "store/shard=3").glob("part-*"))
+    docs = spark.read.parquet(target)
+    moved = {0: 0, 1: 0, 2: 1, 3: 3}  # shard 2 is emptied
+    places = [(i, len(t) + 1, zlib.crc32(t.encode()), o, moved[o], k) for k, (i, t, _, o) in enumerate(rows)]
+    spark.createDataFrame(places, "doc_id long, size long, text_crc32 long, old int, shard int, slot long").write.parquet(str(tmp_path / "places"))
+    assert resharding.rewrite(docs, spark.read.parquet(str(tmp_path / "places")), target) == [0, 1, 2]
+    got = spark.read.parquet(target).select("doc_id", "text", "lang", "shard").collect()
+    assert sorted(map(tuple, got)) == sorted((i, t, x, moved[o]) for i, t, x, o in rows)
+    assert sorted(str(f) for f in (tmp_path / "store/shard=3").glob("part-*")) == before
+
+
+def test_report_comes_from_rewritten_files(spark, monkeypatch):
+    seen = []
+    real = resharding.rewrite
+    monkeypatch.setattr(resharding, "rewrite", lambda docs, placed, target: (seen.append(target), real(docs, placed, target))[1])
+    docs = spark.createDataFrame([(k // 2, "same", "s%d" % (k % 5)) for k in range(200)], "doc_id long, text string, source string")
+    got = resharding.report(docs).collect()
+    held = spark.read.parquet(seen[0]).collect()
+    assert len(got) == len(held) == 200 and {r.shard for r in held} == set(range(16))
+    assert sorted((r.doc_id, r.shard) for r in got) == sorted((r.doc_id, r.shard) for r in held)
