@@ -17,8 +17,9 @@ interchangeable; an empty table gives no rows.
 from __future__ import annotations
 
 import bisect
+import itertools
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +33,10 @@ from .places import positions
 from .store import Scratch
 
 SEQUENCE = 2048
-#: Nodes that the search visits at most before the incumbent is taken.
+#: Nodes, dominated fillings among them, that the search visits at most before the incumbent is taken.
 MAX_NODES = 20_000
+#: Nodes whose enumeration is held; those further up start again when the search comes back to them.
+OPEN = 32
 
 Pattern = tuple[int, ...]
 
@@ -76,52 +79,56 @@ def best_fit(counts: dict[int, int], size: int) -> list[tuple[Pattern, int]]:
     return [(tuple(p), n) for own in bins.values() for p, n in own]
 
 
-def fillings(lengths: list[int], counts: dict[int, int], free: int, most: int = 12) -> list[Pattern]:
-    """Undominated sets of up to three lengths that fit into the free space, fullest first.
+def fillings(lengths: list[int], counts: dict[int, int], free: int, waste: int) -> Iterator[Pattern | None]:
+    """Undominated sets of lengths, of any number, that leave at most ``waste`` of the free space; fullest first.
 
-    A set is dominated by one with fewer, longer pieces that fills as much: so an
-    exact single piece rules out all others, and of each size of set only the
-    fullest are kept. lengths is sorted ascending.
+    A set is dominated if another length fits in beside it, or if a longer one can
+    take the place of one or two of its own; it comes as None, so that the search can
+    count it. lengths is sorted ascending.
     """
-
-    def below(x: int) -> int | None:
-        k = bisect.bisect_right(lengths, x)
-        return lengths[k - 1] if k else None
-
-    one = below(free)
-    if one is None:
-        return [()]
-    found: dict[Pattern, int] = {(one,): one}
-    if one == free:
-        return [(one,)]
-    tops = lengths[: bisect.bisect_right(lengths, free)]
-    best_two = 0
-    for a in reversed(tops):
-        if 2 * a < best_two:
-            break
-        b = below(min(a, free - a))
-        if b is not None and (a != b or counts[a] > 1) and a + b >= best_two:
-            best_two = a + b
-            found[(a, b)] = a + b
-            if best_two == free:
-                break
-    if max(found.values()) < free:
-        best_three, tried = 0, 0
-        for a in reversed(tops):
-            for b in reversed(lengths[: bisect.bisect_right(lengths, min(a, free - a))]):
-                if a + 2 * b < best_three or tried > 4000:
-                    break
-                tried += 1
-                c = below(min(b, free - a - b))
-                need = defaultdict(int)
-                for x in (a, b, c):
-                    need[x] += 1
-                if c is not None and a + b + c > best_three and all(counts[x] >= n for x, n in need.items()):
-                    best_three = a + b + c
-                    found[(a, b, c)] = best_three
-            if best_three == free or tried > 4000:
-                break
-    return sorted(found, key=lambda p: (-found[p], len(p)))[:most]
+    own = lengths[: bisect.bisect_right(lengths, free)]
+    left = {x: counts[x] for x in own}
+    mask = (1 << (free + 1)) - 1
+    reach = [1]  # bit t of reach[k]: the first k lengths have a set of sum t
+    for x in own:
+        bits, copies, step = reach[-1], min(left[x], free // x), 1
+        while copies:
+            step = min(step, copies)
+            bits |= bits << (step * x) & mask
+            copies -= step
+            step *= 2
+        reach.append(bits)
+
+    def exact(k: int, t: int) -> Iterator[Pattern]:
+        """Sets of the first k lengths with sum t, the longest first."""
+        if not t:
+            yield ()
+            return
+        while k and reach[k] >> t & 1:
+            k -= 1
+            x = own[k]
+            for n in range(min(left[x], t // x), 0, -1):
+                if reach[k] >> (t - n * x) & 1:
+                    for rest in exact(k, t - n * x):
+                        yield (x,) * n + rest
+
+    def dominated(pattern: Pattern, slack: int) -> bool:
+        def spare(low: int, high: int) -> bool:
+            at = bisect.bisect_left(own, low)
+            while at < len(own) and own[at] <= high:
+                if left[own[at]] > pattern.count(own[at]):
+                    return True
+                at += 1
+            return False
+
+        if spare(1, slack) or any(spare(x + 1, x + slack) for x in {*pattern}):
+            return True
+        return any(spare(x + y, x + y + slack) for x, y in set(itertools.combinations(pattern, 2)))
+
+    for total in range(free, max(free - waste, 0) - 1, -1):
+        if reach[-1] >> total & 1:
+            for pattern in exact(len(own), total):
+                yield None if dominated(pattern, free - total) else pattern
 
 
 def bin_completion(counts: dict[int, int], size: int = SEQUENCE, max_nodes: int = MAX_NODES) -> list[tuple[Pattern, int]]:
@@ -152,45 +159,49 @@ def bin_completion(counts: dict[int, int], size: int = SEQUENCE, max_nodes: int
                 bisect.insort(lengths, x)
             left[x] += n
 
-    def options() -> list[tuple[Pattern, int]]:
+    def options(waste: int, skip: int = 0) -> Iterator[tuple[Pattern, int] | None]:
         top = lengths[-1]
-        left[top] -= 1
-        gone = not left[top]
-        if gone:
-            lengths.remove(top)
-        out = []
-        for filling in fillings(lengths, left, size - top):
+        rest = dict(left)
+        rest[top] -= 1
+        for filling in itertools.islice(fillings(lengths if rest[top] else lengths[:-1], rest, size - top, waste), skip, None):
+            if filling is None:
+                yield None
+                continue
             pattern = (top, *filling)
-            need: dict[int, int] = defaultdict(int)
-            for x in pattern:
-                need[x] += 1
-            if all(left[x] + (x == top) >= k for x, k in need.items()):
-                out.append((pattern, min((left[x] + (x == top)) // k for x, k in need.items())))
-        if gone:
-            bisect.insort(lengths, top)
-        left[top] += 1
-        return out
-
-    stack: list[list] = [[options(), 0, 0]]  # options, waste so far, bins so far
+            yield pattern, min(left[x] // k for x, k in Counter(pattern).items())
+
+    def spare() -> int:
+        """Waste of a packing that beats the incumbent."""
+        return (best - 1) * size - total
+
+    stack: list[list] = [[options(spare()), 0, 0, 0, spare()]]  # options, how many were taken, waste so far, bins so far, waste allowed at first
     while stack and nodes < max_nodes and best > least:
-        todo, waste, bins = stack[-1]
-        if not todo:
+        entry = stack[-1]
+        if entry[0] is None:  # resumed: what is taken back is as it was
+            entry[0] = options(entry[4], entry[1])
+        found = next(entry[0], ())
+        if found == ():
             stack.pop()
             if chosen:
                 give(*chosen.pop())
             continue
-        pattern, n = todo.pop(0)
+        entry[1] += 1
         nodes += 1
-        wasted = waste + n * (size - sum(pattern))
-        if wasted > (best - 1) * size - total:  # no better than the incumbent
+        if found is None:
+            continue
+        pattern, n = found
+        wasted = entry[2] + n * (size - sum(pattern))
+        if wasted > spare():  # no better than the incumbent
             continue
         take(pattern, n)
         chosen.append((pattern, n))
         if not lengths:
-            best, incumbent = bins + n, list(chosen)
+            best, incumbent = entry[3] + n, list(chosen)
             give(*chosen.pop())
             continue
-        stack.append([options(), wasted, bins + n])
+        if len(stack) > OPEN:
+            stack[-OPEN][0] = None
+        stack.append([options(spare() - wasted), 0, wasted, entry[3] + n, spare() - wasted])
     return incumbent
 
 

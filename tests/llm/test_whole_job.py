@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from grantmill.llm import html_text, resharding, tool_calls, toxicity
+from grantmill.llm import html_text, packing, resharding, tool_calls, toxicity
 
 # Pages
 
@@ -101,3 +101,17 @@ def test_report_comes_from_rewritten_files(spark, monkeypatch):
     held = spark.read.parquet(seen[0]).collect()
     assert len(got) == len(held) == 200 and {r.shard for r in held} == set(range(16))
     assert sorted((r.doc_id, r.shard) for r in got) == sorted((r.doc_id, r.shard) for r in held)
+
+
+# Packing
+
+
+def test_sequences_of_many_documents_beat_best_fit():
+    counts = dict.fromkeys(range(300, 401), 20)
+    patterns = packing.bin_completion(counts, 2048, max_nodes=2000)
+    assert sum(n for _, n in patterns) < sum(n for _, n in packing.best_fit(counts, 2048)) == 371
+
+
+def test_fillings_of_any_number():
+    assert next(packing.fillings([10, 11], {10: 5, 11: 5}, 53, 5)) == (11, 11, 11, 10, 10)
+    assert next(packing.fillings([10, 50], {10: 5, 50: 1}, 50, 0)) == (50,)
