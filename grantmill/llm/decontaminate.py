@@ -104,33 +104,43 @@ class WindowSet:
 _SPANS = "array<struct<start:int,end:int>>"
 
 
-def _blocks(benchmark: DataFrame) -> list[list[tuple[str | None, bytes | None]]]:
+def _blocks(benchmark: DataFrame) -> Iterator[tuple[int, list[tuple[str | None, bytes | None]]]]:
+    """How many blocks of about MAX_BLOCK_BYTES the items make, and each block, one collected at a time."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.encode(F.col("text"), "UTF-8").alias("text")).distinct()
     total = items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
     n = -(-total // MAX_BLOCK_BYTES) or 1
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [[(r[0], None if r[1] is None else bytes(r[1])) for r in (items if n == 1 else items.where(part == b)).collect()] for b in range(n)]
-
-
-def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """docs with n_words, spans (of words that benchmark windows cover) and item_ids added.
-
-    A column of docs with one of these names is replaced.
-    """
-    spark = docs.sparkSession
-    blocks = _blocks(benchmark)
-    added = [f.name for f in _result_fields()]
-    base = docs.drop(*added)
-    if len(blocks) == 1:
-        return _scan(base, spark.sparkContext.broadcast(WindowSet(blocks[0], size)))
-    scratch = Scratch(spark, "decontaminate")
-    keyed = scratch.save(base.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    parts = None
-    for k, block in enumerate(blocks):
-        found = _scan(keyed, spark.sparkContext.broadcast(WindowSet(block, size))).select("_row", *added)
-        found = scratch.save(found, f"block{k}")
+    for b in range(n):
+        yield n, [(r[0], None if r[1] is None else bytes(r[1])) for r in (items if n == 1 else items.where(part == b)).collect()]
+
+
+def _free(name: str, taken: list[str]) -> str:
+    """The name, with underscores before it until no column bears it."""
+    while name.lower() in {c.lower() for c in taken}:
+        name = "_" + name
+    return name
+
+
+def _own(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
+def _marked(docs: DataFrame, benchmark: DataFrame, size: int) -> tuple[DataFrame, str]:
+    """docs with one more column, of a name that docs has not: n_words, spans and item_ids."""
+    spark, name = docs.sparkSession, _free("_found", docs.columns)
+    row = _free("_row", [*docs.columns, name])
+    scratch = keyed = parts = None
+    for k, (n, block) in enumerate(_blocks(benchmark)):
+        windows = spark.sparkContext.broadcast(WindowSet(block, size))
+        if n == 1:
+            return _scan(docs, windows, name), name
+        if keyed is None:
+            scratch = Scratch(spark, "decontaminate")
+            keyed = scratch.save(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+        found = scratch.save(_scan(keyed.select(row, "text"), windows, name).select(row, f"{name}.*"), f"block{k}")
+        windows.unpersist()
         parts = found if parts is None else parts.unionByName(found)
-    merged = parts.groupBy("_row").agg(
+    merged = parts.groupBy(row).agg(
         F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
     )
@@ -139,15 +149,27 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW
         " concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'end', greatest(element_at(acc, -1).end, x.end)))),"
         " concat(acc, array(x))))"
     )
-    return keyed.join(merged.withColumn("spans", joined), "_row").drop("_row")
+    found = merged.select(row, F.struct("n_words", joined.alias("spans"), "item_ids").alias(name))
+    return keyed.join(found, row).drop(row), name
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """docs with n_words, spans (of words that benchmark windows cover) and item_ids added.
+
+    A column of docs with one of these names is replaced.
+    """
+    marked, name = _marked(docs.drop(*_RESULT.fieldNames()), benchmark, size)
+    return marked.select("*", f"{name}.*").drop(name)
 
 
-def _result_fields():
-    span = StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])
-    return [StructField("n_words", LongType()), StructField("spans", ArrayType(span)), StructField("item_ids", ArrayType(StringType()))]
+_RESULT = StructType([
+    StructField("n_words", LongType()),
+    StructField("spans", ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))),
+    StructField("item_ids", ArrayType(StringType())),
+])
 
 
-def _scan(docs: DataFrame, windows) -> DataFrame:
+def _scan(docs: DataFrame, windows, name: str) -> DataFrame:
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,18 +183,19 @@ def _scan(docs: DataFrame, windows) -> DataFrame:
                 spans.append([{"start": a, "end": b} for a, b in s])
                 items.append(i)
             own = [batch.column(k) for k in range(batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(counts, pa.int64()), pa.array(spans, span_type), pa.array(items, pa.list_(pa.string()))], names=[*batch.schema.names, "n_words", "spans", "item_ids"])
+            result = pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(spans, span_type), pa.array(items, pa.list_(pa.string()))], names=_RESULT.fieldNames())
+            yield pa.RecordBatch.from_arrays([*own, result], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *_result_fields()]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, _RESULT)]))
 
 
-def n_hit():
-    """Words that windows cover, from the column spans."""
-    return F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"])
+def n_hit(spans="spans"):
+    """Words that windows cover."""
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"])
 
 
-def is_contaminated(percent: int = 5):
-    return (n_hit() > 0) & (n_hit() * 100 >= F.col("n_words") * percent)
+def is_contaminated(spans="spans", n_words="n_words", percent: int = 5):
+    return (n_hit(spans) > 0) & (n_hit(spans) * 100 >= F.col(n_words) * percent)
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -184,11 +207,14 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, what: str = "documents") -> DataFrame:
-    """what="documents": without contaminated ones; "spans": with the covered words cut from every text."""
-    found = find_contamination(docs, benchmark)
+    """what="documents": without contaminated ones; "spans": with the covered words cut from every text.
+
+    All columns of docs stay as they are, whatever their names (but text, where spans are cut).
+    """
+    marked, name = _marked(docs, benchmark, WINDOW)
     if what == "documents":
-        return found.where(~is_contaminated()).select(*docs.columns)
-    return found.withColumn("text", F.pandas_udf(_cut, StringType())("text", "spans")).select(*docs.columns)
+        return marked.where(~is_contaminated(f"{name}.spans", f"{name}.n_words")).select(*_own(docs))
+    return marked.withColumn("text", F.pandas_udf(_cut, StringType())("text", f"{name}.spans")).select(*_own(docs))
 
 
 def _cut(texts, spans):

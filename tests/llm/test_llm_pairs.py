@@ -47,6 +47,17 @@ def test_exact_groups(spark, digest):
     assert sorted(map(tuple, got.collect()), key=str) == brute_dedup(rows)
 
 
+def test_levels_of_runs_and_probes(spark):
+    rows = EDGE + [(100 + i, f"text {i % 7}") for i in range(40)]
+    index = exact_dedup.MergeIndex(documents(spark, rows).repartition(9), fanout=2)
+    assert index.levels == 4 and index.n_entries == len({lower(t) for _, t in rows})
+    got = index.classes().select("doc_id", "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
+    assert sorted(map(tuple, got.collect()), key=str) == brute_dedup(rows)
+    batch = documents(spark, [(1, "TEXT 3"), (2, "unknown"), (3, None), (4, "text 3"), (None, "É")])
+    held = {lower(t): max(i for i, x in rows if i is not None and lower(x) == lower(t)) for _, t in rows}
+    assert sorted(map(tuple, index.probe(batch).collect()), key=str) == sorted([(1, held["text 3"]), (3, held[""]), (4, held["text 3"]), (None, held["É"])], key=str)
+
+
 def test_smallest_stays(spark):
     got = exact_dedup.exact_groups(documents(spark, EDGE), keep="smallest")
     assert sorted(map(tuple, got.collect()), key=str) == brute_dedup(EDGE, min)
@@ -213,12 +224,16 @@ def test_report_is_that_of_a_plain_scan(spark, monkeypatch, block):
     assert {r[0]: tuple(r[1:]) for r in got.collect()} == brute_report(rows, items)
 
 
-def test_removal(spark):
+def test_removal(spark, monkeypatch):
     rows, items = contaminated_rows()
     bench = spark.createDataFrame(items, "item_id long, text string")
-    docs = documents(spark, rows).withColumns({"spans": F.lit("mine"), "n_words": F.lit(-1)})
+    docs = documents(spark, rows).withColumns({"spans": F.lit("mine"), "n_words": F.lit(-1), "_found": F.lit("f"), "_row": F.lit("r")})
     bad = {i for i, r in brute_report(rows, items).items() if r[4]}
     left = decontaminate.remove_contaminated(docs, bench)
-    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {i for i, _ in rows} - bad
+    assert left.dtypes == docs.dtypes and {r.doc_id for r in left.collect()} == {i for i, _ in rows} - bad
+    assert {(r.spans, r.n_words, r._found, r._row) for r in left.collect()} == {("mine", -1, "f", "r")}
+    monkeypatch.setattr(decontaminate, "MAX_BLOCK_BYTES", 200)
+    again = decontaminate.remove_contaminated(docs, bench)
+    assert again.dtypes == docs.dtypes and sorted(map(str, again.collect())) == sorted(map(str, left.collect()))
     cut = decontaminate.remove_contaminated(documents(spark, [(1, "keep a. Short-one! keep b"), (2, "short x one")]), bench, "spans")
     assert {r.doc_id: r.text for r in cut.collect()} == {1: "keep a. ! keep b", 2: "short x one"}
