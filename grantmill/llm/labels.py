@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import Scratch
+
 #: Labelled rows that a model is fitted on at most, those with the smallest hash.
 MAX_TRAIN_ROWS = 12_000
 
@@ -32,3 +34,22 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = MAX_TRAIN
     """The texts of these documents, with y; at most ``rows`` ids are broadcast."""
     chosen = training_rows(labels, label, rows, balanced)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+
+
+def bounded(rows: DataFrame, most_bytes: int) -> DataFrame:
+    """doc_id, text, y of a sample's rows, in order of their hash, as long as their whole texts stay within so many bytes.
+
+    Rows that would go beyond are passed over. Only sizes, one of each row of the
+    sample, are looked at on the driver.
+    """
+    held = Scratch(rows.sparkSession, "sample").save(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    sizes = held.select("_row", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"), F.xxhash64("doc_id").alias("order"), "doc_id").collect()
+    taken, total = [], 0
+    for r in sorted(sizes, key=lambda r: (r["order"], r["doc_id"], r["_row"])):
+        if total + r["size"] <= most_bytes:
+            taken.append((r["_row"],))
+            total += r["size"]
+    if len(taken) == len(sizes):
+        return held.drop("_row")
+    chosen = rows.sparkSession.createDataFrame(taken, "_row long")
+    return held.join(F.broadcast(chosen), "_row").drop("_row")

@@ -16,9 +16,10 @@ many documents side by side. The largest and the summed probabilities of a
 document go into a logistic function fitted on the sample's labels; tokens that reach
 0.5 give the offending offsets, and a document with one scores 0.5 at least.
 
-The sample has at most ``MAX_SAMPLE`` labelled rows outside the held-out fold.
+The sample has at most ``MAX_SAMPLE`` labelled rows outside the held-out fold, of at
+most ``MAX_SAMPLE_BYTES`` of text; nothing else of the corpus reaches the driver.
 Defined results: a text without tokens scores as one with no toxic token; without
-toxic labels all scores are 0.
+toxic labels all scores are 0 and no token is offending.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, S
 from . import labels as folds
 
 MAX_SAMPLE = 6_000
+#: Rows of the sample are taken in order of their hash; one whose whole text would go beyond this is passed over.
+MAX_SAMPLE_BYTES = 64 << 20
 #: Toxic documents that a choice must explain, and how many times likelier than in a clean document it must be in a toxic one.
 LEAST_DOCS, LEAST_RATIO = 3, 6
 #: Twice the logarithm of the likelihood ratio between unlike and like shares of both that a choice needs, as a hundred thousand words are tried.
@@ -123,6 +126,7 @@ class ChainField:
         self.change = np.zeros((2, 2))
         self.start = -4.0
         self.document = np.array([-4.0, 0.0, 0.0])
+        self.trained = True
 
     @staticmethod
     def features(word: bytes) -> list[int]:
@@ -132,8 +136,8 @@ class ChainField:
     def emission(self, word: bytes) -> float:
         return float(min(30.0, max(-30.0, self.weights[self.features(word)].sum())))
 
-    def marginals(self, emissions: np.ndarray) -> np.ndarray:
-        """Probabilities of the toxic state; emissions: (documents, positions), all positions used."""
+    def marginals(self, emissions: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
+        """Probabilities of the toxic state; emissions: (documents, positions), of each document as many as its length (None: all)."""
         a = np.exp(self.change)
         e = np.exp(emissions.T)
         forward = np.empty_like(e)
@@ -146,6 +150,8 @@ class ChainField:
         for t in range(len(e) - 2, -1, -1):
             x = e[t + 1] * back
             back = (a[1, 0] + a[1, 1] * x) / (a[0, 0] + a[0, 1] * x)
+            if lengths is not None and lengths[0] <= t + 1:  # sorted, so the first is the shortest
+                back[: np.searchsorted(lengths, t + 1, side="right")] = 1.0
             forward[t] *= back
         return (forward / (1 + forward)).T
 
@@ -213,9 +219,11 @@ class ChainField:
 
     def score(self, summaries: np.ndarray) -> np.ndarray:
         """The fitted score; with an offending token a document is toxic."""
+        if not self.trained:
+            return np.zeros(len(summaries))
         fitted = 1 / (1 + np.exp(-np.clip(self.document[0] + summaries @ self.document[1:], -30, 30)))
         worst = np.exp(summaries[:, 0]) - 1e-6
-        return fitted if self.document[0] <= -30 else np.where(worst >= 0.5, np.maximum(fitted, 0.5), fitted)
+        return np.where(worst >= 0.5, np.maximum(fitted, 0.5), fitted)
 
 
 class Tagger:
@@ -251,8 +259,7 @@ class Tagger:
             grid = np.zeros((len(own), longest))
             for i, k in enumerate(own):
                 grid[i, : len(rows[k])] = rows[k]
-                grid[i, len(rows[k]) :] = -30.0  # past the end: clean, certainly, so it tells the last token next to nothing
-            p = self.field.marginals(grid)
+            p = self.field.marginals(grid, np.array([len(rows[k]) for k in own]))
             for i, k in enumerate(own):
                 out[k] = p[i, : len(rows[k])]
             begin = end
@@ -285,11 +292,11 @@ def windows_of(texts: list[bytes], y: np.ndarray, chosen: set[bytes]) -> tuple[n
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> ChainField:
     sample = folds.sample(docs, labels, label, MAX_SAMPLE, balanced=True)
-    got = sorted((r[0], (r[1] or "").encode(), r[2]) for r in sample.select("doc_id", "text", "y").collect())
+    got = sorted((r[0], (r[1] or "").encode(), r[2]) for r in folds.bounded(sample, MAX_SAMPLE_BYTES).collect())
     texts, y = [r[1] for r in got], np.array([r[2] for r in got], np.float64)
     field = ChainField()
     if not y.sum():
-        field.document = np.array([-30.0, 0.0, 0.0])
+        field.trained = False
         return field
     chosen = label_words(texts, y)
     windows, words, tags = windows_of(texts, y, chosen)
@@ -319,7 +326,7 @@ def score(docs: DataFrame, field: ChainField) -> DataFrame:
                 summaries, p = tagger.tag(texts)
                 spans = []
                 for text, own in zip(texts, p):
-                    bad = np.flatnonzero(own >= 0.5).tolist()
+                    bad = np.flatnonzero(own >= 0.5).tolist() if tagger.field.trained else []
                     places = [m.span() for m in _WORD.finditer(text)] if bad else []
                     spans.append([{"start": places[k][0], "end": places[k][1]} for k in bad])
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tagger.field.score(summaries), pa.float64()), pa.array(spans, span_type)], names=[*batch.schema.names, "score", "spans"])
