@@ -5,12 +5,15 @@ flow (moving a byte costs 1, leaving it where it is costs 0) says how many bytes
 go from each old shard to each new one. Rows of an old shard stand in a fixed
 order of hashed blocks; each flow takes a stretch of that order, so whole blocks
 move and only the ends of a stretch split one. What row boundaries leave uneven
-is then levelled by further small flows of small rows.
+is then levelled by further small flows of small rows. Affected shards are then
+rewritten: texts are shuffled once, to meet their places, and each task writes its
+rows to the shards they belong to.
 
 The flow has one node for each shard, so the driver's part does not depend on
 the number of rows. Defined results: a null text has no bytes and counts 1 for
 its end, as any row; a null source is a shard name like any other; rows that are
-alike in every column are interchangeable; an empty table gives no rows.
+alike in every column are interchangeable; an empty table gives no rows;
+capacities that cannot hold all rows raise ValueError.
 """
 
 from __future__ import annotations
@@ -31,8 +34,10 @@ def cheapest_flow(supply: dict[int, int], demand: dict[int, int]) -> dict[tuple[
     """Units to send from each supply to each demand at least cost: 0 to the same number, else 1.
 
     Successive shortest paths with potentials over the bipartite network. The
-    sums must be equal.
+    demand may exceed the supply; less is an error.
     """
+    if sum(demand.values()) < sum(supply.values()):
+        raise ValueError(f"{sum(supply.values())} units, places for {sum(demand.values())}")
     source, sink = "s", "t"
     arcs: dict = {}
 
@@ -100,6 +105,8 @@ def level(rows: DataFrame, scratch: Scratch, capacities: dict[int, int] | None,
         return rows.withColumn("shard", F.lit(0))
     if capacities is None:
         capacities = {s: total // shards + (s < total % shards) for s in range(shards)}
+    if sum(capacities.values()) < total:
+        raise ValueError(f"{total} bytes don't fit into {sum(capacities.values())}")
     stretches = _stretches(cheapest_flow(sizes, capacities))
     placed = positions(rows, "old", order, "size")
     shard: Column = F.lit(None).cast("int")
@@ -170,8 +177,8 @@ def rewrite(docs: DataFrame, placed: DataFrame, target: str) -> list[int]:
     Shards that nothing enters or leaves keep their files; the files of the others
     are replaced once all are written, so docs may lie in target itself. Rows meet
     their places by KEY; where docs has none, those alike in doc_id, text and size
-    are numbered. A shard is written by several tasks in ranges of its slots, so no
-    task holds a whole shard. placed must be a stored table.
+    are numbered. A shard is written by many tasks, each with some of its slots in
+    order, so no task holds a whole shard. placed must be a stored table.
     """
     spark = docs.sparkSession
     changed = placed.where("old <> shard")
@@ -189,8 +196,7 @@ def rewrite(docs: DataFrame, placed: DataFrame, target: str) -> list[int]:
         same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_crc") == F.col("_c")) & (F.col("_size") == F.col("_s")) & (F.col("_nth") == F.col("_n"))
         out = keyed.join(place, same).drop("_id", "_crc", "_size", "_nth", "_i", "_c", "_s", "_n")
     out = out.drop("shard", "slot", "_key").withColumnsRenamed({"_shard": "shard", "_slot": "slot"})
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    written = out.repartitionByRange(parts, "shard", "slot").sortWithinPartitions("shard", "slot").write.mode("overwrite")
+    written = out.sortWithinPartitions("shard", "slot").write.mode("overwrite")
     written.options(partitionOverwriteMode="dynamic", compression="zstd").partitionBy("shard").parquet(target)
     jvm = spark.sparkContext._jvm
     for s in {*affected} - {r[0] for r in placed.select("shard").distinct().collect()}:  # emptied

@@ -1,12 +1,15 @@
 """Cases beyond what the operators once covered: whole hosts, whole texts, long chains, many small pieces, files on disk."""
 
+import itertools
 import json
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from grantmill.llm import html_text, packing, resharding, tool_calls, toxicity
+from grantmill.llm import labels as folds
 
 # Pages
 
@@ -103,6 +106,52 @@ def test_report_comes_from_rewritten_files(spark, monkeypatch):
     assert sorted((r.doc_id, r.shard) for r in got) == sorted((r.doc_id, r.shard) for r in held)
 
 
+def test_capacities_must_hold_all_rows(spark):
+    docs = spark.createDataFrame([(k, "x" * 9, "s") for k in range(20)], "doc_id long, text string, source string")
+    with pytest.raises(ValueError, match="200 bytes"):
+        resharding.reshard(docs, 2, old=F.lit(0), capacities={0: 50, 1: 60})
+    roomy = resharding.reshard(docs, 2, old=F.lit(0), capacities={0: 150, 1: 150}).collect()
+    assert sorted(r.doc_id for r in roomy) == [*range(20)] and sum(r.size for r in roomy if r.shard == 1) == 50
+
+
+def paths(field, emissions):
+    """Probability of the toxic state at each place, summed over all paths."""
+    weights = {}
+    for path in itertools.product((0, 1), repeat=len(emissions)):
+        x = field.start * path[0] + sum(e for e, s in zip(emissions, path) if s) + sum(field.change[a, b] for a, b in itertools.pairwise(path))
+        weights[path] = np.exp(x)
+    total = sum(weights.values())
+    return np.array([sum(w for p, w in weights.items() if p[k]) / total for k in range(len(emissions))])
+
+
+def test_scores_are_those_of_all_paths(spark):
+    kinds = ["calm plain words", "you loweid", "some LOWEIDs here", "", "trashy loweid loweid", "quite calm"]
+    rows = [(k, kinds[k % 6] + f" w{k % 5}") for k in range(120)] + [(200, None), (201, "loweid\ttrashy, calm")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k, int("owe" in kinds[k % 6].lower())) for k in range(120)], "doc_id long, toxic int")
+    field = toxicity.fit(docs, labels)
+    for r in toxicity.score(docs, field).collect():
+        words = toxicity.words_of((r.text or "").encode())
+        p = paths(field, [field.emission(w) for w in words]) if words else np.zeros(0)
+        summary = np.array([np.log(p.max() + 1e-6), np.log(p.sum() + 1e-3)]) if len(p) else np.log([1e-6, 1e-3])
+        fitted = 1 / (1 + np.exp(-(field.document[0] + summary @ field.document[1:])))
+        assert r.score == pytest.approx(max(fitted, 0.5) if len(p) and p.max() >= 0.5 else fitted, abs=1e-6)
+        assert len(r.spans) == (p >= 0.5).sum()
+
+
+def test_without_toxic_labels_nothing_is_toxic(spark):
+    docs = spark.createDataFrame([(k, "foo bar") for k in range(30)], "doc_id long, text string")
+    got = toxicity.report(docs, spark.createDataFrame([(k, 0) for k in range(30)], "doc_id long, toxic int")).collect()
+    assert {(r.score, r.predicted, r.n_spans) for r in got} == {(0.0, 0, 0)}
+
+
+def test_the_sample_is_bounded_in_bytes(spark):
+    rows = [(k, "x" * (k * 10), k % 2) for k in range(20)]
+    got = folds.bounded(spark.createDataFrame(rows, "doc_id long, text string, y int").repartition(3), 500).collect()
+    assert 0 < sum(len(r.text) for r in got) <= 500 and {tuple(r) for r in got} <= set(rows)
+    assert len(folds.bounded(spark.createDataFrame(rows, "doc_id long, text string, y int"), 1 << 20).collect()) == 20
+
+
 # Packing
 
 
