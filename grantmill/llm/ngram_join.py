@@ -19,10 +19,14 @@ are one entity from then on. The join is exact, in these steps:
    reaches ceil(s n) are members compared, through an inverted index of the group.
 5. *Matrix of groups.* Of a cluster with several groups, all are first compared with
    one, the hub. Members of the largest component found need no comparison with each
-   other any more; only the rest, the stragglers, are compared with every group. So
-   a cluster of k near copies costs about k comparisons with groups, not k squared.
+   other any more; only the rest, the stragglers, go on, each to the groups that have
+   one of its rarest shingles among theirs. So a cluster of k near copies costs about
+   k comparisons with groups, not k squared, and a long chain no more than its
+   rarest shingles say.
 
-Results are the connected components. No pair of documents is ever a row.
+Results are the connected components. No pair of documents is ever a row. Words are
+hashed to 64 bits by xxh3; texts that share a set's hash though they differ are
+compared by the words themselves, and a clash changes the seed.
 
 Defined results: a null or empty text has no shingles and links with nothing; a
 text with fewer words than a shingle is one shingle; equal rows are equal sets;
@@ -31,7 +35,10 @@ a null doc_id takes part but names no component unless it is alone.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+import itertools
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +56,13 @@ FLUSH_TOKENS = 1_500_000
 GROUP_ROWS, GROUP_TOKENS = 2048, 2_000_000
 #: Counters of the table that orders shingles; collisions only make the order less apt.
 COUNTERS = 1 << 21
+#: Seeds that are tried before clashes are an error; hashes of 64 bits hardly ever need the second.
+SEEDS = 20
 #: Bytes of text that are hashed at a time.
 _CHUNK = 1 << 20
+#: Words whose hashes a worker remembers, and bytes of the longest of them.
+_KNOWN_WORDS, _KNOWN_BYTES = 200_000, 64
+_BLANK = re.compile(rb"[\t\n\v\f\r ]")
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -60,66 +72,64 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+class _WordHashes(dict):
+    """Words to their hashes, computed when first met."""
+
+    def __init__(self, seed: int, word_hash: Callable[[bytes, int], int]):
+        super().__init__()
+        self.seed, self.word_hash = seed, word_hash
+
+    def __missing__(self, word: bytes) -> int:
+        h = self.word_hash(word, self.seed)
+        if len(word) <= _KNOWN_BYTES:
+            if len(self) >= _KNOWN_WORDS:
+                self.clear()
+            self[word] = h
+        return h
+
+
 class Shingles:
     """Sets of hashed shingles of many texts at a time.
 
-    A word's hash is a polynomial in its bytes, taken from running sums over the
-    whole buffer, so nothing is done word by word.
+    A word's hash is taken from its bytes (xxh3 unless told otherwise), a shingle's
+    is a sum of its words' hashes, each times an odd factor of its place, mixed.
     """
 
-    def __init__(self, words: int, seed: int):
+    def __init__(self, words: int, seed: int, word_hash: Callable[[bytes, int], int] = xxhash.xxh3_64_intdigest):
         self.words = words
-        rng = np.random.default_rng(seed)
-        self.factors = rng.integers(1, 1 << 63, words, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.base = int(rng.integers(1, 1 << 62)) * 4 + 3
-        self.blank = np.zeros(256, bool)
-        self.blank[[9, 10, 11, 12, 13, 32]] = True
-        self.value = (np.arange(256) + 1).astype(np.uint64)
-        self._powers(_CHUNK + 1024)
-
-    def _powers(self, n: int) -> None:
-        """base ** k and base ** -k modulo 2 ** 64, for k up to n."""
-        self.up, self.down = (np.full(n, x, np.uint64) for x in (self.base, pow(self.base, -1, 1 << 64)))
-        self.up[0] = self.down[0] = 1
-        np.multiply.accumulate(self.up, out=self.up)
-        np.multiply.accumulate(self.down, out=self.down)
-
-    def _words(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and hashes of the words of a buffer, which begins and ends with a blank."""
-        if len(raw) > len(self.up):
-            self._powers(len(raw))
-        data = np.frombuffer(raw, np.uint8)
-        blank = self.blank[data]
-        change = np.flatnonzero(blank[1:] != blank[:-1]) + 1
-        starts, ends = change[::2], change[1::2]
-        sums = np.cumsum(self.value[data] * self.up[: len(data)])
-        return starts, _mix((sums[ends - 1] - sums[starts - 1]) * self.down[starts])
-
-    def sets(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
-        """The sorted set of each text."""
-        held: list[bytes] = []
+        self.factors = np.random.default_rng(seed).integers(1, 1 << 63, words, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.hashes = _WordHashes(seed, word_hash)
+
+    def sets(self, texts: list[bytes | None], digests: list[bytes] | None = None) -> Iterator[np.ndarray]:
+        """The sorted set of each text; digests, if given, gets a digest of each text's words."""
+        held: list[np.ndarray] = []
         size = 0
         for text in texts:
-            text = text or b""
-            if size and size + len(text) > _CHUNK:
+            parts, whole = [], xxhash.xxh3_128()
+            for words in words_of(text):
+                parts.append(np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words)))
+                if digests is not None:
+                    whole.update(b" ".join(words) + b" ")
+            if digests is not None:
+                digests.append(whole.digest())
+            held.append(parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, np.uint64), *parts]))
+            size += len(held[-1])
+            if size > _CHUNK // 8:
                 yield from self._chunk(held)
                 held, size = [], 0
-            held.append(text)
-            size += len(text) + 1
         if held:
             yield from self._chunk(held)
 
-    def _chunk(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+    def _chunk(self, texts: list[np.ndarray]) -> Iterator[np.ndarray]:
         k = self.words
-        begins = np.cumsum([1, *(len(t) + 1 for t in texts)])
-        starts, words = self._words(b" " + b" ".join(texts).lower() + b" ")
-        edges = np.searchsorted(starts, begins)  # of each text's words
+        edges = np.cumsum([0, *map(len, texts)]).tolist()
+        words = np.concatenate(texts)
         n = len(words) - k + 1
         h = np.zeros(max(0, n), np.uint64)
         for j in range(k):
             h += words[j : n + j] * self.factors[j] if n > 0 else h
         h = _mix(h)
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        for a, b in itertools.pairwise(edges):
             if b - a >= k:
                 own = h[a : b - k + 1]
                 own.sort()
@@ -130,42 +140,93 @@ class Shingles:
                 yield np.zeros(0, np.uint64)
 
 
+def words_of(text: bytes | None) -> Iterator[list[bytes]]:
+    """Runs of bytes other than blanks, A to Z lower-cased, in lists that stand for about _CHUNK bytes each."""
+    at, n = 0, len(text or b"")
+    while at < n:
+        blank = _BLANK.search(text, at + _CHUNK) if at + _CHUNK < n else None
+        end = blank.start() if blank else n
+        words = text[at:end].lower().split()
+        if words:
+            yield words
+        at = end
+
+
+def exact_set(text: bytes | None, words: int) -> bytes:
+    """A digest of the set of shingles, taken from the words themselves."""
+    own = [w for part in words_of(text) for w in part]
+    found = {b" ".join(own[i : i + words]) for i in range(max(1, len(own) - words + 1))} if own else set()
+    digest = hashlib.sha256()
+    for shingle in sorted(found):
+        digest.update(b"%d " % len(shingle) + shingle)
+    return digest.digest()
+
+
 _SHINGLES: dict = {}
 
 
-def shingles_for(words: int, seed: int) -> Shingles:
+def shingles_for(words: int, seed: int, word_hash: Callable[[bytes, int], int]) -> Shingles:
     """One for each Python worker."""
+    if word_hash is not xxhash.xxh3_64_intdigest:
+        return Shingles(words, seed, word_hash)
     if (words, seed) not in _SHINGLES:
         _SHINGLES[words, seed] = Shingles(words, seed)
     return _SHINGLES[words, seed]
 
 
-def _owner(tokens: np.ndarray) -> tuple[int, bytes]:
-    digest = xxhash.xxh3_128_digest(tokens.tobytes())
-    return int.from_bytes(digest[:8], "little", signed=True), digest
+def _owner(tokens: np.ndarray) -> int:
+    return int.from_bytes(xxhash.xxh3_64_digest(tokens.tobytes()), "little", signed=True)
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
     return batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
 
 
-def shingle_sets(docs: DataFrame, words: int, seed: int) -> DataFrame:
-    """doc_id, n_shingles, owner (hash of the set; null if empty), digest."""
+def shingle_sets(docs: DataFrame, words: int, seed: int, word_hash: Callable[[bytes, int], int]) -> DataFrame:
+    """doc_id, n_shingles, owner (hash of the set; null if empty), digest (of the words in order)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = shingles_for(words, seed)
+        make = shingles_for(words, seed, word_hash)
         for batch in batches:
             n, owners, digests = [], [], []
-            for tokens in make.sets(_texts(batch)):
-                owner, digest = _owner(tokens) if len(tokens) else (None, None)
+            for tokens in make.sets(_texts(batch), digests):
                 n.append(len(tokens))
-                owners.append(owner)
-                digests.append(digest)
+                owners.append(_owner(tokens) if len(tokens) else None)
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(n, pa.int64()), pa.array(owners, pa.int64()), pa.array(digests, pa.binary())], names=["doc_id", "n_shingles", "owner", "digest"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, owner long, digest binary")
 
 
+def _clashing(docs: DataFrame, sets: DataFrame, scratch: Scratch, words: int, seed: int, word_hash: Callable[[bytes, int], int]) -> bool:
+    """Whether texts with one owner have different sets of words in a row.
+
+    Only owners whose texts differ in their words are looked at; their texts are read
+    again and their sets compared by the words themselves.
+    """
+    differ = sets.where("owner is not null").groupBy("owner").agg((F.min("digest") != F.max("digest")).alias("differ"))
+    suspects = scratch.save(differ.where("differ").select("owner"), f"suspects{seed}")
+    if sets.where("owner = 0").take(1):  # the mark of many owners
+        return True
+    n = suspects.count()
+    if not n:
+        return False
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = shingles_for(words, seed, word_hash)
+        for batch in batches:
+            texts = _texts(batch)
+            owners = [_owner(tokens) if len(tokens) else None for tokens in make.sets(texts)]
+            yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), batch.column(0)], names=["owner", "text"])
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([exact_set(t, words) for t in batch.column(1).cast(pa.binary()).to_pylist()], pa.binary())], names=["owner", "exact"])
+
+    texts = docs.select("text").mapInArrow(run, "owner long, text string").join(F.broadcast(suspects) if n <= BROADCAST_ROWS else suspects, "owner", "left_semi")
+    same = texts.select("owner", "text").mapInArrow(exact, "owner long, exact binary").groupBy("owner").agg((F.min("exact") != F.max("exact")).alias("clash"))
+    return bool(same.where("clash").take(1))
+
+
 # Rows of many postings: for owners k (int64) with n (uint32) shingles, either the
 # places of tokens' owners ("which", uint16 or uint32; tokens in sorted order, bytes
 # of one weight together, for compression), or tokens owner by owner with "counts".
@@ -217,7 +278,7 @@ def _split_shared(tokens: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, n
     return shared, shared & np.concatenate(([True], ~same))
 
 
-def packed_postings(docs: DataFrame, words: int, seed: int, bits: int) -> DataFrame:
+def packed_postings(docs: DataFrame, words: int, seed: int, bits: int, word_hash: Callable[[bytes, int], int]) -> DataFrame:
     """Kind 0: postings to be met by token range; kind 1: postings found shared here."""
 
     def flush(sets: list[np.ndarray], owners: list[int]) -> Iterator[pa.RecordBatch]:
@@ -238,12 +299,12 @@ def packed_postings(docs: DataFrame, words: int, seed: int, bits: int) -> DataFr
             begin = end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, seen, sets, owners, size = shingles_for(words, seed), set(), [], [], 0
+        make, seen, sets, owners, size = shingles_for(words, seed, word_hash), set(), [], [], 0
         for batch in batches:
             for tokens in make.sets(_texts(batch)):
                 if not len(tokens):
                     continue
-                owner, _ = _owner(tokens)
+                owner = _owner(tokens)
                 if owner in seen:
                     continue
                 seen.add(owner)
@@ -492,10 +553,10 @@ def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(own, np.int64)), pa.array(np.frombuffer(roots, np.int64))], names=["owner", "root"])
 
 
-def _cross_links(one: DataFrame, two: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of roots, from all pairs of a group of one and a group of two in the same cluster."""
-    other = two.select("cluster", *(F.col(c).alias(c + "2") for c in _PAYLOAD))
-    return one.select("cluster", *_PAYLOAD).join(other, "cluster").mapInArrow(_open_pairs(percent), "a long, b long")
+def _cross_links(one: DataFrame, two: DataFrame, percent: int, keys: list[str]) -> DataFrame:
+    """(a, b) of roots, from all pairs of a group of one and a group of two with the same keys."""
+    other = two.select(*keys, *(F.col(c).alias(c + "2") for c in _PAYLOAD))
+    return one.select(*keys, *_PAYLOAD).join(other, keys).mapInArrow(_open_pairs(percent), "a long, b long")
 
 
 def _relabel(members: DataFrame, edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -506,7 +567,7 @@ def _relabel(members: DataFrame, edges: DataFrame, scratch: Scratch, name: str)
     return members.join(labels, "root", "left").select("owner", F.coalesce("label", "root").alias("root"))
 
 
-def _link_groups(near: DataFrame, clusters: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+def _link_groups(near: DataFrame, clusters: DataFrame, heads: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """(owner, root) of all entities of clusters; the root names the component."""
     found = near.join(clusters, "owner")
     sizes = found.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / GROUP_ROWS), F.ceil(F.sum("n") / GROUP_TOKENS)).cast("int").alias("parts"))
@@ -519,30 +580,35 @@ def _link_groups(near: DataFrame, clusters: DataFrame, scratch: Scratch, percent
         return members
     several = groups.join(large, "cluster", "left_semi")
     hubs, rest = several.where("part = 0"), several.where("part > 0")
-    edges = scratch.save(_cross_links(hubs, rest, percent), "hub-links")
+    edges = scratch.save(_cross_links(hubs, rest, percent, ["cluster"]), "hub-links")
     members = scratch.save(_relabel(members, edges, scratch, "hub"), "hub-members")
     placed = scratch.save(dealt.where("parts > 1").drop("root", "part", "parts").join(members, "owner"), "placed")
     most = placed.groupBy("cluster", "root").count().groupBy("cluster").agg(F.max(F.struct("count", "root")).alias("most")).select("cluster", F.col("most.root").alias("main"))
-    left = placed.join(most, "cluster").where("root <> main").drop("main")
-    again = left.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / GROUP_ROWS), F.ceil(F.sum("n") / GROUP_TOKENS)).cast("int").alias("parts"))
-    left = left.join(again, "cluster").withColumn("part", F.pmod(F.xxhash64("owner"), F.col("parts")).cast("int")).drop("parts")
-    stragglers = left.groupBy("cluster", "part").applyInArrow(_build_groups(percent, link=False), _GROUP)
-    later = scratch.save(_cross_links(stragglers, rest, percent), "straggler-links")
+    left = scratch.save(placed.join(most, "cluster").where("root <> main").drop("main"), "left")
+    # a straggler meets only those groups that have one of its rarest shingles among theirs, as two linked entities must
+    held = heads.join(dealt.where("parts > 1 AND part > 0").select("owner", "cluster", "part"), "owner").select("token", "cluster", "part").distinct()
+    meets = scratch.save(heads.join(left.select("owner"), "owner", "left_semi").join(held, "token").select("owner", "cluster", "part").distinct(), "meets")
+    shares = left.join(meets, ["owner", "cluster"])
+    again = shares.groupBy("cluster", "part").agg(F.greatest(F.ceil(F.count(F.lit(1)) / GROUP_ROWS), F.ceil(F.sum("n") / GROUP_TOKENS)).cast("int").alias("lots"))
+    lots = shares.join(again, ["cluster", "part"]).withColumn("lot", F.pmod(F.xxhash64("owner"), F.col("lots")).cast("int"))
+    stragglers = lots.groupBy("cluster", "part", "lot").applyInArrow(_build_groups(percent, link=False), _GROUP)
+    later = scratch.save(_cross_links(stragglers, rest, percent, ["cluster", "part"]), "straggler-links")
     # groups still bear their first roots: connect these and the later ones alike
     return _relabel(first, edges.unionByName(later), scratch, "straggler")
 
 
-def find_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def find_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, word_hash: Callable[[bytes, int], int] = xxhash.xxh3_64_intdigest) -> DataFrame:
     """doc_id, n_shingles and component (of the links) of each document; null: no shingles."""
     scratch = Scratch(docs.sparkSession, "ngram-join")
-    for seed in range(1, 100):
-        sets = scratch.save(shingle_sets(docs, words, seed), f"sets{seed}")
-        clash = sets.where("owner is not null").groupBy("owner").agg((F.min("digest") != F.max("digest")).alias("clash"))
-        total, clashes = sets.agg(F.sum("n_shingles")).first()[0] or 0, clash.where("clash or owner = 0").take(1)
-        if not clashes:
+    for seed in itertools.count(1):
+        sets = scratch.save(shingle_sets(docs, words, seed, word_hash), f"sets{seed}")
+        if not _clashing(docs, sets, scratch, words, seed, word_hash):
             break
+        if seed == SEEDS:
+            raise RuntimeError(f"hashes of different sets clash under {SEEDS} seeds")
+    total = sets.agg(F.sum("n_shingles")).first()[0] or 0
     bits = max(3, (int(total) // FLUSH_TOKENS).bit_length())
-    packed = packed_postings(docs, words, seed, bits)
+    packed = packed_postings(docs, words, seed, bits, word_hash)
     shared = packed.groupBy("kind", "bucket").applyInArrow(_shared_postings(bits), _PACKED)
     near = shared.groupBy("bucket").applyInArrow(_promising(percent), "owner long, n long, tokens binary")
     near = scratch.save(near, "near")
@@ -551,8 +617,8 @@ def find_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     hubs = heads.groupBy("token").agg(F.min("owner").alias("hub"), F.max("owner").alias("last")).where("hub <> last").select("token", "hub")
     edges = heads.join(hubs, "token").where("owner <> hub").select(F.col("owner").alias("a"), F.col("hub").alias("b")).distinct()
     clusters = components(edges, scratch, "clusters").select(F.col("node").alias("owner"), F.col("label").alias("cluster"))
-    members = scratch.save(_link_groups(near, clusters, scratch, percent), "members")
-    scratch.drop("near", "heads", "dealt", "groups", "hub-links", "hub-members", "placed", "straggler-links")
+    members = scratch.save(_link_groups(near, clusters, heads, scratch, percent), "members")
+    scratch.drop("near", "heads", "dealt", "groups", "hub-links", "hub-members", "placed", "left", "meets", "straggler-links")
     return sets.select("doc_id", "n_shingles", "owner").join(members, "owner", "left").select("doc_id", "n_shingles", F.coalesce("root", "owner").alias("component"))
 
 

@@ -141,6 +141,40 @@ def test_components_are_those_of_all_pairs(spark, monkeypatch, rows_in_group):
     assert {r[0]: (r[1], r[2]) for r in got.collect()} == brute_components(rows)
 
 
+def test_words_that_fool_polynomials(spark):
+    thue = ["a", "b"]
+    for _ in range(12):  # the two collide under any polynomial modulo a power of two
+        thue = [thue[0] + thue[1], thue[1] + thue[0]]
+    rows = [(1, thue[0]), (2, thue[1]), (3, thue[0].upper())]
+    got = {r.doc_id: r.component_id for r in ngram_join.report(documents(spark, rows)).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_a_clash_changes_the_seed(spark):
+    rows = near_copies(7, 60) + [(500, "aa bb cc dd ee ff"), (501, "xx yy zz uu vv ww"), (502, "a " * 30), (503, "a " * 40)]
+    clashing = lambda w, seed: __import__("xxhash").xxh3_64_intdigest(w, seed) if seed > 2 else len(w)
+    docs = documents(spark, rows).repartition(3)
+    plain = {r.doc_id: r.component for r in ngram_join.find_links(docs).collect()}
+    got = {r.doc_id: r.component for r in ngram_join.find_links(docs, word_hash=clashing).collect()}
+    same = lambda x: {frozenset(d for d in x if x[d] == c) for c in x.values() if c is not None}
+    assert same(got) == same(plain) and got[500] != got[501] and got[502] == got[503]
+
+
+def test_words_of_long_texts(monkeypatch):
+    monkeypatch.setattr(ngram_join, "_CHUNK", 7)
+    for text in (b"", b"  ", b"ab cd  efghijklmnop q\r\nrs tu vw xyzab cd " * 3, b"abcdefghijklmno"):
+        assert [w for part in ngram_join.words_of(text) for w in part] == text.split()
+
+
+def test_a_chain_of_texts(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "GROUP_ROWS", 4)
+    words = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join(words[3 * k : 3 * k + 60])) for k in range(100)]  # each is linked with the next only
+    rows += [(200 + k, " ".join(words[3 * k : 3 * k + 25] + [f"x{k}_{j}" for j in range(40)])) for k in range(60)]
+    got = ngram_join.report(documents(spark, rows).repartition(5))
+    assert {r[0]: (r[1], r[2]) for r in got.collect()} == brute_components(rows)
+
+
 def test_join_edges(spark):
     rows = EDGE[:10] + [(20, "aa bb"), (None, "aa bb"), (None, "lone text of six words here")]
     got = ngram_join.report(documents(spark, rows)).collect()
