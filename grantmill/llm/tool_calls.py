@@ -15,23 +15,28 @@ turn, item) gives the order of a conversation; no conversation is gathered, so o
 that holds a third of all rows is no burden. Calls and results meet in a hash join
 on (conv_id, id); salting is left to adaptive execution, which splits such joins.
 
-Canonical JSON: keys sorted, no blanks, characters as they are, integers without a
-fraction, other numbers in their shortest form.
+Canonical JSON: keys sorted, no blanks, characters as they are (halves of surrogate
+pairs escaped), integers without a fraction, other numbers in their shortest form.
+
+``from_turns`` gives plain conversations this form: every assistant turn calls a tool
+and the turn after it is the result.
 
 Defined results: a null text is the content null; a text that is no such JSON is
-plain; a call without an id, with one used before in its conversation (the earlier
-row keeps it), or a result without a call gets a problem and stays unlinked; null
-conv_ids link with nothing; repeated rows are repeated messages.
+plain; JSON nested too deeply to be read is plain too, with a problem; a call without
+an id, with one used before in its conversation (the earlier row keeps it), or a
+result without a call gets a problem and stays unlinked; a schema that makes no
+sense, or a pattern that takes longer than PATTERN_SECONDS, is a problem of the call;
+null conv_ids link with nothing; repeated rows are repeated messages.
 """
 
 from __future__ import annotations
 
 import json
 import math
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +45,8 @@ from .store import Scratch
 
 #: Once no more dependencies than these wait for a depth, the driver follows them to the end.
 LOCAL_NEEDS = 100_000
+#: A schema's pattern may take so long for a value.
+PATTERN_SECONDS = 1.0
 
 
 def canonical(value) -> str:
@@ -52,7 +59,12 @@ def canonical(value) -> str:
             return {str(k): plain(x) for k, x in v.items()}
         return [plain(x) for x in v] if isinstance(v, list) else v
 
-    return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return _valid(json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+
+
+def _valid(text: str) -> str:
+    """The text with halves of surrogate pairs escaped, as UTF-8 can't hold them."""
+    return text.encode("utf-8", "backslashreplace").decode()
 
 
 _TYPES = {
@@ -80,7 +92,7 @@ def violations(value, schema, path: str = "$") -> list[str]:
     if isinstance(value, str):
         if len(value) < schema.get("minLength", 0) or len(value) > schema.get("maxLength", math.inf):
             out.append(f"{path}: length")
-        if "pattern" in schema and not re.search(schema["pattern"], value):
+        if "pattern" in schema and not regex.search(schema["pattern"], value, timeout=PATTERN_SECONDS):
             out.append(f"{path}: pattern")
     if isinstance(value, list):
         if len(value) < schema.get("minItems", 0) or len(value) > schema.get("maxItems", math.inf):
@@ -115,15 +127,25 @@ def _object(text: str | None):
     return None
 
 
-def _items(turn, role, text) -> Iterator[dict]:
+def _items(turn, role, text) -> list[dict]:
     """The message's own row, then its calls or result and its schemas."""
-    found = _object(text)
+    try:
+        return [*_read_items(turn, role, _object(text), text)]
+    except RecursionError:
+        return [{"kind": "message", "problem": "nested too deeply", "json": canonical({"content": text, "role": role, "turn": turn})}]
+
+
+def _name(value) -> str | None:
+    return None if value is None else _valid(str(value))
+
+
+def _read_items(turn, role, found: dict | None, text) -> Iterator[dict]:
     if found is None:
         yield {"kind": "message", "json": canonical({"content": text, "role": role, "turn": turn})}
         return
     if "tool_call_id" in found:
         key = found["tool_call_id"]
-        yield {"kind": "result", "call_id": None if key is None else str(key), "json": canonical({"content": found.get("content"), "role": role, "tool_call_id": key, "turn": turn})}
+        yield {"kind": "result", "call_id": _name(key), "json": canonical({"content": found.get("content"), "role": role, "tool_call_id": key, "turn": turn})}
         return
     yield {"kind": "message", "json": canonical({"content": found.get("content"), "role": role, "turn": turn})}
     calls = found.get("tool_calls")
@@ -140,13 +162,23 @@ def _items(turn, role, text) -> Iterator[dict]:
         needs = call.get("depends_on") or []
         key, name = call.get("id"), call.get("name")
         yield {
-            "kind": "call", "call_id": None if key is None else str(key), "name": None if name is None else str(name), "arguments": canonical(arguments), "needs": [str(x) for x in needs] if isinstance(needs, list) else [str(needs)],
+            "kind": "call", "call_id": _name(key), "name": _name(name), "arguments": canonical(arguments), "needs": [*map(_name, needs)] if isinstance(needs, list) else [_name(needs)],
             "problem": problem or (None if key is not None else "no id"), "json": canonical({"arguments": arguments, "id": key, "name": name, "role": role, "turn": turn}),
         }
     tools = found.get("tools")
     for tool in tools if isinstance(tools, list) else []:
         if isinstance(tool, dict) and tool.get("name") is not None:
-            yield {"kind": "schema", "name": str(tool["name"]), "schema": canonical(tool.get("parameters", True)), "json": ""}
+            yield {"kind": "schema", "name": _name(tool["name"]), "schema": canonical(tool.get("parameters", True)), "json": ""}
+
+
+def check(arguments: str, schema: str) -> str | None:
+    """What is wrong with a call's arguments; a schema that can't be applied is a problem too."""
+    try:
+        return "; ".join(violations(json.loads(arguments), json.loads(schema))) or None
+    except TimeoutError:
+        return "the schema's pattern takes too long"
+    except Exception as e:  # the schema is the user's, whatever it holds
+        return f"the schema can't be applied: {type(e).__name__}"
 
 
 _ITEM = "conv_id long, turn long, item int, kind string, call_id string, name string, arguments string, needs array<string>, problem string, schema string, json string"
@@ -172,7 +204,7 @@ def _validate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if problem or schema is None:
                 found.append(problem)
             else:
-                found.append("; ".join(violations(json.loads(arguments), json.loads(schema))) or None)
+                found.append(check(arguments, schema))
         own = [c for c in batch.schema.names if c not in ("schema", "arguments", "problem")]
         yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in own), pa.array(found, pa.string())], names=[*own, "problem"])
 
@@ -253,7 +285,7 @@ def link(conversations: DataFrame) -> DataFrame:
         F.col("anchor_turn").isNotNull().alias("linked"), F.col("anchor_turn").isNotNull().alias("valid"), F.when(F.col("anchor_turn").isNull(), "no call").alias("problem"), "json",
     )
     messages = items.where("kind = 'message'").select(
-        "conv_id", "turn", "item", "kind", "call_id", F.col("turn").alias("anchor_turn"), F.col("item").alias("anchor_item"), F.lit(0).alias("depth"), F.lit(False).alias("linked"), F.lit(True).alias("valid"), "problem", "json"
+        "conv_id", "turn", "item", "kind", "call_id", F.col("turn").alias("anchor_turn"), F.col("item").alias("anchor_item"), F.lit(0).alias("depth"), F.lit(False).alias("linked"), F.col("problem").isNull().alias("valid"), "problem", "json"
     )
     return messages.unionByName(out_calls).unionByName(out_results)
 
@@ -261,3 +293,29 @@ def link(conversations: DataFrame) -> DataFrame:
 def ordered(linked: DataFrame) -> DataFrame:
     """linked, sorted as each conversation reads."""
     return linked.orderBy("conv_id", "anchor_turn", "depth", "anchor_item", F.expr("array_position(array('message', 'call', 'result'), kind)"), "turn", "item")
+
+
+#: In from_turns, calls depend on the call two turns before, but for the first two of so many turns; the words that arguments must count at least.
+CHAIN, LEAST_WORDS = 16, 12
+
+
+def from_turns(conversations: DataFrame) -> DataFrame:
+    """Plain conversations as tool calls: conv_id, turn, role, text.
+
+    Every assistant turn is a call with an id made of its turn, its number of words
+    as an argument and, within a stretch of CHAIN turns, the call two turns before as
+    a dependency. Every later turn of another role but system answers the turn before
+    it. A system turn brings the tool's schema. A turn that is null stays a message.
+    """
+    turn, words = F.col("turn").cast("long"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^ \n\t\r]+"))
+    needs = F.when(F.pmod(turn, F.lit(CHAIN)) >= 2, F.array(F.concat(F.lit("c"), (turn - 2).cast("string")))).otherwise(F.array().cast("array<string>"))
+    arguments = F.struct(turn.alias("turn"), words.alias("words"))
+    call = F.struct(F.concat(F.lit("c"), turn.cast("string")).alias("id"), F.lit("reply").alias("name"), arguments.alias("arguments"), needs.alias("depends_on"))
+    counted = f'{{"type":"object","required":["turn","words"],"properties":{{"turn":{{"type":"integer"}},"words":{{"type":"integer","minimum":{LEAST_WORDS}}}}}}}'
+    schema = F.from_json(F.lit(counted), "type string, required array<string>, properties struct<turn: struct<type: string>, words: struct<type: string, minimum: int>>")
+    made = (
+        F.when(F.col("role") == "assistant", F.to_json(F.struct(F.col("text").alias("content"), F.array(call).alias("tool_calls"))))
+        .when(F.col("role") == "system", F.to_json(F.struct(F.col("text").alias("content"), F.array(F.struct(F.lit("reply").alias("name"), schema.alias("parameters"))).alias("tools"))))
+        .when(turn > 0, F.to_json(F.struct(F.concat(F.lit("c"), (turn - 1).cast("string")).alias("tool_call_id"), F.col("text").alias("content"))))
+    )
+    return conversations.select("conv_id", "turn", "role", F.coalesce(made, F.col("text")).alias("text"))
