@@ -4,29 +4,36 @@
 after another. Equal neighbours fold into a repeated group; a text that differs
 becomes a slot; what one page has and another lacks becomes optional. The result
 is a regular expression without unions: tags, fixed texts, slots, ``( )+`` and
-``( )?``.
-
-*Extraction.* Every page is aligned with its host's wrapper, which says what of its
-text is fixed template text; a page with parts the wrapper lacks is read all the
-same, these parts being content like a slot. Tags, roles and names of elements say
-what is a menu, header, footer, sidebar, notice, advert, form or comment section.
-The main text is what lies in the article element, or else the main element, or
-else the body, without template text.
+``( )?``. Each element of it also counts the text that the host's pages have there,
+and how much of that is links.
+
+*Extraction.* Every page is aligned with its host's wrapper. The wrapper says where
+the main text lies: from the root down it goes on into the element that holds nearly
+all text (links not counted), as long as what stands beside it is no paragraph or
+headline; where no element has that much, article and main elements break the tie.
+It says what in there is template, a text that ``SUPPORT`` different pages have while
+no page has another in its place, and what is a menu, a list that is nearly all links.
+Tags, roles and names of elements say what is a header, footer, sidebar, notice,
+advert, form or comment section, as these differ from page to page like the text
+does. Parts that the wrapper lacks count as content. Hosts with fewer pages than
+``SUPPORT`` have too little to align: there the article element, or else the main
+element, or else the body is the main text.
 
 All pages of a host are folded into its wrapper: each task folds its own pages and
 sends on one partial wrapper for each host, so a host with a third of all pages is
-no burden. A text is template only if no page has another in its place and
-``SUPPORT`` different pages have it. Numbers in classes and ids are left out of
-account. Defined results: a null page or one without main text gives an empty text;
-pages without a host share one wrapper; repeated rows give equal rows and support
-nothing anew.
+no burden. Numbers in classes and ids are left out of account. Elements nested
+deeper than ``MAX_DEPTH`` are read as children of the element there. Defined results:
+a null page or one without main text gives an empty text; pages without a host share
+one wrapper; repeated rows give equal rows and support nothing anew.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,11 +47,18 @@ from .store import Scratch
 
 #: Different pages of a host that must have a text for it to be template text.
 SUPPORT = 3
-#: Wrappers are broadcast up to this many hosts.
-MAX_HOSTS = 10_000
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>\"[^\"]*\"|'[^']*'|[^>\"'])*|[^>]*)>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+#: Wrappers are broadcast up to so many bytes of all hosts together.
+MAX_WRAPPER_BYTES = 32 << 20
+#: Levels of a page's tree.
+MAX_DEPTH = 200
+#: Share of the text that an element must hold to be gone into, and of a list's that must be links to make it a menu, in percent.
+MOST, LINKS = 80, 90
+#: Places that two lists of labels are aligned over exactly, by a table; beyond that by the order in which each label occurs.
+TABLE = 1 << 20
+
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+_REST = re.compile(r"(?>[^>\"']+|\"[^\"]*\"|'[^']*')*>")
+_ATTRIBUTE = re.compile(r"(?:^|(?<=[\s/\"']))([^\s=/\"'>]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _NAME = re.compile(r"[a-z0-9]+")
 _NUMBER = re.compile(r"\d+")
 
@@ -62,15 +76,17 @@ DROPPED_NAMES = frozenset(
 CLOSES_PARAGRAPH = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
+CONTAINERS = frozenset("#root html body main article section div center table tbody tr td".split())
+LISTS = frozenset("ul ol dl div section table".split())
 #: An element that ends an open one of these, up to one of those.
 IMPLIED_END = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
 
 
 class Node:
-    __slots__ = ("tag", "label", "dropped", "children")
+    __slots__ = ("tag", "label", "dropped", "children", "linked")
 
     def __init__(self, tag: str, label: str, dropped: bool):
-        self.tag, self.label, self.dropped, self.children = tag, label, dropped, []
+        self.tag, self.label, self.dropped, self.children, self.linked = tag, label, dropped, [], 0
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -88,11 +104,30 @@ def _is_dropped(tag: str, attributes: dict[str, str], raw: str, in_article: bool
     return tag not in ("html", "body", "main", "article") and (any(n in DROPPED_NAMES for n in names) or (not in_article and "header" in names))
 
 
+def _tags(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """Start, end, name (None: a comment or the like), whether it closes, and attributes of every tag, in linear time."""
+    at, last, quotes, wasted = 0, page.rfind(">"), True, 0
+    while at <= last:
+        m = _TOKEN.search(page, at)
+        if m is None or (m[2] is not None and m.end() > last):
+            return
+        end = m.end()
+        if m[2] is not None:
+            rest = _REST.match(page, end) if quotes else None
+            if rest is None and quotes:  # a quote that never closes
+                wasted += len(page) - end
+                quotes = wasted <= 8 * len(page)
+            end = rest.end() if rest else page.index(">", end) + 1
+        yield m.start(), end, m[2], bool(m[1]), page[m.end() : end - 1] if m[2] is not None else ""
+        at = end
+
+
 def parse(page: str) -> Node:
-    """A lenient tree; markup within text (bold, links) leaves no trace in it."""
+    """A lenient tree; markup within text (bold, links) leaves no trace in it but how much text is linked."""
     root = Node("#root", "#root", False)
     stack = [root]
-    at, n = 0, len(page)
+    deep: list[tuple[str, bool]] = []  # open elements beyond MAX_DEPTH, and whether they are dropped
+    at, skip, linked, muted = 0, 0, False, 0
 
     def close_to(tags: frozenset | tuple | list, until: tuple | list) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -102,69 +137,124 @@ def parse(page: str) -> Node:
             if stack[k].tag in until:
                 return
 
-    while at < n:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            stack[-1].children.append(page[at:])
-            break
-        if m.start() > at:
-            stack[-1].children.append(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+    def add_text(text: str) -> None:
+        if text and not muted:
+            stack[-1].children.append(text)
+            if linked:
+                stack[-1].linked += len("".join(text.split()))
+
+    for start, end, name, closes, raw in _tags(page):
+        if start < skip:
+            continue
+        add_text(page[at:start])
+        at = end
+        if name is None:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        tag = name.lower()
+        if tag == "a":
+            linked = not closes
+        if closes:
+            if deep:
+                while any(t == tag for t, _ in deep[-MAX_DEPTH:]):
+                    t, d = deep.pop()
+                    muted -= d
+                    if t == tag:
+                        break
+                continue
             if tag == "p" and all(x.tag != "p" for x in stack):
                 stack[-1].children.append(Node("p", "p", False))
             close_to((tag,), ())
             continue
-        attributes = _attributes(m[3])
-        dropped = _is_dropped(tag, attributes, m[3], any(x.tag == "article" for x in stack))
+        attributes = _attributes(raw)
+        dropped = _is_dropped(tag, attributes, raw, any(x.tag == "article" for x in stack))
         if tag in INLINE and not dropped:
             continue
-        if tag in CLOSES_PARAGRAPH:
-            close_to(("p",), ("article", "section", "div", "td", "li", "body", "blockquote", "aside"))
-        if tag in IMPLIED_END:
-            ends, until = IMPLIED_END[tag]
-            close_to(ends.split(), until.split())
+        if not deep:
+            if tag in CLOSES_PARAGRAPH:
+                close_to(("p",), ("article", "section", "div", "td", "li", "body", "blockquote", "aside"))
+            if tag in IMPLIED_END:
+                ends, until = IMPLIED_END[tag]
+                close_to(ends.split(), until.split())
         label = " ".join([tag, *sorted(_NUMBER.sub("0", attributes.get("class", "")).split()), *(["#" + _NUMBER.sub("0", attributes["id"])] if attributes.get("id") else [])])
         node = Node(tag, label, dropped)
         stack[-1].children.append(node)
-        if tag in VOID or m[3].rstrip().endswith("/") and tag not in RAW and tag not in ("p", "div", "article", "section"):
+        if tag in VOID or raw.rstrip().endswith("/") and tag not in RAW and tag not in ("p", "div", "article", "section"):
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
-            continue
-        stack.append(node)
+            found = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            at = skip = found.end() if found else len(page)
+        elif len(stack) < MAX_DEPTH:
+            stack.append(node)
+        else:  # what is dropped hides all within, past the limit too
+            deep.append((tag, dropped))
+            muted += dropped
+    add_text(page[at:])
     return root
 
 
-# Wrappers: [label, children, optional, repeated] for an element, [None, text or null (a slot), optional, repeated, pages] for a text;
-# pages: the smallest marks, SUPPORT at most, of the pages that have it.
+# Wrappers: [label, children, optional, repeated, size, linked, pages] for an element: characters of text in it, how many of them in links,
+# and (of the root) the smallest marks, SUPPORT at most, of its pages; [None, text or null (a slot), optional, repeated, pages] for a text.
 
 
-def _shape(node: Node, mark: int) -> list:
+def _shape(node: Node, mark: int, dropped: bool = False) -> list:
     children: list[list] = []
+    dropped = dropped or node.dropped
+    size, linked = 0, 0 if dropped else node.linked
     for c in node.children:
         if isinstance(c, str):
             text = " ".join(html.unescape(c).split())
             if not text:
                 continue
             new = [None, text, False, False, [mark]]
+            size += 0 if dropped else len(text) - text.count(" ")
         else:
-            new = _shape(c, mark)
+            new = _shape(c, mark, dropped)
+            size, linked = size + new[4], linked + new[5]
         if children and children[-1][0] == new[0] and new[0] is not None:
             children[-1] = _merge(children[-1], new)
             children[-1][3] = True
         else:
             children.append(new)
-    return [node.label, children, False, False]
+    return [node.label, children, False, False, size, linked, [mark] if node.tag == "#root" else []]
 
 
-@lru_cache(4096)
 def _aligned(a: tuple, b: tuple) -> list[tuple[int | None, int | None]]:
-    """Pairs of places of the longest common subsequence of labels, with what is alone."""
+    """Pairs of places of two lists with one label, in order, with what is alone."""
+    return _by_table(a, b) if len(a) * len(b) <= TABLE else _by_occurrence(a, b)
+
+
+def _by_occurrence(a: tuple, b: tuple) -> list[tuple[int | None, int | None]]:
+    """The k-th of a label in one list goes with the k-th in the other; of these pairs the longest run in order."""
+    places: dict = {}
+    for i, x in enumerate(a):
+        places.setdefault(x, []).append(i)
+    used: Counter = Counter()
+    ends: list[int] = []  # smallest end of an ascending run of each length
+    of: list[int] = []  # and the pair it belongs to
+    pairs: list[tuple[int, int, int]] = []  # place in a, place in b, the pair before
+    for j, x in enumerate(b):
+        own = places.get(x, ())
+        if used[x] < len(own):
+            i = own[used[x]]
+            used[x] += 1
+            k = bisect.bisect_left(ends, i)
+            pairs.append((i, j, of[k - 1] if k else -1))
+            ends[k : k + 1], of[k : k + 1] = [i], [len(pairs) - 1]
+    run, at = [], of[-1] if of else -1
+    while at >= 0:
+        run.append(pairs[at][:2])
+        at = pairs[at][2]
+    out: list[tuple[int | None, int | None]] = []
+    i = j = 0
+    for x, y in [*run[::-1], (len(a), len(b))]:
+        out += [(k, None) for k in range(i, x)] + [(None, k) for k in range(j, y)] + [(x, y)]
+        i, j = x + 1, y + 1
+    return out[:-1]
+
+
+@lru_cache(4096)
+def _by_table(a: tuple, b: tuple) -> list[tuple[int | None, int | None]]:
+    """The longest common subsequence."""
     n, m = len(a), len(b)
     if a == b:
         return [(i, i) for i in range(n)]
@@ -211,7 +301,7 @@ def _merge(a: list, b: list) -> list:
         else:
             alone = a[1][i] if i is not None else b[1][j]
             children.append(alone if alone[2] else [alone[0], alone[1], True, *alone[3:]])
-    return [a[0], children, optional, repeated]
+    return [a[0], children, optional, repeated, a[4] + b[4], a[5] + b[5], sorted({*a[6], *b[6]})[:SUPPORT] if a[6] or b[6] else []]
 
 
 def _mark(page: str) -> int:
@@ -234,8 +324,8 @@ def as_expression(wrapper: list) -> str:
     return f"({inner}){mark}" if mark else inner
 
 
-def _template_texts(node: Node, wrapper: list, out: set[int]) -> None:
-    """ids of the text places (node, child) that the wrapper has as fixed text."""
+def _groups(node: Node) -> list[tuple[str | None, list[int]]]:
+    """Places of a node's children as the wrapper groups them: texts alone, equal neighbours together."""
     groups: list[tuple[str | None, list[int]]] = []
     for k, c in enumerate(node.children):
         if isinstance(c, str):
@@ -245,15 +335,58 @@ def _template_texts(node: Node, wrapper: list, out: set[int]) -> None:
             groups[-1][1].append(k)
         else:
             groups.append((c.label, [k]))
+    return groups
+
+
+def _is_menu(part: list) -> bool:
+    return part[0].split()[0] in LISTS and part[4] > 0 and 100 * part[5] >= LINKS * part[4]
+
+
+def _template(node: Node, wrapper: list, out: set[int]) -> None:
+    """ids of the places (node, child) of texts that the wrapper has as fixed, and of lists that are menus."""
+    groups = _groups(node)
     for j, i in _aligned(tuple([c[0] for c in wrapper[1]]), tuple([g[0] for g in groups])):
         if i is None or j is None:
             continue
+        part = wrapper[1][j]
         for k in groups[i][1]:
             c = node.children[k]
-            if not isinstance(c, str):
-                _template_texts(c, wrapper[1][j], out)
-            elif wrapper[1][j][1] is not None and len(wrapper[1][j][4]) >= SUPPORT and wrapper[1][j][1] == " ".join(html.unescape(c).split()):
-                out.add(id(node) * 1_000_003 + k)
+            if isinstance(c, str):
+                if part[1] is not None and len(part[4]) >= SUPPORT and part[1] == " ".join(html.unescape(c).split()):
+                    out.add(_place(node, k))
+            elif _is_menu(part):
+                out.add(_place(node, k))
+            else:
+                _template(c, part, out)
+
+
+def _place(node: Node, k: int) -> int:
+    return id(node) * 1_000_003 + k
+
+
+def main_path(wrapper: list) -> list[str]:
+    """Labels from below the root down to the element that holds the main text."""
+    path: list[str] = []
+    while True:
+        parts = [c for c in wrapper[1] if c[0] is not None]
+        best = max(parts, key=lambda c: c[4] - c[5], default=None)
+        if best is None or best[0].split()[0] not in CONTAINERS or best[4] <= best[5]:
+            return path
+        beside = [c for c in parts if c is not best and c[4] > 0 and c[0].split()[0] not in CONTAINERS and not _is_menu(c)]
+        named = best[0].split()[0] in ("article", "main")
+        if not named and (beside or best[3] or 100 * (best[4] - best[5]) < MOST * (wrapper[4] - wrapper[5])):
+            return path
+        path.append(best[0])
+        if best[3]:
+            return path
+        wrapper = best
+
+
+def _follow(root: Node, path: list[str]) -> list[Node]:
+    nodes = [root]
+    for label in path:
+        nodes = [c for n in nodes for c in n.children if isinstance(c, Node) and c.label == label]
+    return nodes
 
 
 def _find(node: Node, tag: str, out: list[Node]) -> list[Node]:
@@ -271,9 +404,10 @@ def _blocks(node: Node, template: set[int], held: list[str], out: list[str]) ->
             out.append(text)
 
     for k, c in enumerate(node.children):
+        if _place(node, k) in template:
+            continue
         if isinstance(c, str):
-            if id(node) * 1_000_003 + k not in template:
-                held.append(html.unescape(c))
+            held.append(html.unescape(c))
         elif c.tag == "br" or c.tag in ("wbr", "img", "input"):
             held.append(" " if c.tag == "br" else "")
         elif not c.dropped:
@@ -290,9 +424,12 @@ def extract(page: str | None, wrapper: list | None) -> str:
     root = parse(page)
     out: list[str] = []
     template: set[int] = set()
+    regions: list[Node] = []
     if wrapper is not None and wrapper[0] == root.label:
-        _template_texts(root, wrapper, template)
-    for a in _find(root, "article", []) or _find(root, "main", []) or [root]:
+        if len(wrapper[6]) >= SUPPORT:
+            regions = _follow(root, main_path(wrapper))
+            _template(root, wrapper, template)
+    for a in regions or _find(root, "article", []) or _find(root, "main", []) or [root]:
         held: list[str] = []
         _blocks(a, template, held, out)
         text = " ".join("".join(held).split())
@@ -338,7 +475,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """pages with text and n_chars; columns of these names are replaced."""
     scratch = Scratch(pages.sparkSession, "html-text")
     known = scratch.save(wrappers(pages.select(host_of(F.col("url")).alias("host"), "html")), "wrappers").withColumnsRenamed({"host": "_host", "wrapper": "_wrapper"})
-    known = F.broadcast(known) if known.count() <= MAX_HOSTS else known
+    known = F.broadcast(known) if (known.agg(F.sum(F.octet_length("_wrapper") + 64)).first()[0] or 0) <= MAX_WRAPPER_BYTES else known
     base = pages.drop("text", "n_chars")
     joined = base.join(known, host_of(base["url"]) == F.col("_host"), "left").drop("_host")
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, html_text, huffman, ngram_join, packing, quality, resharding, tool_calls, toxicity
-from .store import table
+from pyspark.sql import functions as F
+
+from . import decontaminate, exact_dedup, html_text, huffman, ngram_join, packing, quality, resharding, tokens, tool_calls, toxicity
+from .store import Scratch, table
 
 
 def op1_ngram_join(spark, sf_dir):
@@ -11,7 +13,7 @@ def op1_ngram_join(spark, sf_dir):
 
 
 def op2_tool_calls(spark, sf_dir):
-    return tool_calls.link(table(spark, sf_dir, "conversations"))
+    return tool_calls.link(tool_calls.from_turns(table(spark, sf_dir, "conversations")))
 
 
 def op3_resharding(spark, sf_dir):
@@ -46,6 +48,55 @@ def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+# Laws that results keep where SQL can't make the results themselves: one row each, of counts and whether all holds.
+
+
+def resharding_laws(spark, sf_dir):
+    """No row is lost, slots are gapless, shards are even up to the largest row."""
+    found = resharding.report(table(spark, sf_dir, "documents"))
+    shards = found.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.max("size").alias("largest"), F.max("slot").alias("last"), F.min("slot").alias("first"), F.count_distinct("slot").alias("slots"))
+    gapless = F.bool_and((F.col("first") == 0) & (F.col("last") == F.col("n") - 1) & (F.col("slots") == F.col("n")))
+    return shards.agg(F.sum("n").alias("n_docs"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("shards"), gapless.alias("gapless"), (F.max("bytes") - F.min("bytes") <= F.max("largest")).alias("even"))
+
+
+def packing_laws(spark, sf_dir):
+    """Every document is there whole, pieces and places are gapless, no sequence is too long, waste is under 1 %."""
+    found = Scratch(spark, "packing-laws").save(packing.pack(table(spark, sf_dir, "documents")), "packed")
+    docs = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("piece").alias("last"), F.sum("length").alias("tokens"), F.sum(F.when(F.col("piece") == 0, F.col("length"))).alias("head"), F.max(F.col("start") + F.col("length")).alias("end"), F.count_distinct("start").alias("starts"))
+    whole = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.bool_and((F.col("last") == F.col("n") - 1) & (F.col("end") == F.col("tokens")) & (F.col("starts") == F.col("n")) & (F.col("tokens") == F.col("head") + (F.col("n") - 1) * packing.SEQUENCE)).alias("whole"))
+    own = found.groupBy("sequence_id").agg(F.sum("length").alias("tokens"), F.max(F.col("offset") + F.col("length")).alias("end"), F.min("offset").alias("first"), F.count(F.lit(1)).alias("n"), F.count_distinct("offset").alias("offsets"))
+    fits = own.agg(F.bool_and((F.col("tokens") <= packing.SEQUENCE) & (F.col("end") == F.col("tokens")) & (F.col("first") == 0) & (F.col("offsets") == F.col("n"))).alias("fits"), (F.count(F.lit(1)) * packing.SEQUENCE * 0.99 <= F.sum("tokens") + packing.SEQUENCE).alias("full"))
+    return whole.crossJoin(fits)  # one row each
+
+
+def token_file_laws(spark, sf_dir):
+    """Documents stand in ascending order, each right after the one before, and the codes are a full prefix code."""
+    docs = table(spark, sf_dir, "documents")
+    scratch = Scratch(spark, "token-laws")
+    huffman.write(docs, scratch.path("file"), tokens.vocabulary("word_bpe_49k.json"), False, 1)
+    found = scratch.save(huffman.read(spark, scratch.path("file")), "found")
+    ends = found.select((F.col("start") + F.col("n_tokens")).alias("start"), F.col("doc_id").alias("before"))
+    joined = found.join(ends, "start", "left").agg(F.count(F.lit(1)).alias("n_docs"), F.count("before").alias("n_followers"), F.bool_and(F.col("before").isNull() | (F.col("before") < F.col("doc_id"))).alias("ascending"), F.min("start").alias("first"))
+    kraft = spark.read.parquet(scratch.path("file") + "/codes").agg((F.round(F.sum(F.pow(F.lit(2.0), -F.col("length").cast("double"))), 9) == 1.0).alias("full_code"))
+    return joined.crossJoin(kraft)  # one row each
+
+
+def _held_out(report, label: str, least: float):
+    def laws(spark, sf_dir):
+        known = table(spark, sf_dir, "labels")
+        found = report(table(spark, sf_dir, "documents"), known).join(known.select("doc_id", F.col(label).alias("y")), "doc_id", "left")
+        right = F.avg(F.when(F.col("held_out"), (F.col("predicted") == F.col("y")).cast("double")))
+        return found.agg(F.count(F.lit(1)).alias("n_docs"), F.bool_and(F.col("score").between(0, 1)).alias("in_range"), F.count("y").alias("labelled"), (right >= least).alias("accurate"))
+
+    laws.__doc__ = f"Scores lie in 0 to 1; of held-out labelled rows at least {least:.0%} are told right."
+    return laws
+
+
+toxicity_held_out = _held_out(toxicity.report, "toxic", 0.9)
+quality_held_out = _held_out(quality.report, "quality", 0.9)
+
+CHECKS = {"resharding_laws": resharding_laws, "packing_laws": packing_laws, "token_file_laws": token_file_laws, "toxicity_held_out": toxicity_held_out, "quality_held_out": quality_held_out}
+
 QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_tool_calls, op3_resharding, op4_toxicity, op5_exact_dedup, op6_decontamination, op7_html_text, op8_token_ids, op9_quality, op10_packing)}
 
 ORACLES = {
@@ -58,6 +109,18 @@ ORACLES = {
         e AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * c >= 80 * (x.n + y.n - c)),
         r AS (SELECT doc_id AS v, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON r.v = e.a)
         SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.root) AS component_id FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.v = d.doc_id GROUP BY d.doc_id""",
+    "op2_tool_calls": r"""
+        WITH RECURSIVE t AS (SELECT conv_id, turn::BIGINT AS turn, role, text, len(regexp_extract_all(text, '[^ \n\t\r]+')) AS words FROM conversations),
+        c AS (SELECT *, EXISTS (SELECT 1 FROM t s WHERE s.conv_id = t.conv_id AND s.role = 'system') AS has_schema, EXISTS (SELECT 1 FROM t n WHERE n.conv_id = t.conv_id AND n.turn = t.turn + 1 AND n.role NOT IN ('assistant', 'system')) AS answered FROM t WHERE role = 'assistant'),
+        depth AS (SELECT conv_id, turn, 0 AS depth FROM c x WHERE turn % 16 < 2 OR NOT EXISTS (SELECT 1 FROM c y WHERE y.conv_id = x.conv_id AND y.turn = x.turn - 2)
+            UNION ALL SELECT c.conv_id, c.turn, depth + 1 FROM depth JOIN c ON c.conv_id = depth.conv_id AND c.turn = depth.turn + 2 WHERE c.turn % 16 >= 2),
+        results AS (SELECT t.*, d.depth FROM t LEFT JOIN depth d ON d.conv_id = t.conv_id AND d.turn = t.turn - 1 WHERE role NOT IN ('assistant', 'system') AND t.turn > 0)
+        SELECT conv_id, turn, 0::INTEGER AS item, 'message' AS kind, NULL AS call_id, turn AS anchor_turn, 0::INTEGER AS anchor_item, 0::INTEGER AS depth, false AS linked, true AS valid, NULL AS problem,
+            '{"content":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"role":' || to_json(role)::VARCHAR || ',"turn":' || turn || '}' AS json FROM t WHERE role IN ('assistant', 'system') OR turn = 0
+        UNION ALL SELECT c.conv_id, c.turn, 1, 'call', 'c' || c.turn, c.turn, 1, depth.depth, answered, NOT (has_schema AND words < 12), CASE WHEN has_schema AND words < 12 THEN '$.words: minimum' END,
+            '{"arguments":{"turn":' || c.turn || ',"words":' || words || '},"id":"c' || c.turn || '","name":"reply","role":"assistant","turn":' || c.turn || '}' FROM c JOIN depth USING (conv_id, turn)
+        UNION ALL SELECT conv_id, turn, 0, 'result', 'c' || (turn - 1), CASE WHEN depth IS NULL THEN turn ELSE turn - 1 END, CASE WHEN depth IS NULL THEN 0 ELSE 1 END, coalesce(depth, 0), depth IS NOT NULL, depth IS NOT NULL, CASE WHEN depth IS NULL THEN 'no call' END,
+            '{"content":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"role":' || to_json(role)::VARCHAR || ',"tool_call_id":"c' || (turn - 1) || '","turn":' || turn || '}' FROM results""",
     "op5_exact_dedup": """
         WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
@@ -75,4 +138,15 @@ ORACLES = {
         SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op7_html_text": r"""
+        WITH a AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '\s+', ' ', 'g') AS x FROM pages),
+        b AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '</?b>', '', 'g'), '</?(p|h1)>', chr(10), 'g') AS x FROM a),
+        c AS (SELECT page_id, url, regexp_replace(replace(replace(replace(x, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g') AS x FROM b),
+        d AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(x, ' +', ' ', 'g'), ' *\n[ \n]*', chr(10), 'g'), chr(10) || ' ') AS text FROM c)
+        SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM d""",
+    "resharding_laws": "SELECT count(*) AS n_docs, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS bytes, 16::BIGINT AS shards, true AS gapless, true AS even FROM documents",
+    "packing_laws": 'SELECT count(*) AS n_docs, true AS whole, true AS fits, true AS "full" FROM documents',
+    "token_file_laws": "SELECT count(*) AS n_docs, count(*) - 1 AS n_followers, true AS ascending, 0::BIGINT AS first, true AS full_code FROM documents",
+    "toxicity_held_out": "SELECT count(*) AS n_docs, true AS in_range, count(toxic) AS labelled, true AS accurate FROM documents LEFT JOIN labels USING (doc_id)",
+    "quality_held_out": "SELECT count(*) AS n_docs, true AS in_range, count(quality) AS labelled, true AS accurate FROM documents LEFT JOIN labels USING (doc_id)",
 }

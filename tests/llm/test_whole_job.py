@@ -41,6 +41,49 @@ def test_template_text_within_articles_goes(spark):
     assert got == {k: f"Head {k}\nItem {k}" for k in range(5)}
 
 
+def texts_of(spark, pages):
+    rows = [(k, "http://a.example/x", p) for k, p in enumerate(pages)]
+    return {r.page_id: r.text for r in html_text.report(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+
+
+def test_the_wrapper_finds_the_main_text_without_names(spark):
+    words = lambda k, n: " ".join(f"w{k}{'abcdefgh'[j % 8]}" for j in range(n))
+    links = lambda k: "".join(f'<li><a href="/{j}">{words(k, 2)}</a></li>' for j in range(6))
+    pages = [f'<body><div class="xa">{words(k, 4)}</div><div class="xb"><div class="xc"><h2>Head {k}</h2><p>{words(k, 60)}</p><p>{words(k, 30)}</p><ul>{links(k)}</ul></div></div><div class="xe"><ul>{links(k)}</ul></div></body>' for k in range(6)]
+    assert texts_of(spark, pages) == {k: f"Head {k}\n{words(k, 60)}\n{words(k, 30)}" for k in range(6)}
+    alone = f'<body><div class="xa">a b</div><div class="xb"><p>{words(1, 50)}</p></div></body>'  # too few pages to align
+    assert texts_of(spark, [alone]) == {0: f"a b\n{words(1, 50)}"}
+
+
+def test_blocks_of_article_like_names_without_a_host(spark):
+    pages = [f"<body><main><p>one {k}</p></main><article><p>two {k} {'long ' * 30}</p></article></body>" for k in range(4)]
+    assert texts_of(spark, pages) == {k: f"two {k} " + " ".join(["long"] * 30) for k in range(4)}
+
+
+def test_pages_that_strain_the_parser(spark):
+    deep = "<div>" * 3000 + "inner <p>text</p>" + "</div>" * 3000
+    hidden = "<div>" * 250 + '<nav><div>menu</div></nav>seen' + "</div>" * 250
+    wide = "".join(f"<p>a{k}</p><pre>b{k}</pre>" for k in range(20_000))
+    quotes = '<a "' * 20_000 + "x"
+    odd = '<a "x>"' * 20_001 + "end <!" + "<!" * 50_000
+    names = "<p " + "n" * 100_000 + ">named</p>"
+    got = texts_of(spark, [f"<article>{x}</article>" for x in (deep, wide, names, hidden)] + [quotes, odd])
+    assert got[0] == "inner\ntext" and got[2] == "named" and got[3] == "seen"
+    assert got[1] == "\n".join(f"{x}{k}" for k in range(20_000) for x in "ab") and "end" in got[5]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_alignments(seed):
+    rng = np.random.default_rng(seed)
+    a, b = (tuple(rng.choice(list("pqrst"), rng.integers(0, 9))) for _ in range(2))
+    best = max(n for n in range(min(len(a), len(b)) + 1) if {*itertools.combinations(a, n)} & {*itertools.combinations(b, n)})
+    for align, least in ((html_text._by_table, best), (html_text._by_occurrence, 0)):
+        found = align(a, b)
+        assert [i for i, _ in found if i is not None] == [*range(len(a))] and [j for _, j in found if j is not None] == [*range(len(b))]
+        pairs = [(i, j) for i, j in found if i is not None and j is not None]
+        assert all(a[i] == b[j] for i, j in pairs) and len(pairs) >= least
+
+
 # Toxicity
 
 
@@ -77,6 +120,37 @@ def test_long_chains_are_no_cycles(spark, monkeypatch, local):
     assert got == {f"c{k}": k for k in range(n)} | {"p": -1, "q": -1, "r": -1}
 
 
+CONVERSATION = "conv_id long, turn long, role string, text string"
+
+
+def test_rows_that_cannot_be_read_are_problems(spark):
+    deep, half = "[" * 3000 + "]" * 3000, '"\\ud800"'
+    bad = [{"type": "string", "pattern": "("}, {"minLength": "3"}, {"type": [{}]}, {"type": "object", "required": 5}, {"enum": 5}, {"pattern": "^(a+)+$"}, {"properties": 3}, {"allOf": 1}]
+    tools = [{"name": f"t{k}", "parameters": s} for k, s in enumerate(bad)]
+    values = ["a", "abc", "a", {}, 1, "a" * 40 + "!", {"a": 1}, 1]
+    calls = [{"id": f"c{k}", "name": f"t{k}", "arguments": json.dumps(v)} for k, v in enumerate(values)]
+    rows = [
+        (1, 0, "system", json.dumps({"tools": tools})), (1, 1, "assistant", json.dumps({"tool_calls": calls})),
+        (2, 0, "assistant", '{"tool_calls": [{"id": ' + half + ', "name": ' + half + ', "arguments": {"x": ' + half + "}}]}"), (2, 1, "tool", '{"tool_call_id": ' + half + ', "content": ' + half + "}"),
+        (3, 0, "assistant", '{"tool_calls": [{"id": "d", "arguments": ' + deep + "}]}"), (4, 0, "assistant", '{"tool_calls": [{"id": 1e999, "arguments": {"n": 1e999, "m": ' + "9" * 400 + "}}]}"),
+    ]
+    got = tool_calls.link(spark.createDataFrame(rows, CONVERSATION)).collect()
+    assert len({r.problem for r in got if r.conv_id == 1 and r.kind == "call"}) > 2 and all(r.problem for r in got if r.conv_id == 1 and r.kind == "call")
+    assert {(r.kind, r.linked) for r in got if r.conv_id == 2 and r.kind != "message"} == {("call", True), ("result", True)}
+    assert '"x":"\\ud800"' in next(r.json for r in got if r.conv_id == 2 and r.kind == "call")
+    assert [r.problem for r in got if r.conv_id == 3] == ["nested too deeply"] and len([r for r in got if r.conv_id == 4]) == 2
+
+
+def test_turns_become_calls(spark):
+    rows = [(1, 0, "system", "Be\nshort"), (1, 1, "user", "Hi"), (1, 2, "assistant", 'say "x" ' * 9), (1, 3, "user", None), (1, 4, "assistant", None), (1, 5, "user", "é"), (1, None, "user", "t"), (None, 0, "assistant", "x")]
+    made = tool_calls.from_turns(spark.createDataFrame(rows, CONVERSATION).withColumns({"id": F.lit("i"), "name": F.lit("n")}))
+    got = {(r.conv_id, r.turn, r.kind): r for r in tool_calls.link(made).collect()}
+    assert (got[1, 2, "call"].depth, got[1, 4, "call"].depth, got[1, 4, "call"].problem, got[1, 2, "call"].valid) == (0, 1, "$.words: minimum", True)
+    assert got[1, 3, "result"].anchor_turn == 2 and got[1, 5, "result"].linked and got[1, 1, "result"].problem == "no call"
+    assert json.loads(got[1, 2, "message"].json)["content"] == 'say "x" ' * 9 and json.loads(got[1, None, "message"].json)["content"] == "t"
+    assert len(got) == 11 and not got[None, 0, "call"].linked
+
+
 # Shards
 
 
