@@ -57,7 +57,7 @@ MOST, LINKS = 80, 90
 TABLE = 1 << 20
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)", re.S)
-_REST = re.compile(r"(?>[^>\"']+|\"[^\"]*\"|'[^']*')*>")
+_REST = re.compile(r"(?>[^>=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*>")  # a quote opens a value only after the sign
 _ATTRIBUTE = re.compile(r"(?:^|(?<=[\s/\"']))([^\s=/\"'>]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _NAME = re.compile(r"[a-z0-9]+")
 _NUMBER = re.compile(r"\d+")
