@@ -12,9 +12,9 @@ that decodes on its own with the code lengths:
     the documents' codes, each document on a byte boundary, first bit highest
 
 Lengths come from the ids' counts over all documents (package-merge, at most
-LIMIT bits); codes are canonical, in order of length and id. Checkpoints let a
-reader decode all stretches of many documents side by side with one table of
-2**LIMIT entries.
+LIMIT bits, or as many as so many ids need); codes are canonical, in order of length
+and id. Checkpoints let a reader decode all stretches of many documents side by side
+with one table of an entry for each string of so many bits.
 
 Only counts (one for each id of the vocabulary), bounds and sums of file parts
 reach the driver. Defined results: a null text is empty; equal doc_ids stand next
@@ -47,14 +47,15 @@ MAGIC = b"GMH1"
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
-    """Optimal code lengths (0 for ids that don't occur) of at most ``limit`` bits: package-merge."""
+    """Optimal code lengths (0 for ids that don't occur) of at most ``limit`` bits, or as many as the ids need: package-merge."""
     ids = np.flatnonzero(counts)
+    limit = max(limit, (len(ids) - 1).bit_length())
     lengths = np.zeros(len(counts), np.uint8)
     if len(ids) < 2:
         lengths[ids] = 1
         return lengths
-    if len(ids) > 1 << limit:
-        raise ValueError(f"{len(ids)} ids need more than {limit} bits")
+    if limit > 25:
+        raise ValueError(f"{len(ids)} ids: a reader takes codes from words of 32 bits, and 7 of them may be past")
     order = ids[np.argsort(counts[ids], kind="stable")]
     weights = counts[order].astype(np.int64)
     merged, levels = weights, [np.ones(len(weights), bool)]
@@ -86,7 +87,8 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
 
 
 def decode_table(lengths: np.ndarray, limit: int = LIMIT) -> np.ndarray:
-    """For each next ``limit`` bits: id * 256 + length."""
+    """For each next ``limit`` bits (or as many as the longest code has): id * 256 + length."""
+    limit = max(limit, int(lengths.max(initial=0)))
     out = np.zeros(1 << limit, np.int64)
     codes = canonical_codes(lengths)
     for i in np.flatnonzero(lengths):
@@ -124,8 +126,9 @@ def pack_block(docs: list[tuple]) -> bytes:
     ))
 
 
-def decode_block(block: bytes, table: np.ndarray, limit: int = LIMIT) -> Iterator[tuple[int | None, np.ndarray]]:
+def decode_block(block: bytes, table: np.ndarray) -> Iterator[tuple[int | None, np.ndarray]]:
     """doc_id and ids of each document."""
+    limit = (len(table) - 1).bit_length()
     if block[:4] != MAGIC:
         raise ValueError("no block of this format")
     (n,) = struct.unpack_from("<I", block, 4)

@@ -1,14 +1,17 @@
 """Cases beyond what the operators once covered: whole hosts, whole texts, long chains, many small pieces, files on disk."""
 
+import hashlib
 import itertools
 import json
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from grantmill.llm import html_text, packing, resharding, tool_calls, toxicity
+import corpus_pipeline
+from grantmill.llm import html_text, huffman, packing, resharding, tool_calls, toxicity
 from grantmill.llm import labels as folds
 
 # Pages
@@ -226,9 +229,60 @@ def test_the_sample_is_bounded_in_bytes(spark):
     assert len(folds.bounded(spark.createDataFrame(rows, "doc_id long, text string, y int"), 1 << 20).collect()) == 20
 
 
+# Token files
+
+
+def test_codes_of_very_many_ids():
+    rng = np.random.default_rng(1)
+    lengths = huffman.code_lengths(rng.integers(1, 50, 70_000))
+    assert 17 <= lengths.max() <= 18 and sum(2.0 ** -lengths.astype(float)) == 1
+    ids = rng.integers(0, 70_000, 3000)
+    codes, sizes, marks = huffman.encode(ids, np.array([1000, 2000]), lengths, huffman.canonical_codes(lengths))
+    cuts = np.cumsum(sizes)[:-1].tolist()
+    docs = [(k, n, c, m.tobytes()) for k, (n, c, m) in enumerate(zip((1000, 2000), (codes[: cuts[0]], codes[cuts[0] :]), marks))]
+    got = dict(huffman.decode_block(huffman.pack_block(docs), huffman.decode_table(lengths)))
+    assert (np.concatenate([got[0], got[1]]) == ids).all()
+
+
 # Packing
 
 
+def fewest(lengths, size):
+    """Exact, for some pieces: bins are filled one by one around the largest piece left."""
+    best = {}
+
+    def go(left):
+        if not left:
+            return 0
+        if left not in best:
+            top, rest = left[-1], left[:-1]
+            found = len(left)
+            for n in range(len(rest) + 1):
+                for own in {tuple(sorted(c)) for c in itertools.combinations(rest, n) if sum(c) + top <= size}:
+                    after = list(rest)
+                    for x in own:
+                        after.remove(x)
+                    found = min(found, 1 + go(tuple(after)))
+            best[left] = found
+        return best[left]
+
+    return go(tuple(sorted(lengths)))
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_fewest_sequences_of_more_pieces(seed):
+    rng = np.random.default_rng(seed)
+    lengths = rng.integers(12, 60, 12).tolist()
+    patterns = packing.bin_completion(Counter(lengths), 100)
+    assert sum(n for _, n in patterns) == fewest(lengths, 100) <= sum(n for _, n in packing.best_fit(Counter(lengths), 100))
+
+
+def test_smaller_pieces_than_four_to_a_sequence():
+    lengths = [30, 28, 27, 26, 22, 21, 20, 19, 18, 17, 16, 15, 14, 13, 7, 7]  # 300 in all
+    assert sum(n for _, n in packing.bin_completion(Counter(lengths), 100)) == 3
+
+
+
 def test_sequences_of_many_documents_beat_best_fit():
     counts = dict.fromkeys(range(300, 401), 20)
     patterns = packing.bin_completion(counts, 2048, max_nodes=2000)
@@ -238,3 +292,58 @@ def test_sequences_of_many_documents_beat_best_fit():
 def test_fillings_of_any_number():
     assert next(packing.fillings([10, 11], {10: 5, 11: 5}, 53, 5)) == (11, 11, 11, 10, 10)
     assert next(packing.fillings([10, 50], {10: 5, 50: 1}, 50, 0)) == (50,)
+
+
+# The pipeline
+
+
+def tables_of(spark, folder, documents, labels, benchmark):
+    for name, rows, schema in (("documents", *documents), ("labels", *labels), ("benchmark", *benchmark)):
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, digest string, component string, spans string, score double, _row long, piece int"
+LABELS, ITEMS = "doc_id long, quality int, toxic int", "item_id long, text string"
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    from test_llm_pairs import EDGE, brute_components, brute_dedup, brute_report, near_copies
+
+    own = ["d", "c", "s", 0.5, 7, 3]
+    item = "the quick brown fox jumps over the lazy dog and runs far away from here"
+    texts = [*EDGE, (8, EDGE[7][1]), (9, "aa bb"), *((50 + i, t) for i, t in near_copies(4, 80)), (400, f"well {item} indeed"), (401, None)]
+    rows = [(i, t, "en", None, None, *own) for i, t in texts]
+    marks = [(i, k % 2, None) for k, (i, _) in enumerate(texts)] + [(999, 1, 0), (None, 1, 1)]
+    folder = tables_of(spark, tmp_path, (rows, COLUMNS), (marks, LABELS), ([(1, item), (2, None), (3, "")], ITEMS))
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    columns, kept = docs.dtypes, [(r.doc_id, r.text) for r in docs.collect()]
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        if k == 1:
+            expected = sorted(((i, h) for i, _, _, stays, h in brute_dedup(kept) if stays), key=str)
+        elif k == 2:
+            groups = brute_components([(i, t) for i, t in kept if i is not None])
+            expected = sorted((i for i, _ in kept if i is None or groups[i][1] == i), key=str)
+        elif k == 3:
+            bad = {i for i, r in brute_report([(i, t) for i, t in kept if i is not None], [(1, item), (2, None), (3, "")]).items() if r[4]}
+            expected = sorted((i for i, _ in kept if i not in bad), key=str)
+        docs = stage(spark, docs, folder)
+        docs.write.parquet(f"{folder}/stage{k}")
+        docs = spark.read.parquet(f"{folder}/stage{k}")
+        assert docs.dtypes == columns and {tuple(r)[5:] for r in docs.collect()} <= {tuple(own)}
+        kept = [(r.doc_id, r.text) for r in docs.collect()]
+        if k == 1:
+            assert sorted(((i, hashlib.sha256(exact_lower(t)).hexdigest()) for i, t in kept), key=str) == sorted(set(expected), key=str)
+        elif k > 1:
+            assert sorted((i for i, _ in kept), key=str) == expected
+    packed = corpus_pipeline.run(spark, folder)
+    assert {r.doc_id for r in packed.collect()} == {i for i, _ in kept}
+
+
+def exact_lower(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode()
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    folder = tables_of(spark, tmp_path, ([], COLUMNS), ([], LABELS), ([], ITEMS))
+    assert corpus_pipeline.run(spark, folder).count() == 0
