@@ -1,7 +1,14 @@
 """A corpus from raw documents: quality, exact copies, near copies, benchmark passages, packed sequences.
 
 Each stage gets what the one before has written, and what it decides takes
-effect; all but the last return the columns of ``documents``.
+effect; all but the last return the columns of ``documents``, whatever further
+columns there are and whatever they are called.
+
+Defined results: a null text counts as empty; empty texts get a score like any other,
+are equal to each other and link with nothing; of rows with equal texts one stays, also
+where their doc_ids are equal or null; a row whose doc_id is null is in no group that
+goes; very long texts are read whole; an empty table gives no rows. Tables of labels or
+of the benchmark may be empty, have nulls, repeated rows and rows of no document.
 """
 
 from __future__ import annotations
@@ -55,6 +62,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = scratch.save(stage(spark, docs, sf_dir), f"stage{k}")
-        if k > 1:
+        if k:
             scratch.drop(f"stage{k - 1}")
     return docs
