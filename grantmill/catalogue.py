@@ -369,10 +369,9 @@ LEFT JOIN (SELECT r_regionkey AS k, r_name AS x FROM region) ON k = c_custkey %
 def label_with_fallback(t):
     number = lambda c: F.lpad(F.col(c).cast("string"), 3, "0")
     classes = t.region.select(number("r_regionkey").alias("cat_id"), F.col("r_name").alias("cat_name"))
-    top = classes.select("cat_id", F.lit("root").alias("code"), F.col("cat_name").alias("name"), F.lit(None).cast("string").alias("parent_code"))
-    nodes = top.unionByName(t.nation.select(number("n_regionkey").alias("cat_id"), F.col("n_nationkey").cast("string").alias("code"), F.col("n_name").alias("name"), F.lit("root").alias("parent_code")))
+    rows = t.nation.select(number("n_regionkey").alias("cat_id"), F.col("n_nationkey").alias("seq"), F.lit(0).alias("level"), F.col("n_nationkey").cast("string").alias("code"), F.col("n_name").alias("name"))
     raw = t.customer.select("c_custkey", F.concat(F.lit("US "), (F.col("c_custkey") % 7).cast("string"), F.lit(" "), F.col("c_nationkey").cast("string")).alias("raw"))
-    return hierarchy.label_codes(raw, "raw", hierarchy.closure(nodes), classes).select("c_custkey", "cat_name", "status")
+    return hierarchy.label_codes(raw, "raw", hierarchy.class_tree(rows, classes), classes).select("c_custkey", "cat_name", "status")
 
 
 @query("""SELECT p_partkey, (c.i - 1)::BIGINT AS pos, c.a AS class, c.b AS subclass FROM (SELECT p_partkey, unnest(CASE p_partkey % 4
@@ -490,9 +489,16 @@ def resolved_names(t):
 def html_records(t):
     def run(batches):
         for batch in batches:
-            trees = [records.parse_tree(x) for x in batch.column(1).to_pylist()]
-            titles = [e.text() if (e := x.find("title")) is not None else None for x in trees]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(titles, pa.string()), pa.array([len(x.find_all("p")) for x in trees], pa.int64())], names=["page_id", "title", "paragraphs"])
+            trees = [tree(x) for x in batch.column(1).to_pylist()]
+            titles = [e.text() if x is not None and (e := x.find("title")) is not None else None for x in trees]
+            counts = [0 if x is None else len(x.find_all("p")) for x in trees]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(titles, pa.string()), pa.array(counts, pa.int64())], names=["page_id", "title", "paragraphs"])
+
+    def tree(page):
+        try:
+            return None if page is None else records.parse_tree(page)
+        except ValueError:  # no element
+            return None
 
     plain = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>", "")
     return t.pages.select("page_id", plain.alias("html")).mapInArrow(run, "page_id long, title string, paragraphs long")
@@ -515,8 +521,8 @@ _RECORDS = """SELECT o_orderkey::VARCHAR AS doc_number, strftime(o_orderdate, '%
 'US ' || (o_orderkey % 400) AS national, o_orderstatus || ' one' AS abstract, 2::BIGINT AS n_claims FROM orders JOIN customer ON o_custkey = c_custkey"""
 
 
-def _record_source(t: Tables, template: str) -> DataFrame:
-    """Records in a format, one for each order: {key}, {date}, {name}, {land}, {code}, {status} are filled in."""
+def _record_rows(t: Tables, template: str) -> DataFrame:
+    """Records in a format, one for each order: {key}, {date}, {name}, {land}, {code}, {status} are filled in; what stands in [[ ]] only for each third, what in (( )) only for the others."""
     df = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).repartition(t.spark.sparkContext.defaultParallelism)  # one small file would be one task
     fills = {
         "key": F.col("o_orderkey").cast("string"), "date": F.date_format("o_orderdate", "yyyyMMdd"), "name": F.col("c_name"), "land": F.concat(F.lit("C"), F.col("c_nationkey").cast("string")),
@@ -525,8 +531,23 @@ def _record_source(t: Tables, template: str) -> DataFrame:
     text = F.lit(template)
     for k, v in fills.items():
         text = F.replace(text, F.lit("{" + k + "}"), v)
-    plain, priority = F.regexp_replace(text, r"(?s)\[\[.*?\]\]", ""), F.regexp_replace(text, r"\[\[|\]\]", "")
-    return df.select(F.lit("orders").alias("file"), F.when(F.col("o_orderkey") % 3 == 0, priority).otherwise(plain).alias("record"))
+    plain, priority = (F.regexp_replace(F.regexp_replace(text, drop, ""), keep, "") for drop, keep in ((r"(?s)\[\[.*?\]\]", r"\(\(|\)\)"), (r"(?s)\(\(.*?\)\)", r"\[\[|\]\]")))
+    return df.select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, priority).otherwise(plain).alias("record"))
+
+
+def _record_files(t: Tables, template: str) -> str:
+    """The records written to files, many to a file; the folder."""
+    path = work_path(t.spark, "records")
+    _record_rows(t, template).select("record").write.text(path)
+    return path
+
+
+def _text_source(t: Tables, template: str) -> DataFrame:
+    return records.scan_text_records(t.spark, _record_files(t, template))
+
+
+def _tagged_source(t: Tables, template: str, mark: str) -> DataFrame:
+    return records.scan_records(t.spark, _record_files(t, template), mark)
 
 
 def _record_result(df: DataFrame) -> DataFrame:
@@ -539,7 +560,7 @@ def _record_result(df: DataFrame) -> DataFrame:
 @query(_RECORDS)
 def text_records(t):
     source = "PATN\nWKU  {key}\nAPD  19900101\nISD  {date}\nINVT\nNAM  {name}; Ann\nCTY  Basel\nINVT\nNAM  Other; Bo\nASSG\nNAM  Works\n[[PRIR\nCNT  {land}\n]]CLAS\nOCL  {code}\nABST\nPAL  {status} one\nPAL  two\nCLMS\nSTM  What is claimed is:\nPAR  1. A thing."
-    return _record_result(records.parse_records(_record_source(t, source), "text"))
+    return _record_result(records.parse_records(_text_source(t, source), "text"))
 
 
 @query(_RECORDS)
@@ -548,11 +569,9 @@ def xml_records(t):
         '<?xml version="1.0"?><!DOCTYPE us-patent-grant SYSTEM "x.dtd" [ ]><us-patent-grant><publication-reference><document-id><country>US</country><doc-number>{key}</doc-number><date>{date}</date></document-id></publication-reference>'
         "<application-reference><document-id><date>19900101</date></document-id></application-reference><classification-national><country>US</country><main-classification>{code}</main-classification></classification-national>"
         "<inventors><inventor><addressbook><last-name>{name}</last-name><first-name>Ann</first-name></addressbook></inventor></inventors><assignees><assignee><addressbook><orgname>Works</orgname><address><city>Basel</city>"
-        "<country>LAND</country></address></addressbook></assignee></assignees><abstract><p>{status} <b>one</b></p><p>two</p></abstract><claims><claim>1. A thing.</claim><claim>2. It.</claim></claims></us-patent-grant>"
+        "<country>[[{land}]]((US))</country></address></addressbook></assignee></assignees><abstract><p>{status} <b>one</b></p><p>two</p></abstract><claims><claim>1. A thing.</claim><claim>2. It.</claim></claims></us-patent-grant>"
     )
-    with_land = _record_source(t, source + "[[LAND:{land}]]")
-    land = F.coalesce(F.nullif(F.regexp_extract("record", "LAND:(.*)$", 1), F.lit("")), F.lit("US"))
-    return _record_result(records.parse_records(with_land.withColumn("record", F.replace(F.regexp_replace("record", "LAND:.*$", ""), F.lit("LAND"), land)), "xml"))
+    return _record_result(records.parse_records(_tagged_source(t, source, records.XML_MARK), "xml"))
 
 
 @query(_RECORDS)
@@ -563,13 +582,13 @@ def sgml_records(t):
         "<B720><B721><PARTY-US><NAM><FNM><PDAT>Ann</PDAT></FNM><SNM><STEXT><PDAT>{name}</PDAT></STEXT></SNM></NAM></PARTY-US></B721></B720><B730><PARTY-US><NAM><ONM><PDAT>Works</PDAT></ONM></NAM></PARTY-US></B730></SDOBI>"
         "<SDOAB><PARA><PDAT>{status} one</PDAT></PARA></SDOAB><SDOCL><CL><PDAT>1. A thing.</PDAT><PDAT>2. It.</PDAT></CL></SDOCL></PATDOC>"
     )
-    return _record_result(records.parse_records(_record_source(t, source), "sgml"))
+    return _record_result(records.parse_records(_tagged_source(t, source, records.SGML_MARK), "sgml"))
 
 
 @query("SELECT o_orderstatus, count(*) AS n, count(*) AS claims_found, 0::BIGINT AS described FROM orders GROUP BY 1")
 def parse_log(t):
     source = "PATN\nWKU  {key}\nISD  {date}\nABST\nPAL  {status}\nCLMS\nPAR  1. A thing."
-    parsed = records.parse_records(_record_source(t, source), "text")
+    parsed = records.parse_records(_text_source(t, source), "text")
     log = records.parse_log(parsed.withColumn("file", F.get("abstract_paras", F.lit(0))))
     return log.groupBy(F.col("file").alias("o_orderstatus")).agg(F.count("doc_number").alias("n"), F.count_if("claims_ok").alias("claims_found"), F.count_if("description_ok").alias("described"))
 

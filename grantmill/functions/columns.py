@@ -69,6 +69,13 @@ def join_levels(levels: Sequence[Column | str], separator: str = "|") -> Column:
     return F.concat_ws(separator, *(F.coalesce(_col(c), F.lit("")) for c in levels))
 
 
+def flatten_all(value: Column, depth: int) -> Column:
+    """A list of lists, nested so deep (1: a plain list), as one list in order; null lists count as empty."""
+    for _ in range(depth - 1):
+        value = F.flatten(F.filter(value, lambda x: x.isNotNull()))
+    return value
+
+
 def pad_left(value: Column, width: int, fill: str = "0") -> Column:
     """Like ``zfill``: never cuts."""
     return F.lpad(value, F.greatest(F.char_length(value), F.lit(width)), F.lit(fill))
@@ -89,7 +96,8 @@ def ipc_code(raw: Column | str) -> Column:
 
 def uspc_candidates(raw: Column | str) -> Column:
     """Readings of a raw national code, best first: an array of (class, subclass)."""
-    rest = F.substring(F.trim(_col(raw)), 4, 1000)
+    trimmed = F.trim(_col(raw))
+    rest = F.substring(trimmed, F.lit(4), F.char_length(trimmed))
     parts = F.filter(F.split(rest, " "), lambda x: x != "")
     n = F.size(parts)
 
@@ -97,9 +105,9 @@ def uspc_candidates(raw: Column | str) -> Column:
         return F.struct(a.alias("class"), b.alias("subclass"))
 
     at = lambda k: F.get(parts, F.lit(k))
-    lettered = F.array(pair(F.replace(F.substring(rest, 1, 3), F.lit(" "), F.lit("0")), F.ltrim(F.substring(rest, 4, 1000))))
+    lettered = F.array(pair(F.replace(F.substring(rest, 1, 3), F.lit(" "), F.lit("0")), F.ltrim(F.substring(rest, F.lit(4), F.char_length(rest)))))
     two = F.array(pair(pad_left(at(0), 3), at(1)))
-    one = F.array(*(pair(pad_left(F.substring(rest, 1, k), 3), F.substring(rest, k + 1, 1000)) for k in (1, 2, 3)))
+    one = F.array(*(pair(pad_left(F.substring(rest, 1, k), 3), F.substring(rest, F.lit(k + 1), F.char_length(rest))) for k in (1, 2, 3)))
     more = F.array(pair(pad_left(at(0), 3), F.btrim(at(1), F.lit("-"))), pair(pad_left(at(0), 3), F.concat(at(1), at(2))))
     known = F.when(~F.substring(rest, 1, 1).rlike(r"^\d$"), lettered).when(n == 2, two).when(n == 1, one).when(n > 2, more)
     return F.when(F.char_length(rest) > 0, known)

@@ -59,15 +59,16 @@ def compile_patterns(patterns: DataFrame) -> DataFrame:
 def first_match(df: DataFrame, raw: str, compiled: DataFrame, name: str = "est_description") -> DataFrame:
     """df with the topic of the first match: readings of the code in order, then rows of the concordance in order.
 
-    Only distinct codes meet the patterns, which are few; the match goes back by an equi-join.
+    Only distinct codes meet the patterns, which are few. Ranges and classes meet them by an
+    equi-join on the class; only expressions are tried one by one. The match goes back by an equi-join.
     """
     codes = df.select(raw).where(F.col(raw).isNotNull() & (F.col(raw) != "[]")).distinct()
     tried = codes.select(raw, F.posexplode(C.uspc_candidates(raw)).alias("pos", "c")).select(raw, "pos", C.candidate_code(F.col("c")).alias("code"))
     tried = tried.withColumns({"_class": F.substring_index("code", "/", 1), "_sub": F.when(F.contains("code", F.lit("/")), F.substring_index("code", "/", -1))})
-    hit = (
-        F.when(F.col("kind") == 0, (F.col("_class") == F.col("parent")) & (F.col("_sub") >= F.col("lo")) & (F.col("_sub") <= F.col("hi")))
-        .when(F.col("kind") == 2, F.col("_class") == F.col("parent"))
-        .otherwise(F.regexp_like("code", F.col("regex")))
-    )
-    found = tried.join(lookup(compiled), hit).groupBy(raw).agg(F.min_by("topic_des", F.struct("pos", "seq")).alias(name))
+    ranged, expressions = compiled.where("kind <> 1"), compiled.where("kind = 1")
+    within = (F.col("kind") == 2) | ((F.col("_sub") >= F.col("lo")) & (F.col("_sub") <= F.col("hi")))
+    by_class = tried.join(lookup(ranged), F.col("_class") == F.col("parent")).where(within)
+    by_expression = tried.join(lookup(expressions), F.regexp_like("code", F.col("regex")))
+    hits = by_class.select(raw, "pos", "seq", "topic_des").unionByName(by_expression.select(raw, "pos", "seq", "topic_des"))
+    found = hits.groupBy(raw).agg(F.min_by("topic_des", F.struct("pos", "seq")).alias(name))
     return df.join(lookup(found.withColumnRenamed(raw, "_raw")), F.col(raw) == F.col("_raw"), "left").drop("_raw")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -124,30 +123,64 @@ def cluster_names(pairs: DataFrame, preference: float = 50.0) -> DataFrame:
     return pairs.groupBy(F.lit(0).alias("_all")).applyInPandas(run, "CompanyName string, cluster int")
 
 
-def common_name(names: list[str]) -> str:
-    """The most frequent longest common substring of two names, ties joined; a single name, or names with nothing in common, give the first."""
-    found: list[str] = []
-    for i, a in enumerate(names):
-        for b in names[i + 1 :]:
-            m = SequenceMatcher(None, a, b).find_longest_match(0, len(a), 0, len(b))
-            if m.size:
-                found.append(a[m.a : m.a + m.size].strip())
-    if not found:
-        return names[0]
-    counts = Counter(found)
-    most = max(counts.values())
-    return ";".join(k for k, v in counts.items() if v == most)
+def longest_common(a: str, b: str) -> str:
+    """The longest string that both hold; of several the one that comes first in a.
+
+    a's substrings as an automaton, whose states know where they first end; b runs through it.
+    """
+    links, lengths, first, steps = [-1], [0], [-1], [{}]
+    last = 0
+    for i, ch in enumerate(a):
+        new = len(links)
+        links.append(0), lengths.append(lengths[last] + 1), first.append(i), steps.append({})
+        p = last
+        while p >= 0 and ch not in steps[p]:
+            steps[p][ch] = new
+            p = links[p]
+        if p >= 0:
+            q = steps[p][ch]
+            if lengths[q] == lengths[p] + 1:
+                links[new] = q
+            else:
+                links.append(links[q]), lengths.append(lengths[p] + 1), first.append(first[q]), steps.append(dict(steps[q]))
+                links[q] = links[new] = len(links) - 1
+                while p >= 0 and steps[p].get(ch) == q:
+                    steps[p][ch] = len(links) - 1
+                    p = links[p]
+        last = new
+    state, n, best, end = 0, 0, 0, 0
+    for ch in b:
+        while state and ch not in steps[state]:
+            state = links[state]
+            n = lengths[state]
+        if ch in steps[state]:
+            state, n = steps[state][ch], n + 1
+            if n > best or n == best and first[state] < end:
+                best, end = n, first[state]
+        else:
+            n = 0
+    return a[end + 1 - best : end + 1] if best else ""
 
 
 def standard_names(clusters: DataFrame) -> DataFrame:
-    """(CompanyName, cluster, StandardName)."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("CompanyName")
-        frame["StandardName"] = common_name(frame["CompanyName"].tolist())
-        return frame
-
-    return clusters.groupBy("cluster").applyInPandas(run, "CompanyName string, cluster int, StandardName string")
+    """(CompanyName, cluster, StandardName): what most pairs of names of the cluster share at longest, ties joined by ';'.
+
+    Ties stand in the order of the pairs that show them first. A single name, or
+    names that share nothing, give the first name.
+    """
+
+    @F.pandas_udf("string")
+    def shared(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([longest_common(x, y) for x, y in zip(a, b)])
+
+    one, two = clusters.select("cluster", F.col("CompanyName").alias("a")), clusters.select("cluster", F.col("CompanyName").alias("b"))
+    found = one.join(two, "cluster").where("a < b").withColumn("text", shared("a", "b")).where("text <> ''")
+    counts = found.groupBy("cluster", F.btrim("text", F.lit(" \t\r\n")).alias("text")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("a", "b")).alias("seen"))
+    most = counts.withColumn("most", F.max("n").over(Window.partitionBy("cluster"))).where("n = most")
+    named = most.groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seen", "text"))), lambda x: x["text"]), ";").alias("_name"))
+    firsts = clusters.groupBy("cluster").agg(F.min("CompanyName").alias("_first"))
+    names = firsts.join(named, "cluster", "left").select("cluster", F.coalesce("_name", "_first").alias("StandardName"))
+    return clusters.join(names, "cluster").select("CompanyName", "cluster", "StandardName")
 
 
 def resolve(distribution: DataFrame, least: int = 20, preference: float = 50.0) -> DataFrame:

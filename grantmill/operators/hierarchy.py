@@ -11,26 +11,48 @@ from ..functions import columns as C
 from ..session import stored
 from .relational import lookup, union_all
 
-MAX_LEVEL = 12
+#: Code and level of a class's root.
+ROOT, ROOT_LEVEL = "root", -1
 
 
 def unique_codes(rows: DataFrame, group: str = "cat_id", seq: str = "seq", code: str = "code") -> DataFrame:
-    """Null codes become empty, dots go; a code used before gets '_next' for each time."""
+    """Null codes become empty, dots go; a code used before becomes that of the row before (as it is now) with '_next'.
+
+    So a run of repeated codes bears the code of the last new one, with '_next' for each of them.
+    """
     plain = rows.withColumn(code, F.replace(F.coalesce(F.col(code), F.lit("")), F.lit("."), F.lit("")))
-    n = F.row_number().over(Window.partitionBy(group, code).orderBy(seq)) - 1
-    return plain.withColumn(code, F.concat(F.col(code), F.repeat(F.lit("_next"), n)))
+    again = plain.withColumn("_again", F.row_number().over(Window.partitionBy(group, code).orderBy(seq)) > 1)
+    so_far = Window.partitionBy(group).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
+    runs = again.withColumns({"_run": F.count_if(~F.col("_again")).over(so_far), "_code": F.last(F.when(~F.col("_again"), F.col(code)), ignorenulls=True).over(so_far)})
+    n = F.row_number().over(Window.partitionBy(group, "_run").orderBy(seq)) - 1
+    return runs.withColumn(code, F.concat("_code", F.repeat(F.lit("_next"), n))).drop("_again", "_run", "_code")
 
 
 def with_parent(rows: DataFrame, group: str = "cat_id", seq: str = "seq", level: str = "level", code: str = "code") -> DataFrame:
-    """parent_code: the nearest row before with a lower level; null at the top.
+    """parent_code: the nearest row before with a lower level; null at the top. Levels are as many as the rows have.
 
     One class schedule is one window; schedules are a few thousand rows.
     """
+    levels = sorted(r[0] for r in rows.select(level).where(F.col(level).isNotNull()).distinct().collect())
     before = Window.partitionBy(group).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    latest = [F.last(F.when(F.col(level) == k, F.struct(seq, code)), ignorenulls=True).over(before).alias(f"_l{k}") for k in range(MAX_LEVEL)]
+    latest = [F.last(F.when(F.col(level) == k, F.struct(seq, code)), ignorenulls=True).over(before).alias(f"_l{i}") for i, k in enumerate(levels)]
     seen = rows.select("*", *latest)
-    nearest = F.array_max(F.filter(F.array(*(F.when(F.col(level) > k, F.col(f"_l{k}")) for k in range(MAX_LEVEL))), lambda x: x.isNotNull()))
-    return seen.withColumn("parent_code", nearest[code]).drop(*(f"_l{k}" for k in range(MAX_LEVEL)))
+    lower = [F.when(F.col(level) > k, F.col(f"_l{i}")) for i, k in enumerate(levels)]
+    if not lower:
+        return rows.withColumn("parent_code", F.lit(None).cast("string"))
+    nearest = F.array_max(F.filter(F.array(*lower), lambda x: x.isNotNull()))
+    return seen.withColumn("parent_code", nearest[code]).drop(*(f"_l{i}" for i in range(len(levels))))
+
+
+def class_tree(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """The closure of class schedules (cat_id, seq, code, level, name), each under a root that bears the class's title.
+
+    classes: cat_id, cat_name; a class that it lacks has a root without a name. Codes are made unique.
+    """
+    unique = unique_codes(rows).select("cat_id", F.col("seq").cast("long").alias("seq"), F.col("level").cast("int").alias("level"), "code", "name")
+    titles = rows.select("cat_id").distinct().join(classes.select("cat_id", "cat_name"), "cat_id", "left")
+    roots = titles.select("cat_id", F.lit(-1).cast("long").alias("seq"), F.lit(ROOT_LEVEL).alias("level"), F.lit(ROOT).alias("code"), F.coalesce("cat_name", F.lit("")).alias("name"))
+    return closure(with_parent(roots.unionByName(unique)))
 
 
 def closure(nodes: DataFrame, group: str = "cat_id", code: str = "code", name: str = "name", parent: str = "parent_code") -> DataFrame:
@@ -51,8 +73,8 @@ def closure(nodes: DataFrame, group: str = "cat_id", code: str = "code", name: s
 
 
 def descendants(tree: DataFrame, code: str) -> DataFrame:
-    """Nodes of which the code is an ancestor, itself included."""
-    return tree.where(F.array_contains("ancestor_codes", code))
+    """Nodes of which the code is an ancestor, itself included; a root is no node."""
+    return tree.where(F.array_contains("ancestor_codes", code) & (F.col("code") != ROOT))
 
 
 def label_codes(df: DataFrame, raw: str, tree: DataFrame, classes: DataFrame) -> DataFrame:

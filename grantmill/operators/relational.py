@@ -8,14 +8,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..session import stored
 
-#: A lookup side is broadcast only if a count says that it has no more rows.
-MAX_LOOKUP_ROWS = 500_000
+#: A lookup side is broadcast only if it has no more rows, and no more bytes as text.
+MAX_LOOKUP_ROWS, MAX_LOOKUP_BYTES = 500_000, 64 << 20
 
 
 def lookup(df: DataFrame) -> DataFrame:
     """The side marked for broadcast if it is small, else as it is: then both sides are shuffled."""
-    return F.broadcast(df) if df.limit(MAX_LOOKUP_ROWS + 1).count() <= MAX_LOOKUP_ROWS else df
+    width = F.octet_length(F.to_json(F.struct("*")))
+    rows, size = df.limit(MAX_LOOKUP_ROWS + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(df) if rows <= MAX_LOOKUP_ROWS and size <= MAX_LOOKUP_BYTES else df
 
 
 # Projections and filters
@@ -44,6 +47,11 @@ def kept_and_total(df: DataFrame, key: str, column: str = "est_description") ->
     return df.groupBy(key).agg(F.count(column).alias("kept"), F.count(F.lit(1)).alias("total"))
 
 
+def without_national(df: DataFrame, national: str = "bio_main-classification_national", ipc: str = "bio_main-classification_ipc") -> DataFrame:
+    """Records that have an IPC code but no national one."""
+    return df.where(F.col(f"`{national}`").isNull() & F.col(f"`{ipc}`").isNotNull())
+
+
 def exclude_category(df: DataFrame, text: str, column: str = "est_description") -> DataFrame:
     """Without rows whose category has the literal text; rows without a category stay."""
     return df.where(F.col(column).isNull() | ~F.contains(F.col(column), F.lit(text)))
@@ -201,13 +209,29 @@ def keep_first(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     return df.groupBy(F.col(key).alias("_key")).agg(F.min_by(row, F.struct(*order)).alias("_row")).select("_row.*")
 
 
+def first_where(df: DataFrame, condition: Column | str, order: Sequence[str]) -> DataFrame:
+    """The first row, in the given order, for which the condition holds; none if there is none."""
+    return df.where(condition).orderBy(*order).limit(1)
+
+
 def forward_fill(df: DataFrame, columns: Sequence[str], order: str, partition: Sequence[str] = ()) -> DataFrame:
     """Each column's last value so far, column by column, in the order of a sequence number.
 
-    Without a partition the whole list is one window: meant for concordance tables of a few thousand rows.
+    Without a partition the rows go by ranges of the order, so no task has them all: each range is
+    filled on its own, and what is still empty at its head gets the last values of the ranges before.
     """
-    window = Window.partitionBy(*(partition or [F.lit(1)])).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({c: F.last(c, ignorenulls=True).over(window) for c in columns})
+    if partition:
+        window = Window.partitionBy(*partition).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({c: F.last(c, ignorenulls=True).over(window) for c in columns})
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(df.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id()), "ranges")
+    within = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    filled = dealt.withColumns({c: F.last(c, ignorenulls=True).over(within) for c in columns})
+    lasts = dealt.groupBy("_part").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_last_{k}") for k, c in enumerate(columns)))  # a row for each range
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    heads = lasts.select("_part", *(F.last(f"_last_{k}", ignorenulls=True).over(before).alias(f"_head_{k}") for k in range(len(columns))))
+    joined = filled.join(F.broadcast(heads), "_part", "left")
+    return joined.withColumns({c: F.coalesce(F.col(c), F.col(f"_head_{k}")) for k, c in enumerate(columns)}).select(*df.columns)
 
 
 def file_level_year(df: DataFrame, file: str, order: str, date: str = "bio_date") -> DataFrame:

@@ -351,6 +351,22 @@ def content(parsed: DataFrame) -> DataFrame:
     return parsed.where("parse_error IS NULL").select(*(F.col(f"`{c}`") for c in RECORD.fieldNames()), F.substring("bio_date", 1, 4).try_cast("int").alias("year"))
 
 
-def find_record(records: DataFrame, doc_number: str) -> DataFrame:
-    """Raw records that hold a number."""
-    return records.where(F.contains("record", F.lit(doc_number)))
+def find_record(records: DataFrame, doc_number: str, kind: str) -> DataFrame:
+    """file and record of the raw records that bear a number; those that only cite it don't count.
+
+    Records without the number anywhere are left out before any is parsed.
+    """
+    holding = records.where(F.contains("record", F.lit(doc_number))).select("file", "record")
+    parse = PARSERS[kind]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([bears(x) for x in batch.column(1).to_pylist()], pa.bool_()))
+
+    def bears(record: str) -> bool:
+        try:
+            return parse(record, False).get("bio_doc-number") == doc_number
+        except Exception:  # a record that can't be parsed bears no number
+            return False
+
+    return holding.mapInArrow(run, holding.schema)

@@ -8,6 +8,7 @@ import re
 import zipfile
 from collections.abc import Iterator, Sequence
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,19 +30,29 @@ def read_year_counts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def literal_list(value: Column | str) -> Column:
-    """A list written as Python text; what is no such list becomes ['']. For archives of the old CSV form."""
+    """A list written as Python text; what is no such list becomes ['']. For archives of the old CSV form.
 
-    @F.udf("array<string>", useArrow=True)
-    def parse(text):
-        if text is None:
-            return None
-        try:
-            found = ast.literal_eval(text)
-        except (ValueError, SyntaxError, MemoryError, RecursionError):
-            return [""]
-        return [str(x) for x in found] if isinstance(found, (list, tuple)) else [""]
+    The common form, plain strings in one kind of quotes, is read without Python; only
+    lists with escapes, numbers and the like go to the parser, in Arrow batches.
+    """
+    c = F.trim(F.col(value) if isinstance(value, str) else value)
+    single, double = r"'[^'\\\n]*'", r'"[^"\\\n]*"'
+    item = f"(?:{single}|{double})"
+    plain = c.rlike(rf"^\[\s*(?:{item}\s*(?:,\s*{item}\s*)*,?\s*)?\]$")
+    items = F.transform(F.regexp_extract_all(c, F.lit(item), F.lit(0)), lambda x: F.substring(x, F.lit(2), F.char_length(x) - 2))
+
+    @F.pandas_udf("array<string>")
+    def parse(texts: pd.Series) -> pd.Series:
+        def read(text):
+            try:
+                found = ast.literal_eval(text)
+            except (ValueError, SyntaxError, MemoryError, RecursionError):
+                return [""]
+            return [str(x) for x in found] if isinstance(found, (list, tuple)) else [""]
+
+        return texts.map(lambda x: None if x is None else read(x))
 
-    return parse(value)
+    return F.when(plain, items).otherwise(parse(F.when(~plain, c)))
 
 
 def write_years(df: DataFrame, path: str, year: str = "year") -> None:
@@ -100,10 +111,22 @@ def read_keywords(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.lower(F.trim("value")).alias("keyword")).where("keyword <> ''")
 
 
-def keyword_groups(sheet: DataFrame) -> DataFrame:
-    """(group, keyword) of a sheet with a column for each group; no-break blanks come off, blanks cells go."""
-    melted = sheet.unpivot([], sheet.columns, "group", "keyword")
-    return melted.select("group", F.btrim("keyword", F.lit("\u00a0")).alias("keyword")).where("keyword IS NOT NULL AND keyword <> ''")
+def keyword_groups(sheet: DataFrame, order: str | None = None) -> DataFrame:
+    """(group, pos, keyword) of a sheet with a column for each group; no-break blanks come off, blank cells go.
+
+    order: a column that numbers the sheet's rows; by default they count as they stand.
+    """
+    numbered = sheet.withColumn("pos", F.monotonically_increasing_id() if order is None else F.col(order).cast("long"))
+    names = [c for c in sheet.columns if c != order]
+    melted = numbered.unpivot(["pos"], names, "group", "keyword")
+    return melted.select("group", "pos", F.btrim("keyword", F.lit("\u00a0")).alias("keyword")).where("keyword IS NOT NULL AND keyword <> ''")
+
+
+def with_header(cells: DataFrame, width: int) -> DataFrame:
+    """Rows (row, cells) of one table with its first row as the names of ``width`` columns; row stays."""
+    first = cells.where("row = 0").select("cells").first()
+    names = [*(first[0] if first else []), *(f"column{k}" for k in range(len(first[0]) if first else 0, width))][:width]
+    return cells.where("row > 0").select("row", *(F.get("cells", F.lit(k)).alias(n) for k, n in enumerate(names)))
 
 
 # Saved web pages
@@ -148,8 +171,12 @@ def _cells(html: str) -> list[list[list[str]]]:
     """Rows of cells of every table, in order."""
     from .records import parse_tree
 
+    try:
+        tables = parse_tree(f"<root>{html}</root>").find_all("table")
+    except RecursionError:  # a page nested too deeply has no table that could be told
+        return []
     out = []
-    for t in parse_tree(f"<root>{html}</root>").find_all("table"):
+    for t in tables:
         rows = [[" ".join(c.text().split()) for c in r.walk() if c.tag in ("td", "th")] for r in t.find_all("tr")]
         out.append([r for r in rows if r])
     return out
@@ -240,14 +267,17 @@ def unpack(archives: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        out += [(path, m, z.read(m).decode("utf-8", "ignore"), True) for m in z.namelist() if not m.endswith("/")]
-                except (zipfile.BadZipFile, OSError, RuntimeError, NotImplementedError):
-                    out.append((path, None, None, False))
-            columns = list(zip(*out)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.bool_()))], names=["path", "member", "text", "unzip_status"])
+                for row in members(path, content):  # one member at a time
+                    yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, (pa.string(), pa.string(), pa.string(), pa.bool_()))], names=["path", "member", "text", "unzip_status"])
+
+    def members(path: str, content: bytes) -> Iterator[tuple]:
+        try:
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                for m in z.namelist():
+                    if not m.endswith("/"):
+                        yield path, m, z.read(m).decode("utf-8", "ignore"), True
+        except (zipfile.BadZipFile, OSError, RuntimeError, NotImplementedError):
+            yield path, None, None, False
 
     return archives.select("path", "content").mapInArrow(run, "path string, member string, text string, unzip_status boolean")

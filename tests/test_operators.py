@@ -56,6 +56,9 @@ def test_keep_first_and_fill(spark):
     df = spark.createDataFrame([("a", 2, "x"), ("a", 1, None), ("b", 5, "y")], "k string, seq int, v string")
     assert rows(relational.keep_first(df, "k", ["seq"]), "k") == [("a", 1, None), ("b", 5, "y")]
     assert rows(relational.forward_fill(df, ["v"], "seq").select("seq", "v"), "seq") == [(1, None), (2, "x"), (5, "y")]
+    gaps = spark.createDataFrame([(k, "v%d" % k if k % 37 == 5 else None, "w" if k == 150 else None) for k in range(200)], "seq int, v string, w string").repartition(3)
+    assert rows(relational.forward_fill(gaps, ["v", "w"], "seq"), "seq") == [(k, f"v{(k - 5) // 37 * 37 + 5}" if k >= 5 else None, "w" if k >= 150 else None) for k in range(200)]
+    assert relational.forward_fill(gaps.limit(0), ["v"], "seq").count() == 0
 
 
 def test_taxonomy_and_exclusion(spark):
@@ -71,21 +74,33 @@ SCHEDULE = [(0, "1", 0, "Top"), (1, "2", 1, "Sub"), (2, "3.1", 2, "Deep"), (3, N
 @pytest.fixture(scope="module")
 def tree(spark):
     raw = spark.createDataFrame([("010", *r) for r in SCHEDULE], "cat_id string, seq int, code string, level int, name string")
-    return stored(hierarchy.closure(hierarchy.with_parent(hierarchy.unique_codes(raw))), "tree")
+    return stored(hierarchy.class_tree(raw, spark.createDataFrame([("010", "Ten")], "cat_id string, cat_name string")), "tree")
 
 
 def test_tree(tree):
     got = {r.code: (r.parent_code, "||".join(r.ancestor_names)) for r in tree.collect()}
-    assert got["31"] == ("2", "Top||Sub||Deep") and got[""] == ("1", "Top||Blank") and got["2_next"] == ("1", "Top||Again")
-    assert got["10"] == ("9", "Other||Skip") and got["11"] == ("9", "Other||Back")  # a level that is skipped
+    assert got["31"] == ("2", "Ten||Top||Sub||Deep") and got[""] == ("1", "Ten||Top||Blank") and got["_next"] == ("1", "Ten||Top||Again") and got["root"] == (None, "Ten")
+    assert got["10"] == ("9", "Ten||Other||Skip") and got["11"] == ("9", "Ten||Other||Back")  # a level that is skipped
     assert sorted(r.code for r in hierarchy.descendants(tree, "2").collect()) == ["2", "31"]
+    assert "root" not in {r.code for r in hierarchy.descendants(tree, "root").collect()}
+
+
+def test_levels_are_as_many_as_there_are(spark):
+    deep = spark.createDataFrame([("c", k, f"n{k}", k, "x") for k in range(20)], "cat_id string, seq int, code string, level int, name string")
+    assert {r.code: r.parent_code for r in hierarchy.with_parent(deep).collect()} == {f"n{k}": f"n{k - 1}" if k else None for k in range(20)}
+
+
+def test_repeated_codes(spark):
+    codes = ["a", "b", "a", "a", "c", "b", None, None, "a.", "d"]
+    df = spark.createDataFrame([("c", k, c) for k, c in enumerate(codes)], "cat_id string, seq int, code string")
+    assert [r.code for r in hierarchy.unique_codes(df).orderBy("seq").collect()] == ["a", "b", "b_next", "b_next_next", "c", "c_next", "", "_next", "_next_next", "d"]
 
 
 def test_labels(spark, tree):
     classes = spark.createDataFrame([("010", "Class ten"), ("011", "Eleven")], "cat_id string, cat_name string")
     raw = spark.createDataFrame([(1, "US 10 31"), (2, "US 10 77"), (3, "US 99 1"), (4, None), (5, "[]"), (6, "US 10 31")], "i int, raw string")
     got = rows(hierarchy.label_codes(raw, "raw", tree, classes).select("i", "cat_name", "status"), "i")
-    assert got == [(1, "Top||Sub||Deep", "success"), (2, "Class ten", "fail"), (3, None, "fail"), (4, None, "fail"), (5, None, "fail"), (6, "Top||Sub||Deep", "success")]
+    assert got == [(1, "Ten||Top||Sub||Deep", "success"), (2, "Class ten", "fail"), (3, None, "fail"), (4, None, "fail"), (5, None, "fail"), (6, "Ten||Top||Sub||Deep", "success")]
 
 
 def test_ipc_scheme(spark):
@@ -127,8 +142,10 @@ def test_search(spark):
     assert one.keys_hit_v1 == {"Solar": 1} and one.total_counts_v1 == 1  # "cellsolar": sections are glued
     assert search.search(df, {"v1": ["solar", "cell"]}, blank=True).orderBy("id").first().total_counts_v1 == 3
     assert two.keys_hit_v1 == {} and two.total_counts_v1 == 0 and one.total_counts_v2 == 0
-    sheet = tables.keyword_groups(spark.createDataFrame([("wind\u00a0", "pv"), ("wave", None)], "v1 string, v2 string"))
-    assert sorted(rows(sheet)) == [("v1", "wave"), ("v1", "wind"), ("v2", "pv")]
+    sheet = tables.keyword_groups(spark.createDataFrame([(0, "wind\u00a0", "pv"), (1, "wave", None)], "seq int, v1 string, v2 string"), "seq")
+    assert sorted(rows(sheet)) == [("v1", 0, "wind"), ("v1", 1, "wave"), ("v2", 0, "pv")]
+    assert search.group_keywords(sheet) == {"v1": ["wind", "wave"], "v2": ["pv"]}
+    assert search.group_keywords(tables.keyword_groups(spark.createDataFrame([("a", "b")], "v1 string, v2 string"))) == {"v1": ["a"], "v2": ["b"]}
     long = spark.createDataFrame([("v1", 0, "a (b) c"), ("v1", 1, "d")], "group string, pos int, keyword string")
     assert search.group_keywords(long, clean=True) == {"v1": ["a c", "d"]}
 
@@ -138,8 +155,13 @@ def test_similarity():
     assert entities.similarity("", "ACME") < 1e-6
     assert entities.similarity("ACME WORKS", "WORKS ACME") == entities.similarity("WORKS ACME", "ACME WORKS")
     assert entities.token_set_ratio("acme works", "acme") == 100 and entities.partial_ratio("cme w", "acme works") == 100
-    assert entities.common_name(["ACME WORKS", "ACME LABS", "ACME LINES"]) == "ACME"
-    assert entities.common_name(["AB", "CD"]) == "AB" and entities.common_name(["X"]) == "X"
+    assert entities.longest_common("xabyabz", "zab") == "ab" and entities.longest_common("abc", "") == entities.longest_common("", "abc") == ""
+
+
+def test_standard_names(spark):
+    clusters = [("ACME WORKS", 0), ("ACME LABS", 0), ("ACME LINES", 0), ("AB", 1), ("CD", 1), ("X", 2), ("PQ 12", 3), ("PQ 34", 3), ("ZZ 34", 3)]
+    got = {r.CompanyName: r.StandardName for r in entities.standard_names(spark.createDataFrame(clusters, "CompanyName string, cluster int")).collect()}
+    assert {got[n] for n in ("ACME WORKS", "ACME LABS", "ACME LINES")} == {"ACME"} and got["AB"] == got["CD"] == "AB" and got["X"] == "X" and got["PQ 12"] == "PQ;;34"
 
 
 def test_affinity_propagation():
@@ -180,6 +202,8 @@ def test_sheets_years_json(spark, tmp_path):
     (tmp_path / "k.txt").write_text(" Wind Power \n\nPV\n")
     assert rows(tables.read_keywords(spark, str(tmp_path / "k.txt"))) == [("wind power",), ("pv",)]
     assert rows(spark.createDataFrame([("['a', 'b']",), ("oops[",), (None,)], "x string").select(tables.literal_list("x"))) == [(["a", "b"],), ([""],), (None,)]
+    odd = [("[]", []), ("('x',)", ["x"]), ("[1, 'b']", ["1", "b"]), ("['it\\'s']", ["it's"]), ("[\"q\", 'r',]", ["q", "r"]), ("{'a'}", [""]), (" ['a'] ", ["a"])]
+    assert [r[0] for r in spark.createDataFrame([(x,) for x, _ in odd], "x string").coalesce(1).select(tables.literal_list("x")).collect()] == [x for _, x in odd]
 
 
 def test_crawl(spark):
@@ -273,7 +297,7 @@ def test_label_stage(spark, tree):
     classes = spark.createDataFrame([("010", "Ten")], "cat_id string, cat_name string")
     patterns = concordance.expand_patterns(spark.createDataFrame([(1, "Energy|||", "010/2+")], "seq int, topic_des string, USPC string"), tree)
     got = stages.label(docs, tree, classes, concordance.compile_patterns(patterns))
-    assert {r["bio_doc-number"]: (r.cat_name, r.est_description) for r in got.collect()} == {"1": ("Top||Sub||Deep", "Energy|||"), "2": (None, None)}
+    assert {r["bio_doc-number"]: (r.cat_name, r.est_description) for r in got.collect()} == {"1": ("Ten||Top||Sub||Deep", "Energy|||"), "2": (None, None)}
 
 
 def test_plans(spark, tmp_path):
