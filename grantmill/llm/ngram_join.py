@@ -619,6 +619,7 @@ def find_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, word
     clusters = components(edges, scratch, "clusters").select(F.col("node").alias("owner"), F.col("label").alias("cluster"))
     members = scratch.save(_link_groups(near, clusters, heads, scratch, percent), "members")
     scratch.drop("near", "heads", "dealt", "groups", "hub-links", "hub-members", "placed", "left", "meets", "straggler-links")
+    members = F.broadcast(members) if members.count() <= BROADCAST_ROWS // 2 else members
     return sets.select("doc_id", "n_shingles", "owner").join(members, "owner", "left").select("doc_id", "n_shingles", F.coalesce("root", "owner").alias("component"))
 
 
@@ -626,7 +627,9 @@ def report(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     """doc_id, n_shingles, component_id (the smallest doc_id of the component)."""
     found = find_links(docs, words, percent)
     found = Scratch(docs.sparkSession, "ngram-report").save(found, "found")
-    names = found.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    sizes = found.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("_n"))
+    names = Scratch(docs.sparkSession, "ngram-names").save(sizes.where("_n > 1").drop("_n"), "names")  # a document alone names itself
+    names = F.broadcast(names) if names.count() <= BROADCAST_ROWS // 2 else names
     return found.join(names, "component", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
