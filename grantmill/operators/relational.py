@@ -14,8 +14,17 @@ from ..session import stored
 MAX_LOOKUP_ROWS, MAX_LOOKUP_BYTES = 500_000, 64 << 20
 
 
+def _is_tiny(df: DataFrame) -> bool:
+    """Whether the plan alone says that the rows are few: its files are small and nothing in it makes rows of its own."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    text = plan.toString()
+    return not any(x in text for x in ("Generate", "MapIn", "FlatMap", "Join", "Expand", "Union")) and int(str(plan.stats().sizeInBytes())) <= 1 << 21
+
+
 def lookup(df: DataFrame) -> DataFrame:
     """The side marked for broadcast if it is small, else as it is: then both sides are shuffled."""
+    if _is_tiny(df):
+        return F.broadcast(df)
     width = F.octet_length(F.to_json(F.struct("*")))
     rows, size = df.limit(MAX_LOOKUP_ROWS + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
     return F.broadcast(df) if rows <= MAX_LOOKUP_ROWS and size <= MAX_LOOKUP_BYTES else df
@@ -185,13 +194,23 @@ def lag_summary(lags: DataFrame, buckets: Sequence[tuple[int, int]] = LAG_BUCKET
     """(bucket, gap, value): the share of each gap (longer ones as '>7'), then 'mean' and 'sd' of the gap, weighted."""
     used = lags.where((F.col("gap") >= 0) & (F.col("gap") < longest) & (F.col("application_year") > since))
     counts = bucket_join(used, "application_year", buckets).groupBy("bucket", "gap").agg(F.sum("count").alias("n"))
-    shown = F.when(F.col("gap") > top, F.lit(f">{top}")).otherwise(F.col("gap").cast("string"))
-    grouped = counts.groupBy("bucket", shown.alias("gap")).agg(F.sum("n").alias("n"))
-    shares = grouped.select("bucket", "gap", (F.col("n") / F.sum("n").over(Window.partitionBy("bucket"))).alias("value"))
-    mean = F.sum(F.col("gap") * F.col("n")) / F.sum("n")
-    square = F.sum(F.col("gap") * F.col("gap") * F.col("n")) / F.sum("n")
-    moments = counts.groupBy("bucket").agg(mean.alias("mean"), F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("sd"))
-    return shares.unionByName(moments.unpivot("bucket", ["mean", "sd"], "gap", "value"))
+    own = counts.groupBy("bucket").agg(F.collect_list(F.struct(F.col("gap").cast("double").alias("gap"), F.col("n").cast("double").alias("n"))).alias("own"))  # no more than the longest gap
+
+    def total(rows: Column, value: Callable[[Column], Column]) -> Column:
+        return F.aggregate(rows, F.lit(0.0), lambda acc, x: acc + value(x))
+
+    def share(name: Column, n: Column) -> Column:
+        return F.struct(name.alias("gap"), (n / total(F.col("own"), lambda x: x["n"])).alias("value"))
+
+    short, long = F.filter("own", lambda x: x["gap"] <= top), F.filter("own", lambda x: x["gap"] > top)
+    shares = F.concat(
+        F.transform(short, lambda x: share(x["gap"].cast("int").cast("string"), x["n"])),
+        F.when(F.size(long) > 0, F.array(share(F.lit(f">{top}"), total(long, lambda x: x["n"])))).otherwise(F.array().cast("array<struct<gap:string,value:double>>")),
+    )
+    all_n = total(F.col("own"), lambda x: x["n"])
+    mean, square = total(F.col("own"), lambda x: x["gap"] * x["n"]) / all_n, total(F.col("own"), lambda x: x["gap"] * x["gap"] * x["n"]) / all_n
+    moments = F.array(F.struct(F.lit("mean").alias("gap"), mean.alias("value")), F.struct(F.lit("sd").alias("gap"), F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("value")))
+    return own.select("bucket", F.explode(F.concat(shares, moments)).alias("x")).select("bucket", "x.gap", "x.value")
 
 
 def lag_table(summary: DataFrame, buckets: Sequence[tuple[int, int]] = LAG_BUCKETS) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 import bisect
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
-from xml.parsers import expat
+from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -121,19 +121,40 @@ class _Builder(HTMLParser):
 
 def parse_well_formed(text: str) -> Element:
     """The tree of well-formed XML, several times faster; raises on anything else and on entities it does not know."""
-    builder, parser = _Builder(), expat.ParserCreate()
-
-    def unknown(name: str, is_parameter: bool) -> None:
-        if not is_parameter:
-            raise ValueError(f"unknown entity {name}")
-
-    parser.buffer_text = True
-    parser.StartElementHandler = lambda tag, _: builder.handle_starttag(tag.lower(), None)
-    parser.EndElementHandler = lambda tag: builder.handle_endtag(tag.lower())
-    parser.CharacterDataHandler = builder.handle_data
-    parser.SkippedEntityHandler = unknown
-    parser.Parse(text, True)
-    return builder.root
+    root = Element("#root", -1)
+    index, n = root.index, 0
+
+    def add(source: ElementTree.Element, parent: Element) -> Element:
+        nonlocal n
+        tag = source.tag.lower()
+        e = Element(tag, n, index)
+        if tag in index:
+            index[tag][0].append(n)
+            index[tag][1].append(e)
+        else:
+            index[tag] = [n], [e]
+        n += 1
+        if source.text:
+            e.children.append(source.text)
+        parent.children.append(e)
+        return e
+
+    top = ElementTree.fromstring(text)
+    stack = [(add(top, root), iter(top))]
+    while stack:
+        parent, rest = stack[-1]
+        for source in rest:
+            e = add(source, parent)
+            if source.tail:
+                parent.children.append(source.tail)
+            if len(source):
+                stack.append((e, iter(source)))
+                break
+            e.end = n
+        else:
+            parent.end = n
+            stack.pop()
+    return root
 
 
 def parse_tree(text: str) -> Element:
@@ -171,7 +192,7 @@ def parse_xml(record: str, compat: bool = False) -> dict:
     """A record of tagged XML. compat: CPC symbols are looked for where the IPC ones are."""
     try:
         root = parse_well_formed(record)
-    except (expat.ExpatError, ValueError):
+    except (ElementTree.ParseError, ValueError):
         root = parse_tree(record)
     publication, application = root.find("publication-reference"), root.find("application-reference")
     out = {
