@@ -343,6 +343,25 @@ def ipc_labels(t):
     return hierarchy.label_ipc(t.customer.select("c_custkey", raw.alias("raw")), "raw", tree).select("c_custkey", "ipc_label")
 
 
+# Streams
+
+
+@query("""SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events
+WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM events) GROUP BY ALL""")
+def windowed_stream(t):
+    """Windows that the watermark has closed, appended by a stream; rows that come later are dropped."""
+    path = work_path(t.spark, "windows")
+    day = F.date_format(F.to_utc_timestamp("w.start", F.current_timezone()), "yyyy-MM-dd")
+    flat = lambda s: incremental.windowed_counts(s).select(day.alias("day"), "event_type", "n", F.round("v", 2).alias("total"))
+    utc = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("+00:00")).cast("timestamp")
+    events = t.events.withColumn("ts", utc)
+    late = events.join(events.agg(F.min("ts").alias("_first")), F.col("ts") == F.col("_first")).drop("_first")
+    for rows in (events, late):
+        rows.write.mode("append").parquet(f"{path}/source")
+        incremental.run_available(incremental.stream_parquet(t.spark, f"{path}/source", events.schema), f"{path}/table", f"{path}/checkpoint", flat)
+    return t.spark.read.parquet(f"{path}/table")
+
+
 # Stages
 
 

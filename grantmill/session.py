@@ -5,9 +5,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths that work_path has given out, in order.
+_given: list[str] = []
+
 
 def build(app: str = "grantmill", master: str | None = None, **settings: str) -> SparkSession:
     """A session with adaptive execution, UTC and Arrow; settings override."""
@@ -29,7 +34,27 @@ def work_path(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = "file://" + tempfile.mkdtemp(prefix="grantmill-")
         spark.conf.set("spark.checkpoint.dir", shared)
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _given.append(f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _given[-1]
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Delete files or folders, wherever they are."""
+    jvm = spark.sparkContext._jvm
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def temporaries(spark: SparkSession) -> Iterator[None]:
+    """Working folders that are made within are deleted at the end; by then results must have been written elsewhere."""
+    begin = len(_given)
+    try:
+        yield
+    finally:
+        delete(spark, *_given[begin:])
+        del _given[begin:]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

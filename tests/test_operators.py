@@ -1,6 +1,7 @@
 """Relational operators, hierarchies, concordance, search, names, sources, stages and streams on small fixtures."""
 
 import io
+import os
 import zipfile
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from grantmill.operators import concordance, entities, hierarchy, relational, search
 from grantmill.plans import stages
-from grantmill.session import stored
+from grantmill.session import stored, temporaries
 from grantmill.sources import fetch, tables
 from grantmill.streaming import incremental
 
@@ -300,6 +301,15 @@ def test_label_stage(spark, tree):
     assert {r["bio_doc-number"]: (r.cat_name, r.est_description) for r in got.collect()} == {"1": ("Ten||Top||Sub||Deep", "Energy|||"), "2": (None, None)}
 
 
+def test_temporaries_go(spark):
+    with temporaries(spark):
+        held = stored(spark.range(5), "short")
+        files = held.inputFiles()
+        assert held.count() == 5
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in files) and files
+    assert stored(spark.range(3), "kept").count() == 3
+
+
 def test_plans(spark, tmp_path):
     """Filters and columns reach the scan; small lookups are broadcast; counts combine before the shuffle."""
     spark.createDataFrame([(i, f"t{i}", i % 3) for i in range(100)], "id int, text string, k int").write.parquet(str(tmp_path / "t"))
