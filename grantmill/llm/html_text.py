@@ -12,7 +12,8 @@ the main text lies: from the root down it goes on into the element that holds ne
 all text (links not counted), as long as what stands beside it is no paragraph or
 headline; where no element has that much, article and main elements break the tie.
 It says what in there is template, a text that ``SUPPORT`` different pages have while
-no page has another in its place, and what is a menu, a list that is nearly all links.
+no page has another in its place, and what is a menu, a list that is nearly all links;
+where that would leave next to nothing, the host's pages are copies, and all stays.
 Tags, roles and names of elements say what is a header, footer, sidebar, notice,
 advert, form or comment section, as these differ from page to page like the text
 does. Parts that the wrapper lacks count as content. Hosts with fewer pages than
@@ -53,6 +54,8 @@ MAX_WRAPPER_BYTES = 32 << 20
 MAX_DEPTH = 200
 #: Share of the text that an element must hold to be gone into, and of a list's that must be links to make it a menu, in percent.
 MOST, LINKS = 80, 90
+#: Share of the main text, in percent, that must be left when its template is taken away; else nothing is.
+LEAST = 20
 #: Places that two lists of labels are aligned over exactly, by a table; beyond that by the order in which each label occurs.
 TABLE = 1 << 20
 
@@ -356,7 +359,7 @@ def _template(node: Node, wrapper: list, out: set[int]) -> None:
                     out.add(_place(node, k))
             elif _is_menu(part):
                 out.add(_place(node, k))
-            else:
+            elif not c.dropped:
                 _template(c, part, out)
 
 
@@ -422,14 +425,23 @@ def extract(page: str | None, wrapper: list | None) -> str:
     if not page:
         return ""
     root = parse(page)
-    out: list[str] = []
     template: set[int] = set()
     regions: list[Node] = []
     if wrapper is not None and wrapper[0] == root.label:
         if len(wrapper[6]) >= SUPPORT:
             regions = _follow(root, main_path(wrapper))
             _template(root, wrapper, template)
-    for a in regions or _find(root, "article", []) or _find(root, "main", []) or [root]:
+    found = regions or _find(root, "article", []) or _find(root, "main", []) or [root]
+    kept = _text(found, template)
+    if template:  # pages that are copies of one another have no template that could be told from their text
+        whole = _text(found, set())
+        return whole if len(kept) * 100 < LEAST * len(whole) else kept
+    return kept
+
+
+def _text(regions: list[Node], template: set[int]) -> str:
+    out: list[str] = []
+    for a in regions:
         held: list[str] = []
         _blocks(a, template, held, out)
         text = " ".join("".join(held).split())

@@ -58,6 +58,11 @@ def test_the_wrapper_finds_the_main_text_without_names(spark):
     assert texts_of(spark, [alone]) == {0: f"a b\n{words(1, 50)}"}
 
 
+def test_copies_of_one_article_keep_their_text(spark):
+    pages = [f"<html><script>track({k})</script><body><div class='ad'>buy {k}</div><article><h1>Head</h1><p>all the same</p></article></body></html>" for k in range(6)]
+    assert texts_of(spark, pages) == dict.fromkeys(range(6), "Head\nall the same")
+
+
 def test_blocks_of_article_like_names_without_a_host(spark):
     pages = [f"<body><main><p>one {k}</p></main><article><p>two {k} {'long ' * 30}</p></article></body>" for k in range(4)]
     assert texts_of(spark, pages) == {k: f"two {k} " + " ".join(["long"] * 30) for k in range(4)}
