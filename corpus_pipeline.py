@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from grantmill.llm import decontaminate, exact_dedup, ngram_join, packing, quality
 from grantmill.llm.store import Scratch, table
+from grantmill.session import temporaries
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,11 +58,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES over the documents, each written and read again."""
+    """STAGES over the documents, each written and read again; what a stage wrote on the way goes."""
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = scratch.save(stage(spark, docs, sf_dir), f"stage{k}")
+        with temporaries(spark):
+            docs = scratch.save(stage(spark, docs, sf_dir), f"stage{k}")
         if k:
             scratch.drop(f"stage{k - 1}")
     return docs
