@@ -43,6 +43,8 @@ BLOCK_BYTES, BLOCK_DOCS = 1 << 18, 1024
 PIECES = 800_000
 #: Tokens that a reader decodes side by side.
 DECODE_TOKENS = 1 << 20
+#: Tokens of a file part at most, where doc_ids allow it.
+PART_TOKENS = 1 << 28
 MAGIC = b"GMH1"
 
 
@@ -221,8 +223,8 @@ def write(docs: DataFrame, target: str, path: str, spaced: bool, end_id: int) ->
     lengths = code_lengths(table)
     rows = [(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)]
     spark.createDataFrame(rows, "id int, length int").coalesce(1).write.parquet(f"{target}/codes")
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bounds = encoded.where("kind = 0").agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], 10_000)).first()[0] or []
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(counts.values()) // PART_TOKENS))
+    bounds = encoded.where("kind = 0").agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], max(10_000, 10 * parts))).first()[0] or []
     known = spark.sparkContext.broadcast((lengths, canonical_codes(lengths), np.array(sorted(bounds), np.int64)))
 
     def encode_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
