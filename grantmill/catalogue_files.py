@@ -120,6 +120,36 @@ def records_by_year(t):
     return read.groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("bio_doc-number").alias("numbers"))
 
 
+@query("SELECT count(*) AS n, count(*) * 5 AS lines FROM orders")
+def pretty_records(t):
+    """Records written for reading, a line for each element."""
+    path = work_path(t.spark, "pretty")
+    source = '<?xml version="1.0"?><us-patent-grant><number>{key}</number><sections><p>{status}</p></sections></us-patent-grant>'
+    records.write_records(_record_rows(t, source), path)
+    lines = t.spark.read.text(path).where("trim(value) <> ''")
+    return lines.agg(F.count_if(F.col("value").rlike("^  <number>[0-9]+</number>$")).alias("n"), (F.count(F.lit(1)) - F.count_if(F.col("value") == "  </sections>")).alias("lines"))
+
+
+@query("SELECT strftime(o_orderdate, '%Y')::INT AS year, count(*) AS n, min(o_orderkey::VARCHAR) AS first FROM orders GROUP BY 1")
+def json_route(t):
+    """Records as JSON, then flat as CSV, then read."""
+    source = "PATN\nWKU  {key}\nISD  {date}\nABST\nPAL  x\nCLMS\nPAR  1. A, \"quoted\" thing."
+    path = work_path(t.spark, "route")
+    flat = records.content(records.parse_records(_text_source(t, source), "text"))
+    tables.write_json(flat, f"{path}/json")
+    read = t.spark.read.schema(flat.schema).json(f"{path}/json")
+    columns = {"bio_doc-number": "number", "year": "year", "claims_claims": "claims"}
+    out = read.select(*(F.col(f"`{c}`").alias(n) for c, n in columns.items())).withColumn("claims", F.array_join("claims", ";"))
+    out.write.option("header", "true").option("escape", '"').csv(f"{path}/csv")
+    rows = tables.read_csv(t.spark, f"{path}/csv", StructType.fromDDL("number STRING, year INT, claims STRING"))
+    return rows.where("claims LIKE '%\"quoted\"%'").groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.min("number").alias("first"))
+
+
+@query("SELECT doc_id, (strlen(text) // 1024)::INT AS kb FROM documents WHERE text IS NOT NULL")
+def value_sizes(t):
+    return t.documents.where("text IS NOT NULL").select("doc_id", C.size_in_kb("text").alias("kb"))
+
+
 # Files
 
 
@@ -250,6 +280,15 @@ def downloads(t):
     return got.select("title", "down_status", "tries", F.coalesce(F.octet_length("content"), F.lit(0)).alias("bytes"))
 
 
+@query("SELECT n_name AS title, n_nationkey % 5 <> 0 AND n_nationkey % 7 <> 0 AS down_status, CASE WHEN n_nationkey % 5 <> 0 AND n_nationkey % 7 <> 0 THEN n_nationkey + 3 ELSE 0 END::BIGINT AS bytes FROM nation")
+def downloads_in_parts(t):
+    """Contents that come in small parts, written as they come."""
+    wanted = t.nation.select(F.col("n_name").alias("title"), F.concat(F.lit("http://x.example/"), F.col("n_nationkey").cast("string")).alias("url"))
+    parts = stored(fetch.fetch_parts(wanted, _answers, tries=3, rounds=2, pause=0, part_bytes=2), "parts")
+    sizes = fetch.whole_parts(parts).groupBy("url").agg(F.sum(F.octet_length("content")).alias("bytes"))
+    return parts.where("down_status IS NOT NULL").join(sizes, "url", "left").select("title", "down_status", F.coalesce("bytes", F.lit(0)).alias("bytes"))
+
+
 @query("SELECT r_name AS folder, n_name || '.txt' AS member, n_nationkey || ' ' || n_name AS text, true AS unzip_status FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'broken', NULL, NULL, false")
 def unpacked_archives(t):
     """Zip files, one of them broken, listed and unpacked by a stream that runs twice."""

@@ -69,6 +69,11 @@ def join_levels(levels: Sequence[Column | str], separator: str = "|") -> Column:
     return F.concat_ws(separator, *(F.coalesce(_col(c), F.lit("")) for c in levels))
 
 
+def size_in_kb(value: Column | str) -> Column:
+    """Whole kilobytes of a text or binary value."""
+    return F.floor(F.octet_length(_col(value)) / 1024).cast("int")
+
+
 def flatten_all(value: Column, depth: int) -> Column:
     """A list of lists, nested so deep (1: a plain list), as one list in order; null lists count as empty."""
     for _ in range(depth - 1):

@@ -12,8 +12,9 @@ from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import PARSED, RECORD, STATUS
@@ -391,3 +392,29 @@ def find_record(records: DataFrame, doc_number: str, kind: str) -> DataFrame:
             return False
 
     return holding.mapInArrow(run, holding.schema)
+
+
+def pretty(record: Column | str) -> Column:
+    """A record as indented XML, for reading; what is not well formed stays as it is."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(indented)
+
+    return run(F.col(record) if isinstance(record, str) else record)
+
+
+def indented(record: str | None) -> str | None:
+    if record is None:
+        return None
+    try:
+        tree = ElementTree.fromstring(record)
+    except (ElementTree.ParseError, ValueError):
+        return record
+    ElementTree.indent(tree)
+    return ElementTree.tostring(tree, encoding="unicode")
+
+
+def write_records(records: DataFrame, path: str) -> None:
+    """Raw records (file, record) as text, indented, one after another."""
+    records.select(pretty("record").alias("value")).write.mode("overwrite").text(path)
