@@ -12,9 +12,9 @@ each sampled document.
 
 *Scores.* Forward-backward over all tokens of the whole text gives each token's
 probability of being toxic. With two states it is a recursion of ratios, run over
-many documents side by side. The largest and the summed probabilities of a
-document go into a logistic function fitted on the sample's labels; tokens that reach
-0.5 give the offending offsets, and a document with one scores 0.5 at least.
+many documents side by side. The three largest probabilities of a document, their
+sum and how many reach 0.5 go into a logistic function fitted on the sample's labels;
+tokens that reach 0.5 give the offending offsets.
 
 The sample has at most ``MAX_SAMPLE`` labelled rows outside the held-out fold, of at
 most ``MAX_SAMPLE_BYTES`` of text; nothing else of the corpus reaches the driver.
@@ -125,7 +125,7 @@ class ChainField:
         self.weights = np.zeros(1 << _BITS)
         self.change = np.zeros((2, 2))
         self.start = -4.0
-        self.document = np.array([-4.0, 0.0, 0.0])
+        self.document = np.zeros(SUMMARY), np.ones(SUMMARY), np.array([-4.0, *np.zeros(SUMMARY)])  # means, deviations, weights
         self.trained = True
 
     @staticmethod
@@ -207,23 +207,44 @@ class ChainField:
         forward[0] *= back
         return (forward / (1 + forward)).T, expected
 
-    def fit_documents(self, summaries: np.ndarray, y: np.ndarray) -> ChainField:
-        """Logistic regression on the documents' summaries, by Newton's method."""
-        x = np.column_stack((np.ones(len(y)), summaries))
-        w = np.zeros(x.shape[1])
-        for _ in range(30):
+    def fit_documents(self, summaries: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> ChainField:
+        """Logistic regression on the documents' summaries, by Newton's method with steps halved until they help."""
+        means, deviations = summaries.mean(axis=0), np.maximum(summaries.std(axis=0), 0.5)
+        x = np.column_stack((np.ones(len(y)), (summaries - means) / deviations))
+        w, held = np.zeros(x.shape[1]), np.array([0.0, *np.full(x.shape[1] - 1, ridge)])
+
+        def loss(w: np.ndarray) -> float:
+            z = x @ w
+            return float((np.logaddexp(0, z) - y * z).sum() + (held * w * w).sum() / 2)
+
+        for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(len(w)), x.T @ (y - p) - 0.05 * w)
-        self.document = w
+            move = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(held + 1e-9), x.T @ (y - p) - held * w)
+            step = 1.0
+            while step > 1e-6 and loss(w + step * move) > loss(w):
+                step /= 2
+            w = w + step * move
+            if step * np.abs(move).max() < 1e-8:
+                break
+        self.document = means, deviations, w
         return self
 
     def score(self, summaries: np.ndarray) -> np.ndarray:
-        """The fitted score; with an offending token a document is toxic."""
         if not self.trained:
             return np.zeros(len(summaries))
-        fitted = 1 / (1 + np.exp(-np.clip(self.document[0] + summaries @ self.document[1:], -30, 30)))
-        worst = np.exp(summaries[:, 0]) - 1e-6
-        return np.where(worst >= 0.5, np.maximum(fitted, 0.5), fitted)
+        means, deviations, w = self.document
+        return 1 / (1 + np.exp(-np.clip(w[0] + (summaries - means) / deviations @ w[1:], -30, 30)))
+
+
+#: Numbers that summarise a document, and the probability below which differences hardly count.
+SUMMARY, FLOOR = 5, 0.01
+
+
+def summary(p: np.ndarray) -> tuple[float, ...]:
+    """Of tokens' probabilities: logarithms of the three largest, of their sum, of how many reach 0.5."""
+    top = np.zeros(3)
+    top[: min(3, len(p))] = np.sort(np.partition(p, -3)[-3:] if len(p) > 3 else p)[::-1]
+    return (*np.log(top + FLOOR), np.log(p.sum() + FLOOR), np.log1p((p >= 0.5).sum()))
 
 
 class Tagger:
@@ -245,7 +266,7 @@ class Tagger:
             return np.array([*map(known.__getitem__, words)], np.float64)
 
     def tag(self, texts: list[bytes | None]) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Summaries (documents, 2) and token probabilities; documents of similar length side by side."""
+        """Summaries (documents, SUMMARY) and token probabilities; documents of similar length side by side."""
         rows = [self.emissions(words_of(t)) for t in texts]
         out: list[np.ndarray] = [np.zeros(0)] * len(rows)
         by_length = sorted((k for k in range(len(rows)) if len(rows[k])), key=lambda k: len(rows[k]))
@@ -263,7 +284,7 @@ class Tagger:
             for i, k in enumerate(own):
                 out[k] = p[i, : len(rows[k])]
             begin = end
-        summaries = np.array([(np.log(p.max() + 1e-6), np.log(p.sum() + 1e-3)) if len(p) else (np.log(1e-6), np.log(1e-3)) for p in out]).reshape(-1, 2)
+        summaries = np.array([*map(summary, out)]).reshape(-1, SUMMARY)
         return summaries, out
 
 

@@ -110,8 +110,18 @@ def test_words_that_some_clean_documents_hold_still_tell():
 
 def test_the_score_is_not_bounded_by_the_worst_token():
     field = toxicity.ChainField()
-    field.document = np.array([3.0, 0.5, 0.0])
-    assert field.score(np.array([[np.log(0.2), 0.0]]))[0] > 0.5
+    field.document = np.zeros(5), np.ones(5), np.array([3.0, 0.5, 0, 0, 0, 0])
+    assert field.score(np.array([toxicity.summary(np.array([0.2]))]))[0] > 0.5
+
+
+def test_one_chance_hit_is_not_toxicity(spark):
+    rng = np.random.default_rng(5)
+    calm = lambda n: [f"w{k}" for k in rng.integers(0, 400, n)]
+    rows = [(k, " ".join(calm(60) + (["loweid", "trashy", "scummy"] * 2 if k % 4 == 0 else ["loweid"] if k % 10 == 1 else []))) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(600)], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.report(docs, labels).collect()}
+    assert got == {k: int(k % 4 == 0) for k in range(600)}
 
 
 # Tool calls
@@ -215,9 +225,11 @@ def test_scores_are_those_of_all_paths(spark):
     for r in toxicity.score(docs, field).collect():
         words = toxicity.words_of((r.text or "").encode())
         p = paths(field, [field.emission(w) for w in words]) if words else np.zeros(0)
-        summary = np.array([np.log(p.max() + 1e-6), np.log(p.sum() + 1e-3)]) if len(p) else np.log([1e-6, 1e-3])
-        fitted = 1 / (1 + np.exp(-(field.document[0] + summary @ field.document[1:])))
-        assert r.score == pytest.approx(max(fitted, 0.5) if len(p) and p.max() >= 0.5 else fitted, abs=1e-6)
+        top = sorted([*p, 0, 0, 0], reverse=True)[:3]
+        summary = [*(np.log(x + 0.01) for x in top), np.log(sum(p) + 0.01), np.log(1 + sum(x >= 0.5 for x in p))]
+        means, deviations, w = field.document
+        z = w[0] + sum(v * (x - m) / d for v, x, m, d in zip(w[1:], summary, means, deviations))
+        assert r.score == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))), abs=1e-5)
         assert len(r.spans) == (p >= 0.5).sum()
 
 
