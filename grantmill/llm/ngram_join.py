@@ -61,7 +61,7 @@ SEEDS = 20
 #: Bytes of text that are hashed at a time.
 _CHUNK = 1 << 20
 #: Words whose hashes a worker remembers, and bytes of the longest of them.
-_KNOWN_WORDS, _KNOWN_BYTES = 200_000, 64
+_KNOWN_WORDS, _KNOWN_BYTES = 100_000, 64
 _BLANK = re.compile(rb"[\t\n\v\f\r ]")
 
 
