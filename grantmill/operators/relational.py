@@ -14,17 +14,8 @@ from ..session import stored
 MAX_LOOKUP_ROWS, MAX_LOOKUP_BYTES = 500_000, 64 << 20
 
 
-def _is_tiny(df: DataFrame) -> bool:
-    """Whether the plan alone says that the rows are few: its files are small and nothing in it makes rows of its own."""
-    plan = df._jdf.queryExecution().optimizedPlan()
-    text = plan.toString()
-    return not any(x in text for x in ("Generate", "MapIn", "FlatMap", "Join", "Expand", "Union")) and int(str(plan.stats().sizeInBytes())) <= 1 << 21
-
-
 def lookup(df: DataFrame) -> DataFrame:
     """The side marked for broadcast if it is small, else as it is: then both sides are shuffled."""
-    if _is_tiny(df):
-        return F.broadcast(df)
     width = F.octet_length(F.to_json(F.struct("*")))
     rows, size = df.limit(MAX_LOOKUP_ROWS + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
     return F.broadcast(df) if rows <= MAX_LOOKUP_ROWS and size <= MAX_LOOKUP_BYTES else df
