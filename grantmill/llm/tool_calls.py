@@ -261,7 +261,7 @@ def _follow(needs: list[tuple]) -> list[tuple]:
 def link(conversations: DataFrame) -> DataFrame:
     scratch = Scratch(conversations.sparkSession, "tool-calls")
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
-    items = scratch.save(rows.mapInArrow(_parse, _ITEM).withColumn("row", F.monotonically_increasing_id()), "items")
+    items = scratch.save(rows.mapInArrow(_parse, _ITEM).withColumn("row", F.monotonically_increasing_id()), "items", compression="zstd")
     calls = items.where("kind = 'call'")
     first = calls.where("conv_id is not null and call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "item", "row")).alias("first"))
     owners = first.select("conv_id", "call_id", F.col("first.turn").alias("anchor_turn"), F.col("first.item").alias("anchor_item"), F.col("first.row").alias("row"))
