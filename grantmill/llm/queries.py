@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_text, huffman, ngram_join, packing, quality, resharding, tokens, tool_calls, toxicity
+from . import decontaminate, exact_dedup, fill_in_middle, html_text, huffman, ngram_join, packing, personal_data, quality, resharding, source_audit, tokens, tool_calls, toxicity
 from .store import Scratch, table
 
 
@@ -48,6 +48,23 @@ def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_source_audit(spark, sf_dir):
+    return source_audit.report(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark, sf_dir):
+    return fill_in_middle.report(table(spark, sf_dir, "documents"))
+
+
+def op13_personal_data(spark, sf_dir):
+    return personal_data.report(table(spark, sf_dir, "documents"))
+
+
+def personal_data_base(spark, sf_dir):
+    """Op 13 without the spans that its method adds: SQL can express these."""
+    return personal_data.report(table(spark, sf_dir, "documents")).drop("spans")
+
+
 # Laws that results keep where SQL can't make the results themselves: one row each, of counts and whether all holds.
 
 
@@ -95,9 +112,9 @@ def _held_out(report, label: str, least: float):
 toxicity_held_out = _held_out(toxicity.report, "toxic", 0.9)
 quality_held_out = _held_out(quality.report, "quality", 0.9)
 
-CHECKS = {"resharding_laws": resharding_laws, "packing_laws": packing_laws, "token_file_laws": token_file_laws, "toxicity_held_out": toxicity_held_out, "quality_held_out": quality_held_out}
+CHECKS = {"resharding_laws": resharding_laws, "packing_laws": packing_laws, "token_file_laws": token_file_laws, "toxicity_held_out": toxicity_held_out, "quality_held_out": quality_held_out, "personal_data_base": personal_data_base}
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_tool_calls, op3_resharding, op4_toxicity, op5_exact_dedup, op6_decontamination, op7_html_text, op8_token_ids, op9_quality, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_tool_calls, op3_resharding, op4_toxicity, op5_exact_dedup, op6_decontamination, op7_html_text, op8_token_ids, op9_quality, op10_packing, op11_source_audit, op12_fill_in_middle, op13_personal_data)}
 
 ORACLES = {
     "op1_ngram_join": r"""
@@ -144,6 +161,36 @@ ORACLES = {
         c AS (SELECT page_id, url, regexp_replace(replace(replace(replace(x, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g') AS x FROM b),
         d AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(x, ' +', ' ', 'g'), ' *\n[ \n]*', chr(10), 'g'), chr(10) || ' ') AS text FROM c)
         SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM d""",
+    "op11_source_audit": r"""
+        WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        df AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM d) GROUP BY ALL HAVING count(*) >= 10),
+        c AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(w) AS term FROM d) JOIN df USING (lang, term) GROUP BY ALL),
+        v AS (SELECT lang, count(*) AS v FROM df GROUP BY lang),
+        gn AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+        ln AS (SELECT lang, sum(n) AS total FROM c GROUP BY lang),
+        p AS (SELECT gn.lang, gn.source, df.term, coalesce(c.n, 0) AS n, (1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (gn.total + 2 * v.v))::BIGINT AS p FROM gn JOIN df USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = gn.lang AND c.source = gn.source AND c.term = df.term),
+        q AS (SELECT df.lang, df.term, (1 + (1000000000::HUGEINT * (sum(c.n) + 2)) // (any_value(ln.total) + 2 * any_value(v.v)))::BIGINT AS q FROM df JOIN v USING (lang) JOIN ln USING (lang) JOIN c USING (lang, term) GROUP BY ALL),
+        pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce((SELECT sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source),
+        term AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+        SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+        WHERE part = 'pair' OR rank <= 10""",
+    "op12_fill_in_middle": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS h FROM documents),
+        u AS (SELECT *, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+        k AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b, CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+        o AS (SELECT *, substring(text, 1, a) AS pre, substring(text, a + 1, b - a) AS mid, substring(text, b + 1) AS suf FROM k)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN concat('<P>', pre, '<S>', suf, '<M>', mid) ELSE concat('<S>', suf, '<P>', pre, '<M>', mid) END) AS output_sha256, sha256(text) AS restored_sha256 FROM o""",
+    "personal_data_base": r"""
+        WITH k(ord, kind, re) AS (VALUES (0, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'), (1, 'ip', '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+'), (2, 'card', '[0-9](?:[ -]?[0-9])+'), (3, 'phone', '\+[0-9][ ().0-9-]+[0-9]')),
+        m AS (SELECT doc_id, ord, kind, regexp_extract_all(coalesce(text, ''), re) AS found, list_transform(regexp_split_to_array(coalesce(text, ''), re), lambda x: length(x)) AS gaps FROM documents CROSS JOIN k),
+        s AS (SELECT doc_id, ord, kind, found[i] AS hit, list_sum(gaps[1:i]) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS start FROM (SELECT *, unnest(generate_series(1, len(found))) AS i FROM m WHERE len(found) > 0)),
+        t AS (SELECT *, regexp_replace(hit, '[^0-9]', '', 'g') AS digits FROM s),
+        luhn AS (SELECT *, list_sum(list_transform(generate_series(1, length(digits)), lambda j: CASE WHEN j % 2 = 1 THEN digits[length(digits) + 1 - j]::INT ELSE (digits[length(digits) + 1 - j]::INT * 2) // 10 + (digits[length(digits) + 1 - j]::INT * 2) % 10 END)) AS total FROM t),
+        b AS (SELECT doc_id, ord, kind, start, start + length(hit) AS stop FROM luhn WHERE CASE kind WHEN 'email' THEN true WHEN 'ip' THEN list_bool_and(list_transform(string_split(hit, '.'), lambda x: x::HUGEINT <= 255)) WHEN 'card' THEN length(digits) BETWEEN 14 AND 19 AND total % 10 = 0 ELSE length(digits) BETWEEN 10 AND 15 END)
+        SELECT d.doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+            sha256(coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord), '')) AS base_sha256 FROM documents d LEFT JOIN b USING (doc_id) GROUP BY d.doc_id""",
     "resharding_laws": "SELECT count(*) AS n_docs, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS bytes, 16::BIGINT AS shards, true AS gapless, true AS even FROM documents",
     "packing_laws": 'SELECT count(*) AS n_docs, true AS whole, true AS fits, true AS "full" FROM documents',
     "token_file_laws": "SELECT count(*) AS n_docs, count(*) - 1 AS n_followers, true AS ascending, 0::BIGINT AS first, true AS full_code FROM documents",
