@@ -13,7 +13,7 @@ left and right as far as its grammar goes, and checks what it found:
 * ``card``: 14 to 19 digits with single blanks or hyphens between, Luhn;
 * ``phone``: a plus sign and 10 to 15 digits; besides, the number after ``tel:``;
 * ``url``: an address with user data before its host;
-* ``account``: after a cue an IBAN (mod 97), or a number of 6 digits or more.
+* ``account``: after a cue an IBAN (mod 97), or a number of 6 to 20 digits.
 
 The first sentence of email, ip, card and phone are the *base* spans: just what the regular
 expressions in BASE match, leftmost first and without overlap, less those that fail the check.
@@ -158,7 +158,7 @@ def _wide_email(text: str, at: int) -> tuple[int, int] | None:
 
 
 def _after_cue(text: str, start: int, end: int) -> tuple[int, int] | None:
-    """What stands after the cue text[start:end] and is an IBAN or a number of 6 digits or more."""
+    """What stands after the cue text[start:end] and is an IBAN or, but for the cue IBAN, a number of 6 to 20 digits."""
     if start and text[start - 1].isalnum() or text[end : end + 1].isalnum():
         return None
     at = _AFTER_CUE.match(text, end).end()
@@ -169,7 +169,7 @@ def _after_cue(text: str, start: int, end: int) -> tuple[int, int] | None:
         for last in range(found.end(), at + 14, -1):  # an upper-case word may follow
             if iban(text[at:last]) and text[last - 1] != " ":
                 return at, last
-    found = _NUMBER.match(text, at)
+    found = None if text[start:end].lower() == "iban" else _NUMBER.match(text, at)
     return (at, found.end()) if found and 6 <= sum(c in _DIGIT_SET for c in found[0]) <= 20 and not text[found.end() : found.end() + 1].isalnum() else None
 
 
