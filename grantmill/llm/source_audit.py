@@ -1,8 +1,8 @@
-"""How far the sources of a language diverge from each other, and by which words, in DataFrame operations only.
+"""How far the sources of a language diverge from each other, and by which words.
 
-* *Counting.* Each document's terms are sorted and exploded, so the first of equal ones
-  is known and one aggregation counts both occurrences and documents of a term. It
-  combines map-side, so neither a hot source nor a frequent term is a burden.
+* *Counting.* Each task counts occurrences and documents of a term in hash tables, which
+  it flushes as rows when they hold MAX_COUNTED terms; those are summed by term, again
+  map-side first. Neither a hot source nor a frequent term is a burden.
 * *Wide term vectors.* Each kept term of a language becomes one row with an array of its
   counts, indexed by the language's sources in order; whole-number division makes the
   arrays of probabilities.
@@ -24,14 +24,20 @@ no rows; texts of any length are read whole; further columns don't matter.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .exact_dedup import ascii_lower
 from .store import BROADCAST_ROWS, Scratch
 
-#: A term: letters, and anything beyond ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: A term is a run of letters and of anything beyond ASCII, A to Z lower-cased; bytes of UTF-8 from 128 on are part of such a character.
+_LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+#: Different terms of a group that a task counts before it sends them on.
+MAX_COUNTED = 200_000
 #: Documents of its language that a kept term is in at least.
 LEAST_DOCUMENTS = 10
 #: Ranks of telling terms.
@@ -59,11 +65,33 @@ def probability(count: Column, total: Column, kept: Column) -> Column:
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n (occurrences), docs (documents that have it)."""
-    texts = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")), F.coalesce("text", F.lit("")).alias("text"))
-    terms = texts.select("lang", "source", F.sort_array(F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(TERM), F.lit(0))).alias("terms"))
-    each = terms.select("lang", "source", F.posexplode("terms").alias("pos", "term"), "terms")
-    first = F.coalesce(F.get("terms", F.col("pos") - 1) != F.col("term"), F.lit(True))
-    return each.select("lang", "source", "term", first.cast("long").alias("first")).groupBy("lang", "source", "term").agg(F.count(F.lit(1)).alias("n"), F.sum("first").alias("docs"))
+    texts = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+
+    def rows(held: dict[tuple, tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
+        for (lang, source), (n, in_docs) in held.items():
+            terms = pa.array([*n], pa.binary()).cast(pa.string())
+            same = [pa.array([x], pa.string()).take(pa.array(np.zeros(len(n), np.int32))) for x in (lang, source)]
+            counts = [pa.array([*n.values()], pa.int64()), pa.array([in_docs[w] for w in n], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*same, terms, *counts], names=["lang", "source", "term", "n", "docs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple[Counter, Counter]] = {}
+        size = 0
+        for batch in batches:
+            for k in range(batch.num_rows):
+                words = batch.column(2)[k].as_py().translate(_LETTERS).split()
+                n, in_docs = held.setdefault((batch.column(0)[k].as_py(), batch.column(1)[k].as_py()), (Counter(), Counter()))
+                size -= len(n)
+                n.update(words)
+                in_docs.update(set(words))
+                size += len(n)
+                if size >= MAX_COUNTED:
+                    yield from rows(held)
+                    held, size = {}, 0
+        yield from rows(held)
+
+    counted = texts.mapInArrow(run, "lang string, source string, term string, n long, docs long")
+    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 class Audit:
