@@ -172,11 +172,12 @@ def year_counts_file(t):
 
 @query("SELECT n_nationkey::BIGINT AS key, round(n_nationkey / 7, 4) AS share FROM nation UNION ALL SELECT r_regionkey, round(r_regionkey / 7, 4) FROM region")
 def workbook(t):
-    path = work_path(t.spark, "book")
+    """Two tables as sheets of a real workbook, figures rounded."""
+    path = f"{work_path(t.spark, 'book')}.xlsx"
     frames = [t.nation.select(F.col("n_nationkey").alias("key"), (F.col("n_nationkey") / 7).alias("share")), t.region.select(F.col("r_regionkey").alias("key"), (F.col("r_regionkey") / 7).alias("share"))]
-    sheets = tables.write_sheets(frames, path, digits=4)
+    sheets = tables.write_workbook(frames, path, digits=4)
     schema = StructType.fromDDL("key LONG, share DOUBLE")
-    return relational.union_all([tables.read_sheet(t.spark, path, s, schema) for s in sheets])
+    return relational.union_all([tables.read_workbook(t.spark, path, s, schema) for s in sheets])
 
 
 @query("SELECT r_name || '.csv' AS file_name, n_name FROM nation JOIN region ON n_regionkey = r_regionkey")

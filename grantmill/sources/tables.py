@@ -6,7 +6,7 @@ import ast
 import io
 import re
 import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
@@ -14,14 +14,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from .workbook import WorkbookSource
+from .yearlog import YearLog
+
 # Delimited files
 
 
-def read_csv(spark: SparkSession, path: str | list[str], schema: StructType, header: bool = True) -> DataFrame:
-    """Rows with too many fields are skipped, short ones filled with nulls; nothing is inferred."""
-    spare = StructType([*schema.fields, StructField("_spare", StringType())])
-    rows = spark.read.csv(path, schema=spare, header=header, multiLine=True, escape='"', mode="PERMISSIVE", enforceSchema=True)
-    return rows.where("_spare IS NULL").drop("_spare")
+def read_csv(spark: SparkSession, path: str | list[str], schema: StructType, header: bool = True, file: str | None = None) -> DataFrame:
+    """Rows with too many fields are skipped, empty surplus ones count too; short ones are filled with nulls; nothing is inferred.
+
+    file: a column for the file's name.
+    """
+    # Rows with more or fewer fields than columns are kept as they stand in _raw, so that fields can be counted.
+    text = StructType([*(StructField(f.name, StringType()) for f in schema.fields), StructField("_raw", StringType())])
+    rows = spark.read.csv(path, schema=text, header=header, multiLine=True, escape='"', mode="PERMISSIVE", enforceSchema=True, columnNameOfCorruptRecord="_raw")
+    unquoted = F.regexp_replace("_raw", r'(^|,)"(?:[^"]|"")*"', "$1")
+    commas = F.char_length(unquoted) - F.char_length(F.replace(unquoted, F.lit(","), F.lit("")))
+    kept = rows.where(F.col("_raw").isNull() | (commas < len(schema.fields)))
+    names = [F.col("_metadata.file_name").alias(file)] if file else []
+    return kept.select(*(F.nullif(F.col(f"`{f.name}`"), F.lit("")).try_cast(f.dataType).alias(f.name) for f in schema.fields), *names)
 
 
 def read_year_counts(spark: SparkSession, path: str) -> DataFrame:
@@ -55,14 +66,17 @@ def literal_list(value: Column | str) -> Column:
     return F.when(plain, items).otherwise(parse(F.when(~plain, c)))
 
 
-def write_years(df: DataFrame, path: str, year: str = "year") -> None:
-    """One folder for each year, replaced as a whole; columns go by name."""
-    df.write.mode("overwrite").partitionBy(year).parquet(path)
+def write_years(df: DataFrame, path: str, year: str = "year", covers: Iterable[int] = ()) -> None:
+    """Replace the years that df has rows of, all of them or, if the run fails, none; other years stay.
+
+    covers: years that are emptied where df has no rows of them. See ``yearlog.YearLog``.
+    """
+    YearLog(df.sparkSession, path, year).write(df, covers)
 
 
 def read_years(spark: SparkSession, path: str, first: int, end: int, year: str = "year") -> DataFrame:
-    """Years first to end - 1; only their folders are read."""
-    return spark.read.parquet(path).where((F.col(year) >= first) & (F.col(year) < end))
+    """Years first to end - 1 as the last run that was committed has left them; only their files are read."""
+    return YearLog(spark, path, year).read(first, end)
 
 
 def write_meta(df: DataFrame, path: str, year: str = "year") -> None:
@@ -70,11 +84,35 @@ def write_meta(df: DataFrame, path: str, year: str = "year") -> None:
     df.groupBy(year).agg(F.count(F.lit(1)).alias("count")).orderBy(year).coalesce(1).write.mode("overwrite").csv(path, header=False)
 
 
-# Workbooks: a folder for each sheet
+# Workbooks
+
+
+def write_workbook(sheets: dict[str, DataFrame] | Sequence[DataFrame], path: str, digits: int | None = None) -> list[str]:
+    """One .xlsx file, made anew; sheets by name, or Sheet1, Sheet2, ...; digits rounds floating columns."""
+    named = sheets if isinstance(sheets, dict) else {f"Sheet{k}": df for k, df in enumerate(sheets, 1)}
+    for k, (name, df) in enumerate(named.items()):
+        df.sparkSession.dataSource.register(WorkbookSource)
+        writer = df.write.format("workbook").option("sheet", name).mode("append" if k else "overwrite")
+        (writer if digits is None else writer.option("digits", digits)).save(path)
+    return [*named]
+
+
+def read_workbook(spark: SparkSession, paths: str, sheet: str | None = None, schema: StructType | None = None, file: str | None = None, sheet_column: str | None = None, rows: int = 100_000) -> DataFrame:
+    """A sheet (None: the first, '*': all) of the .xlsx files of a path or pattern, columns by header; lock files are left out.
+
+    file, sheet_column: columns for the names of file and sheet. Each task reads ``rows`` rows.
+    """
+    spark.dataSource.register(WorkbookSource)
+    options = {"sheet": sheet, "fileColumn": file, "sheetColumn": sheet_column, "rowsPerPartition": rows}
+    reader = spark.read.format("workbook").options(**{k: v for k, v in options.items() if v is not None})
+    return (reader if schema is None else reader.schema(schema)).load(paths)
+
+
+# Sheets as folders of CSV
 
 
 def write_sheets(sheets: dict[str, DataFrame] | Sequence[DataFrame], path: str, digits: int | None = None) -> list[str]:
-    """Sheets by name, or Sheet1, Sheet2, ...; digits rounds floating columns."""
+    """A folder for each sheet, by name, or Sheet1, Sheet2, ...; digits rounds floating columns."""
     named = sheets if isinstance(sheets, dict) else {f"Sheet{k}": df for k, df in enumerate(sheets, 1)}
     for name, df in named.items():
         if digits is not None:
@@ -88,9 +126,8 @@ def read_sheet(spark: SparkSession, path: str, sheet: str, schema: StructType) -
 
 
 def read_matching(spark: SparkSession, paths: str, schema: StructType) -> DataFrame:
-    """All files of a pattern but lock files (with '~'), with their names."""
-    rows = spark.read.csv(paths, schema=schema, header=True).withColumn("file_name", F.col("_metadata.file_name"))
-    return rows.where(~F.contains("file_name", F.lit("~")))
+    """All files of a pattern but lock files (with '~'), with their names; rows as ``read_csv`` has them."""
+    return read_csv(spark, paths, schema, file="file_name").where(~F.contains("file_name", F.lit("~")))
 
 
 # JSON
