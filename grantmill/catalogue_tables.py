@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .catalogue import V1, V2, _sql_hits, query
 from .functions import columns as C
-from .operators import automaton, nested
+from .operators import automaton, concordance, hierarchy, nested, qgrams, relational
 from .session import work_path
 from .sources import tables
 from .sources.crawl import Crawl
@@ -167,3 +167,84 @@ def keyword_hits_automaton(t):
     found = automaton.find(automaton.find(docs, "glued", V1, "one"), "glued", V2, "two")
     one, two = automaton.surfaces("one", "glued"), automaton.surfaces("two", "glued")
     return found.select("doc_id", F.size("one").cast("long").alias("total_v1"), F.size("two").cast("long").alias("total_v2"), F.array_join(F.array_sort(one), ",").alias("hits_v1"), F.array_join(two, ",").alias("in_order_v2"))
+
+
+# Names within an edit distance
+
+
+@query("""WITH n AS (SELECT DISTINCT c_name AS x FROM customer UNION SELECT s_name FROM supplier)
+SELECT a.x AS a, b.x AS b, levenshtein(a.x, b.x)::BIGINT AS distance FROM n a JOIN n b ON a.x < b.x AND abs(length(a.x) - length(b.x)) <= 1 WHERE levenshtein(a.x, b.x) <= 1""")
+def similar_names(t):
+    """All names of customers and suppliers that one edit tells apart."""
+    return qgrams.edit_join(t.customer.select(F.col("c_name").alias("name")).union(t.supplier.select("s_name")), "name", 1)
+
+
+@query("""WITH c AS (SELECT DISTINCT lower(c_mktsegment) || ' ' || ltrim(substr(c_name, 10), '0') AS x FROM customer), s AS (SELECT DISTINCT 'machine ' || ltrim(substr(s_name, 10), '0') AS x FROM supplier)
+SELECT c.x AS a, s.x AS b, levenshtein(c.x, s.x)::BIGINT AS distance FROM c JOIN s ON abs(length(c.x) - length(s.x)) <= 3 WHERE levenshtein(c.x, s.x) <= 3""")
+def names_of_two_tables(t):
+    """Names of customers and of suppliers that up to three edits tell apart."""
+    number = lambda c: F.ltrim(F.substring(c, 10, 99), F.lit("0"))
+    customers = t.customer.select(F.concat(F.lower("c_mktsegment"), F.lit(" "), number("c_name")).alias("name"))
+    return qgrams.edit_join(customers, "name", 3, t.supplier.select(F.concat(F.lit("machine "), number("s_name")).alias("name")))
+
+
+# Hierarchies of any size
+
+_LINES = "SELECT l_orderkey::BIGINT * 1000000000 + l_partkey * 10000 + l_linenumber * 1000 + row_number() OVER (PARTITION BY l_orderkey, l_partkey, l_linenumber ORDER BY l_suppkey, l_extendedprice, l_quantity) AS seq, (l_quantity::INT * 7 + l_linenumber) % 9 AS level FROM lineitem"
+
+
+@query(f"""WITH l AS ({_LINES}), p AS (SELECT *, {", ".join(f"max(CASE WHEN level < {k} THEN seq END) OVER w AS p{k}" for k in range(1, 9))} FROM l WINDOW w AS (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT seq, (CASE level {" ".join(f"WHEN {k} THEN p{k}" for k in range(1, 9))} END)::VARCHAR AS parent_code FROM p""")
+def line_parents(t):
+    """All lines as one schedule: the nearest line before with a lower level."""
+    same = Window.partitionBy("l_orderkey", "l_partkey", "l_linenumber").orderBy("l_suppkey", "l_extendedprice", "l_quantity")
+    seq = F.col("l_orderkey").cast("long") * 1_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_linenumber") * 1000 + F.row_number().over(same)
+    rows = t.lineitem.select(F.lit("one").alias("cat_id"), seq.alias("seq"), ((F.col("l_quantity").cast("int") * 7 + F.col("l_linenumber")) % 9).alias("level"))
+    return hierarchy.with_parent(rows.withColumn("code", F.col("seq").cast("string"))).select("seq", "parent_code")
+
+
+def _tree(t) -> DataFrame:
+    """Regions, nations, customers, orders."""
+    text = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    levels = [(t.region, "r", "r_regionkey", None, None), (t.nation, "n", "n_nationkey", "r", "n_regionkey"), (t.customer, "c", "c_custkey", "n", "c_nationkey"), (t.orders, "o", "o_orderkey", "c", "o_custkey")]
+    parts = [df.select(F.lit("w").alias("cat_id"), text(p, key).alias("code"), (text(q, up) if q else F.lit(None).cast("string")).alias("parent_code")) for df, p, key, q, up in levels]
+    return relational.union_all(parts)
+
+
+_PATHS = """WITH n AS (SELECT 'r' || r_regionkey AS code, NULL AS parent FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders)"""
+
+
+@query(f"""WITH RECURSIVE {_PATHS[5:]}, t AS (SELECT code, 0::BIGINT AS depth, code AS path FROM n WHERE parent IS NULL UNION ALL SELECT n.code, depth + 1, t.path || chr(1) || n.code FROM n JOIN t ON n.parent = t.code)
+SELECT code, depth, row_number() OVER (ORDER BY path) - 1 AS first FROM t""")
+def tree_intervals(t):
+    """Depth and pre-order number of every region, nation, customer and order."""
+    return hierarchy.intervals(_tree(t)).select("code", "depth", "first")
+
+
+@query(f"""WITH RECURSIVE {_PATHS[5:]}, a AS (SELECT code, code AS top, parent FROM n UNION ALL SELECT a.code, n.code, n.parent FROM a JOIN n ON a.parent = n.code)
+SELECT top, count(*) AS nodes, min(code) AS smallest FROM a WHERE top[1] <> 'o' GROUP BY top""")
+def interval_descendants(t):
+    """What lies below every region, nation and customer."""
+    tree = hierarchy.intervals(_tree(t))
+    found = hierarchy.below(tree, tree.where("code NOT LIKE 'o%'"))
+    return found.groupBy("top").agg(F.count(F.lit(1)).alias("nodes"), F.min("code").alias("smallest"))
+
+
+# Many expressions
+
+
+_PATTERN = "lpad((b * 3 % 50)::VARCHAR, 3, '0') || '/' || (length(p_type) * 13 + b) % 40"
+
+
+@query(f"""WITH k AS (SELECT DISTINCT p_brand, p_type, substr(p_brand, 7)::INT AS b FROM part), e AS (SELECT row_number() OVER (ORDER BY p_brand, p_type) AS seq, p_brand || ' ' || p_type AS topic, {_PATTERN} AS rx, b % 3 AS form FROM k),
+c AS (SELECT p_partkey, lpad(p_size::VARCHAR, 3, '0') || '/' || p_partkey % 200 AS code FROM part)
+SELECT p_partkey, arg_min(topic, seq) AS est_description FROM c LEFT JOIN e ON CASE form WHEN 0 THEN regexp_matches(code, rx || '.*') WHEN 1 THEN regexp_matches(code, rx[1:4] || '.*') ELSE contains(code, rx) END GROUP BY p_partkey""")
+def pattern_index(t):
+    """As many expressions as the parts have brands and types, each met through its literal factor."""
+    brand = F.substring("p_brand", 7, 9).cast("int")
+    kinds = t.part.select("p_brand", "p_type").distinct().withColumns({"b": brand, "seq": F.row_number().over(Window.orderBy("p_brand", "p_type"))})  # a list of topics
+    head, tail = F.concat(F.lpad((F.col("b") * 3 % 50).cast("string"), 3, "0"), F.lit("/")), ((F.char_length("p_type") * 13 + F.col("b")) % 40).cast("string")
+    pattern = F.when(F.col("b") % 3 == 0, F.concat(head, tail, F.lit("+"))).when(F.col("b") % 3 == 1, F.concat(head, F.lit("various"))).otherwise(F.concat(head, tail))
+    compiled = concordance.compile_patterns(kinds.select("seq", F.concat_ws(" ", "p_brand", "p_type").alias("topic_des"), pattern.alias("pattern")))
+    raw = t.part.select("p_partkey", F.concat(F.lit("US "), F.col("p_size").cast("string"), F.lit(" "), (F.col("p_partkey") % 200).cast("string")).alias("raw"))
+    return concordance.first_match(raw, "raw", compiled).select("p_partkey", "est_description")

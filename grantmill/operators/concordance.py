@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..session import stored
 from .relational import forward_fill, lookup
 
 LEVELS = ("L0", "L1", "L2", "L3")
@@ -56,11 +57,77 @@ def compile_patterns(patterns: DataFrame) -> DataFrame:
     return out.where((F.col("kind") != 0) | (F.col("_n") == 3)).drop("_n")
 
 
+def literal_factor(expression: str | None) -> str:
+    """The longest text that every match of an expression holds, as far as it can be told; '' if none can.
+
+    Groups and alternatives tell nothing; a character before a quantifier that lets it be missing doesn't count.
+    """
+    runs, run, k = [], "", 0
+    text = expression or ""
+    while k < len(text):
+        ch = text[k]
+        if ch == "\\":
+            if text[k + 1 : k + 2].isalnum() or k + 1 == len(text):
+                if text[k + 1 : k + 2] in ("Q", "E"):
+                    return ""
+                runs, run = [*runs, run], ""
+            else:
+                run += text[k + 1]
+            k += 2
+            continue
+        if ch in "()|":
+            return ""
+        if ch == "[":
+            end = text.find("]", k + 2)
+            if end < 0 or "[" in text[k + 1 : end] or "\\" in text[k + 1 : end]:
+                return ""
+            runs, run, k = [*runs, run], "", end
+        elif ch in "*?{":
+            runs, run = [*runs, run[:-1]], ""
+            k = max(k, text.find("}", k)) if ch == "{" else k
+        elif ch in ".^$+":
+            runs, run = [*runs, run], ""
+        else:
+            run += ch
+        k += 1
+    return max([*runs, run], key=len)
+
+
+#: Characters of the grams by which codes meet expressions.
+GRAM = 3
+
+
+def matching(codes: DataFrame, expressions: DataFrame) -> DataFrame:
+    """Distinct codes (code) with the expressions (regex, and other columns) that match anywhere in them.
+
+    Each expression is filed under one gram of its literal factor, the one that fewest codes have; a code is
+    looked up by its grams, and only what meets is tried. An expression with a gram that no code has is not
+    tried at all; one without a factor meets every code.
+    """
+    factor = F.pandas_udf(lambda texts: texts.map(literal_factor), "string")
+    own = stored(expressions.withColumns({"_id": F.monotonically_increasing_id(), "_factor": factor("regex")}), "expressions")
+    size = F.least(F.char_length("_factor"), F.lit(GRAM))
+    filed = own.select("_id", F.explode(F.array_distinct(_grams(F.col("_factor"), size))).alias("_gram"))
+    sizes = sorted(r[0] for r in own.select(size).distinct().collect())  # GRAM + 1 at most
+    found = F.flatten(F.array(*(_grams(F.col("code"), F.lit(n)) for n in sizes))) if sizes else F.array().cast("array<string>")
+    looked = codes.select("code", F.explode(F.array_distinct(found)).alias("_gram"))
+    often = looked.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    best = filed.join(often, "_gram", "left").groupBy("_id").agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"), F.bool_and(F.col("_n").isNotNull()).alias("_all")).where("_all")
+    return looked.join(best, "_gram").join(own, "_id").where(F.regexp_like("code", F.col("regex"))).drop("_gram", "_id", "_factor", "_all")
+
+
+def _grams(text: Column, size: Column) -> Column:
+    """All grams of a size; size 0 gives the empty one."""
+    last = F.char_length(text) - size + 1
+    some = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substr(text, i, size))
+    return F.when(size == 0, F.array(F.lit(""))).when(last < 1, F.array().cast("array<string>")).otherwise(some)
+
+
 def first_match(df: DataFrame, raw: str, compiled: DataFrame, name: str = "est_description") -> DataFrame:
     """df with the topic of the first match: readings of the code in order, then rows of the concordance in order.
 
-    Only distinct codes meet the patterns, which are few. Ranges and classes meet them by an
-    equi-join on the class; only expressions are tried one by one. The match goes back by an equi-join.
+    Only distinct codes meet the patterns. Ranges and classes meet them by an equi-join on the class,
+    expressions by an index of their literal factors (``matching``). The match goes back by an equi-join.
     """
     codes = df.select(raw).where(F.col(raw).isNotNull() & (F.col(raw) != "[]")).distinct()
     tried = codes.select(raw, F.posexplode(C.uspc_candidates(raw)).alias("pos", "c")).select(raw, "pos", C.candidate_code(F.col("c")).alias("code"))
@@ -68,7 +135,7 @@ def first_match(df: DataFrame, raw: str, compiled: DataFrame, name: str = "est_d
     ranged, expressions = compiled.where("kind <> 1"), compiled.where("kind = 1")
     within = (F.col("kind") == 2) | ((F.col("_sub") >= F.col("lo")) & (F.col("_sub") <= F.col("hi")))
     by_class = tried.join(lookup(ranged), F.col("_class") == F.col("parent")).where(within)
-    by_expression = tried.join(lookup(expressions), F.regexp_like("code", F.col("regex")))
+    by_expression = tried.join(matching(tried.select("code").distinct(), expressions), "code")
     hits = by_class.select(raw, "pos", "seq", "topic_des").unionByName(by_expression.select(raw, "pos", "seq", "topic_des"))
     found = hits.groupBy(raw).agg(F.min_by("topic_des", F.struct("pos", "seq")).alias(name))
     return df.join(lookup(found.withColumnRenamed(raw, "_raw")), F.col(raw) == F.col("_raw"), "left").drop("_raw")

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import bisect
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions import columns as C
 from ..session import stored
-from .relational import lookup, union_all
+from .relational import lookup, running_sum, union_all
 
 #: Code and level of a class's root.
 ROOT, ROOT_LEVEL = "root", -1
@@ -29,19 +35,79 @@ def unique_codes(rows: DataFrame, group: str = "cat_id", seq: str = "seq", code:
 
 
 def with_parent(rows: DataFrame, group: str = "cat_id", seq: str = "seq", level: str = "level", code: str = "code") -> DataFrame:
-    """parent_code: the nearest row before with a lower level; null at the top. Levels are as many as the rows have.
+    """parent_code: the nearest row before, in its group, with a lower level; null at the top, and where the level is null.
 
-    One class schedule is one window; schedules are a few thousand rows.
+    A schedule may be of any length: rows are dealt by ranges of (group, seq). A first pass over each
+    range finds the parents within it, with a stack of the rows that still can be parents, and leaves
+    the stack of its last group: the range's summary. Rows at the head of a range, whose parent stands
+    in a range before, ask the summaries, which are folded in order, group by group; so what is gathered
+    has at most one row for each range and level. seq must be unique within a group.
     """
-    levels = sorted(r[0] for r in rows.select(level).where(F.col(level).isNotNull()).distinct().collect())
-    before = Window.partitionBy(group).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    latest = [F.last(F.when(F.col(level) == k, F.struct(seq, code)), ignorenulls=True).over(before).alias(f"_l{i}") for i, k in enumerate(levels)]
-    seen = rows.select("*", *latest)
-    lower = [F.when(F.col(level) > k, F.col(f"_l{i}")) for i, k in enumerate(levels)]
-    if not lower:
-        return rows.withColumn("parent_code", F.lit(None).cast("string"))
-    nearest = F.array_max(F.filter(F.array(*lower), lambda x: x.isNotNull()))
-    return seen.withColumn("parent_code", nearest[code]).drop(*(f"_l{i}" for i in range(len(levels))))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    extra = StructType.fromDDL("parent_code string, _part int, _open boolean, _summary boolean")
+    schema = StructType([*(StructField(f.name, f.dataType) for f in rows.schema.fields), *extra.fields])
+    names = rows.columns
+    places = [names.index(c) for c in (group, seq, level, code)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        first, now, stack = None, None, []
+        example = None
+        for batch in batches:
+            example = batch if example is None else example
+            parents, opened = [], []
+            for g, s, at, c in zip(*(batch.column(k).to_pylist() for k in places)):
+                g = (g,)
+                first = g if first is None else first
+                if g != now:
+                    now, stack = g, []
+                if at is None:
+                    parents.append(None)
+                    opened.append(False)
+                    continue
+                while stack and stack[-1][1] >= at:
+                    stack.pop()
+                parents.append(stack[-1][2] if stack else None)
+                opened.append(not stack and g == first)
+                stack.append((s, at, c))
+            yield finished(batch, parents, part, opened, False)
+        if stack:
+            own = {group: [now[0]] * len(stack), seq: [x[0] for x in stack], level: [x[1] for x in stack], code: [x[2] for x in stack]}
+            columns = [pa.array(own.get(n, [None] * len(stack)), example.schema.field(n).type) for n in names]
+            yield finished(pa.RecordBatch.from_arrays(columns, names=names), [None] * len(stack), part, [False] * len(stack), True)
+
+    def finished(batch: pa.RecordBatch, parents: list, part: int, opened: list[bool], summary: bool) -> pa.RecordBatch:
+        n = batch.num_rows
+        more = [pa.array([None if p is None else str(p) for p in parents], pa.string()), pa.array([part] * n, pa.int32()), pa.array(opened, pa.bool_()), pa.array([summary] * n, pa.bool_())]
+        return pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*names, *extra.fieldNames()])
+
+    dealt = rows.repartitionByRange(parts, group, seq).sortWithinPartitions(group, seq)
+    held = stored(dealt.mapInArrow(run, schema), "parents")
+    asked = [F.col(group).alias("_g"), "_part", F.col(level).cast("double").alias("_level")]
+    summaries = held.where("_summary").select(*asked, F.col(seq).alias("_seq"), F.col(code).cast("string").alias("_code"))
+    questions = held.where("NOT _summary AND _open").select(*asked).distinct()
+
+    def fold(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        stack, out = [], []  # (level, code), levels ascending
+        for part, own in frame.sort_values("_part").groupby("_part"):
+            for at in own[own["_code"].isna() & own["_question"]]["_level"]:
+                k = bisect.bisect_left(stack, at, key=lambda x: x[0])
+                if k:
+                    out.append((part, at, stack[k - 1][1]))
+            ends = own[~own["_question"]].sort_values("_seq")
+            if len(ends):
+                lowest = ends["_level"].min()
+                stack = [x for x in stack if x[0] < lowest] + [*zip(ends["_level"], ends["_code"])]
+        found = pd.DataFrame(out, columns=["_part", "_level", "_parent"])
+        found.insert(0, "_g", pd.Series([key[0]] * len(found), dtype=object))
+        return found
+
+    kind = held.schema[group].dataType.simpleString()
+    both = summaries.withColumn("_question", F.lit(False)).unionByName(questions.withColumn("_question", F.lit(True)), allowMissingColumns=True)
+    answers = stored(both.groupBy("_g").applyInPandas(fold, f"_g {kind}, _part int, _level double, _parent string"), "answers")
+    rest = held.where("NOT _summary").drop("_summary")
+    joined = rest.join(answers.withColumnRenamed("_part", "_of"), F.col("_open") & F.col(group).eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_of")) & (F.col(level).cast("double") == F.col("_level")), "left")
+    return joined.withColumn("parent_code", F.coalesce("parent_code", "_parent")).select(*names, "parent_code")
 
 
 def class_tree(rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -77,6 +143,61 @@ def descendants(tree: DataFrame, code: str) -> DataFrame:
     return tree.where(F.array_contains("ancestor_codes", code) & (F.col("code") != ROOT))
 
 
+def intervals(nodes: DataFrame, group: str = "cat_id", code: str = "code", parent: str = "parent_code", order: str | None = None) -> DataFrame:
+    """(group, code, depth, first, last): each node's number in pre-order and the last number below it, from 0 in each group.
+
+    A node lies below another if its ``first`` is within the other's first to last. Numbers come from
+    pointer doubling: in round i a node's pointer leads 2^i nodes up, and sizes, depths and then places are
+    summed along the pointers, so a tree of depth d takes log2(d) rounds of joins, each stored. Siblings
+    stand by ``order`` (by default their code); their sizes are summed by ranges, so a node may have any
+    number of children. Codes must be unique in a group; nodes that no root reaches are left out.
+    """
+    place = F.col(code if order is None else order)
+    base = stored(nodes.select(F.col(group).alias("g"), F.col(code).alias("c"), F.col(parent).alias("p"), place.alias("o")), "nodes")
+    known = base.select(F.col("g").alias("_g"), F.col("c").alias("_c"))
+    linked = base.join(known, F.col("g").eqNullSafe(F.col("_g")) & (F.col("p") == F.col("_c")), "left")
+    one = F.col("_c").isNotNull().cast("long")
+    state = stored(linked.select("g", "c", F.col("_c").alias("up"), F.lit(1).cast("long").alias("size"), one.alias("depth"), (F.col("p").isNotNull() & F.col("_c").isNull()).alias("lost")), "jump")
+    jumps, n = [], base.count()
+    while len(jumps) <= max(n, 1).bit_length() and state.where("up IS NOT NULL").take(1):
+        jumps.append(state.select("g", "c", "up"))
+        below = state.where("up IS NOT NULL").groupBy(F.col("g").alias("_g"), F.col("up").alias("_c")).agg(F.sum("size").alias("_more"))
+        over = state.select(F.col("g").alias("_h"), F.col("c").alias("_u"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("lost").alias("_lost"))
+        step = state.join(below, F.col("g").eqNullSafe(F.col("_g")) & (F.col("c") == F.col("_c")), "left").join(over, F.col("g").eqNullSafe(F.col("_h")) & (F.col("up") == F.col("_u")), "left")
+        size = F.col("size") + F.coalesce("_more", F.lit(0))
+        state = stored(step.select("g", "c", F.col("_up").alias("up"), size.alias("size"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), (F.col("lost") | F.coalesce("_lost", F.lit(False))).alias("lost")), "jump")
+    whole = state.where("NOT lost AND up IS NULL").select(F.col("g").alias("_g"), F.col("c").alias("_c"), "size", "depth")  # a pointer that still leads up leads round a circle
+    sized = base.join(whole, F.col("g").eqNullSafe(F.col("_g")) & (F.col("c") == F.col("_c"))).select("g", "c", "p", "o", "size", "depth")
+    before = running_sum(sized, ["g", "p"], ["o", "c"], "size", "before")
+    at = stored(before.select("g", "c", "size", "depth", (F.col("before") + F.col("p").isNotNull().cast("long")).alias("first")), "places")
+    for jump in jumps:
+        over = at.select(F.col("g").alias("_h"), F.col("c").alias("_u"), F.col("first").alias("_first"))
+        led = jump.where("up IS NOT NULL").join(over, F.col("g").eqNullSafe(F.col("_h")) & (F.col("up") == F.col("_u"))).select(F.col("g").alias("_g"), F.col("c").alias("_c"), "_first")
+        at = stored(at.join(led, F.col("g").eqNullSafe(F.col("_g")) & (F.col("c") == F.col("_c")), "left").select("g", "c", "size", "depth", (F.col("first") + F.coalesce("_first", F.lit(0))).alias("first")), "places")
+    return at.select(F.col("g").alias(group), F.col("c").alias(code), "depth", "first", (F.col("first") + F.col("size") - 1).alias("last"))
+
+
+def below(labelled: DataFrame, tops: DataFrame, group: str = "cat_id", code: str = "code") -> DataFrame:
+    """(group, top, code) of all nodes below each top (group, code), itself included; by intervals.
+
+    An interval meets at most two blocks of the power of two next above its size, and each node stands in
+    one block of each such size: so the condition on ranges is an equi-join whose candidates are
+    at most about four times its rows.
+    """
+    own = labelled.join(tops.select(group, code).distinct(), [group, code], "left_semi")
+    sized = stored(own.select(F.col(group).alias("_g"), F.col(code).alias("top"), F.col("first").alias("_from"), F.col("last").alias("_to"), F.length(F.bin(F.col("last") - F.col("first"))).cast("int").alias("bits")), "tops")
+    used = sorted(r[0] for r in sized.select("bits").distinct().collect())  # 64 at most
+    blocks = sized.select("*", F.explode(F.array_distinct(F.array(_block("_from", "bits"), _block("_to", "bits")))).alias("block"))
+    placed = labelled.select(F.col(group), F.col(code), "first", F.explode(F.array(*(F.lit(b) for b in used)) if used else F.array().cast("array<int>")).alias("bits"))
+    placed = placed.withColumn("block", _block("first", "bits"))
+    met = placed.join(blocks, F.col(group).eqNullSafe(F.col("_g")) & (placed["bits"] == blocks["bits"]) & (placed["block"] == blocks["block"]))
+    return met.where("first >= _from AND first <= _to").select(group, "top", code)
+
+
+def _block(number: str, bits: str) -> Column:
+    return F.call_function("shiftright", F.col(number), F.col(bits))
+
+
 def label_codes(df: DataFrame, raw: str, tree: DataFrame, classes: DataFrame) -> DataFrame:
     """df with cat_name and status of a raw national code.
 

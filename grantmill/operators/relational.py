@@ -244,6 +244,25 @@ def forward_fill(df: DataFrame, columns: Sequence[str], order: str, partition: S
     return joined.withColumns({c: F.coalesce(F.col(c), F.col(f"_head_{k}")) for k, c in enumerate(columns)}).select(*df.columns)
 
 
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
+    """df with the sum of ``value`` over the rows of the same keys (nulls alike) that come before; rows go by ranges.
+
+    A key may have any number of rows: they lie in several ranges, and what each of these begins with comes
+    from the ranges' sums, of which only a range's first and last key go on beyond it.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(df.repartitionByRange(parts, *keys, *order).withColumns({"_part": F.spark_partition_id(), "_key": F.struct(*keys)}), "ranges")
+    within = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    bounds = dealt.groupBy("_part").agg(F.min("_key").alias("_first"), F.max("_key").alias("_last"))
+    ends = dealt.join(F.broadcast(bounds), "_part").where(F.col("_key").eqNullSafe(F.col("_first")) | F.col("_key").eqNullSafe(F.col("_last")))  # a row for each range was broadcast
+    sums = ends.groupBy("_part", "_key").agg(F.sum(value).alias("_sum"))
+    earlier = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.select(F.col("_part").alias("_of"), F.col("_key").alias("_with"), F.sum("_sum").over(earlier).alias("_carry")).where("_carry IS NOT NULL")
+    summed = dealt.withColumn(name, F.coalesce(F.sum(value).over(within), F.lit(0)))
+    joined = summed.join(F.broadcast(carried), (F.col("_part") == F.col("_of")) & F.col("_key").eqNullSafe(F.col("_with")), "left")  # two rows at most for each range
+    return joined.withColumn(name, F.col(name) + F.coalesce("_carry", F.lit(0))).select(*df.columns, name)
+
+
 def file_level_year(df: DataFrame, file: str, order: str, date: str = "bio_date") -> DataFrame:
     """The year of each file's first date, on all rows of the file."""
     first = df.where(F.col(date).isNotNull()).groupBy(file).agg(F.min_by(date, order).alias("_date"))
