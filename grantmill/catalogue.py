@@ -142,7 +142,7 @@ def process_year(t):
 
 @query("""SELECT CASE WHEN length(c) = 3 THEN c[1:2] ELSE c END AS country, count(*) AS n FROM (SELECT coalesce(nullif(c_mktsegment[1:3], 'MAC'), CASE WHEN c_custkey % 2 = 0 THEN n_name[1:2] END, CASE WHEN c_custkey % 5 = 0 THEN 'XYZ' END, 'US') AS c FROM customer JOIN nation ON c_nationkey = n_nationkey) GROUP BY 1""")
 def consolidate_country(t):
-    df = t.customer.join(relational.lookup(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    df = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     assignee = F.nullif(F.substring("c_mktsegment", 1, 3), F.lit("MAC"))
     applicant, record = F.when(F.col("c_custkey") % 2 == 0, F.substring("n_name", 1, 2)), F.when(F.col("c_custkey") % 5 == 0, F.lit("XYZ"))
     return df.groupBy(C.consolidate_country(assignee, applicant, record).alias("country")).agg(F.count(F.lit(1)).alias("n"))
@@ -169,7 +169,7 @@ def merge_country_versioned(t):
 
 @query("""SELECT year(o_orderdate)::INT AS year, n_name AS country, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey WHERE c_mktsegment <> 'MACHINERY' GROUP BY ALL""")
 def year_country_counts(t):
-    df = _applications(t).join(relational.lookup(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    df = _applications(t).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     df = df.withColumn("country", F.when(F.col("c_mktsegment") != "MACHINERY", F.col("n_name")))
     return relational.count_by(df, ["year", "country"], "o_orderkey", "n")
 
@@ -178,7 +178,7 @@ def year_country_counts(t):
 g AS (SELECT year(l_shipdate)::INT AS year, n_name AS country, count(*) AS by_grant FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)
 SELECT * FROM a JOIN g USING (year, country) WHERE year > 1975 AND year < 2021""")
 def app_vs_grant_inner(t):
-    people = t.customer.join(relational.lookup(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("country"))
+    people = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("country"))
     orders = t.orders.join(people, F.col("o_custkey") == F.col("c_custkey"))
     applied = relational.count_by(orders.withColumn("year", F.year("o_orderdate")), ["year", "country"], "o_orderkey", "by_application")
     granted = relational.count_by(t.lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("year", F.year("l_shipdate")), ["year", "country"], "l_orderkey", "by_grant")
@@ -206,7 +206,7 @@ def dedup_keep_first(t):
 
 @query("""SELECT s_suppkey IS NOT NULL AS has_assignee, o_orderkey IS NOT NULL AS has_application, count(*) AS n FROM lineitem LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 3 <> 0) ON l_suppkey = s_suppkey LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'P') ON l_orderkey = o_orderkey GROUP BY ALL""")
 def assignee_map_join(t):
-    one = relational.join_with_indicator(t.lineitem, relational.lookup(t.supplier.where("s_suppkey % 3 <> 0")), F.col("l_suppkey") == F.col("s_suppkey"), "has_assignee")
+    one = relational.join_with_indicator(t.lineitem, t.supplier.where("s_suppkey % 3 <> 0"), F.col("l_suppkey") == F.col("s_suppkey"), "has_assignee")
     two = relational.join_with_indicator(one, t.orders.where("o_orderstatus <> 'P'"), F.col("l_orderkey") == F.col("o_orderkey"), "has_application")
     return two.groupBy("has_assignee", "has_application").agg(F.count(F.lit(1)).alias("n"))
 
@@ -215,7 +215,7 @@ def assignee_map_join(t):
 FROM (SELECT *, s_suppkey % 3 <> 0 AND s_suppkey % 4 <> 0 AND s_suppkey % 5 <> 0 AS u FROM supplier JOIN nation ON s_nationkey = n_nationkey)""")
 def country_override(t):
     key = F.col("n_nationkey").cast("string")
-    df = t.supplier.join(relational.lookup(t.nation), F.col("s_nationkey") == F.col("n_nationkey")).select(
+    df = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
         "s_suppkey", F.col("n_name").alias("Country_Name"), F.concat(F.lit("N"), key).alias("2_Code"), F.concat(F.lit("C"), key).alias("3_Code"),
         F.when(F.col("s_suppkey") % 3 == 0, F.col("s_name")).alias("bio_assignee_name"), F.concat(F.lit("ee "), "s_name").alias("ee_name"),
         F.when(F.col("s_suppkey") % 4 != 0, "GERMANY").otherwise("NOT PROVIDED").alias("ee_country"),

@@ -197,9 +197,8 @@ def json_round_trip(t):
     path = work_path(t.spark, "json")
     df = t.customer.select("c_custkey", "c_name", F.array("c_mktsegment", F.col("c_nationkey").cast("string")).alias("tags"))
     tables.write_json(df.where("c_custkey % 2 = 0"), f"{path}/lines")
-    rest = [r.x for r in df.where("c_custkey % 2 = 1").select(F.to_json(F.struct("*")).alias("x")).collect()]
-    _put(t.spark, f"{path}/one.json", ("[" + ",\n".join(rest) + "]").encode())
-    both = t.spark.read.schema(df.schema).json(f"{path}/lines").unionByName(tables.read_json(t.spark, f"{path}/one.json", df.schema))
+    tables.write_json_document(df.where("c_custkey % 2 = 1"), f"{path}/one")
+    both = t.spark.read.schema(df.schema).json(f"{path}/lines").unionByName(tables.read_json(t.spark, f"{path}/one", df.schema))
     return both.select("c_custkey", "c_name", F.array_join("tags", "|").alias("tags"))
 
 
@@ -221,10 +220,11 @@ def keyword_sheet(t):
     return search.search(t.documents.withColumn("paras", F.array("text")), groups, sections=["paras"]).select("doc_id", "total_counts_v1", "total_counts_v2")
 
 
-@query("SELECT 'wind' AS keyword UNION ALL SELECT 'solar cell' UNION ALL SELECT 'tide power'")
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN p_name || ' ' || p_type WHEN 2 THEN p_name ELSE p_type || ' ' || p_brand || ')' END AS keyword FROM part""")
 def cleaned_keywords(t):
-    keys = C.clean_keywords(["wind", "solar (PV) cell", "tide power (sea)"])
-    return t.spark.createDataFrame([(k,) for k in keys], "keyword string")
+    """Keywords with something in parentheses, nothing after them, none closed, and two of them."""
+    forms = [F.col("p_name"), F.concat("p_name", F.lit(" (of "), "p_brand", F.lit(") "), "p_type"), F.concat("p_name", F.lit(" (open "), "p_brand"), F.concat("p_type", F.lit("(a (b) "), "p_brand", F.lit(")"))]
+    return t.part.select("p_partkey", C.clean_keyword(F.element_at(F.array(*forms), (F.col("p_partkey") % 4 + 1).cast("int"))).alias("keyword"))
 
 
 @query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_brand || '|' || p_type WHEN 1 THEN p_brand WHEN 2 THEN '' ELSE 'it''s ' || p_brand || '|1' END AS items FROM part""")

@@ -138,6 +138,14 @@ def clean_keywords(keywords: Sequence[str], compat: bool = False) -> list[str]:
     return out
 
 
+def clean_keyword(text: Column | str) -> Column:
+    """One keyword of a column, as ``clean_keywords`` cleans a list's: what stands in the first parentheses goes."""
+    key = _col(text)
+    after = F.regexp_extract(key, r"(?s)\(.*?\)(.*)", 1)
+    cleaned = F.trim(F.concat(F.trim(F.substring_index(key, "(", 1)), F.lit(" "), F.trim(after)))
+    return F.when(F.contains(key, F.lit("(")), cleaned).otherwise(key)
+
+
 def keyword_pattern(keywords: Sequence[str]) -> str:
     r"""One alternation of whole words in the given order, without regard to case in any script.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..session import stored
-from .relational import forward_fill, lookup
+from .relational import forward_fill
 
 LEVELS = ("L0", "L1", "L2", "L3")
 
@@ -40,7 +40,7 @@ def expand_patterns(rows: DataFrame, tree: DataFrame) -> DataFrame:
     flat = flat.withColumns({"wide": F.coalesce(F.contains("sub", F.lit("+")), F.lit(False)), "code": F.when(F.col("listed"), code).otherwise(F.trim(F.replace(F.trim(F.btrim(F.trim("sub"), F.lit("+"))), F.lit("."), F.lit(""))))})
     own = flat.where(~F.col("wide") | F.col("listed"))
     below = tree.select(F.col("cat_id").alias("parent"), F.col("code").alias("_below"), F.explode("ancestor_codes").alias("code"))
-    widened = flat.where("wide").join(lookup(below), ["parent", "code"]).withColumn("code", F.col("_below"))
+    widened = flat.where("wide").join(below, ["parent", "code"]).withColumn("code", F.col("_below"))
     both = own.select("seq", "topic_des", "parent", "code", "listed").unionByName(widened.select("seq", "topic_des", "parent", "code", "listed"))
     pattern = F.when(F.col("code").isNull(), F.col("parent")).otherwise(F.concat_ws("/", "parent", F.when(F.col("listed"), F.replace("code", F.lit(" "), F.lit(""))).otherwise(F.col("code"))))
     return both.select("seq", "topic_des", pattern.alias("pattern")).distinct()
@@ -134,8 +134,8 @@ def first_match(df: DataFrame, raw: str, compiled: DataFrame, name: str = "est_d
     tried = tried.withColumns({"_class": F.substring_index("code", "/", 1), "_sub": F.when(F.contains("code", F.lit("/")), F.substring_index("code", "/", -1))})
     ranged, expressions = compiled.where("kind <> 1"), compiled.where("kind = 1")
     within = (F.col("kind") == 2) | ((F.col("_sub") >= F.col("lo")) & (F.col("_sub") <= F.col("hi")))
-    by_class = tried.join(lookup(ranged), F.col("_class") == F.col("parent")).where(within)
+    by_class = tried.join(ranged, F.col("_class") == F.col("parent")).where(within)
     by_expression = tried.join(matching(tried.select("code").distinct(), expressions), "code")
     hits = by_class.select(raw, "pos", "seq", "topic_des").unionByName(by_expression.select(raw, "pos", "seq", "topic_des"))
     found = hits.groupBy(raw).agg(F.min_by("topic_des", F.struct("pos", "seq")).alias(name))
-    return df.join(lookup(found.withColumnRenamed(raw, "_raw")), F.col(raw) == F.col("_raw"), "left").drop("_raw")
+    return df.join(found.withColumnRenamed(raw, "_raw"), F.col(raw) == F.col("_raw"), "left").drop("_raw")

@@ -111,7 +111,7 @@ def cluster_names(pairs: DataFrame, preference: float = 50.0) -> DataFrame:
     if size > MAX_CLUSTER_NAMES:
         raise ValueError(f"{size} names: cut the list by count or compare within blocks and cluster each")
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         names = sorted({*frame["a"], *frame["b"]})
         place = {x: k for k, x in enumerate(names)}
         s = np.full((len(names), len(names)), 0.0)

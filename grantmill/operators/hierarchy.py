@@ -15,7 +15,7 @@ from pyspark.sql.types import StructField, StructType
 
 from ..functions import columns as C
 from ..session import stored
-from .relational import lookup, running_sum, union_all
+from .relational import running_sum, union_all
 
 #: Code and level of a class's root.
 ROOT, ROOT_LEVEL = "root", -1
@@ -208,18 +208,18 @@ def label_codes(df: DataFrame, raw: str, tree: DataFrame, classes: DataFrame) ->
     codes = df.select(raw).where(F.col(raw).isNotNull() & (F.col(raw) != "[]")).distinct()
     tried = codes.select(raw, F.posexplode(C.uspc_candidates(raw)).alias("pos", "c")).select(raw, "pos", F.col("c.class").alias("cat_id"), F.col("c.subclass").alias("code"))
     paths = tree.select("cat_id", "code", F.concat_ws("||", "ancestor_names").alias("path"))
-    found = tried.join(lookup(paths), ["cat_id", "code"], "left").join(lookup(classes.select("cat_id", "cat_name")), "cat_id", "left")
+    found = tried.join(paths, ["cat_id", "code"], "left").join(classes.select("cat_id", "cat_name"), "cat_id", "left")
     rank = F.when(F.col("path").isNotNull(), 0).when(F.col("cat_name").isNotNull(), 1)
     best = found.where(rank.isNotNull()).groupBy(raw).agg(F.min_by(F.struct(F.coalesce("path", "cat_name").alias("label"), F.col("path").isNotNull().alias("ok")), F.struct(rank, "pos")).alias("b"))
     labelled = best.select(F.col(raw).alias("_raw"), F.col("b.label").alias("cat_name"), F.col("b.ok").alias("_ok"))
-    out = df.join(lookup(labelled), F.col(raw) == F.col("_raw"), "left")
+    out = df.join(labelled, F.col(raw) == F.col("_raw"), "left")
     return out.withColumn("status", F.when(F.coalesce("_ok", F.lit(False)), "success").otherwise("fail")).drop("_raw", "_ok")
 
 
 def label_ipc(df: DataFrame, raw: str, tree: DataFrame) -> DataFrame:
     """df with ipc_label, the titles from root to node joined; tree: symbol, ancestor_titles."""
     named = tree.select(F.col("symbol").alias("_symbol"), F.concat_ws("||", "ancestor_titles").alias("ipc_label"))
-    return df.join(lookup(named), C.ipc_code(raw) == F.col("_symbol"), "left").drop("_symbol")
+    return df.join(named, C.ipc_code(raw) == F.col("_symbol"), "left").drop("_symbol")
 
 
 def ipc_nodes(scheme: str) -> list[tuple[str, str | None, str | None]]:

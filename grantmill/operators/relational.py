@@ -10,17 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..session import stored
 
-#: A lookup side is broadcast only if it has no more rows, and no more bytes as text.
-MAX_LOOKUP_ROWS, MAX_LOOKUP_BYTES = 500_000, 64 << 20
-
-
-def lookup(df: DataFrame) -> DataFrame:
-    """The side marked for broadcast if it is small, else as it is: then both sides are shuffled."""
-    width = F.octet_length(F.to_json(F.struct("*")))
-    rows, size = df.limit(MAX_LOOKUP_ROWS + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
-    return F.broadcast(df) if rows <= MAX_LOOKUP_ROWS and size <= MAX_LOOKUP_BYTES else df
-
-
 # Projections and filters
 
 
@@ -81,7 +70,7 @@ def join_many_to_one(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str
     require_unique(right, [r for _, r in pairs])
     side = right.withColumnsRenamed({r: f"_{r}" for _, r in pairs})
     condition = [F.col(a) == F.col(f"_{b}") for a, b in pairs]
-    out = left.join(lookup(side), condition, how)
+    out = left.join(side, condition, how)
     return out.drop(*(f"_{b}" for a, b in pairs if a == b)).withColumnsRenamed({f"_{b}": b for a, b in pairs if a != b})
 
 
@@ -119,7 +108,7 @@ def merge_country(df: DataFrame, countries: DataFrame, code: str = "bio_assignee
     sides = [countries.select(F.col(c).alias("_code"), F.lit(c == "2_Code_old").alias("_old"), F.col(c).alias("2_Code"), "3_Code", "Country_Name") for c in ("2_Code", "2_Code_old")]
     versions = sides[0].unionByName(sides[1])
     old = F.coalesce(F.col(year) < change, F.lit(False))
-    return df.join(lookup(versions), (F.col(code) == F.col("_code")) & (old == F.col("_old")), "left").drop("_code", "_old")
+    return df.join(versions, (F.col(code) == F.col("_code")) & (old == F.col("_old")), "left").drop("_code", "_old")
 
 
 def override_country(df: DataFrame) -> DataFrame:

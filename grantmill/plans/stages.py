@@ -40,7 +40,7 @@ def assignee_map(assignees: DataFrame, documents: DataFrame, countries: DataFram
     joined = relational.join_with_indicator(assignees, documents, ["rf_id"]).drop("matched")
     granted = joined.where(F.col("grant_doc_num").isNotNull() & (F.col("grant_doc_num") != "nan"))
     one = relational.keep_first(granted.withColumn("_doc", C.normalise_doc_id("grant_doc_num")), "_doc", order)
-    return one.join(relational.lookup(countries), F.col("ee_country") == F.col("raw_country_name"), "left")
+    return one.join(countries, F.col("ee_country") == F.col("raw_country_name"), "left")
 
 
 def attach_assignees(df: DataFrame, mapped: DataFrame) -> DataFrame:

@@ -141,6 +141,22 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_json_document(df: DataFrame, path: str) -> None:
+    """All rows as one document, a list, in one file of the folder; a task streams them into it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = "["
+        for batch in batches:
+            rows = batch.column(0).to_pylist()
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([lead + rows[0], *("," + r for r in rows[1:])])], names=["value"])
+                lead = ","
+        yield pa.RecordBatch.from_arrays([pa.array(["]" if lead == "," else "[]"])], names=["value"])
+
+    one = df.select(F.to_json(F.struct("*")).alias("value")).coalesce(1)
+    one.mapInArrow(run, "value string").write.mode("overwrite").text(path)
+
+
 # Keywords
 
 

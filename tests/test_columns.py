@@ -89,3 +89,9 @@ def test_names(spark):
     rows = ["ACME COMPANY, INC.", "LTD", "BASF (EUROPE) GMBH", "FOO, ,", None]
     assert values(spark, C.clean_name_with_fallback("x"), rows) == ["ACME", "LTD", "BASF", "FOO", None]
     assert values(spark, C.generic_free_name("x"), ["BANK OF AMERICA", "SOFTWARE GROUP"]) == ["", "STWARE"]
+
+
+def test_keywords_of_a_column_are_cleaned_like_a_list(spark):
+    keys = ["wind", "solar (PV) cell", "tide power (sea)", "open (end", "(a) b", "a(b)c(d)e", "()", "", " x ", "two\nlines (a\nb) end", "a ) b"]
+    got = spark.createDataFrame([*enumerate(keys)], "k int, key string").orderBy("k").select(C.clean_keyword("key")).collect()
+    assert [r[0] for r in got] == C.clean_keywords(keys)
