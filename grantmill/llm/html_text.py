@@ -1,31 +1,45 @@
 """Main text of web pages with wrappers inferred for each host.
 
-*Wrapper.* Pages of a host are read as trees of tags and texts and aligned one
-after another. Equal neighbours fold into a repeated group; a text that differs
-becomes a slot; what one page has and another lacks becomes optional. The result
-is a regular expression without unions: tags, fixed texts, slots, ``( )+`` and
-``( )?``. Each element of it also counts the text that the host's pages have there,
-and how much of that is links.
+*Labels.* A page is a tree of elements and texts. An element's label is its tag with its
+classes and id, numbers in them left out of account, if at least SUPPORT pages of the host
+and one in RARE have it; else its tag alone. So generated names leave no trace, and a
+wrapper stays as small as a page.
+
+*Wrapper.* Pages of a host are aligned one after another. Equal neighbours fold into a
+repeated group; a text that differs becomes a slot; what one page has and another lacks
+becomes optional. The result is a regular expression without unions: tags, fixed texts,
+slots, ``( )+`` and ``( )?``. Each element of it also counts the text that the host's pages
+have there, and how much of that is links. Alignment depends on order, so the order is
+fixed: pages go by a hash of their html, BUCKET or so of the nearest hashes into one
+wrapper, then 64 neighbouring wrappers into one, until one is left. A host's wrapper
+depends on its pages only, not on tasks, partitions or the order of rows, and no task gets
+more than some pages or 64 wrappers of a host.
 
 *Extraction.* Every page is aligned with its host's wrapper. The wrapper says where
-the main text lies: from the root down it goes on into the element that holds nearly
-all text (links not counted), as long as what stands beside it is no paragraph or
-headline; where no element has that much, article and main elements break the tie.
-It says what in there is template, a text that ``SUPPORT`` different pages have while
-no page has another in its place, and what is a menu, a list that is nearly all links;
-where that would leave next to nothing, the host's pages are copies, and all stays.
-Tags, roles and names of elements say what is a header, footer, sidebar, notice,
-advert, form or comment section, as these differ from page to page like the text
-does. Parts that the wrapper lacks count as content. Hosts with fewer pages than
-``SUPPORT`` have too little to align: there the article element, or else the main
-element, or else the body is the main text.
-
-All pages of a host are folded into its wrapper: each task folds its own pages and
-sends on one partial wrapper for each host, so a host with a third of all pages is
-no burden. Numbers in classes and ids are left out of account. Elements nested
-deeper than ``MAX_DEPTH`` are read as children of the element there. Defined results:
-a null page or one without main text gives an empty text; pages without a host share
-one wrapper; repeated rows give equal rows and support nothing anew.
+the main text lies: from the root down it goes on into an article or main element that
+holds half of the text (links not counted), or into the element that holds nearly all of
+it, as long as what stands beside it is no paragraph or headline. It says what in there is
+template, a text other than a headline that ``SUPPORT`` different pages have while no page
+has another in its place, and what is a menu, a list that is nearly all links; where that
+would leave less than LEAST per cent, the host's pages are copies, and all stays. A fixed
+headline stays if text follows it. Parts that the wrapper lacks count as content. Hosts with
+fewer different pages than ``SUPPORT`` have too little to align: there the article elements,
+or else the main element, or else the body are the main text.
+
+*Names.* Tags, roles and names of elements say what is a header, footer, sidebar, notice,
+advert, form or comment section, as these differ from page to page like the text does. A
+class or id counts if its last word is listed (NAMES, COMMENTS) and none is one of STATING, or
+if all its words are listed or neutral (NEUTRAL): ``sidebar``, ``cookie-notice``,
+``reader-comments``, ``sidebar-left``, but not ``no-sidebar``, ``menu-open`` or ``related-work``.
+Names, form and header never hide an element that holds the article or main element, and
+only those of comments one that holds more than half of the page's text.
+
+Elements nested deeper than ``MAX_DEPTH`` are read as children of the element there. Lists of
+labels are aligned by longest common subsequence, those whose lengths' product is beyond TABLE
+by the order in which each label occurs. Defined results: a null page or one without main text
+gives an empty text; pages without a host share one wrapper; repeated rows give equal rows and
+support nothing anew; columns called text or n_chars are replaced, others pass through, whatever
+their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -48,7 +62,11 @@ from .store import Scratch
 
 #: Different pages of a host that must have a text for it to be template text.
 SUPPORT = 3
-#: Wrappers are broadcast up to so many bytes of all hosts together.
+#: One page in so many must have a label for it to count.
+RARE = 20
+#: Pages of neighbouring hashes that are aligned to one wrapper, about; and how many bits of a bucket's number each further round takes off.
+BUCKET, ROUND_BITS = 64, 6
+#: What is known of hosts is broadcast up to so many bytes of all together.
 MAX_WRAPPER_BYTES = 32 << 20
 #: Levels of a page's tree.
 MAX_DEPTH = 200
@@ -69,13 +87,22 @@ _NUMBER = re.compile(r"\d+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var".split())
-DROPPED = frozenset("nav footer aside form script style noscript template button select option textarea input dialog menu iframe object svg canvas audio video map head title datalist fieldset".split())
+DROPPED = frozenset("nav footer aside script style noscript template button select option textarea input dialog menu iframe object svg canvas audio video map head title datalist".split())
+#: Of these kinds only if they don't hold the main text.
+DOUBTFUL = frozenset("form fieldset".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
-DROPPED_NAMES = frozenset(
+NAMES = frozenset(
     "ad ads adsense advert adverts advertisement advertising advertorial sponsor sponsored sponsors promo promotion banner sidebar menu nav navbar navigation"
     " breadcrumb breadcrumbs footer cookie cookies consent notice notices popup modal newsletter subscribe subscription signup login share sharing social related"
-    " recommended recommendations comment comments commentlist respond reply replies disqus widget widgets toolbar pagination pager search skip".split()
+    " recommended recommendations widget widgets toolbar pagination pager search skip".split()
 )
+COMMENTS = frozenset("comment comments commentlist respond reply replies disqus".split())
+NEUTRAL = frozenset(
+    "site page main top bottom left right head foot post entry article list box block wrapper wrap container inner outer area section slot bar item items text content body column col row primary"
+    " secondary global mobile desktop sticky fixed floating inline js div group panel module unit region links link icons buttons button form title".split()
+)
+STATING = frozenset("no not non has have with without hide hides hidden is show shows toggle open".split())
+HEADLINES = frozenset("h1 h2 h3 h4 h5 h6 dt th caption summary".split())
 CLOSES_PARAGRAPH = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
@@ -85,26 +112,87 @@ LISTS = frozenset("ul ol dl div section table".split())
 IMPLIED_END = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
 
 
+#: What speaks against an element: nothing, its name or kind, the name of comments.
+NONE, NAMED, COMMENT = range(3)
+
+
 class Node:
-    __slots__ = ("tag", "label", "dropped", "children", "linked")
+    __slots__ = ("tag", "label", "dropped", "doubt", "children", "linked")
 
-    def __init__(self, tag: str, label: str, dropped: bool):
-        self.tag, self.label, self.dropped, self.children, self.linked = tag, label, dropped, [], 0
+    def __init__(self, tag: str, label: str, dropped: bool, doubt: int = NONE):
+        self.tag, self.label, self.dropped, self.doubt, self.children, self.linked = tag, label, dropped, doubt, [], 0
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)} if "=" in raw else {}
 
 
-def _is_dropped(tag: str, attributes: dict[str, str], raw: str, in_article: bool) -> bool:
-    if tag in DROPPED or (tag == "header" and not in_article):
+def _is_dropped(tag: str, attributes: dict[str, str], raw: str) -> bool:
+    """Hidden, or of a kind that is never main text."""
+    if tag in DROPPED:
         return True
     if attributes.get("role", "").lower() in DROPPED_ROLES or attributes.get("aria-hidden", "").lower() == "true":
         return True
-    if re.search(r"(?:^|\s)hidden(?:\s|$|=)", raw, re.I) and "hidden" not in attributes.get("class", "").lower().split() or "display:none" in attributes.get("style", "").replace(" ", "").lower():
-        return True
-    names = _NAME.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower())
-    return tag not in ("html", "body", "main", "article") and (any(n in DROPPED_NAMES for n in names) or (not in_article and "header" in names))
+    return bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", raw, re.I)) and "hidden" not in attributes.get("class", "").lower().split() or "display:none" in attributes.get("style", "").replace(" ", "").lower()
+
+
+@lru_cache(4096)
+def _said(names: str, in_article: bool) -> int:
+    """What classes and ids say: those whose last word is listed, if no other states something of it, or whose words are all listed or neutral."""
+    found = NONE
+    for token in names.split():
+        words = [w for w in _NAME.findall(token) if not w.isdigit()]
+        listed = [w in NAMES or w in COMMENTS or (w == "header" and not in_article) for w in words]
+        if words and (listed[-1] and not any(w in STATING for w in words) or any(listed) and all(x or w in NEUTRAL for x, w in zip(listed, words))):
+            if any(w in COMMENTS for w in words):
+                return COMMENT
+            found = NAMED
+    return found
+
+
+def _doubt(tag: str, attributes: dict[str, str], in_article: bool) -> int:
+    if tag in ("html", "body", "main"):
+        return NONE
+    said = _said(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower(), in_article) if "class" in attributes or "id" in attributes else NONE
+    if tag == "article":
+        return said if said == COMMENT else NONE
+    return NAMED if said == NONE and (tag in DOUBTFUL or tag == "header" and not in_article) else said
+
+
+def _settle(root: Node) -> None:
+    """Drop what is doubtful, but for what holds the main text."""
+    sizes: dict[int, int] = {}
+    mains: dict[int, int] = {}  # article and main elements within that nothing speaks against, and those within comments
+
+    def measure(node: Node) -> tuple[int, int, int]:
+        size, own, among = -node.linked, 0, 0
+        for c in node.children:
+            if isinstance(c, str):
+                size += len(c) - c.count(" ")
+            elif not c.dropped:
+                s, o, m = measure(c)
+                size, own, among = size + s, own + o, among + m
+        if node.doubt == COMMENT:
+            own, among = 0, own + among
+        elif node.tag in ("article", "main") and size > 0:
+            own += 1
+        sizes[id(node)], mains[id(node)] = size, own + among
+        return size, own, among
+
+    total, clear, _ = measure(root)
+
+    def decide(node: Node) -> None:
+        for c in node.children:
+            if isinstance(c, str) or c.dropped:
+                continue
+            if c.doubt == COMMENT:
+                c.dropped = bool(clear) or not (mains[id(c)] or c.tag == "article" and 2 * sizes[id(c)] > total)
+            elif c.doubt == NAMED:
+                c.dropped = not (mains[id(c)] or 2 * sizes[id(c)] > total)
+            if not c.dropped:
+                decide(c)
+
+    decide(root)
 
 
 def _tags(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
@@ -125,8 +213,11 @@ def _tags(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
         at = end
 
 
-def parse(page: str) -> Node:
-    """A lenient tree; markup within text (bold, links) leaves no trace in it but how much text is linked."""
+def parse(page: str, labels: frozenset | set | None = None) -> Node:
+    """A lenient tree; markup within text (bold, links) leaves no trace in it but how much text is linked.
+
+    labels: those that count; an element with any other is known by its tag.
+    """
     root = Node("#root", "#root", False)
     stack = [root]
     deep: list[tuple[str, bool]] = []  # open elements beyond MAX_DEPTH, and whether they are dropped
@@ -169,8 +260,9 @@ def parse(page: str) -> Node:
             close_to((tag,), ())
             continue
         attributes = _attributes(raw)
-        dropped = _is_dropped(tag, attributes, raw, any(x.tag == "article" for x in stack))
-        if tag in INLINE and not dropped:
+        dropped = _is_dropped(tag, attributes, raw)
+        doubt = NONE if dropped else _doubt(tag, attributes, any(x.tag == "article" for x in stack))
+        if tag in INLINE and not dropped and not doubt:
             continue
         if not deep:
             if tag in CLOSES_PARAGRAPH:
@@ -179,7 +271,7 @@ def parse(page: str) -> Node:
                 ends, until = IMPLIED_END[tag]
                 close_to(ends.split(), until.split())
         label = " ".join([tag, *sorted(_NUMBER.sub("0", attributes.get("class", "")).split()), *(["#" + _NUMBER.sub("0", attributes["id"])] if attributes.get("id") else [])])
-        node = Node(tag, label, dropped)
+        node = Node(tag, label if labels is None or label in labels else tag, dropped, doubt)
         stack[-1].children.append(node)
         if tag in VOID or raw.rstrip().endswith("/") and tag not in RAW and tag not in ("p", "div", "article", "section"):
             continue
@@ -189,9 +281,10 @@ def parse(page: str) -> Node:
         elif len(stack) < MAX_DEPTH:
             stack.append(node)
         else:  # what is dropped hides all within, past the limit too
-            deep.append((tag, dropped))
-            muted += dropped
+            deep.append((tag, dropped or doubt > NONE))
+            muted += deep[-1][1]
     add_text(page[at:])
+    _settle(root)
     return root
 
 
@@ -199,6 +292,14 @@ def parse(page: str) -> Node:
 # and (of the root) the smallest marks, SUPPORT at most, of its pages; [None, text or null (a slot), optional, repeated, pages] for a text.
 
 
+#: Texts longer than this stand in a wrapper by their digest.
+_LONG = 120
+
+
+def _fixed(text: str) -> str:
+    return text if len(text) <= _LONG else f"#{len(text)}:{xxhash.xxh3_64_hexdigest(text)}"
+
+
 def _shape(node: Node, mark: int, dropped: bool = False) -> list:
     children: list[list] = []
     dropped = dropped or node.dropped
@@ -208,7 +309,7 @@ def _shape(node: Node, mark: int, dropped: bool = False) -> list:
             text = " ".join(html.unescape(c).split())
             if not text:
                 continue
-            new = [None, text, False, False, [mark]]
+            new = [None, _fixed(text), False, False, [mark]]
             size += 0 if dropped else len(text) - text.count(" ")
         else:
             new = _shape(c, mark, dropped)
@@ -345,8 +446,8 @@ def _is_menu(part: list) -> bool:
     return part[0].split()[0] in LISTS and part[4] > 0 and 100 * part[5] >= LINKS * part[4]
 
 
-def _template(node: Node, wrapper: list, out: set[int]) -> None:
-    """ids of the places (node, child) of texts that the wrapper has as fixed, and of lists that are menus."""
+def _template(node: Node, wrapper: list, out: set[int], headlines: set[int]) -> None:
+    """Places (node, child) of texts that the wrapper has as fixed, headlines apart, and of lists that are menus."""
     groups = _groups(node)
     for j, i in _aligned(tuple([c[0] for c in wrapper[1]]), tuple([g[0] for g in groups])):
         if i is None or j is None:
@@ -355,32 +456,38 @@ def _template(node: Node, wrapper: list, out: set[int]) -> None:
         for k in groups[i][1]:
             c = node.children[k]
             if isinstance(c, str):
-                if part[1] is not None and len(part[4]) >= SUPPORT and part[1] == " ".join(html.unescape(c).split()):
-                    out.add(_place(node, k))
+                if part[1] is not None and len(part[4]) >= SUPPORT and part[1] == _fixed(" ".join(html.unescape(c).split())):
+                    (headlines if node.tag in HEADLINES else out).add(_place(node, k))
             elif _is_menu(part):
                 out.add(_place(node, k))
             elif not c.dropped:
-                _template(c, part, out)
+                _template(c, part, out, headlines)
 
 
 def _place(node: Node, k: int) -> int:
     return id(node) * 1_000_003 + k
 
 
+def _named(wrapper: list) -> int:
+    """The text of the largest article or main element in a wrapper."""
+    own = wrapper[4] - wrapper[5] if wrapper[0].split()[0] in ("article", "main") else 0
+    return max([own, *(_named(c) for c in wrapper[1] if c[0] is not None)])
+
+
 def main_path(wrapper: list) -> list[str]:
     """Labels from below the root down to the element that holds the main text."""
     path: list[str] = []
     while True:
+        whole = wrapper[4] - wrapper[5]
         parts = [c for c in wrapper[1] if c[0] is not None]
-        best = max(parts, key=lambda c: c[4] - c[5], default=None)
+        best = max(parts, key=lambda c: (_named(c) * 2 >= whole > 0, c[4] - c[5]), default=None)
         if best is None or best[0].split()[0] not in CONTAINERS or best[4] <= best[5]:
             return path
         beside = [c for c in parts if c is not best and c[4] > 0 and c[0].split()[0] not in CONTAINERS and not _is_menu(c)]
-        named = best[0].split()[0] in ("article", "main")
-        if not named and (beside or best[3] or 100 * (best[4] - best[5]) < MOST * (wrapper[4] - wrapper[5])):
+        if _named(best) * 2 < whole and (beside or best[3] or 100 * (best[4] - best[5]) < MOST * whole):
             return path
         path.append(best[0])
-        if best[3]:
+        if best[3] or best[0].split()[0] == "article":
             return path
         wrapper = best
 
@@ -388,7 +495,7 @@ def main_path(wrapper: list) -> list[str]:
 def _follow(root: Node, path: list[str]) -> list[Node]:
     nodes = [root]
     for label in path:
-        nodes = [c for n in nodes for c in n.children if isinstance(c, Node) and c.label == label]
+        nodes = [c for n in nodes for c in n.children if isinstance(c, Node) and c.label == label and not c.dropped]
     return nodes
 
 
@@ -399,113 +506,180 @@ def _find(node: Node, tag: str, out: list[Node]) -> list[Node]:
     return out
 
 
-def _blocks(node: Node, template: set[int], held: list[str], out: list[str]) -> None:
+def _blocks(node: Node, template: set[int], headlines: set[int], held: list[tuple[str, bool]], out: list[tuple[str, bool]]) -> None:
+    """Texts of blocks, and whether each is a fixed headline only."""
+
     def flush() -> None:
-        text = " ".join("".join(held).split())
-        held.clear()
+        text = " ".join("".join(t for t, _ in held).split())
         if text:
-            out.append(text)
+            out.append((text, all(fixed for t, fixed in held if t.strip())))
+        held.clear()
 
     for k, c in enumerate(node.children):
-        if _place(node, k) in template:
+        place = _place(node, k)
+        if place in template:
             continue
         if isinstance(c, str):
-            held.append(html.unescape(c))
+            held.append((html.unescape(c), place in headlines))
         elif c.tag == "br" or c.tag in ("wbr", "img", "input"):
-            held.append(" " if c.tag == "br" else "")
+            held.append((" " if c.tag == "br" else "", False))
         elif not c.dropped:
             flush()
-            _blocks(c, template, held, out)
+            _blocks(c, template, headlines, held, out)
             flush()
     if node.tag == "#root":
         flush()
 
 
-def extract(page: str | None, wrapper: list | None) -> str:
+def extract(page: str | None, wrapper: list | None, labels: frozenset | set | None = None) -> str:
     if not page:
         return ""
-    root = parse(page)
+    root = parse(page, labels)
     template: set[int] = set()
+    headlines: set[int] = set()
     regions: list[Node] = []
     if wrapper is not None and wrapper[0] == root.label:
         if len(wrapper[6]) >= SUPPORT:
             regions = _follow(root, main_path(wrapper))
-            _template(root, wrapper, template)
+            _template(root, wrapper, template, headlines)
     found = regions or _find(root, "article", []) or _find(root, "main", []) or [root]
-    kept = _text(found, template)
-    if template:  # pages that are copies of one another have no template that could be told from their text
-        whole = _text(found, set())
+    kept = _text(found, template, headlines)
+    if template or headlines:  # pages that are copies of one another have no template that could be told from their text
+        whole = _text(found, set(), set())
         return whole if len(kept) * 100 < LEAST * len(whole) else kept
     return kept
 
 
-def _text(regions: list[Node], template: set[int]) -> str:
-    out: list[str] = []
+def _text(regions: list[Node], template: set[int], headlines: set[int]) -> str:
+    out: list[tuple[str, bool]] = []
     for a in regions:
-        held: list[str] = []
-        _blocks(a, template, held, out)
-        text = " ".join("".join(held).split())
+        held: list[tuple[str, bool]] = []
+        _blocks(a, template, headlines, held, out)
+        text = " ".join("".join(t for t, _ in held).split())
         if text:
-            out.append(text)
-    return "\n".join(out)
+            out.append((text, all(fixed for t, fixed in held if t.strip())))
+    while out and out[-1][1]:  # a fixed headline with nothing below it
+        out.pop()
+    return "\n".join(t for t, _ in out)
 
 
 def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url.cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """host and wrapper (JSON) of all hosts; pages has host, page_id and html."""
-    schema = "host string, wrapper string"
+def _page_labels(page: str) -> set[str]:
+    found, stack = set(), [parse(page)]
+    while stack:
+        node = stack.pop()
+        found.add(node.label)
+        stack += [c for c in node.children if not isinstance(c, str)]
+    return found
+
+
+def _json(wrapper: list) -> str:
+    return json.dumps(wrapper, ensure_ascii=False, separators=(",", ":"))
+
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[str, list] = {}
+def hosts(pages: DataFrame) -> DataFrame:
+    """host, n (different pages), labels (those that count). pages: host, html."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            own, marks, labels = [], [], []
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if page:
-                    kept[host] = infer([page], kept.get(host))
-            if len(kept) > 1024:
-                yield rows(kept)
-                kept = {}
-        if kept:
-            yield rows(kept)
-
-    def rows(kept: dict[str, list]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([*kept], pa.string()), pa.array([json.dumps(w, ensure_ascii=False) for w in kept.values()], pa.string())], names=["host", "wrapper"])
-
-    def build(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = None
-        for raw in sorted(x for batch in batches for x in batch.column("wrapper").to_pylist()):
-            own = json.loads(raw)
-            whole = own if whole is None else _merge(whole, own)
-        yield rows({key[0].as_py(): whole})
+                    found = sorted({"", *_page_labels(page)})  # the empty label stands for the page
+                    own += [host] * len(found)
+                    marks += [_mark(page)] * len(found)
+                    labels += found
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array(marks, pa.int64()), pa.array(labels, pa.string())], names=["host", "mark", "label"])
+
+    counted = pages.mapInArrow(run, "host string, mark long, label string").groupBy("host", "label").agg(F.count_distinct("mark").alias("n"))
+    held = Scratch(pages.sparkSession, "html-labels").save(counted, "labels")
+    sizes = held.where("label = ''").select("host", "n")
+    often = held.where("label <> ''").join(sizes.withColumnRenamed("n", "of"), "host").where((F.col("n") >= SUPPORT) & (F.col("n") * RARE >= F.col("of")))
+    kept = often.groupBy("host").agg(F.array_sort(F.collect_list("label")).alias("labels"))  # at most RARE times what a page has
+    return sizes.join(kept, "host", "left").select("host", "n", F.coalesce("labels", F.array().cast("array<string>")).alias("labels"))
 
-    return pages.select("host", "html").mapInArrow(fold, schema).groupBy("host").applyInArrow(build, schema)
+
+def _lookup(side: DataFrame, size) -> DataFrame:
+    """A stored side of hosts, to be broadcast if all of it is small."""
+    return F.broadcast(side) if (side.agg(F.sum(size)).first()[0] or 0) <= MAX_WRAPPER_BYTES else side
+
+
+def _labels_size():
+    return F.aggregate("labels", F.lit(64).cast("long"), lambda acc, x: acc + F.octet_length(x))
+
+
+def wrappers(pages: DataFrame, known: DataFrame) -> DataFrame:
+    """host and wrapper (JSON) of all hosts with SUPPORT different pages or more; pages: host, html; known: as ``hosts`` gives it, stored."""
+    schema = "host string, bits int, bucket long, mark long, wrapper string"
+    shapes = "host string, bits int, bucket long, wrapper string"
+
+    def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                page, bits = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+                marks = [_mark(p) for p in page]
+                made = [_json(_shape(parse(p, set(labels)), m)) for p, m, labels in zip(page, marks, batch.column(3).to_pylist())]
+                columns = [batch.column(0), pa.array(bits, pa.int32()), pa.array([m >> 63 - b for m, b in zip(marks, bits)], pa.int64()), pa.array(marks, pa.int64()), pa.array(made, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["host", "bits", "bucket", "mark", "wrapper"])
+
+    def fold(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = {}
+        for batch in batches:
+            found.update(zip(batch.column("mark").to_pylist(), batch.column("wrapper").to_pylist()))  # one of each page
+        merged = None
+        for _, raw in sorted(found.items()):
+            own = json.loads(raw)
+            merged = own if merged is None else _merge(merged, own)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.string()), pa.array([key[1].as_py()], pa.int32()), pa.array([key[2].as_py()], pa.int64()), pa.array([_json(merged)], pa.string())], names=["host", "bits", "bucket", "wrapper"])
+
+    scratch = Scratch(pages.sparkSession, "html-wrappers")
+    bits = F.greatest(F.ceil(F.log2(F.col("n") / BUCKET)), F.lit(0)).cast("int")
+    asked = known.where(F.col("n") >= SUPPORT)
+    side = _lookup(asked, _labels_size()).select(F.col("host").alias("_host"), bits.alias("bits"), "labels")
+    joined = pages.where("html <> ''").join(side, F.col("host") == F.col("_host")).select("host", "html", "bits", "labels")
+    held = scratch.save(joined.mapInArrow(shape, schema).groupBy("host", "bits", "bucket").applyInArrow(fold, shapes), "round0")
+    left = asked.agg(F.max(bits)).first()[0] or 0
+    rounds = 0
+    while left > 0:  # 64 neighbours to one
+        rounds, left = rounds + 1, left - ROUND_BITS
+        step = F.least("bits", F.lit(ROUND_BITS))
+        next_up = held.select("host", (F.col("bits") - step).alias("bits"), F.call_function("shiftright", F.col("bucket"), step).alias("bucket"), F.col("bucket").alias("mark"), "wrapper")
+        held = scratch.save(next_up.groupBy("host", "bits", "bucket").applyInArrow(fold, shapes), f"round{rounds}")
+    return held.select("host", "wrapper")
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """pages with text and n_chars; columns of these names are replaced."""
     scratch = Scratch(pages.sparkSession, "html-text")
-    known = scratch.save(wrappers(pages.select(host_of(F.col("url")).alias("host"), "html")), "wrappers").withColumnsRenamed({"host": "_host", "wrapper": "_wrapper"})
-    known = F.broadcast(known) if (known.agg(F.sum(F.octet_length("_wrapper") + 64)).first()[0] or 0) <= MAX_WRAPPER_BYTES else known
+    plain = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
+    known = scratch.save(hosts(plain), "hosts")
+    told = scratch.save(known.where(F.col("n") >= SUPPORT).join(wrappers(plain, known), "host", "left").select(F.col("host").alias("_host"), "labels", F.col("wrapper").alias("_wrapper")), "wrappers")
+    side = _lookup(told, _labels_size() + F.octet_length("_wrapper"))
     base = pages.drop("text", "n_chars")
-    joined = base.join(known, host_of(base["url"]) == F.col("_host"), "left").drop("_host")
+    names = [f"_c{k}" for k in range(len(base.columns))]  # callers' names may be anything
+    joined = base.toDF(*names).join(side.select("_host", F.to_json("labels").alias("_labels"), "_wrapper"), host_of(F.col(names[base.columns.index("url")])) == F.col("_host"), "left").drop("_host")
+    place = base.columns.index("html")
+    out = StructType([*(StructField(n, f.dataType) for n, f in zip(names, base.schema.fields)), StructField("text", StringType()), StructField("n_chars", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parsed: dict[str, list] = {}
+        parsed: dict[str, tuple[list, set]] = {}
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 texts = []
-                for page, raw in zip(batch.column(batch.schema.get_field_index("html")).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+                for page, labels, raw in zip(batch.column(place).to_pylist(), batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()):
                     if raw is not None and raw not in parsed:
                         if len(parsed) > 256:
                             parsed.clear()
-                        parsed[raw] = json.loads(raw)
-                    texts.append(extract(page, parsed.get(raw)))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array([*map(len, texts)], pa.int64())], names=[*batch.schema.names[:-1], "text", "n_chars"])
+                        parsed[raw] = json.loads(raw), set(json.loads(labels))
+                    texts.append(extract(page, *(parsed[raw] if raw is not None else (None,))))
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(texts, pa.string()), pa.array([*map(len, texts)], pa.int64())], names=[*names, "text", "n_chars"])
 
-    return joined.mapInArrow(run, StructType([*base.schema.fields, StructField("text", StringType()), StructField("n_chars", LongType())]))
+    return joined.mapInArrow(run, out).toDF(*base.columns, "text", "n_chars")
 
 
 def report(pages: DataFrame) -> DataFrame:
