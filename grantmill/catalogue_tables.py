@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .catalogue import V1, V2, _sql_hits, query
+from .catalogue import _RECORDS, V1, V2, _record_files, _sql_hits, _text_source, query
 from .functions import columns as C
+from .functions import sql
 from .operators import automaton, concordance, hierarchy, nested, qgrams, relational
 from .session import work_path
-from .sources import tables
+from .sources import offsets, records, tables
 from .sources.crawl import Crawl
 from .sources.yearlog import YearLog
 
@@ -248,3 +249,40 @@ def pattern_index(t):
     compiled = concordance.compile_patterns(kinds.select("seq", F.concat_ws(" ", "p_brand", "p_type").alias("topic_des"), pattern.alias("pattern")))
     raw = t.part.select("p_partkey", F.concat(F.lit("US "), F.col("p_size").cast("string"), F.lit(" "), (F.col("p_partkey") % 200).cast("string")).alias("raw"))
     return concordance.first_match(raw, "raw", compiled).select("p_partkey", "est_description")
+
+
+# Records by their places
+
+
+@query("""SELECT o_orderkey::VARCHAR AS number, strftime(o_orderdate, '%Y%m%d') AS bio_date, c_name AS inventor, o_orderstatus || ' one' AS abstract FROM orders JOIN customer ON o_custkey = c_custkey
+JOIN (SELECT o_custkey AS k, min(o_orderkey) AS first FROM orders GROUP BY 1) ON k = o_custkey AND first = o_orderkey""")
+def record_index(t):
+    """The first order of every customer, fetched from the archives of all orders by its place."""
+    source = "PATN\nWKU  {key}\nAPD  19900101\nISD  {date}\nINVT\nNAM  {name}; Ann\nABST\nPAL  {status} one\nCLMS\nPAR  1. A thing."
+    path = work_path(t.spark, "archive-index")
+    index = offsets.build_index(t.spark, _record_files(t, source), "text", path, glob="*.txt")
+    firsts = t.orders.groupBy("o_custkey").agg(F.min("o_orderkey").alias("first")).select(F.col("first").cast("string").alias("number"))
+    parsed = records.parse_records(offsets.fetch(offsets.find(index, firsts), "text"), "text")
+    return parsed.select(F.col("`bio_doc-number`").alias("number"), "bio_date", F.col("bio_inventor_last_name").alias("inventor"), F.get("abstract_paras", F.lit(0)).alias("abstract"))
+
+
+# SQL
+
+
+@query("""SELECT year(o_orderdate)::INT AS year, count(*) AS n, sum(CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END)::BIGINT AS even FROM orders GROUP BY 1""")
+def sql_rules(t):
+    """Scalar rules in plain SQL."""
+    sql.register(t.spark)
+    t.orders.createOrReplaceTempView("grantmill_orders")
+    return t.spark.sql("""SELECT process_year(date_format(o_orderdate, 'yyyyMMdd')) AS year, count(*) AS n,
+        count_if(normalise_doc_id(concat('00', o_orderkey, '.0')) IN (CAST(o_orderkey AS STRING), '') AND first_token(concat(o_orderstatus, '|x')) = o_orderstatus AND o_orderkey % 2 = 0) AS even FROM grantmill_orders GROUP BY 1""")
+
+
+@query(_RECORDS)
+def sql_parse_records(t):
+    """Records parsed by a table function in plain SQL."""
+    sql.register(t.spark)
+    source = "PATN\nWKU  {key}\nAPD  19900101\nISD  {date}\nINVT\nNAM  {name}; Ann\nCTY  Basel\nINVT\nNAM  Other; Bo\nASSG\nNAM  Works\n[[PRIR\nCNT  {land}\n]]CLAS\nOCL  {code}\nABST\nPAL  {status} one\nPAL  two\nCLMS\nSTM  What is claimed is:\nPAR  1. A thing."
+    _text_source(t, source).createOrReplaceTempView("grantmill_raw")
+    return t.spark.sql("""SELECT `bio_doc-number` AS doc_number, bio_date, bio_inventor_last_name AS last_name, bio_assignee_country AS assignee_country,
+        `bio_main-classification_national` AS national, abstract_paras[0] AS abstract, CAST(size(claims_claims) AS BIGINT) AS n_claims FROM parse_records(TABLE(grantmill_raw), 'text')""")
