@@ -25,102 +25,34 @@ Defined results: a null text is the content null; a text that is no such JSON is
 plain; JSON nested too deeply to be read is plain too, with a problem; a call without
 an id, with one used before in its conversation (the earlier row keeps it), or a
 result without a call gets a problem and stays unlinked; a schema that makes no
-sense, or a pattern that takes longer than PATTERN_SECONDS, is a problem of the call;
-null conv_ids link with nothing; repeated rows are repeated messages.
+sense, a keyword of it that isn't known (see ``schemas``), or a pattern that takes longer
+than PATTERN_SECONDS, is a problem of the call; NaN and infinities are no JSON, so a text
+that holds them is plain, and arguments that do are a problem; null conv_ids link with
+nothing; repeated rows are repeated messages; an empty table gives no rows; columns other
+than conv_id, turn, role and text are not looked at and not returned.
 """
 
 from __future__ import annotations
 
-import json
-import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
+from .schemas import canonical, loads, violations
+from .schemas import valid_text as _valid
 from .store import Scratch
 
 #: Once no more dependencies than these wait for a depth, the driver follows them to the end.
 LOCAL_NEEDS = 100_000
-#: A schema's pattern may take so long for a value.
-PATTERN_SECONDS = 1.0
-
-
-def canonical(value) -> str:
-    def plain(v):
-        if isinstance(v, float):
-            if not math.isfinite(v):
-                return None
-            return int(v) if v == int(v) and abs(v) < 1 << 53 else v
-        if isinstance(v, dict):
-            return {str(k): plain(x) for k, x in v.items()}
-        return [plain(x) for x in v] if isinstance(v, list) else v
-
-    return _valid(json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False))
-
-
-def _valid(text: str) -> str:
-    """The text with halves of surrogate pairs escaped, as UTF-8 can't hold them."""
-    return text.encode("utf-8", "backslashreplace").decode()
-
-
-_TYPES = {
-    "object": lambda v: isinstance(v, dict), "array": lambda v: isinstance(v, list), "string": lambda v: isinstance(v, str), "boolean": lambda v: isinstance(v, bool),
-    "integer": lambda v: isinstance(v, (int, float)) and not isinstance(v, bool) and v == int(v), "number": lambda v: isinstance(v, (int, float)) and not isinstance(v, bool), "null": lambda v: v is None,
-}
-
-
-def violations(value, schema, path: str = "$") -> list[str]:
-    """Where a value departs from a JSON schema (types, enum, const, bounds, pattern, properties, items, combinations)."""
-    if schema is True or schema is None or not isinstance(schema, dict):
-        return [f"{path}: nothing is allowed"] if schema is False else []
-    out: list[str] = []
-    kinds = schema.get("type")
-    kinds = [kinds] if isinstance(kinds, str) else kinds
-    if kinds and not any(k in _TYPES and _TYPES[k](value) for k in kinds):
-        return [f"{path}: not of type {'/'.join(kinds)}"]
-    if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]):
-        out.append(f"{path}: not in enum")
-    if "const" in schema and canonical(value) != canonical(schema["const"]):
-        out.append(f"{path}: not the constant")
-    if isinstance(value, (int, float)) and not isinstance(value, bool):
-        tests = (("minimum", lambda a, b: a >= b), ("maximum", lambda a, b: a <= b), ("exclusiveMinimum", lambda a, b: a > b), ("exclusiveMaximum", lambda a, b: a < b), ("multipleOf", lambda a, b: b and a % b == 0))
-        out += [f"{path}: {k}" for k, test in tests if isinstance(schema.get(k), (int, float)) and not test(value, schema[k])]
-    if isinstance(value, str):
-        if len(value) < schema.get("minLength", 0) or len(value) > schema.get("maxLength", math.inf):
-            out.append(f"{path}: length")
-        if "pattern" in schema and not regex.search(schema["pattern"], value, timeout=PATTERN_SECONDS):
-            out.append(f"{path}: pattern")
-    if isinstance(value, list):
-        if len(value) < schema.get("minItems", 0) or len(value) > schema.get("maxItems", math.inf):
-            out.append(f"{path}: number of items")
-        if schema.get("uniqueItems") and len({canonical(v) for v in value}) < len(value):
-            out.append(f"{path}: items repeat")
-        for k, v in enumerate(value):
-            out += violations(v, schema.get("items"), f"{path}[{k}]")
-    if isinstance(value, dict):
-        known = schema.get("properties") or {}
-        out += [f"{path}.{k}: missing" for k in schema.get("required", []) if k not in value]
-        for k, v in value.items():
-            out += violations(v, known[k] if k in known else schema.get("additionalProperties"), f"{path}.{k}")
-    for k in schema.get("allOf", []):
-        out += violations(value, k, path)
-    if "anyOf" in schema and all(violations(value, k, path) for k in schema["anyOf"]):
-        out.append(f"{path}: anyOf")
-    if "oneOf" in schema and sum(not violations(value, k, path) for k in schema["oneOf"]) != 1:
-        out.append(f"{path}: oneOf")
-    if "not" in schema and not violations(value, schema["not"], path):
-        out.append(f"{path}: not")
-    return out
 
 
 def _object(text: str | None):
     if text and text.lstrip()[:1] == "{":
         try:
-            found = json.loads(text)
+            found = loads(text)
         except (ValueError, RecursionError):
             return None
         return found if isinstance(found, dict) and ("tool_calls" in found or "tool_call_id" in found or "tools" in found) else None
@@ -156,7 +88,7 @@ def _read_items(turn, role, found: dict | None, text) -> Iterator[dict]:
         arguments, problem = call.get("arguments", {}), None
         if isinstance(arguments, str):
             try:
-                arguments = json.loads(arguments)
+                arguments = loads(arguments)
             except (ValueError, RecursionError):
                 problem = "arguments are no JSON"
         needs = call.get("depends_on") or []
@@ -174,7 +106,7 @@ def _read_items(turn, role, found: dict | None, text) -> Iterator[dict]:
 def check(arguments: str, schema: str) -> str | None:
     """What is wrong with a call's arguments; a schema that can't be applied is a problem too."""
     try:
-        return "; ".join(violations(json.loads(arguments), json.loads(schema))) or None
+        return "; ".join(violations(loads(arguments), loads(schema))) or None
     except TimeoutError:
         return "the schema's pattern takes too long"
     except Exception as e:  # the schema is the user's, whatever it holds
