@@ -131,6 +131,8 @@ def _is_dropped(tag: str, attributes: dict[str, str], raw: str) -> bool:
     """Hidden, or of a kind that is never main text."""
     if tag in DROPPED:
         return True
+    if not attributes and "hidden" not in raw:
+        return False
     if attributes.get("role", "").lower() in DROPPED_ROLES or attributes.get("aria-hidden", "").lower() == "true":
         return True
     return bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", raw, re.I)) and "hidden" not in attributes.get("class", "").lower().split() or "display:none" in attributes.get("style", "").replace(" ", "").lower()
@@ -213,6 +215,10 @@ def _tags(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
         at = end
 
 
+def _label(tag: str, attributes: dict[str, str]) -> str:
+    return " ".join([tag, *sorted(_NUMBER.sub("0", attributes.get("class", "")).split()), *(["#" + _NUMBER.sub("0", attributes["id"])] if attributes.get("id") else [])])
+
+
 def parse(page: str, labels: frozenset | set | None = None) -> Node:
     """A lenient tree; markup within text (bold, links) leaves no trace in it but how much text is linked.
 
@@ -270,7 +276,7 @@ def parse(page: str, labels: frozenset | set | None = None) -> Node:
             if tag in IMPLIED_END:
                 ends, until = IMPLIED_END[tag]
                 close_to(ends.split(), until.split())
-        label = " ".join([tag, *sorted(_NUMBER.sub("0", attributes.get("class", "")).split()), *(["#" + _NUMBER.sub("0", attributes["id"])] if attributes.get("id") else [])])
+        label = _label(tag, attributes) if attributes else tag
         node = Node(tag, label if labels is None or label in labels else tag, dropped, doubt)
         stack[-1].children.append(node)
         if tag in VOID or raw.rstrip().endswith("/") and tag not in RAW and tag not in ("p", "div", "article", "section"):
@@ -531,7 +537,8 @@ def _blocks(node: Node, template: set[int], headlines: set[int], held: list[tupl
         flush()
 
 
-def extract(page: str | None, wrapper: list | None, labels: frozenset | set | None = None) -> str:
+def extract(page: str | None, wrapper: list | None, labels: frozenset | set | None = None, path: list[str] | None = None) -> str:
+    """The main text of a page; path: what main_path says of the wrapper, where it is known already."""
     if not page:
         return ""
     root = parse(page, labels)
@@ -540,7 +547,7 @@ def extract(page: str | None, wrapper: list | None, labels: frozenset | set | No
     regions: list[Node] = []
     if wrapper is not None and wrapper[0] == root.label:
         if len(wrapper[6]) >= SUPPORT:
-            regions = _follow(root, main_path(wrapper))
+            regions = _follow(root, main_path(wrapper) if path is None else path)
             _template(root, wrapper, template, headlines)
     found = regions or _find(root, "article", []) or _find(root, "main", []) or [root]
     kept = _text(found, template, headlines)
@@ -568,12 +575,12 @@ def host_of(url):
 
 
 def _page_labels(page: str) -> set[str]:
-    found, stack = set(), [parse(page)]
-    while stack:
-        node = stack.pop()
-        found.add(node.label)
-        stack += [c for c in node.children if not isinstance(c, str)]
-    return found
+    """Labels of a page's tags that are more than the tag; some may lie in scripts and the like, where they do no harm."""
+    lower = page.lower()
+    if "class" not in lower and "id" not in lower:
+        return set()
+    opened = ((name.lower(), _attributes(raw)) for _, _, name, closes, raw in _tags(page) if name is not None and not closes and "=" in raw)
+    return {_label(tag, attributes) for tag, attributes in opened if attributes.get("class") or attributes.get("id")}
 
 
 def _json(wrapper: list) -> str:
@@ -666,7 +673,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     out = StructType([*(StructField(n, f.dataType) for n, f in zip(names, base.schema.fields)), StructField("text", StringType()), StructField("n_chars", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parsed: dict[str, tuple[list, set]] = {}
+        parsed: dict[str, tuple[list, set, list]] = {}
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
@@ -675,7 +682,8 @@ def extract_text(pages: DataFrame) -> DataFrame:
                     if raw is not None and raw not in parsed:
                         if len(parsed) > 256:
                             parsed.clear()
-                        parsed[raw] = json.loads(raw), set(json.loads(labels))
+                        own = json.loads(raw)
+                        parsed[raw] = own, set(json.loads(labels)), main_path(own)
                     texts.append(extract(page, *(parsed[raw] if raw is not None else (None,))))
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(texts, pa.string()), pa.array([*map(len, texts)], pa.int64())], names=[*names, "text", "n_chars"])
 
