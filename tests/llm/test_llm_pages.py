@@ -97,7 +97,7 @@ def test_wrappers_stay_as_small_as_pages_whatever_the_names():
 
 
 def test_rare_names_are_left_out_of_account(spark):
-    pages = [f'<body><div class="main gen{"abcdefghijklmnopqrst"[k % 20]}"><p>{prose(k)}</p></div><div class="foot"><p>Imprint</p></div></body>' for k in range(50)]
+    pages = [f'<body><div class="main gen{chr(97 + k // 26)}{chr(97 + k % 26)}"><p>{prose(k)}</p></div><div class="foot"><p>Imprint</p></div></body>' for k in range(50)]
     df = spark.createDataFrame([("h", p) for p in pages + pages[:5]] + [("few", pages[0])], "host string, html string")
     found = {r.host: (r.n, r.labels) for r in html_text.hosts(df).collect()}
     assert found == {"h": (50, ["div foot"]), "few": (1, [])}
