@@ -46,6 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import memory
 from .components import components
 from .store import BROADCAST_ROWS, Scratch
 
@@ -162,16 +163,16 @@ def exact_set(text: bytes | None, words: int) -> bytes:
     return digest.digest()
 
 
-_SHINGLES: dict = {}
 
 
 def shingles_for(words: int, seed: int, word_hash: Callable[[bytes, int], int]) -> Shingles:
     """One for each Python worker."""
     if word_hash is not xxhash.xxh3_64_intdigest:
         return Shingles(words, seed, word_hash)
-    if (words, seed) not in _SHINGLES:
-        _SHINGLES[words, seed] = Shingles(words, seed)
-    return _SHINGLES[words, seed]
+    known = memory.of("shingles")
+    if (words, seed) not in known:
+        known[words, seed] = Shingles(words, seed)
+    return known[words, seed]
 
 
 def _owner(tokens: np.ndarray) -> int:

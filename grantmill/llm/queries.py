@@ -102,15 +102,17 @@ def _held_out(report, label: str, least: float):
     def laws(spark, sf_dir):
         known = table(spark, sf_dir, "labels")
         found = report(table(spark, sf_dir, "documents"), known).join(known.select("doc_id", F.col(label).alias("y")), "doc_id", "left")
-        right = F.avg(F.when(F.col("held_out"), (F.col("predicted") == F.col("y")).cast("double")))
-        return found.agg(F.count(F.lit(1)).alias("n_docs"), F.bool_and(F.col("score").between(0, 1)).alias("in_range"), F.count("y").alias("labelled"), (right >= least).alias("accurate"))
+        right = (F.col("predicted") == F.col("y")).cast("double")
+        shares = [F.avg(F.when(F.col("held_out") & (F.col("y") == y), right)) for y in (0, 1)]
+        precise = F.avg(F.when(F.col("held_out") & F.col("y").isNotNull() & (F.col("predicted") == 1), right))
+        return found.agg(F.count(F.lit(1)).alias("n_docs"), F.bool_and(F.col("score").between(0, 1)).alias("in_range"), F.count("y").alias("labelled"), ((shares[0] + shares[1]) / 2 >= least).alias("accurate"), (precise >= least).alias("precise"))
 
-    laws.__doc__ = f"Scores lie in 0 to 1; of held-out labelled rows at least {least:.0%} are told right."
+    laws.__doc__ = f"Scores lie in 0 to 1; of held-out labelled rows at least {least:.0%} of each label, on average of the two, are told right (one answer for all: 50 %), and as many of those told 1 are."
     return laws
 
 
-toxicity_held_out = _held_out(toxicity.report, "toxic", 0.9)
-quality_held_out = _held_out(quality.report, "quality", 0.9)
+toxicity_held_out = _held_out(toxicity.report, "toxic", 0.75)
+quality_held_out = _held_out(quality.report, "quality", 0.75)
 
 CHECKS = {"resharding_laws": resharding_laws, "packing_laws": packing_laws, "token_file_laws": token_file_laws, "toxicity_held_out": toxicity_held_out, "quality_held_out": quality_held_out, "personal_data_base": personal_data_base}
 
@@ -194,6 +196,6 @@ ORACLES = {
     "resharding_laws": "SELECT count(*) AS n_docs, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS bytes, 16::BIGINT AS shards, true AS gapless, true AS even FROM documents",
     "packing_laws": 'SELECT count(*) AS n_docs, true AS whole, true AS fits, true AS "full" FROM documents',
     "token_file_laws": "SELECT count(*) AS n_docs, count(*) - 1 AS n_followers, true AS ascending, 0::BIGINT AS first, true AS full_code FROM documents",
-    "toxicity_held_out": "SELECT count(*) AS n_docs, true AS in_range, count(toxic) AS labelled, true AS accurate FROM documents LEFT JOIN labels USING (doc_id)",
-    "quality_held_out": "SELECT count(*) AS n_docs, true AS in_range, count(quality) AS labelled, true AS accurate FROM documents LEFT JOIN labels USING (doc_id)",
+    "toxicity_held_out": "SELECT count(*) AS n_docs, true AS in_range, count(toxic) AS labelled, true AS accurate, true AS precise FROM documents LEFT JOIN labels USING (doc_id)",
+    "quality_held_out": "SELECT count(*) AS n_docs, true AS in_range, count(quality) AS labelled, true AS accurate, true AS precise FROM documents LEFT JOIN labels USING (doc_id)",
 }

@@ -20,6 +20,8 @@ import os
 import sys
 from array import array
 
+from . import memory
+
 #: Pieces that a worker remembers, if not told otherwise; those met a second time only, for most pieces of a text collection occur once.
 MAX_PIECES = 300_000
 _SEEN = 1 << 22
@@ -121,14 +123,12 @@ class Encoder:
             return self.known.whole(text)
 
 
-_ENCODERS: dict[tuple[str, bool], Encoder] = {}
-
-
 def encoder(path: str, spaced: bool, most: int = MAX_PIECES) -> Encoder:
     """One encoder for each Python worker; it lives on from task to task and remembers ``most`` pieces."""
-    if (path, spaced) not in _ENCODERS:
-        _ENCODERS[path, spaced] = Encoder(path, spaced, most)
-    return _ENCODERS[path, spaced]
+    known = memory.of("tokens")
+    if (path, spaced) not in known:
+        known[path, spaced] = Encoder(path, spaced, most)
+    return known[path, spaced]
 
 
 def vocabulary(name: str) -> str:

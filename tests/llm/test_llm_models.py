@@ -162,3 +162,75 @@ def test_sql(spark, name):
 
 def test_every_operator_has_a_query():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
+
+
+# The additive model against plain loops
+
+
+def plain_tree(bins, g, h, n_bins, rate, least):
+    """The same tree of two levels by trying every cut."""
+    inside = lambda v, a, b: sum(x for x, k in zip(v, bins) if a <= k < b)
+
+    def cut(begin, end):
+        best, at = 1e-9, None
+        g_all, h_all = inside(g, begin, end), inside(h, begin, end)
+        for m in range(begin + 1, end):
+            gl, hl = inside(g, begin, m), inside(h, begin, m)
+            gr, hr = g_all - gl, h_all - hl
+            gain = gl**2 / (hl + 1) + gr**2 / (hr + 1) - g_all**2 / (h_all + 1)
+            if hl >= least / 4 and hr >= least / 4 and gain > best + 1e-12:
+                best, at = gain, m
+        return at
+
+    middle = cut(0, n_bins)
+    halves = [(0, n_bins)] if middle is None else [(0, middle), (middle, n_bins)]
+    out = [0.0] * n_bins
+    for begin, end in halves:
+        at = cut(begin, end)
+        for a, b in [(begin, end)] if at is None else [(begin, at), (at, end)]:
+            out[a:b] = [rate * inside(g, a, b) / (inside(h, a, b) + 1)] * (b - a)
+    return out
+
+
+def test_trees_of_the_additive_model_equal_a_search_of_all_cuts():
+    rng = np.random.default_rng(11)
+    model = quality.AdditiveModel(bins=9, least=1.0)
+    for _ in range(40):
+        n = int(rng.integers(1, 60))
+        bins, g, h = rng.integers(0, 9, n), rng.normal(size=n), rng.uniform(0.01, 0.25, n)
+        assert np.allclose(model._tree(bins, g, h), plain_tree(bins.tolist(), g.tolist(), h.tolist(), 9, model.rate, 1.0))
+
+
+def test_quadrants_of_pairs_equal_a_search_of_all_cuts():
+    rng = np.random.default_rng(12)
+    model = quality.AdditiveModel(pair_bins=5, least=1.0)
+    for _ in range(40):
+        n = int(rng.integers(8, 80))
+        a, b, g, h = rng.integers(0, 5, n), rng.integers(0, 5, n), rng.normal(size=n), rng.uniform(0.05, 0.25, n)
+        found, gain = model._quadrants(a * 5 + b, g, h)
+        best, want = 0.0, np.zeros((5, 5))
+        for i in range(4):
+            for j in range(4):
+                parts = [(x, y, ((a <= i) == x) & ((b <= j) == y)) for x in (True, False) for y in (True, False)]
+                if min(h[m].sum() for *_, m in parts) < 0.25:
+                    continue
+                own = sum(g[m].sum() ** 2 / (h[m].sum() + 1) for *_, m in parts) - g.sum() ** 2 / (h.sum() + 1)
+                if own > best + 1e-12:
+                    best, want = own, np.zeros((5, 5))
+                    for x, y, m in parts:
+                        want[np.ix_((np.arange(5) <= i) == x, (np.arange(5) <= j) == y)] = model.rate * g[m].sum() / (h[m].sum() + 1)
+        assert np.isclose(max(gain, 0), best) and np.allclose(found, want.ravel())
+
+
+def test_scores_of_the_additive_model_equal_a_loop_over_its_tables():
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(300, 4))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.3)).astype(float)
+    model = quality.AdditiveModel(rounds=30, pairs=3).fit(x, y)
+    assert model.pairs
+    for row, got in zip(x, model.score(x)):
+        place = lambda edges, v: sum(e <= v for e in edges)
+        value = model.intercept + sum(t[place(e, v)] for t, e, v in zip(model.tables, model.edges, row))
+        for (a, b), t in zip(model.pairs, model.pair_tables):
+            value += t[place(model.coarse[a], row[a]) * model.pair_bins + place(model.coarse[b], row[b])]
+        assert np.isclose(got, 1 / (1 + np.exp(-value)))
