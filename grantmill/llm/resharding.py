@@ -12,22 +12,27 @@ rows to the shards they belong to.
 The flow has one node for each shard, so the driver's part does not depend on
 the number of rows. Defined results: a null text has no bytes and counts 1 for
 its end, as any row; a null source is a shard name like any other; rows that are
-alike in every column are interchangeable; an empty table gives no rows;
-capacities that cannot hold all rows raise ValueError.
+alike in every column are interchangeable; an empty table gives no rows; a caller's
+columns shard, slot, old_shard and store_row are left out by ``report``; capacities that cannot hold all rows raise ValueError.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
+from ..sources.yearlog import YearLog
 from .places import positions
 from .store import Scratch
 
 #: A column that tells the rows of a store apart.
 KEY = "store_row"
+#: Columns of a store without rows.
+STORE = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), StructField(KEY, LongType()), StructField("old_shard", IntegerType()), StructField("shard", IntegerType())])
 
 
 def cheapest_flow(supply: dict[int, int], demand: dict[int, int]) -> dict[tuple[int, int], int]:
@@ -93,10 +98,11 @@ def _totals(df: DataFrame, shard: str) -> dict[int, int]:
     return {r[0]: r[1] for r in df.groupBy(shard).agg(F.sum("size")).collect()}
 
 
-def level(rows: DataFrame, scratch: Scratch, capacities: dict[int, int] | None, shards: int, rounds: int = 4) -> DataFrame:
+def level(rows: DataFrame, scratch: Scratch, capacities: dict[int, int] | None, shards: int) -> DataFrame:
     """rows (doc_id, size, text_crc32, old) with the new ``shard`` of each.
 
-    capacities: bytes of each new shard, or None for equal ones.
+    capacities: bytes of each new shard, or None for equal ones. Rounds of levelling go on
+    until no shard is too full, or until a round that moves any rows that fit makes the fullest no better.
     """
     order = ["doc_id", "text_crc32", "size"]
     sizes = _totals(rows, "old")
@@ -116,14 +122,20 @@ def level(rows: DataFrame, scratch: Scratch, capacities: dict[int, int] | None,
             own = F.when(F.col("position") < end, F.lit(s)).otherwise(own)
         shard = F.when(F.col("old") == o, own).otherwise(shard)
     placed = scratch.save(placed.withColumn("shard", shard).drop("position"), "placed")
-    for k in range(rounds):
+    last, part = None, 4  # rows of at most a quarter of what is too much, then of a half, then any that fit
+    for k in itertools.count():
         now = _totals(placed, "shard")
         over = {s: now.get(s, 0) - c for s, c in capacities.items()}
         worst = max(over.values())
+        if last is not None and worst >= last:
+            part //= 2
+        last = worst
         flow = cheapest_flow({s: n for s, n in over.items() if n > 0}, {s: -n for s, n in over.items() if n < 0}) if worst > 0 else {}
-        small = F.col("size") <= max(1, worst // 4)
-        if not flow or not placed.where(small).take(1):
+        while part and not placed.where(F.col("size") <= max(1, worst // part)).take(1):
+            part //= 2
+        if not flow or not part:
             break
+        small = F.col("size") <= max(1, worst // part)
         ends = _stretches(flow)
         ranked = positions(scratch.save(placed.where(small & F.col("shard").isin(list(ends))), f"small{k}"), "shard", order, "size")
         to: Column = F.col("shard")
@@ -153,36 +165,45 @@ def reshard(docs: DataFrame, shards: int = 16, old: Column | None = None, capaci
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """The rows of a store by source after it is resharded, as its files hold them."""
+    """The rows of a store by source after it is resharded, as its files hold them.
+
+    The store is a log of generations (``sources.yearlog``, by shard instead of by year): its first run
+    has the rows by source, its second the affected shards. That one is committed by one manifest, so
+    a crash leaves the store as it was, and readers see the old shards or the new ones.
+    """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "store")
     source = F.pmod(F.crc32(F.coalesce(F.col("source").cast("string"), F.lit(""))), F.lit(16)).cast("int")
-    keyed = docs.drop("shard", "slot").withColumns({KEY: F.monotonically_increasing_id(), "old_shard": source, "shard": source})
-    store = scratch.path("files")
-    keyed.write.option("compression", "zstd").partitionBy("shard").parquet(store)
-    lying = spark.read.schema(keyed.schema).parquet(store)
+    kept = docs.drop("shard", "slot", KEY, "old_shard")  # the store's own columns
+    log = YearLog(spark, scratch.path("files"), "shard", compression="zstd")
+    log.write(kept.withColumns({KEY: F.monotonically_increasing_id(), "old_shard": source, "shard": source}))
+    lying = log.read(schema=STORE)
     placed = scratch.save(reshard(lying, old=F.col("shard")), "places")
-    affected = rewrite(lying, placed, store)
-    held = spark.read.schema(keyed.schema.add("slot", "long")).parquet(store)
+    affected = affected_shards(placed)
+    if affected:
+        log.write(_placed_rows(lying, placed, affected), covers=affected)
+    held = log.read(schema=STORE)
+    held = held if "slot" in held.columns else held.withColumn("slot", F.lit(None).cast("long"))
     text = F.coalesce("text", F.lit(""))
     found = held.select(KEY, "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
-    kept = placed.where(~F.col("shard").isin(affected)).select(KEY, F.col("slot").alias("_slot"))  # their files have no slots
-    if kept.take(1):
-        found = found.join(kept, KEY, "left").withColumn("slot", F.coalesce("slot", "_slot")).drop("_slot")
+    still = placed.where(~F.col("shard").isin(affected)).select(KEY, F.col("slot").alias("_slot"))  # their files have no slots
+    if still.take(1):
+        found = found.join(still, KEY, "left").withColumn("slot", F.coalesce("slot", "_slot")).drop("_slot")
     return found.drop(KEY)
 
 
-def rewrite(docs: DataFrame, placed: DataFrame, target: str) -> list[int]:
-    """Write the documents of every shard that rows enter or leave to target/shard=N, in slot order; those shards.
+def affected_shards(placed: DataFrame) -> list[int]:
+    """The shards that rows enter or leave."""
+    changed = placed.where("old <> shard")
+    return sorted(r[0] for r in changed.select(F.col("old").alias("s")).union(changed.select("shard")).distinct().collect())
+
+
+def _placed_rows(docs: DataFrame, placed: DataFrame, affected: list[int]) -> DataFrame:
+    """The documents of the affected shards with shard and slot, each task's rows in slot order.
 
-    Shards that nothing enters or leaves keep their files; the files of the others
-    are replaced once all are written, so docs may lie in target itself. Rows meet
-    their places by KEY; where docs has none, those alike in doc_id, text and size
-    are numbered. A shard is written by many tasks, each with some of its slots in
-    order, so no task holds a whole shard. placed must be a stored table.
+    Rows meet their places by KEY, which must be unique; where docs has none, those alike in doc_id, text
+    and size are numbered. A shard is written by many tasks, each with some of its slots in order, so no
+    task holds a whole shard.
     """
-    spark = docs.sparkSession
-    changed = placed.where("old <> shard")
-    affected = sorted(r[0] for r in changed.select(F.col("old").alias("s")).union(changed.select("shard")).distinct().collect())
     place = placed.where(F.col("shard").isin(affected))
     if KEY in docs.columns:
         place = place.select(F.col(KEY).alias("_key"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
@@ -196,7 +217,19 @@ def rewrite(docs: DataFrame, placed: DataFrame, target: str) -> list[int]:
         same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_crc") == F.col("_c")) & (F.col("_size") == F.col("_s")) & (F.col("_nth") == F.col("_n"))
         out = keyed.join(place, same).drop("_id", "_crc", "_size", "_nth", "_i", "_c", "_s", "_n")
     out = out.drop("shard", "slot", "_key").withColumnsRenamed({"_shard": "shard", "_slot": "slot"})
-    written = out.sortWithinPartitions("shard", "slot").write.mode("overwrite")
+    return out.sortWithinPartitions("shard", "slot")
+
+
+def rewrite(docs: DataFrame, placed: DataFrame, target: str) -> list[int]:
+    """Write the documents of every shard that rows enter or leave to target/shard=N, in slot order; those shards.
+
+    For plain folders, which other programs may read: shards that nothing enters or leaves keep their
+    files; the files of the others are replaced once all are written, so docs may lie in target itself,
+    but one folder after another. Where that must not show, use a log, as ``report`` does. placed must be
+    a stored table.
+    """
+    spark, affected = docs.sparkSession, affected_shards(placed)
+    written = _placed_rows(docs, placed, affected).write.mode("overwrite")
     written.options(partitionOverwriteMode="dynamic", compression="zstd").partitionBy("shard").parquet(target)
     jvm = spark.sparkContext._jvm
     for s in {*affected} - {r[0] for r in placed.select("shard").distinct().collect()}:  # emptied

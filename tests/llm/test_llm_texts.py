@@ -204,3 +204,42 @@ def test_personal_data_tables(spark):
 def test_spans_that_overlap_are_masked_once():
     text = "http://u:p@host.org/x y"
     assert personal_data.mask(text, personal_data.spans(text)) == "[URL] y"
+
+
+# Stores that are resharded
+
+
+def test_a_store_s_own_columns_are_its_own(spark):
+    from grantmill.llm import resharding
+
+    rows = [(k, f"text {k}" * (k % 9), f"s{k % 3}", 7, 8, 9, 10) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, shard int, slot int, store_row int, old_shard int")
+    got = resharding.report(df).collect()
+    assert sorted(r.doc_id for r in got) == [*range(300)] and {r.shard for r in got} == {*range(16)}
+    sizes = [sum(r.size for r in got if r.shard == s) for s in range(16)]
+    assert max(sizes) - min(sizes) <= max(r.size for r in got)
+    assert all(sorted(r.slot for r in got if r.shard == s) == [*range(sum(r.shard == s for r in got))] for s in range(16))
+    assert resharding.report(df.limit(0)).collect() == []
+
+
+def test_a_store_that_can_t_be_rewritten_stays_as_it_was(spark, monkeypatch):
+    from grantmill.llm import resharding
+    from grantmill.sources.yearlog import YearLog
+
+    logs, placed_rows = [], resharding._placed_rows
+
+    class Kept(YearLog):
+        def __init__(self, *args, **options):
+            super().__init__(*args, **options)
+            logs.append(self)
+
+    def broken(*args):
+        return placed_rows(*args).withColumn("text", F.when(F.col("doc_id") == 7, F.raise_error(F.lit("disk is full"))).otherwise(F.col("text")))
+
+    monkeypatch.setattr(resharding, "YearLog", Kept)
+    monkeypatch.setattr(resharding, "_placed_rows", broken)
+    df = spark.createDataFrame([(k, f"text {k}", f"s{k % 3}") for k in range(60)], "doc_id long, text string, source string")
+    with pytest.raises(Exception, match="disk is full"):
+        resharding.report(df)
+    held = logs[0].read().collect()
+    assert sorted(r.doc_id for r in held) == [*range(60)] and all(r.shard == r.old_shard for r in held)
