@@ -286,3 +286,24 @@ def sql_parse_records(t):
     _text_source(t, source).createOrReplaceTempView("grantmill_raw")
     return t.spark.sql("""SELECT `bio_doc-number` AS doc_number, bio_date, bio_inventor_last_name AS last_name, bio_assignee_country AS assignee_country,
         `bio_main-classification_national` AS national, abstract_paras[0] AS abstract, CAST(size(claims_claims) AS BIGINT) AS n_claims FROM parse_records(TABLE(grantmill_raw), 'text')""")
+
+
+@query("SELECT event_type, count(*) AS n, round(sum(value), 2) AS total, 1::BIGINT AS most_runs FROM events GROUP BY event_type")
+def year_log_stream(t):
+    """Events added by a stream whose batch is tried twice, then compacted."""
+    path = work_path(t.spark, "year-stream")
+    log = YearLog(t.spark, f"{path}/log")
+    add = log.sink("events")
+
+    def twice(rows: DataFrame, number: int) -> None:
+        dated = rows.withColumn("year", F.year("ts"))
+        add(dated, number)
+        add(dated, number)
+
+    for half in (0, 1):
+        t.events.where(F.pmod(F.xxhash64("event_type"), F.lit(2)) == half).write.mode("append").parquet(f"{path}/in")
+        source = t.spark.readStream.schema(t.events.schema).parquet(f"{path}/in")
+        source.writeStream.foreachBatch(twice).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    most = max(map(len, log.compact().years.values()))
+    found = log.read().groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    return found.withColumn("most_runs", F.lit(most).cast("long"))

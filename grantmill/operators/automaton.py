@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-#: States of a table at most; with 150 different letters that is 60 MB.
-MAX_STATES = 100_000
+#: States of a table at most, and cells (states by different letters): 64 MB.
+MAX_STATES, MAX_CELLS = 100_000, 16 << 20
 #: Characters that a piece of text is moved by in all.
 STRETCH = 2048
 #: Characters that are stepped through at once.
@@ -124,16 +124,17 @@ def automata(keywords: Sequence[str], most: int = MAX_STATES) -> list[Automaton]
     """As many automata as the keywords need; empty ones and those that a folded equal precedes are left out."""
     seen: set[str] = set()
     groups: list[tuple[list[str], list[int]]] = [([], [])]
-    states = 0
+    states, letters = 0, set()
     for number, k in enumerate(keywords):
         plain = "".join(map(fold, k))
         if not k or plain in seen:
             continue
         seen.add(plain)
-        if states + len(k) > most and groups[-1][0]:
+        wider = letters | {*plain}
+        if groups[-1][0] and (states + len(k) > most or (states + len(k) + 1) * (len(wider) + 1) > MAX_CELLS):
             groups.append(([], []))
-            states = 0
-        states += len(k)
+            states, wider = 0, {*plain}
+        states, letters = states + len(k), wider
         groups[-1][0].append(k)
         groups[-1][1].append(number)
     return [build(*g) for g in groups if g[0]]

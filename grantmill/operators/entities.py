@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -22,9 +24,25 @@ def normalise_names(df: DataFrame, column: str = "names") -> DataFrame:
     return first.withColumn("names_v2", C.generic_free_name("names_v1"))
 
 
-def ratio(a: str, b: str) -> float:
+@lru_cache(20_000)
+def _letters(text: str) -> Counter:
+    return Counter(text)
+
+
+@lru_cache(20_000)
+def _words(text: str) -> frozenset[str]:
+    return frozenset(text.lower().split())
+
+
+def ratio(a: str, b: str, above: float = -1.0) -> float:
+    """Twice the matching characters by all characters, in percent; 0 where it can't be ``above``, by lengths or letters."""
+    if not a and not b:
+        return 0.0
     a, b = sorted((a, b))  # so that the order of a pair does not matter
-    return 100 * SequenceMatcher(None, a, b, autojunk=False).ratio() if a or b else 0.0
+    total = len(a) + len(b)
+    if 200 * min(len(a), len(b)) <= above * total or above > 0 and 200 * (_letters(a) & _letters(b)).total() <= above * total:
+        return 0.0
+    return 100 * SequenceMatcher(None, a, b, autojunk=False).ratio()
 
 
 def partial_ratio(a: str, b: str) -> float:
@@ -33,9 +51,9 @@ def partial_ratio(a: str, b: str) -> float:
     if not short:
         return 0.0
     best = 0.0
-    for i, j, _ in SequenceMatcher(None, short, long, autojunk=False).get_matching_blocks():
-        start = max(0, j - i)
-        best = max(best, ratio(short, long[start : start + len(short)]))
+    starts = dict.fromkeys(max(0, j - i) for i, j, _ in SequenceMatcher(None, short, long, autojunk=False).get_matching_blocks())
+    for start in starts:
+        best = max(best, ratio(short, long[start : start + len(short)], best))
         if best > 99.5:
             return 100.0
     return best
@@ -43,13 +61,17 @@ def partial_ratio(a: str, b: str) -> float:
 
 def token_set_ratio(a: str, b: str) -> float:
     """The best ratio among shared words, shared and own words of either."""
-    x, y = set(a.lower().split()), set(b.lower().split())
+    x, y = _words(a), _words(b)
     if not x or not y:
         return 0.0
     both = " ".join(sorted(x & y))
     one, two = (" ".join(filter(None, (both, " ".join(sorted(s))))) for s in (x - y, y - x))
-    pairs = [(one, two)] + ([(both, one), (both, two)] if both else [])
-    return max(ratio(p, q) for p, q in pairs)
+    best = 0.0
+    for p, q in [*([(both, one), (both, two)] if both else []), (one, two)]:
+        best = max(best, ratio(p, q, best))
+        if best >= 100:
+            break
+    return best
 
 
 def similarity(a: str, b: str) -> float:

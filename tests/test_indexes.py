@@ -2,13 +2,14 @@
 
 import random
 import re
+from difflib import SequenceMatcher
 
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from grantmill.operators import concordance, hierarchy, qgrams, relational
+from grantmill.operators import concordance, entities, hierarchy, qgrams, relational
 
 # Names within an edit distance
 
@@ -173,3 +174,40 @@ def test_codes_meet_expressions_by_factors(spark):
     assert sorted(map(tuple, found.select("code", "seq").collect())) == sorted(map(tuple, plain.select("code", "seq").collect()))
     assert "NestedLoop" not in found._jdf.queryExecution().toString()
     assert concordance.matching(df, expressions.limit(0)).collect() == [] and concordance.matching(df.limit(0), expressions).collect() == []
+
+
+# Similarity of names
+
+
+def plain_similarity(a, b):
+    """Without bounds: every ratio taken whole."""
+
+    def ratio(p, q):
+        p, q = sorted((p, q))
+        return 100 * SequenceMatcher(None, p, q, autojunk=False).ratio() if p or q else 0.0
+
+    short, long = sorted((a, b), key=lambda x: (len(x), x))
+    partial = 0.0
+    for i, j, _ in SequenceMatcher(None, short, long, autojunk=False).get_matching_blocks() if short else []:
+        start = max(0, j - i)
+        partial = max(partial, ratio(short, long[start : start + len(short)]))
+    partial = 100.0 if partial > 99.5 else partial
+    x, y = set(a.lower().split()), set(b.lower().split())
+    tokens = 0.0
+    if x and y:
+        both = " ".join(sorted(x & y))
+        one, two = (" ".join(filter(None, (both, " ".join(sorted(s))))) for s in (x - y, y - x))
+        tokens = max(ratio(p, q) for p, q in [(one, two)] + ([(both, one), (both, two)] if both else []))
+    s, t = (round(r) + 1e-9 for r in (tokens, partial))
+    return 2 * s * t / (s + t)
+
+
+@given(st.lists(st.sampled_from(["red", "blue", "Red", "ring", "rings", "bolt", "bo", " ", "a"]), max_size=5).map(" ".join), st.lists(st.sampled_from(["red", "blue", "ring", "ri", "bolt", "a", "xyz"]), max_size=5).map(" ".join))
+def test_similarity_with_bounds_is_that_without(a, b):
+    assert entities.similarity(a, b) == plain_similarity(a, b)
+
+
+def test_similarities_of_all_parts(spark):
+    names = ["small ring", "red widget", "blue bolt", "red ring", "ring small", "", "x"]
+    got = entities.pair_similarity(spark.createDataFrame([(n,) for n in [*names, None, "x"]], "n string"), "n").collect()
+    assert {(r.a, r.b): r.sim for r in got} == {(a, b): plain_similarity(a, b) for a in names for b in names if a < b}

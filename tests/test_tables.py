@@ -101,6 +101,63 @@ def test_log_columns_and_leftovers(spark, log):
     assert held(log.read()) == [(2019, "c"), (2020, "b")]
 
 
+def test_runs_that_add_and_compaction(spark, log):
+    log.append(years(spark, (2019, "a"), (2020, "b")))
+    log.append(years(spark, (2019, "c"), (None, "n")), writer=("w", 1))
+    log.append(years(spark, (2019, "c"), (None, "n")), writer=("w", 1))
+    assert held(log.read()) == [(-1, "n"), (2019, "a"), (2019, "c"), (2020, "b")]
+    assert held(log.read(version=0)) == [(2019, "a"), (2020, "b")]
+    now = log.compact()
+    assert len(now.years["2019"]) == 1 and held(log.read()) == [(-1, "n"), (2019, "a"), (2019, "c"), (2020, "b")]
+    assert log.compact() == now
+    log.write(years(spark, (2019, "z")))
+    assert held(log.read(2019, 2020)) == [(2019, "z")]
+    assert len(log.clean(older_than=-1)) >= 1 and held(log.read()) == [(-1, "n"), (2019, "z"), (2020, "b")]
+
+
+def test_compaction_gives_way_to_other_commits(spark, log):
+    log.append(years(spark, (2019, "a"), (2020, "x")))
+    log.append(years(spark, (2019, "b")))
+    taken = log._files
+
+    def late(df):
+        found = taken(df)
+        log._files = taken
+        yearlog.YearLog(spark, log.path).append(years(spark, (2019, "c")))
+        return found
+
+    log._files = late
+    with pytest.raises(yearlog.Conflict):
+        log.compact()
+    assert held(log.read()) == [(2019, "a"), (2019, "b"), (2019, "c"), (2020, "x")]
+
+    log._files = late
+    yearlog.YearLog(spark, log.path).compact()
+    log.append(years(spark, (2020, "y")))  # meanwhile 2019 grows
+    assert held(log.read(2020)) == [(2020, "x"), (2020, "y")]
+
+
+def test_a_stream_is_added_once(spark, log, tmp_path):
+    years(spark, (2019, "a"), (2020, "b")).write.parquet(f"{tmp_path}/in")
+    stream = lambda: spark.readStream.schema("year int, x string").parquet(f"{tmp_path}/in")
+
+    def run(sink, checkpoint):
+        stream().writeStream.foreachBatch(sink).option("checkpointLocation", f"{tmp_path}/{checkpoint}").trigger(availableNow=True).start().awaitTermination()
+
+    add = log.sink("events")
+
+    def killed(rows, number):  # after the commit, before the stream knows of it
+        add(rows, number)
+        raise OSError("killed")
+
+    with pytest.raises(Exception, match="killed"):
+        run(killed, "checkpoint")
+    run(add, "checkpoint")
+    years(spark, (2020, "c")).write.mode("append").parquet(f"{tmp_path}/in")
+    run(add, "checkpoint")
+    assert held(log.read()) == [(2019, "a"), (2020, "b"), (2020, "c")]
+
+
 def test_write_years_keeps_other_years(spark):
     path = work_path(spark, "years")
     tables.write_years(years(spark, (2019, "a"), (2020, "b")), path)
@@ -333,6 +390,16 @@ def test_automata_find_what_the_alternation_finds(keywords, texts, stretch, stat
         assert all(text[a:b].lower() == keywords[n].lower() for a, b, n in zip(start[own], end[own], key[own]))
 
 
+def test_tables_of_automata_are_bounded(monkeypatch):
+    keywords = [*WORDS, *(chr(0x4E00 + k) for k in range(60))]
+    whole = automaton.automata(keywords)
+    monkeypatch.setattr(automaton, "MAX_CELLS", 100)
+    parts = automaton.automata(keywords)
+    assert len(whole) == 1 and len(parts) > 5 and all(p.next.size <= 100 for p in parts)
+    text = "ab a b \u4e05 b a b x1 \u4e10\u4e11 c++ (a)"
+    assert [x.tolist() for x in automaton.scan([text], whole)] == [x.tolist() for x in automaton.scan([text], parts)]
+
+
 def test_automaton_in_tables(spark):
     texts = ["The wind; WIND power and wind  power", None, "", "straße STRASSE İstanbul ıstanbul Kelvin", "x" * 10_000 + " wind " + "y" * 10_000, "wind́ wínd win\ndwind"]
     keywords = ["wind power", "wind", "straße", "istanbul", "kelvin", "", "Wind"]
