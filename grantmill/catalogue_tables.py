@@ -122,7 +122,7 @@ def crawl(t):
 
 
 @query("""SELECT o_orderkey AS order_key, CASE WHEN o_orderkey % 2 = 0 THEN 'k' || o_orderkey END AS order_keyi, o_orderstatus AS order_status, c_name AS customer_name, CASE WHEN o_orderkey % 5 <> 0 THEN n_name END AS customer_place_nation,
-CASE WHEN o_orderkey % 5 = 0 THEN 'nowhere' END AS customer_place, CASE WHEN o_orderstatus = 'F' THEN o_orderkey % 100 END AS "sums_F", CASE WHEN o_orderstatus = 'O' THEN o_orderkey % 100 END AS "sums_O", CASE WHEN o_orderstatus = 'P' THEN o_orderkey % 100 END AS "sums_P",
+CASE WHEN o_orderkey % 5 = 0 THEN 'nowhere' END AS customer_place, CASE WHEN o_orderstatus = 'F' THEN o_orderkey % 100 ELSE -1 END AS "sums_F", CASE WHEN o_orderstatus = 'O' THEN o_orderkey % 100 ELSE -1 END AS "sums_O", CASE WHEN o_orderstatus = 'P' THEN o_orderkey % 100 ELSE -1 END AS "sums_P",
 coalesce(lines, '') AS lines_keys, coalesce(n_lines, 0)::INT AS n_lines FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
 LEFT JOIN (SELECT l_orderkey, string_agg(l_partkey, '|' ORDER BY l_linenumber, l_partkey) AS lines, count(*) AS n_lines FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
 def nested_records(t):
@@ -141,7 +141,7 @@ def nested_records(t):
     )
     flat = nested.flatten_json(rows.select(text.alias("record")), "record", bad="broken").where("broken IS NULL")
     count = F.coalesce(F.json_array_length("lines_whole"), F.lit(0)).alias("n_lines")
-    return flat.select("order_key", "order_keyi", "order_status", "customer_name", "customer_place_nation", "customer_place", "sums_F", "sums_O", "sums_P", F.coalesce(F.array_join("lines_keys", "|"), F.lit("")).alias("lines_keys"), count)
+    return flat.select("order_key", "order_keyi", "order_status", "customer_name", "customer_place_nation", "customer_place", *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("sums_F", "sums_O", "sums_P")), F.coalesce(F.array_join("lines_keys", "|"), F.lit("")).alias("lines_keys"), count)
 
 
 # Keywords by the thousand
