@@ -189,11 +189,12 @@ def test_rewrite_replaces_only_what_changes(spark, tmp_path):
 
 def test_report_comes_from_rewritten_files(spark, monkeypatch):
     seen = []
-    real = resharding.rewrite
-    monkeypatch.setattr(resharding, "rewrite", lambda docs, placed, target: (seen.append(target), real(docs, placed, target))[1])
+    real = resharding.YearLog
+    monkeypatch.setattr(resharding, "YearLog", lambda *args, **options: (seen.append(real(*args, **options)), seen[-1])[1])
     docs = spark.createDataFrame([(k // 2, "same", "s%d" % (k % 5)) for k in range(200)], "doc_id long, text string, source string")
     got = resharding.report(docs).collect()
-    held = spark.read.parquet(seen[0]).collect()
+    assert seen[0].versions() == [0, 1]
+    held = seen[0].read().collect()
     assert len(got) == len(held) == 200 and {r.shard for r in held} == set(range(16))
     assert sorted((r.doc_id, r.shard) for r in got) == sorted((r.doc_id, r.shard) for r in held)
 
