@@ -59,6 +59,46 @@ def test_the_join_has_no_nested_loop(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def shuffled(spark):
+    return spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+
+@pytest.mark.parametrize("k", [1, 2, 3])
+def test_numbered_names_meet_no_more_often_than_they_are_near(spark, k):
+    """Every gram of numbered names is frequent, so what is shuffled must not grow with their square."""
+    moved = []
+    for n in (300, 1200):
+        one = [f"Customer#{i:09d}" if k == 1 else f"machinery {i}" for i in range(n)]
+        two = None if k == 1 else [f"machine {i}" for i in range(n // 3)]
+        left, right = (None if x is None else spark.createDataFrame([(v,) for v in x], "name string") for x in (one, two))
+        before = shuffled(spark)
+        got = sorted(map(tuple, qgrams.edit_join(left, "name", k, right).collect()))
+        moved.append(shuffled(spark) - before)
+        if n == 300:
+            pairs = [(a, b) for a in one for b in one if a < b] if two is None else [(a, b) for a in one for b in two]
+            assert got == sorted((a, b, d) for a, b in pairs if abs(len(a) - len(b)) <= k and (d := distance(a, b)) <= k)
+    assert moved[1] < 7 * moved[0]
+
+
+def test_long_names_with_one_edit(spark, monkeypatch):
+    monkeypatch.setattr(qgrams, "LONG", 6)
+    names = sorted({x for x in names_of(5, 120) if x is not None})
+    df = spark.createDataFrame([(x,) for x in names], "name string")
+    assert sorted(map(tuple, qgrams.edit_join(df, "name", 1).collect())) == sorted((a, b, 1) for a in names for b in names if a < b and distance(a, b) == 1)
+
+
+@pytest.mark.parametrize(("k", "two"), [(2, False), (3, True)])
+def test_names_joined_by_their_heads(spark, monkeypatch, k, two):
+    monkeypatch.setattr(qgrams, "MEETS", 0)
+    monkeypatch.setattr(qgrams, "SHARED", 0)
+    rng = random.Random(k)
+    names = [[*{"", "7", "12", *("".join(rng.choice(["ab", "ba", "b", ""])) + "".join(rng.choice("12a") for _ in range(rng.randint(0, 5))) for _ in range(60))}] for _ in range(2)]
+    left, right = (spark.createDataFrame([(x,) for x in n], "name string") for n in names)
+    got = sorted(map(tuple, qgrams.edit_join(left, "name", k, right if two else None).collect()))
+    others = names[1] if two else names[0]
+    assert got == sorted((a, b, distance(a, b)) for a in names[0] for b in others if (two or a < b) and distance(a, b) <= k)
+
+
 # Parents
 
 
