@@ -165,3 +165,43 @@ def test_empty_table(spark):
         assert R.parse_records(empty, kind).count() == 0
     null = spark.createDataFrame([("f", None)], "file string, record string")
     assert R.parse_records(null, "xml").first().parse_error
+
+
+ODD = [
+    "<A><B>x</B>y</A>", "<A><B>x</A>", "<a><b>x</b></a>", "<A><B>&amp;&lt;&eacute;</B></A>", "<A><B>&#128;</B></A>", "<A><B>a\r\nb</B></A>", "<A><B/><C D='>'>t</C></A>", "<A><!-- <B>n</B> --><B>x</B></A>",
+    "<A><B><![CDATA[x<C>]]></B></A>", "<A><?pi <B>n</B>?><B>x</B></A>", "<A><_B>x</_B></A>", "<!DOCTYPE A [\n<!ENTITY X SYSTEM 'x.tif'>\n<!ENTITY y 'why'>\n]>\n<A><B>x&y;</B></A>", "<!DOCTYPE A SYSTEM 'x.dtd'>\n<A>\n<B>x</B >\n</A>\n",
+    "<A><A>in</A><B><A>x</A></B></A>", "<A><TITLE>a <B>b</B></TITLE><SCRIPT>c</SCRIPT></A>", "no tag", "", "<A>x</A><B>y</B>", "<A><B>x &AMP; y</B></A>", "<!DOCTYPE A [<!ENTITY x '<B>n</B>'>]><A>&x;</A>", "<A xmlns='u'><B>x</B></A>", "<A><B:C>x</B:C></A>",
+]
+
+
+@pytest.mark.parametrize("text", [*ODD, SGML.format(b300="", sdode="")])
+def test_the_fast_tree_of_sgml_is_the_lenient_one(text):
+    def seen(parse):
+        try:
+            root = parse(text)
+        except ValueError as e:
+            return str(e)
+        tags = ["a", "b", "c", "title", "pdat", "b110", "patdoc", "_b", "b:c"]
+        paths = [[root.find(t), root.find("b", t), root.find("a", t)] for t in tags]
+        return [[None if e is None else e.text() for e in p] for p in paths], [[e.text() for e in root.find_all(t)] for t in tags], {k: e.text() for k, e in root.firsts().items()}
+
+    assert seen(R.fast_sgml) == seen(R.parse_tree)
+
+
+def test_common_records_take_the_fast_tree():
+    assert isinstance(R.fast_sgml("<!DOCTYPE PATDOC SYSTEM 'x.dtd' [\n<!ENTITY X SYSTEM 'x.tif'>]>\n<PATDOC><A>x &amp; y</A></PATDOC>\n"), R._Node)
+    assert isinstance(R.fast_xml(XML.replace("&nbsp;", " ")), R._Node) and not isinstance(R.fast_xml("<A><b>x</b></A>"), R._Node)
+
+
+def test_the_fast_tree_of_xml_gives_the_same_record(monkeypatch):
+    cases = [XML, XML.replace("&nbsp;", " "), XML.replace("&nbsp;", " ").replace("claim>", "CLAIM>")]
+    fast = [R.parse_xml(x) for x in cases]
+    monkeypatch.setattr(R, "fast_xml", R.parse_well_formed)
+    assert fast == [R.parse_xml(x) for x in cases]
+
+
+def test_lines_are_cut_at_their_ends(spark, tmp_path):
+    ends = ["a \t", "  ", "b\r", "", "c \u2028", "d\x0b\x0c ", " e  f ", "\u0085", " \u2029", "\u00a0 ", "g"]
+    (tmp_path / "x.txt").write_bytes(("PATN\n" + "\n".join(ends) + "\nPATN \n\nh  \n\n").encode())
+    got = [r.record for r in R.scan_text_records(spark, str(tmp_path)).select("record").collect()]
+    assert got == ["PATN\na\nb\nc\u2028\nd\n e  f\n\u0085\n\u2029\n\u00a0\ng", "PATN\nh"]
