@@ -148,17 +148,22 @@ def intervals(nodes: DataFrame, group: str = "cat_id", code: str = "code", paren
 
     A node lies below another if its ``first`` is within the other's first to last. Numbers come from
     pointer doubling: in round i a node's pointer leads 2^i nodes up, and sizes, depths and then places are
-    summed along the pointers, so a tree of depth d takes log2(d) rounds of joins, each stored. Siblings
+    summed along the pointers, so a tree of depth d takes log2(d) rounds of joins, each stored. Leaves, most of
+    the nodes, stay out of these rounds: they are counted at their parents and placed at the end. Siblings
     stand by ``order`` (by default their code); their sizes are summed by ranges, so a node may have any
     number of children. Codes must be unique in a group; nodes that no root reaches are left out.
     """
     place = F.col(code if order is None else order)
     base = stored(nodes.select(F.col(group).alias("g"), F.col(code).alias("c"), F.col(parent).alias("p"), place.alias("o")), "nodes")
-    known = base.select(F.col("g").alias("_g"), F.col("c").alias("_c"))
-    linked = base.join(known, F.col("g").eqNullSafe(F.col("_g")) & (F.col("p") == F.col("_c")), "left")
+    children = base.where("p IS NOT NULL").groupBy(F.col("g").alias("_g"), F.col("p").alias("_c")).agg(F.count(F.lit(1)).alias("n"))
+    counted = stored(base.join(children, F.col("g").eqNullSafe(F.col("_g")) & (F.col("c") == F.col("_c")), "left").drop("_g", "_c"), "counted")
+    inner, leaves = counted.where("n IS NOT NULL"), counted.where("n IS NULL")
+    twigs = leaves.where("p IS NOT NULL").groupBy(F.col("g").alias("_h"), F.col("p").alias("_u")).agg(F.count(F.lit(1)).alias("leaves"))
+    known = inner.select(F.col("g").alias("_g"), F.col("c").alias("_c"))
+    linked = inner.join(known, F.col("g").eqNullSafe(F.col("_g")) & (F.col("p") == F.col("_c")), "left").join(twigs, F.col("g").eqNullSafe(F.col("_h")) & (F.col("c") == F.col("_u")), "left")
     one = F.col("_c").isNotNull().cast("long")
-    state = stored(linked.select("g", "c", F.col("_c").alias("up"), F.lit(1).cast("long").alias("size"), one.alias("depth"), (F.col("p").isNotNull() & F.col("_c").isNull()).alias("lost")), "jump")
-    jumps, n = [], base.count()
+    state = stored(linked.select("g", "c", F.col("_c").alias("up"), (F.coalesce("leaves", F.lit(0)) + 1).alias("size"), one.alias("depth"), (F.col("p").isNotNull() & F.col("_c").isNull()).alias("lost")), "jump")
+    jumps, n = [], state.count()
     while len(jumps) <= max(n, 1).bit_length() and state.where("up IS NOT NULL").take(1):
         jumps.append(state.select("g", "c", "up"))
         below = state.where("up IS NOT NULL").groupBy(F.col("g").alias("_g"), F.col("up").alias("_c")).agg(F.sum("size").alias("_more"))
@@ -167,13 +172,19 @@ def intervals(nodes: DataFrame, group: str = "cat_id", code: str = "code", paren
         size = F.col("size") + F.coalesce("_more", F.lit(0))
         state = stored(step.select("g", "c", F.col("_up").alias("up"), size.alias("size"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), (F.col("lost") | F.coalesce("_lost", F.lit(False))).alias("lost")), "jump")
     whole = state.where("NOT lost AND up IS NULL").select(F.col("g").alias("_g"), F.col("c").alias("_c"), "size", "depth")  # a pointer that still leads up leads round a circle
-    sized = base.join(whole, F.col("g").eqNullSafe(F.col("_g")) & (F.col("c") == F.col("_c"))).select("g", "c", "p", "o", "size", "depth")
-    before = running_sum(sized, ["g", "p"], ["o", "c"], "size", "before")
-    at = stored(before.select("g", "c", "size", "depth", (F.col("before") + F.col("p").isNotNull().cast("long")).alias("first")), "places")
+    sized = inner.join(whole, F.col("g").eqNullSafe(F.col("_g")) & (F.col("c") == F.col("_c"))).select("g", "c", "p", "o", "size", "depth")
+    single = leaves.select("g", "c", "p", "o", F.lit(1).cast("long").alias("size"), F.when(F.col("p").isNull(), 0).cast("long").alias("depth"))
+    before = running_sum(sized.unionByName(single), ["g", "p"], ["o", "c"], "size", "before")
+    numbered = stored(before.select("g", "c", "p", "size", "depth", (F.col("before") + F.col("p").isNotNull().cast("long")).alias("first")), "numbered")
+    hangs = F.col("depth").isNull()  # a leaf below another node
+    at = numbered.where(~hangs).select("g", "c", "size", "depth", "first")
     for jump in jumps:
         over = at.select(F.col("g").alias("_h"), F.col("c").alias("_u"), F.col("first").alias("_first"))
         led = jump.where("up IS NOT NULL").join(over, F.col("g").eqNullSafe(F.col("_h")) & (F.col("up") == F.col("_u"))).select(F.col("g").alias("_g"), F.col("c").alias("_c"), "_first")
         at = stored(at.join(led, F.col("g").eqNullSafe(F.col("_g")) & (F.col("c") == F.col("_c")), "left").select("g", "c", "size", "depth", (F.col("first") + F.coalesce("_first", F.lit(0))).alias("first")), "places")
+    over = at.select(F.col("g").alias("_h"), F.col("c").alias("_u"), F.col("first").alias("_first"), F.col("depth").alias("_depth"))
+    hung = numbered.where(hangs).join(over, F.col("g").eqNullSafe(F.col("_h")) & (F.col("p") == F.col("_u")))
+    at = at.unionByName(hung.select("g", "c", "size", (F.col("_depth") + 1).alias("depth"), (F.col("first") + F.col("_first")).alias("first")))
     return at.select(F.col("g").alias(group), F.col("c").alias(code), "depth", "first", (F.col("first") + F.col("size") - 1).alias("last"))
 
 

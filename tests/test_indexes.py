@@ -251,3 +251,18 @@ def test_similarities_of_all_parts(spark):
     names = ["small ring", "red widget", "blue bolt", "red ring", "ring small", "", "x"]
     got = entities.pair_similarity(spark.createDataFrame([(n,) for n in [*names, None, "x"]], "n string"), "n").collect()
     assert {(r.a, r.b): r.sim for r in got} == {(a, b): plain_similarity(a, b) for a in names for b in names if a < b}
+
+
+def test_leaves_stay_out_of_the_rounds(spark, monkeypatch):
+    held, plain = [], hierarchy.stored
+
+    def counting(df, name):
+        out = plain(df, name)
+        held.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(hierarchy, "stored", counting)
+    nodes = [("r", None), ("x", "r"), ("y", "x"), ("alone", None), ("lost", "nowhere"), *((f"l{k}", "rxy"[k % 3]) for k in range(50))]
+    got = hierarchy.intervals(spark.createDataFrame([("g", *n) for n in nodes], "cat_id string, code string, parent_code string")).collect()
+    assert len(got) == 54 and {(r.cat_id, r.code): (r.depth, r.first, r.last) for r in got} == plain_intervals([("g", *n) for n in nodes])
+    assert max(n for name, n in held if name in ("jump", "places")) <= 4
