@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .records import PARSERS, SGML_MARK, TEXT_MARK, XML_MARK
 from .workbook import _open as open_path
 
-#: Bytes of a range; and how many are read at once.
-RANGE, STEP = 64 << 20, 1 << 20
+#: Bytes of a range; how many are read at once; records, or bytes of them, that a task holds.
+RANGE, STEP, ROWS, BYTES = 64 << 20, 1 << 20, 4096, 8 << 20
 #: Numbers up to which a lookup names them in the scan.
 FEW = 1000
 
@@ -76,12 +76,12 @@ def build_index(spark: SparkSession, paths: str | Sequence[str], kind: str, targ
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     files = (reader.option("pathGlobFilter", glob) if glob else reader).load(paths if isinstance(paths, str) else [*paths]).select("path", "length")
     ranges = files.where("length > 0").select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(RANGE).cast("long"))).alias("start"))
-    mark, parse, step = _MARKS[kind], PARSERS[kind], RANGE
+    mark, parse, step, most = _MARKS[kind], PARSERS[kind], RANGE, ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, size, start in zip(*(c.to_pylist() for c in batch.columns)):
-                rows = []
+                rows: list[tuple] = []
                 fs, plain = open_path(path)
                 with fs.open_input_file(plain) as f:
                     for place, raw in _records(f, start, min(start + step, size), size, mark):
@@ -91,8 +91,14 @@ def build_index(spark: SparkSession, paths: str | Sequence[str], kind: str, targ
                             continue
                         if number is not None:
                             rows.append((number, path, place, len(raw)))
-                columns = [*zip(*rows)] or [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["number", "file", "start", "length"])
+                        if len(rows) >= most:
+                            yield batch_of(rows)
+                            rows = []
+                yield batch_of(rows)
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = [*zip(*rows)] or [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["number", "file", "start", "length"])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = ranges.repartition(parts, "path", "start").mapInArrow(run, "number string, file string, start long, length long")
@@ -117,12 +123,13 @@ def find(index: DataFrame, numbers: Sequence[str] | DataFrame) -> DataFrame:
 
 def fetch(found: DataFrame, kind: str) -> DataFrame:
     """(number, file, record) of rows of an index; only the bytes of these records are read."""
+    most, held = ROWS, BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, f = None, None
         try:
             for batch in batches:
-                records = []
+                records, size, begin = [], 0, 0
                 for path, start, length in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
                     if path != name:
                         if f is not None:
@@ -130,10 +137,18 @@ def fetch(found: DataFrame, kind: str) -> DataFrame:
                         fs, plain = open_path(path)
                         name, f = path, fs.open_input_file(plain)
                     records.append(as_scanned(f.read_at(length, start), kind))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(records, pa.string())], names=["number", "file", "record"])
+                    size += length
+                    if len(records) >= most or size >= held:
+                        yield batch_of(batch, begin, records)
+                        begin, records, size = begin + len(records), [], 0
+                yield batch_of(batch, begin, records)
         finally:
             if f is not None:
                 f.close()
 
+    def batch_of(batch: pa.RecordBatch, begin: int, records: list[str]) -> pa.RecordBatch:
+        own = batch.slice(begin, len(records))
+        return pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(records, pa.string())], names=["number", "file", "record"])
+
     ordered = found.select("number", "file", "start", "length").repartition("file", F.floor(F.col("start") / RANGE)).sortWithinPartitions("file", "start")
     return ordered.mapInArrow(run, "number string, file string, record string")

@@ -89,3 +89,14 @@ def test_a_lookup_reads_its_own_bytes_only(spark, tmp_path):
     assert "PushedFilters: [In(number, [7,8])" in offsets.find(index, ["7", "8"])._jdf.queryExecution().toString()
     assert offsets.find(index, map(str, range(offsets.FEW + 5))).count() == 50
     assert offsets.fetch(offsets.find(index, []), "text").collect() == []
+
+
+def test_places_and_records_in_pieces(spark, tmp_path, monkeypatch):
+    """A task holds a few records at a time, of a range with many."""
+    monkeypatch.setattr(offsets, "ROWS", 3)
+    monkeypatch.setattr(offsets, "BYTES", 70)
+    (tmp_path / "x.txt").write_text("".join(f"PATN\nWKU  {k}\nISD  19760106\nABST\nPAL  {'t' * (k * 7 % 50)}\n" for k in range(20)))
+    index = offsets.build_index(spark, str(tmp_path / "x.txt"), "text", str(tmp_path / "index"))
+    assert sorted(int(r.number) for r in index.collect()) == [*range(20)]
+    got = {int(r.number): r.record for r in offsets.fetch(offsets.find(index, [str(k) for k in range(1, 18)]), "text").collect()}
+    assert got == {k: f"PATN\nWKU  {k}\nISD  19760106\nABST\nPAL" + (f"  {'t' * (k * 7 % 50)}" if k * 7 % 50 else "") for k in range(1, 18)}
