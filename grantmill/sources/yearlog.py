@@ -36,6 +36,8 @@ from pyspark.sql.types import StructType
 
 #: Times that a commit is tried against others that commit meanwhile.
 TRIES = 100
+#: Bytes of a year's files that a task of a compaction takes.
+FILE = 64 << 20
 _NULL_YEAR = "__HIVE_DEFAULT_PARTITION__"
 
 
@@ -131,13 +133,23 @@ class YearLog:
         return self._commit(lambda now: now | {y: [*now.get(y, []), run] for y in years}, df.schema, writer)
 
     def compact(self, most: int = 1) -> Manifest:
-        """Write the years that more than ``most`` runs hold as one run; Conflict if one of them changes meanwhile."""
+        """Write the years that more than ``most`` runs hold as one run; Conflict if one of them changes meanwhile.
+
+        A year of any size: a task writes about FILE bytes, as the year's files are now.
+        """
         before = self.manifest()
         many = {y: r for y, r in before.years.items() if len(r) > most}
         if not many:
             return before
         held = self._table(before, many)
-        run, _ = self._files(held.repartition(self.year))
+        tasks = F.lit(1)
+        for y, runs in many.items():
+            size = sum(self._fs.getContentSummary(self._file(f"{self.path}/data/run={r}/{self.year}={y}")).getLength() for r in runs)
+            if size > FILE:
+                own = F.col(self.year).isNull() if y == _NULL_YEAR else F.col(self.year).cast("string") == y
+                tasks = F.when(own, F.lit(-(-size // FILE))).otherwise(tasks)
+        dealt = held.withColumn("_task", F.monotonically_increasing_id() % tasks)
+        run, _ = self._files(dealt.repartition(self.year, "_task").drop("_task"))
 
         def replaced(now: dict[str, list[str]]) -> dict[str, list[str]]:
             if any(now.get(y) != r for y, r in many.items()):

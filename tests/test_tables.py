@@ -420,3 +420,16 @@ def test_many_keywords_are_searched_for_as_few_are(spark):
     plain = lambda out: sorted((r.id, tuple(sorted(r.keys_hit_g.items())), r.total_counts_g, r.total_counts_h) for r in out.collect())
     many_sorted = search.search(df, {"g": keywords[-3:] + keywords[:-3], "h": ["zz"]}, ["a", "b"])
     assert plain(many_sorted) == plain(few) and many.columns == few.columns
+
+
+def test_a_year_of_any_size_is_compacted_by_many_tasks(spark, log, monkeypatch):
+    monkeypatch.setattr(yearlog, "FILE", 100)
+    for part in range(2):
+        log.append(spark.range(500).selectExpr("2019 AS year", f"concat('x', id + {part * 500}) AS x").union(spark.sql("SELECT NULL, 'n'")))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which joins such small files again
+    try:
+        now = log.compact()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [len(r) for r in now.years.values()] == [1, 1] and sorted(r.x for r in log.read(2019, 2020).collect()) == sorted(f"x{k}" for k in range(1000))
+    assert log.read(2019, 2020).select("_metadata.file_path").distinct().count() > 1 and log.read().where("year IS NULL").count() == 2
