@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
@@ -41,6 +42,8 @@ from . import labels as folds
 MAX_SAMPLE = 6_000
 #: Rows of the sample are taken in order of their hash; one whose whole text would go beyond this is passed over.
 MAX_SAMPLE_BYTES = 64 << 20
+#: What a worker holds at once: bytes of text; tokens of documents side by side, unless one alone has more.
+MAX_PIECE, MAX_GRID = 4 << 20, 1 << 20
 #: Toxic documents that a choice must explain, and how many times likelier than in a clean document it must be in a toxic one.
 LEAST_DOCS, LEAST_RATIO = 3, 6
 #: Twice the logarithm of the likelihood ratio between unlike and like shares of both that a choice needs, as a hundred thousand words are tried.
@@ -273,7 +276,7 @@ class Tagger:
         begin = 0
         while begin < len(by_length):
             shortest, end = len(rows[by_length[begin]]), begin + 1
-            while end < len(by_length) and end - begin < 512 and len(rows[by_length[end]]) <= shortest * 1.15 + 8:
+            while end < len(by_length) and end - begin < 512 and (longest := len(rows[by_length[end]])) <= shortest * 1.15 + 8 and (end + 1 - begin) * longest <= MAX_GRID:
                 end += 1
             own = by_length[begin:end]
             longest = len(rows[own[-1]])
@@ -329,6 +332,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> ChainField:
 _SPANS = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))
 
 
+def pieces(batch: pa.RecordBatch, rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most so many rows, and of MAX_PIECE bytes of text or one row."""
+    sizes = [n or 0 for n in pc.binary_length(batch.column(batch.schema.get_field_index("text"))).to_pylist()]
+    begin = held = 0
+    for k, size in enumerate(sizes):
+        if k > begin and (held + size > MAX_PIECE or k - begin == rows):
+            yield batch.slice(begin, k - begin)
+            begin, held = k, 0
+        held += size
+    if begin < len(sizes):
+        yield batch.slice(begin)
+
+
 def score(docs: DataFrame, field: ChainField) -> DataFrame:
     """docs with score and spans (start and end, in bytes of the UTF-8 text, of each offending token).
 
@@ -341,8 +357,7 @@ def score(docs: DataFrame, field: ChainField) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(known.value)
         for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                batch = whole.slice(at, 2048)
+            for batch in pieces(whole):
                 texts = batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
                 summaries, p = tagger.tag(texts)
                 spans = []

@@ -235,3 +235,20 @@ def test_scores_of_the_additive_model_equal_a_loop_over_its_tables():
         for (a, b), t in zip(model.pairs, model.pair_tables):
             value += t[place(model.coarse[a], row[a]) * model.pair_bins + place(model.coarse[b], row[b])]
         assert np.isclose(got, 1 / (1 + np.exp(-value)))
+
+
+def test_toxicity_by_pieces_scores_the_same(monkeypatch):
+    """Long texts are told in small pieces and grids, with the scores of the whole."""
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [None, b"", *(b"good bad worse " * (k * 37 % 90) for k in range(60))]
+    field = toxicity.ChainField()
+    whole = toxicity.Tagger(field).tag(texts)[0]
+    monkeypatch.setattr(toxicity, "MAX_GRID", 300)
+    monkeypatch.setattr(toxicity, "MAX_PIECE", 2000)
+    batch = pa.RecordBatch.from_arrays([pa.array([None if t is None else t.decode() for t in texts])], names=["text"])
+    parts = [*toxicity.pieces(batch)]
+    assert sum(p.num_rows for p in parts) == len(texts) and all(p.num_rows == 1 or sum(len(x or "") for x in p.column(0).to_pylist()) <= 2000 for p in parts)
+    own = [toxicity.Tagger(field).tag(p.column(0).cast(pa.binary()).to_pylist())[0] for p in parts]
+    np.testing.assert_allclose(np.concatenate(own), whole)
