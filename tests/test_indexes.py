@@ -266,3 +266,17 @@ def test_leaves_stay_out_of_the_rounds(spark, monkeypatch):
     got = hierarchy.intervals(spark.createDataFrame([("g", *n) for n in nodes], "cat_id string, code string, parent_code string")).collect()
     assert len(got) == 54 and {(r.cat_id, r.code): (r.depth, r.first, r.last) for r in got} == plain_intervals([("g", *n) for n in nodes])
     assert max(n for name, n in held if name in ("jump", "places")) <= 4
+
+
+def test_names_one_edit_apart_have_no_candidates(spark, monkeypatch):
+    """What signatures join is the result: nothing longer than the names is written on the way."""
+    held, plain = [], qgrams.stored
+
+    def counting(df, name):
+        out = plain(df, name)
+        held.append(out.count())
+        return out
+
+    monkeypatch.setattr(qgrams, "stored", counting)
+    names = spark.createDataFrame([(f"Customer#{i:09d}",) for i in range(100)], "name string")
+    assert qgrams.edit_join(names, "name", 1).count() == 900 and max(held) == 100
