@@ -41,7 +41,8 @@ def with_parent(rows: DataFrame, group: str = "cat_id", seq: str = "seq", level:
     range finds the parents within it, with a stack of the rows that still can be parents, and leaves
     the stack of its last group: the range's summary. Rows at the head of a range, whose parent stands
     in a range before, ask the summaries, which are folded in order, group by group; so what is gathered
-    has at most one row for each range and level. seq must be unique within a group.
+    has at most one row for each range and level. Rows of one seq stand by falling level, then by code, so none is the
+    parent of another of them, and the result depends on the rows only.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     extra = StructType.fromDDL("parent_code string, _part int, _open boolean, _summary boolean")
@@ -81,10 +82,10 @@ def with_parent(rows: DataFrame, group: str = "cat_id", seq: str = "seq", level:
         more = [pa.array([None if p is None else str(p) for p in parents], pa.string()), pa.array([part] * n, pa.int32()), pa.array(opened, pa.bool_()), pa.array([summary] * n, pa.bool_())]
         return pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*names, *extra.fieldNames()])
 
-    dealt = rows.repartitionByRange(parts, group, seq).sortWithinPartitions(group, seq)
+    dealt = rows.repartitionByRange(parts, group, seq).sortWithinPartitions(group, seq, F.col(level).desc(), code)
     held = stored(dealt.mapInArrow(run, schema), "parents")
     asked = [F.col(group).alias("_g"), "_part", F.col(level).cast("double").alias("_level")]
-    summaries = held.where("_summary").select(*asked, F.col(seq).alias("_seq"), F.col(code).cast("string").alias("_code"))
+    summaries = held.where("_summary").select(*asked, F.col(code).cast("string").alias("_code"))
     questions = held.where("NOT _summary AND _open").select(*asked).distinct()
 
     def fold(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
@@ -94,7 +95,7 @@ def with_parent(rows: DataFrame, group: str = "cat_id", seq: str = "seq", level:
                 k = bisect.bisect_left(stack, at, key=lambda x: x[0])
                 if k:
                     out.append((part, at, stack[k - 1][1]))
-            ends = own[~own["_question"]].sort_values("_seq")
+            ends = own[~own["_question"]].sort_values("_level")  # a stack's levels rise with seq
             if len(ends):
                 lowest = ends["_level"].min()
                 stack = [x for x in stack if x[0] < lowest] + [*zip(ends["_level"], ends["_code"])]

@@ -131,6 +131,14 @@ def test_parents_across_ranges(spark, parts, deep):
     assert hierarchy.with_parent(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("reverse", [False, True])
+def test_rows_of_one_place_are_no_parents_of_each_other(spark, reverse):
+    rows = [("a", 1, 0, "r"), ("a", 2, 1, "x"), ("a", 2, 2, "y"), ("a", 2, 2, "z"), ("a", 3, 3, "w"), ("a", 3, None, "n"), ("a", 4, 1, "v")]
+    df = spark.createDataFrame(rows[::-1] if reverse else rows, "cat_id string, seq long, level int, code string").coalesce(1)
+    got = {r.code: r.parent_code for r in hierarchy.with_parent(df).collect()}
+    assert got == {"r": None, "x": "r", "y": "r", "z": "r", "w": "x", "n": None, "v": "r"}
+
+
 def test_running_sums_across_ranges(spark):
     rng = random.Random(1)
     rows = [(rng.choice(["hot"] * 8 + ["a", None]), k, rng.randint(1, 9)) for k in range(300)]
