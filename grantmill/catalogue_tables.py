@@ -285,7 +285,8 @@ def sql_parse_records(t):
     source = "PATN\nWKU  {key}\nAPD  19900101\nISD  {date}\nINVT\nNAM  {name}; Ann\nCTY  Basel\nINVT\nNAM  Other; Bo\nASSG\nNAM  Works\n[[PRIR\nCNT  {land}\n]]CLAS\nOCL  {code}\nABST\nPAL  {status} one\nPAL  two\nCLMS\nSTM  What is claimed is:\nPAR  1. A thing."
     _text_source(t, source).createOrReplaceTempView("grantmill_raw")
     return t.spark.sql("""SELECT `bio_doc-number` AS doc_number, bio_date, bio_inventor_last_name AS last_name, bio_assignee_country AS assignee_country,
-        `bio_main-classification_national` AS national, abstract_paras[0] AS abstract, CAST(size(claims_claims) AS BIGINT) AS n_claims FROM parse_records(TABLE(grantmill_raw), 'text')""")
+        `bio_main-classification_national` AS national, abstract_paras[0] AS abstract, CAST(size(claims_claims) AS BIGINT) AS n_claims
+        FROM parse_records(TABLE(SELECT record FROM grantmill_raw), 'text', 'bio_doc-number, bio_date, bio_inventor_last_name, bio_assignee_country, bio_main-classification_national, abstract_paras, claims_claims')""")
 
 
 @query("SELECT event_type, count(*) AS n, round(sum(value), 2) AS total, 1::BIGINT AS most_runs FROM events GROUP BY event_type")

@@ -7,6 +7,8 @@
   functions, so the optimizer puts their bodies into the plan, as it does with column expressions;
 * ``parse_records(TABLE(raw), kind)``: one flat row for each row of a table that has a column ``record``;
   the table's other columns come along, as the function finds out what they are when the query is analysed.
+  A third argument, names with commas between them, says which parsed columns are wanted, as every other
+  one costs its way from Python although nobody reads it.
 
 Both give what the column functions and ``records.parse_records`` give.
 """
@@ -72,10 +74,14 @@ RULES = {
 
 
 class ParseRecords:
-    """parse_records(TABLE(raw), kind): raw has ``record`` and any other columns; kind is xml, sgml or text."""
+    """parse_records(TABLE(raw), kind[, columns]): raw has ``record`` and any other columns; kind is xml, sgml or text."""
+
+    def __init__(self, analyze_result: AnalyzeResult):
+        self.names = analyze_result.schema.fieldNames()
+        self.parse = None
 
     @staticmethod
-    def analyze(raw: AnalyzeArgument, kind: AnalyzeArgument) -> AnalyzeResult:
+    def analyze(raw: AnalyzeArgument, kind: AnalyzeArgument, columns: AnalyzeArgument | None = None) -> AnalyzeResult:
         from ..sources.records import PARSERS
 
         if not raw.isTable or "record" not in raw.dataType.fieldNames():
@@ -83,18 +89,26 @@ class ParseRecords:
         if not kind.isConstantExpression or kind.value not in PARSERS:
             raise ValueError(f"parse_records needs one of {sorted(PARSERS)} as its second argument")
         own = [f for f in raw.dataType.fields if f.name != "record"]
-        return AnalyzeResult(StructType([*own, *(f for f in PARSED.fields if f.name not in {o.name for o in own})]))
-
-    def eval(self, raw: Row, kind: str) -> Iterator[tuple]:
-        from ..sources.records import PARSERS
-
-        kept = [c for c in raw.__fields__ if c != "record"]
+        found = {f.name: f for f in PARSED.fields}
+        if columns is not None:
+            wanted = [c.strip() for c in columns.value.split(",")] if columns.isConstantExpression and isinstance(columns.value, str) else [""]
+            if not set(wanted) <= set(found) or len(set(wanted)) < len(wanted):
+                raise ValueError(f"parse_records needs different names of {sorted(found)} as its third argument")
+            found = {c: found[c] for c in wanted}
+        return AnalyzeResult(StructType([*own, *(f for c, f in found.items() if c not in {o.name for o in own})]))
+
+    def eval(self, raw: Row, kind: str, columns: str | None = None) -> Iterator[tuple]:
+        if self.parse is None:
+            from ..sources.records import PARSERS
+
+            self.parse, self.at = PARSERS[kind], raw.__fields__.index("record")
+            self.names = self.names[len(raw) - 1 :]
         found = dict.fromkeys(STATUS, False)
         try:
-            found |= PARSERS[kind](raw["record"], False)
+            found |= self.parse(raw[self.at], False)
         except Exception as e:  # the record is at fault, whatever it is
             found = dict.fromkeys(STATUS, False) | {"parse_error": f"{type(e).__name__}: {e}"}
-        yield (*(raw[c] for c in kept), *(found.get(c) for c in PARSED.fieldNames() if c not in kept))
+        yield (*raw[: self.at], *raw[self.at + 1 :], *map(found.get, self.names))
 
 
 def register(spark: SparkSession) -> None:

@@ -42,6 +42,19 @@ def test_records_by_a_table_function(spark):
             spark.sql(f"SELECT * FROM {bad}").collect()
 
 
+def test_a_table_function_gives_only_the_columns_wanted(spark):
+    sql.register(spark)
+    rows = [(1, TEXT.format(n=5, m=6), "own"), (2, "PATN\n" + "ABST\nPAL  x\n" * 300, "own"), (3, None, None)]
+    spark.createDataFrame(rows, "extra int, record string, bio_date string").createOrReplaceTempView("sql_some")
+    got = spark.sql("SELECT * FROM parse_records(TABLE(sql_some), 'text', 'abstract_paras, bio_date, bio_doc-number') ORDER BY extra")
+    assert got.columns == ["extra", "bio_date", "abstract_paras", "bio_doc-number"]
+    assert [tuple(r) for r in got.collect()] == [(1, "own", ["as in 6"], "5"), (2, "own", None, None), (3, None, None, None)]
+    assert spark.sql("SELECT * FROM parse_records(TABLE(SELECT record FROM sql_some), 'text', 'claims_ok')").columns == ["claims_ok"]
+    for bad in ("''", "'record'", "'claims_ok, claims_ok'", "1"):
+        with pytest.raises(Exception, match="parse_records needs"):
+            spark.sql(f"SELECT * FROM parse_records(TABLE(sql_some), 'text', {bad})").collect()
+
+
 SOURCES = {
     "text": "PATN\nWKU  {n}\nISD  20010203\nABST\nPAL  as in {m} PATN é\n\n  PATN not a mark\nCLMS\nPAR  1. A thing.   \n",
     "xml": '<?xml version="1.0"?><us-patent-grant><publication-reference><document-id><doc-number>{n}</doc-number></document-id></publication-reference><abstract><p>as in {m} é</p></abstract></us-patent-grant>\n\n',
