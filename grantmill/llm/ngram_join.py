@@ -61,6 +61,8 @@ COUNTERS = 1 << 21
 SEEDS = 20
 #: Bytes of text that are hashed at a time.
 _CHUNK = 1 << 20
+#: Tokens of entities that are counted, or given out as heads, at a time.
+_STEP = 1 << 17
 #: Words whose hashes a worker remembers, and bytes of the longest of them.
 _KNOWN_WORDS, _KNOWN_BYTES = 100_000, 64
 _BLANK = re.compile(rb"[\t\n\v\f\r ]")
@@ -386,12 +388,22 @@ def _promising(percent: int):
     return run
 
 
+def _lists(column: pa.Array) -> Iterator[np.ndarray]:
+    """The tokens of each row, as views of the batch."""
+    return (np.frombuffer(row.as_buffer(), np.uint64) for row in column)
+
+
+def _counters(tokens: np.ndarray) -> np.ndarray:
+    return (tokens & np.uint64(COUNTERS - 1)).view(np.int64)
+
+
 def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A task's counts by counter, in stretches of 2 ** 15 counters; only those in use."""
     total = np.zeros(COUNTERS, np.uint32)
     for batch in batches:
-        tokens = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)
-        total += np.bincount((tokens & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+        for tokens in _lists(batch.column(0)):
+            for a in range(0, len(tokens), _STEP):
+                np.add.at(total, _counters(tokens[a : a + _STEP]), np.uint32(1))
     used = np.flatnonzero(total)
     for part in np.split(used, np.searchsorted(used, np.arange(1 << 15, COUNTERS, 1 << 15))):
         if len(part):
@@ -415,21 +427,28 @@ def token_counts(near: DataFrame) -> np.ndarray:
     return out
 
 
+def _head_rows(tokens: list[np.ndarray], owners: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(owners))], names=["token", "owner"])
+
+
 def _heads(counts, percent: int):
     """(token, owner) of the shingles that two linked entities can't both miss, the rarest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counts.value
         for batch in batches:
-            out, owners = [], []
-            for owner, n, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                tokens = np.frombuffer(raw, np.uint64)
+            out, owners, size = [], [], 0
+            for owner, n, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _lists(batch.column(2))):
                 k = len(tokens) - least_overlap(n, percent) + 1
-                order = np.lexsort((tokens, table[(tokens & np.uint64(COUNTERS - 1)).astype(np.int64)]))[:k]
+                order = np.lexsort((tokens, table[_counters(tokens)]))[:k]
                 out.append(tokens[order].view(np.int64))
                 owners.append(np.full(k, owner, np.int64))
+                size += k
+                if size >= _STEP:
+                    yield _head_rows(out, owners)
+                    out, owners, size = [], [], 0
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.concatenate(owners))], names=["token", "owner"])
+                yield _head_rows(out, owners)
 
     return run
 

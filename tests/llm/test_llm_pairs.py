@@ -203,6 +203,47 @@ def test_packing_of_postings():
     assert (ngram_join._from_planes(ngram_join._planes(tokens)) == tokens).all()
 
 
+@pytest.mark.parametrize("rows, each", [(4000, 1000), (20, 200_000)])
+def test_counting_and_heads_hold_no_copy_of_a_batch(rows, each):
+    import collections
+    import tracemalloc
+    import types
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    sets = [np.sort(rng.integers(0, 1 << 63, each, dtype=np.uint64)) for _ in range(rows)]
+    sets[1] = sets[0]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(rows), pa.int64()), pa.array([each] * rows, pa.int64()), pa.array([t.tobytes() for t in sets], pa.binary())], names=["owner", "n", "tokens"])
+    table = np.minimum(sum(np.bincount((t % ngram_join.COUNTERS).astype(int), minlength=ngram_join.COUNTERS) for t in sets), 65535)
+
+    def peak(run, batch):
+        tracemalloc.start()
+        for _ in run(iter([batch])):
+            pass
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    heads = ngram_join._heads(types.SimpleNamespace(value=table.astype(np.uint16)), 80)
+    assert max(peak(ngram_join._count_tokens, batch.select(["tokens"])), peak(heads, batch)) < batch.nbytes
+    # slices too, whose rows begin within the buffers
+    counts, slices = np.zeros(ngram_join.COUNTERS, int), [batch.slice(0, 3), batch.slice(3)]
+    for found in ngram_join._count_tokens(x.select(["tokens"]) for x in slices):
+        for stretch, at, n in zip(*(c.to_pylist() for c in found.columns)):
+            counts[(stretch << 15) + np.frombuffer(at, np.uint16).astype(int)] += np.frombuffer(n, np.uint32)
+    assert (np.minimum(counts, 65535) == table).all()
+    got = collections.defaultdict(list)
+    for found in heads(iter(slices)):
+        for token, owner in zip(*(c.to_pylist() for c in found.columns)):
+            got[owner].append(token)
+    k = each - ngram_join.least_overlap(each, 80) + 1
+    for owner in (0, 1, 2, 3, rows - 1):
+        assert got[owner] == sorted(sets[owner].tolist(), key=lambda t: (table[t % ngram_join.COUNTERS], t))[:k]
+    assert {*map(len, got.values())} == {k} and len(got) == rows
+
+
 def test_connected_components(spark):
     pairs = [(k, k + 1) for k in range(40)] + [(100, 101), (102, 101), (7, 50)] + [(200, 200 + k) for k in range(1, 60)]
     edges = spark.createDataFrame(pairs, "a long, b long")
