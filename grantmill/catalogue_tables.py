@@ -260,7 +260,7 @@ def record_index(t):
     """The first order of every customer, fetched from the archives of all orders by its place."""
     source = "PATN\nWKU  {key}\nAPD  19900101\nISD  {date}\nINVT\nNAM  {name}; Ann\nABST\nPAL  {status} one\nCLMS\nPAR  1. A thing."
     path = work_path(t.spark, "archive-index")
-    index = offsets.build_index(t.spark, _record_files(t, source), "text", path, glob="*.txt")
+    index = offsets.build_index(t.spark, _record_files(t, source, packed=False), "text", path, glob="*.txt")
     firsts = t.orders.groupBy("o_custkey").agg(F.min("o_orderkey").alias("first")).select(F.col("first").cast("string").alias("number"))
     parsed = records.parse_records(offsets.fetch(offsets.find(index, firsts), "text"), "text")
     return parsed.select(F.col("`bio_doc-number`").alias("number"), "bio_date", F.col("bio_inventor_last_name").alias("inventor"), F.get("abstract_paras", F.lit(0)).alias("abstract"))
