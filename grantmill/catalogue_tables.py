@@ -197,11 +197,13 @@ _LINES = "SELECT l_orderkey::BIGINT * 1000000000 + l_partkey * 10000 + l_linenum
 @query(f"""WITH l AS ({_LINES}), p AS (SELECT *, {", ".join(f"max(CASE WHEN level < {k} THEN seq END) OVER w AS p{k}" for k in range(1, 9))} FROM l WINDOW w AS (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT seq, (CASE level {" ".join(f"WHEN {k} THEN p{k}" for k in range(1, 9))} END)::VARCHAR AS parent_code FROM p""")
 def line_parents(t):
-    """All lines as one schedule: the nearest line before with a lower level."""
-    same = Window.partitionBy("l_orderkey", "l_partkey", "l_linenumber").orderBy("l_suppkey", "l_extendedprice", "l_quantity")
+    """All lines as one schedule: the nearest line before with a lower level. As in the SQL, nulls stand last, quantities are rounded, and a level below 1 has no parent."""
+    last = (1 << 63) - 1  # the place of lines without a seq
+    same = Window.partitionBy("l_orderkey", "l_partkey", "l_linenumber").orderBy(*(F.col(c).asc_nulls_last() for c in ("l_suppkey", "l_extendedprice", "l_quantity")))
     seq = F.col("l_orderkey").cast("long") * 1_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_linenumber") * 1000 + F.row_number().over(same)
-    rows = t.lineitem.select(F.lit("one").alias("cat_id"), seq.alias("seq"), ((F.col("l_quantity").cast("int") * 7 + F.col("l_linenumber")) % 9).alias("level"))
-    return hierarchy.with_parent(rows.withColumn("code", F.col("seq").cast("string"))).select("seq", "parent_code")
+    rows = t.lineitem.select(F.lit("one").alias("cat_id"), F.coalesce(seq, F.lit(last)).alias("place"), ((F.rint("l_quantity").cast("int") * 7 + F.col("l_linenumber")) % 9).alias("level"))
+    found = hierarchy.with_parent(rows.withColumn("code", F.nullif("place", F.lit(last)).cast("string")), seq="place")
+    return found.select(F.nullif("place", F.lit(last)).alias("seq"), F.when(F.col("level") > 0, F.col("parent_code")).alias("parent_code"))
 
 
 def _tree(t) -> DataFrame:
