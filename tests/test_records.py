@@ -147,6 +147,14 @@ def test_scan_and_parse(spark, tmp_path):
     assert R.find_record(raw.unionByName(raw.selectExpr("file", "replace(record, '07654322', '07654329') || '07654322' AS record")), "07654322", "xml").count() == 1
 
 
+def test_scan_cuts_white_space_at_the_end(spark, tmp_path):
+    ends = ["", " ", "\n\n", " \t\x0b\f\r\n", "\xa0 ", " \x85", " \u2028", "\n\u2029", " \u2029\n", "\x85 \n"]
+    (tmp_path / "a.xml").write_bytes(b"".join(f"{R.XML_MARK} {k}{end}".encode() for k, end in enumerate(ends)) + R.XML_MARK.encode() + b" 10\xff \n")
+    got = [r.record for r in R.scan_records(spark, str(tmp_path), R.XML_MARK).orderBy("record").collect()]
+    rule = spark.read.option("lineSep", R.XML_MARK).text(str(tmp_path)).where(r"value rlike r'\S'").selectExpr(rf"'{R.XML_MARK}' || regexp_replace(value, r'(?<!\s)\s+$', '') AS record")
+    assert got == [r.record for r in rule.orderBy("record").collect()] and len(got) == len(ends) + 1
+
+
 def test_scan_text(spark, tmp_path):
     data = (TEXT.format(prir="") + TEXT.format(prir="").split("\n", 1)[1].replace("039300000", "039300001")).encode() + b"PAR  bad \xff byte\n"
     (tmp_path / "pftaps.txt").write_bytes(data)
